@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import packing, token_frames
+from tracemill.llm import fertility, packing, sentencepiece_backend, simhash, token_frames
 from tracemill.llm.shared import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,25 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_frames(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_backend.encode_pieces(table(spark, sf_dir, "documents"), PIECES)
+    decoded = sentencepiece_backend.decode_pieces(encoded, PIECES)
+    return decoded.select("doc_id", "n_tokens", "n_byte_tokens", F.crc32("ids").alias("ids_crc32"), "parity", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = fertility.judge(fertility.measured(docs, BYTE_BPE, PIECES).withColumn("doc", F.col("doc").dropFields("text")))
+    return judged.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        *(F.round(m, 6).alias(m) for m in fertility.MEASURES), "script",
+    )
+
+
 def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_and_encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "k")
@@ -27,6 +47,9 @@ def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
+    "op2_simhash_popcount": op2_simhash_popcount,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_fertility": op4_fertility,
     "op6_min_slack_packing": op6_min_slack_packing,
 }
 
