@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from tracemill.llm.shared import written
 
-STEP = 256
+STEP = 1024
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, k long"
 
 

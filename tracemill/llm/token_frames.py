@@ -39,7 +39,7 @@ SEEK_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_frames", "<u4")])
 ENTRY = np.dtype([("stored", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
-STEP = 256  # documents encoded at once
+STEP = 1024  # documents encoded at once
 
 ENCODED = "doc_id long, order_key long, shard int, width int, frames array<binary>, contents array<int>, checksums array<long>"
 MANIFEST = "shard int, path string, width int, n_docs long, n_tokens long"

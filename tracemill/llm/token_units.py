@@ -3,8 +3,10 @@
 A byte-level BPE file splits a text into pre-tokens before it merges anything, and with the usual
 pattern no pre-token spans a single space between two non-space characters: the space belongs to
 what follows. So a text is the concatenation of such units, and each distinct unit needs to be
-encoded once per worker. For files with another normaliser or pre-tokeniser whole texts go to the
-library.
+encoded once per worker. Marks after a word's letters are pre-tokens of their own, so a word is
+encoded apart from them. New units reach the library many at a time, one a line: the line break is
+a token of its own, which parts their ids again. For files with another normaliser or pre-tokeniser
+whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -14,9 +16,16 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 ADJACENT = re.compile(r"\s\s")
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-KEEP_UNITS = 400_000  # units held per worker; when full, the cache starts again
+MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+SPACE = re.compile(r"\s")
+LINES = 1000  # units in one call's text
+KEEP_UNITS = 1_200_000  # units held per worker, about 250 MB; when full, the cache starts again
 KEEP_CHARS = 64  # longer units are encoded but not held
 
 
@@ -43,8 +52,13 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             self.by_unit = splittable(json.load(f))
+        self.line = [e.ids for e in self.tokenizer.encode_batch_fast(["\n", "a\n b", "a", " b"], add_special_tokens=False)] if self.by_unit else []
+        self.by_unit = self.by_unit and len(self.line[0]) == 1 and self.line[1] == self.line[2] + self.line[0] + self.line[3]
+        if self.by_unit and hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # units are held here
         self.keep = keep
         self.after_space: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
@@ -53,24 +67,71 @@ class UnitEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_unit:
-            return self._encode(texts)
-        cut = [BOUNDARY.split(t) if ADJACENT.search(t) else t.split(" ") for t in texts]
-        firsts = self._encode([c[0] for c in cut])
-        units = set().union(*(c[1:] for c in cut))
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of " " + word for distinct words."""
+        plain = [w for w in words if w and not SPACE.search(w)]
+        found = {}
+        if len(plain) < len(words):
+            odd = [w for w in words if not w or SPACE.search(w)]
+            found.update(zip(odd, self._encode([" " + w for w in odd]), strict=True))
+        groups = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+        for group, raw in zip(groups, self._encode([" " + "\n ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(raw, np.uint32) == self.line[0][0]) * 4
+            begins = [0, *(ends + 4).tolist()]
+            found.update(zip(group, [raw[a:b] for a, b in zip(begins, [*ends.tolist(), len(raw)], strict=True)], strict=True))
+        return found
+
+    def _encode_units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of " " + unit for distinct units; words with marks are put together of both."""
+        cut = {u: m.groups() for u in units if (m := MARKED.fullmatch(u))}
+        known = self.after_space
+        words = {w for w, _ in cut.values() if w not in known}
+        found = self._encode_words(list(words.union(u for u in units if u not in cut)))
+        marks = list({x for _, x in cut.values()} - self.marks.keys())
+        self.marks.update(zip(marks, self._encode(marks), strict=True))
+        for u, (word, mark) in cut.items():
+            found[u] = (known[word] if word in known else found[word]) + self.marks[mark]
+        return found
+
+    def _lookup(self, units: list[str]) -> list[bytes]:
+        """Ids of " " + unit for distinct units, from what is held where that is possible."""
         if len(self.after_space) + len(units) > self.keep:
-            self.after_space = {}
-        missing = list(units - self.after_space.keys())
-        new = dict(zip(missing, self._encode([" " + u for u in missing]), strict=True))
-        self.after_space.update(new)
-        ids = self.after_space.__getitem__
-        out = [b"".join([first, *map(ids, c[1:])]) for first, c in zip(firsts, cut, strict=True)]
-        for unit in missing:
+            self.after_space, self.marks = {}, {}
+        known = self.after_space
+        new = self._encode_units([u for u in units if u not in known])
+        known.update(new)
+        out = list(map(known.__getitem__, units))
+        for unit in new:
             if len(unit) > KEEP_CHARS:
-                del self.after_space[unit]
+                del known[unit]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words become numbers of distinct words, whose ids are then gathered."""
+        if not self.by_unit or not texts:
+            return self._encode(texts)
+        split = pc.split_pattern(pa.array(["" if ADJACENT.search(t) else t for t in texts], pa.large_string()), " ")
+        parts = [(i, BOUNDARY.split(t)) for i, t in enumerate(texts) if ADJACENT.search(t)]
+        words = pa.concat_arrays([split.flatten(), pa.array([u for _, c in parts for u in c], pa.large_string())]).dictionary_encode()
+        order = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The words of text i are order[begins[i] : ends[i]].
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        begins, ends, at = bounds[:-1].copy(), bounds[1:].copy(), int(bounds[-1])
+        for i, c in parts:
+            begins[i], ends[i], at = at, at + len(c), at + len(c)
+        distinct = words.dictionary.to_pylist()
+        firsts = [distinct[k] for k in order[begins]]
+        order[begins] = len(distinct) + np.arange(len(texts))  # a text's first word has no space before it
+        ids = self._lookup(distinct) + self._encode(firsts)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[order]
+        before = np.cumsum(n) - n
+        raw = flat[np.repeat(starts[order] - before, n) + np.arange(int(n.sum()))].tobytes()
+        cuts = np.append(before, len(raw) // 4) * 4
+        return [raw[a:b] for a, b in zip(cuts[begins].tolist(), cuts[ends].tolist(), strict=True)]
+
 
 _ENCODERS: dict[str, UnitEncoder] = {}
 
