@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, packing, sentencepiece_backend, simhash, token_frames
-from tracemill.llm.shared import table
+from tracemill.llm import fertility, iso_media, packing, sentencepiece_backend, simhash, token_frames, url_filter
+from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -45,12 +45,31 @@ def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests)
 
 
+def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(iso_media.store_texts(table(spark, sf_dir, "documents")), "media")
+    ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"].cast("string"), k["length"].cast("string"))), ",")
+    feature = F.concat_ws(";", "codec", F.format_string("%.3f", "duration"), F.col("n_samples").cast("string"), ranges)
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return iso_media.probe_media(stored).select(*columns, feature.alias("feature"))
+
+
+#: The rules that decide before the model.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_url_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_simhash_popcount": op2_simhash_popcount,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fertility": op4_fertility,
     "op6_min_slack_packing": op6_min_slack_packing,
+    "op7_iso_media": op7_iso_media,
+    "op10_url_logreg": op10_url_logreg,
 }
 
 ORACLE_SQL: dict[str, str] = {}
