@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, iso_media, packing, sentencepiece_backend, simhash, token_frames, url_filter
+from tracemill.llm import fertility, iso_media, packing, secret_battery, sentencepiece_backend, simhash, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,16 @@ def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_battery.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(3)]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{secret_battery.KINDS[k]}") for k, n in enumerate(counts)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_battery.listed(F.col("base")), 256).alias("base_sha256"), secret_battery.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op6_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_and_encode(table(spark, sf_dir, "documents"), BYTE_BPE)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "k")
@@ -67,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_popcount": op2_simhash_popcount,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_fertility": op4_fertility,
+    "op5_secret_battery": op5_secret_battery,
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_iso_media": op7_iso_media,
     "op10_url_logreg": op10_url_logreg,

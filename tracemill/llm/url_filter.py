@@ -46,10 +46,13 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 def grams(text: Column, tag: str) -> Column:
     """Character n-grams of text between end marks, tagged by the part they come from."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.concat(*(
-        F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(tag), F.substr(marked, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-        for n in GRAMS
-    ))
+
+    def of_size(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        found = F.transform(places, lambda i: F.concat(F.lit(tag), F.substr(marked, i, F.lit(n))))
+        return F.when(F.length(marked) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of_size, GRAMS))
 
 
 def featured(urls: DataFrame) -> DataFrame:
