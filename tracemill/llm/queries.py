@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, iso_media, packing, secret_battery, sentencepiece_backend, simhash, token_frames, url_filter
+from tracemill.llm import fertility, iso_media, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,14 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.probe_media(stored).select(*columns, feature.alias("feature"))
 
 
+#: For these tables only; a deployment passes its own secret.
+KEY = "tracemill-test-key"
+
+
+def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 #: The rules that decide before the model.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_battery": op5_secret_battery,
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_iso_media": op7_iso_media,
+    "op8_feistel_pii": op8_feistel_pii,
     "op10_url_logreg": op10_url_logreg,
 }
 
