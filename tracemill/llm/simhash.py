@@ -79,12 +79,12 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges(a, b) between fingerprints, and values that several of them share, of distinct prints(fp)."""
     cells = prints.select("fp", F.explode(F.array_distinct(F.transform(reach(F.col("fp")), bit_counts))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high").select("cell")
-    near = cells.join(shared, "cell")
+    near = cells.join(shared.hint("merge"), "cell")  # one plan at every size
     # exact verification within the cell
     values = near.select("fp", F.explode(F.filter(reach(F.col("fp")), lambda v: bit_counts(v) == F.col("cell"))).alias("value"))
     values = written(values, "values")
     common = values.groupBy("value").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low != high").select("value")
-    return values.join(common, "value").select(F.col("fp").alias("a"), F.col("value").alias("b"))
+    return values.join(common.hint("merge"), "value").select(F.col("fp").alias("a"), F.col("value").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
