@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, iso_media, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, token_frames, url_filter
+from tracemill.llm import fertility, iso_media, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,12 @@ def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op9_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = sparse_suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated_words", listed("spans").alias("spans"), listed("dropped").alias("dropped"))
+
+
 #: The rules that decide before the model.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_min_slack_packing": op6_min_slack_packing,
     "op7_iso_media": op7_iso_media,
     "op8_feistel_pii": op8_feistel_pii,
+    "op9_sparse_suffix": op9_sparse_suffix,
     "op10_url_logreg": op10_url_logreg,
 }
 
