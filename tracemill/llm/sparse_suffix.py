@@ -198,7 +198,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     matched = windows.select("window", "entry", "low").join(again.hint("merge"), "window").groupBy("entry").agg(F.collect_list(F.struct("low", "stays")).alias("reach"))  # SIDE + 1 at most
     at = around.select("entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), "entry")
     spans = F.transform("reach", lambda m: F.struct((F.col("pos") - m["low"]).alias("first"), F.col("place").eqNullSafe(m["stays"]).alias("stays")))
-    found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return own, texts, written(found, "repeats")
 
 
