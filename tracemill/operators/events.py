@@ -102,8 +102,8 @@ def to_raster(events: DataFrame, n_points: int, last: float) -> DataFrame:
     step = last / (n_points - 1)
     low = F.greatest(F.ceil(F.col("t0") / step), F.lit(0))
     high = F.least(F.floor(F.col("tend") / step), F.lit(n_points - 1))
-    cells = events.filter(low <= high).select("roi", F.explode(F.sequence(low, high)).cast("int").alias("cell"))
-    return cells.distinct()
+    cells = events.filter(low <= high).select("roi", F.explode(F.sequence(low, high)).alias("cell"))
+    return cells.select("roi", F.col("cell").cast("int").alias("cell")).distinct()
 
 
 def hexbin(points: DataFrame, x: Column, y: Column, nx: int, ny: int, bounds: tuple[float, float, float, float]) -> DataFrame:

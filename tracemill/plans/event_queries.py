@@ -155,9 +155,9 @@ def a5(spark, sf_dir):
     return stats.cdf(legged(spark, sf_dir).filter("leg is not null"), "halfwidth", ["leg"]).select("event_id", "leg", tidy("cdf").alias("cdf"))
 
 
-@query("a6_box_summary", b.sql("events", "legs", then=LEGGED + ",\n" + TIDY + ", q AS (SELECT leg, count(*) AS n, quantile_cont(halfwidth, 0.05) AS low, quantile_cont(halfwidth, 0.25) AS q1, quantile_cont(halfwidth, 0.5) AS median, quantile_cont(halfwidth, 0.75) AS q3, quantile_cont(halfwidth, 0.95) AS high FROM td GROUP BY leg)") + "SELECT leg, n, " + ", ".join(f"{r(c)} AS {c}" for c in ("low", "q1", "median", "q3", "high")) + f", {r('1.57 * (q3 - q1) / sqrt(n)')} AS notch FROM q")
+@query("a6_box_summary", b.sql("events", "legs", then=LEGGED + ",\n" + TIDY + ", q AS (SELECT leg, count(*) AS n, quantile_cont(halfwidth, 0.05) AS low, quantile_cont(halfwidth, 0.25) AS q1, quantile_cont(halfwidth, 0.5) AS median, quantile_cont(halfwidth, 0.75) AS q3, quantile_cont(halfwidth, 0.95) AS high FROM td GROUP BY leg)") + "SELECT leg, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("low", "q1", "median", "q3", "high")) + f", {r('1.57 * (q3 - q1) / sqrt(n)')} AS notch FROM q")
 def a6(spark, sf_dir):
-    return stats.box_summary(tidy_rows(spark, sf_dir), "halfwidth", ["leg"]).select("leg", "n", *(tidy(c).alias(c) for c in ("low", "q1", "median", "q3", "high", "notch")))
+    return stats.box_summary(tidy_rows(spark, sf_dir), "halfwidth", ["leg"]).select("leg", "n", *(F.round(c, 6).alias(c) for c in ("low", "q1", "median", "q3", "high")), tidy("notch").alias("notch"))
 
 
 @query("a6_paired_t", b.sql("events", "legs", then=LEGGED + ",\n" + TIDY + ", df AS (SELECT x.halfwidth - y.halfwidth AS d FROM td x JOIN td y ON x.roi = y.roi AND x.leg = 'b' AND y.leg = 'a')") + f"SELECT {r('avg(d)')} AS mean_diff, {r('avg(d) / (stddev_samp(d) / sqrt(count(d)))')} AS t, count(d) - 1 AS df FROM df")
@@ -183,9 +183,9 @@ def a11(spark, sf_dir):
     return fit.select("n", tidy("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("slope_se", 4).alias("slope_se"), F.round("intercept_se", 3).alias("intercept_se"))
 
 
-@query("a12_roi_heterogeneity", b.sql("events") + f"SELECT roi, count(*) AS n, {r('quantile_cont(halfwidth, 0.25)')} AS q1, {r('quantile_cont(halfwidth, 0.5)')} AS median, {r('quantile_cont(halfwidth, 0.75)')} AS q3 FROM ev GROUP BY roi HAVING count(*) > 10")
+@query("a12_roi_heterogeneity", b.sql("events") + f"SELECT roi, count(*) AS n, round(quantile_cont(halfwidth, 0.25), 6) AS q1, round(quantile_cont(halfwidth, 0.5), 6) AS median, round(quantile_cont(halfwidth, 0.75), 6) AS q3 FROM ev GROUP BY roi HAVING count(*) > 10")
 def a12(spark, sf_dir):
-    return stats.roi_heterogeneity(b.events(spark, sf_dir), "halfwidth", 10).select("roi", "n", *(tidy(c).alias(c) for c in ("q1", "median", "q3")))
+    return stats.roi_heterogeneity(b.events(spark, sf_dir), "halfwidth", 10).select("roi", "n", *(F.round(c, 6).alias(c) for c in ("q1", "median", "q3")))
 
 
 @query("a13_pool_experiments", b.sql("events") + "SELECT 'exp' || recording || '_' || roi AS pooled_roi, recording AS experiment, recording * 2.5 AS dose, count(*) AS n FROM ev GROUP BY 1, 2, 3")
