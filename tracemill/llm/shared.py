@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.functions.tables import shared_dir, written
+
+__all__ = ["partitions", "shared_dir", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
-
-    Only where the setting is absent, as in tests on one machine, a local folder is set as the
-    checkpoint folder of the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-tracemill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tracemill-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder, read again: a cut of lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession, label)}/table"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session was sized for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
