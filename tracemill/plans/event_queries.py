@@ -50,9 +50,10 @@ def e6(spark, sf_dir):
     return out.select("event_id", "roi", "clique_size", *(tidy(c).alias(c) for c in ("t0", "tend", "halfwidth", "z_max")))
 
 
-@query("e7_distill_audit", b.sql("events", then=DISTILL) + "SELECT event_id, status, attractor, clique_size FROM au")
+@query("e7_distill_audit", b.sql("events", then=DISTILL) + "SELECT event_id, status, coalesce(attractor, -1) AS attractor, coalesce(clique_size, 0) AS clique_size FROM au")
 def e7(spark, sf_dir):
-    return audit(spark, sf_dir).select("event_id", "status", "attractor", "clique_size")
+    found = audit(spark, sf_dir)
+    return found.select("event_id", "status", F.coalesce("attractor", F.lit(-1)).cast("long").alias("attractor"), F.coalesce("clique_size", F.lit(0)).cast("long").alias("clique_size"))
 
 
 @query("g1_connected_components", b.sql("events", then="""li AS (SELECT a.event_id AS a, c.event_id AS b FROM ev a JOIN ev c ON a.roi = c.roi AND abs(a.t0 - c.t0) < 0.45 * a.halfwidth AND abs(a.tend - c.tend) < 0.45 * a.halfwidth),
@@ -140,9 +141,9 @@ def tidy_rows(spark, sf_dir):
     return stats.tidy_roi_leg(legged(spark, sf_dir), 1.0, 60.0, 3)
 
 
-@query("a3_tidy_roi_leg", b.sql("events", "legs", then=LEGGED + ",\n" + TIDY) + f"SELECT leg, roi, n, {r('halfwidth')} AS halfwidth, {r('height')} AS height, {r('duration')} AS duration FROM td JOIN du USING (leg)")
+@query("a3_tidy_roi_leg", b.sql("events", "legs", then=LEGGED + ",\n" + TIDY) + f"SELECT leg, roi, n, round(halfwidth, 6) AS halfwidth, round(height, 6) AS height, {r('duration')} AS duration FROM td JOIN du USING (leg)")
 def a3(spark, sf_dir):
-    return tidy_rows(spark, sf_dir).select("leg", "roi", "n", *(tidy(c).alias(c) for c in ("halfwidth", "height", "duration")))
+    return tidy_rows(spark, sf_dir).select("leg", "roi", "n", F.round("halfwidth", 6).alias("halfwidth"), F.round("height", 6).alias("height"), tidy("duration").alias("duration"))
 
 
 @query("a4_duration_histogram", b.sql("events", "legs", then=LEGGED + ", ed AS (SELECT unnest([0, 1, 2, 3, 4]) AS bin, unnest([1.0, 2.0, 4.0, 8.0, 16.0]) AS low, unnest([2.0, 4.0, 8.0, 16.0, 32.0]) AS high), ct AS (SELECT leg, bin, count(*) AS n FROM le JOIN ed ON halfwidth >= low AND (halfwidth < high OR (bin = 4 AND halfwidth = high)) WHERE leg IS NOT NULL GROUP BY 1, 2)") + f"SELECT leg, bin, n, {r('n * (60 / (leg_end - leg_begin))')} AS rate, {r('sqrt(n) * (60 / (leg_end - leg_begin))')} AS rate_err FROM ct JOIN legs USING (leg)")
