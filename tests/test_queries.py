@@ -35,6 +35,8 @@ def test_query_equals_sql(spark, duck, name):
     df = plans.QUERIES[name](spark, SF)
     got = rows(df.columns, df.collect())
     assert got
+    if name not in plans.SQL:
+        return
     result = duck.execute(plans.SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)

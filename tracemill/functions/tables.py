@@ -25,4 +25,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession, label)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that nothing unfinished reads any more."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path.getParent(), True)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.tables import written
+from tracemill.functions.tables import discard, written
 
 MOST_ROUNDS = 50
 
@@ -45,7 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = edges.filter("a = b").select("a")
     sign = None
     for _ in range(MOST_ROUNDS):
-        now = written(_star(_star(now, True), False), "edges")
+        last, now = now, written(_star(_star(now, True), False), "edges")
+        discard(last)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == sign:
             found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import hill, tidy
 from tracemill.operators import events as ev
-from tracemill.operators import stats
+from tracemill.operators import mixed, stats
 from tracemill.plans.registry import query
 from tracemill.plans.trace_queries import r
 from tracemill.sources import bindings as b
@@ -240,3 +240,9 @@ def a19(spark, sf_dir):
 def a20(spark, sf_dir):
     counts = b.events(spark, sf_dir).groupBy("roi", "its").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("roi").agg(F.max(F.struct("n", (-F.col("its")).alias("k"), "its"))["its"].alias("most"), F.min(F.struct("n", "its"))["its"].alias("least"), F.sum("n").alias("n"))
+
+
+@query("a9_effect_mixed")
+def a9(spark, sf_dir):
+    found = mixed.effect_mixed(legged(spark, sf_dir), "halfwidth", "a", least=5, legs=["a", "b", "c"])
+    return found.select("leg", *(tidy(c).alias(c) for c in ("coef", "se", "z", "p", "effect", "theta")))
