@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.functions.tables import shared_dir, written
+from tracemill.functions.tables import discard, shared_dir, written
 
-__all__ = ["partitions", "shared_dir", "table", "written"]
+__all__ = ["discard", "partitions", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.shared import written
+from tracemill.llm.shared import discard, written
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -95,4 +95,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = written(known.join(least, "root").select("fp", "component_id"), "labels")
+    discard(prints)
     return of_docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

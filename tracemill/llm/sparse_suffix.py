@@ -32,14 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tracemill.llm.shared import partitions, written
+from tracemill.llm.shared import discard, partitions, written
 
 LEAST = 50
 SEED = 25
 SIDE = LEAST - SEED  # words carried on either side of a gram
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
-BROADCAST_ROWS = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 STEP = 256
 
@@ -199,7 +198,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = around.select("entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), "entry")
     spans = F.transform("reach", lambda m: F.struct((F.col("pos") - m["low"]).alias("first"), F.col("place").eqNullSafe(m["stays"]).alias("stays")))
     found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return own, texts, written(found, "repeats")
+    found = written(found, "repeats")
+    discard(around)
+    discard(windows)
+    return own, texts, found
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -263,12 +265,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; its other columns, but for one named repeat_spans or dk, stay as they are.
     """
-    _, _, found = repeats(docs)
+    own, texts, found = repeats(docs)
+    discard(own)
+    discard(texts)
     cut = found.filter(F.exists("spans", lambda s: ~s["stays"])).select("dk", F.col("spans").alias("repeat_spans"))
     text = F.col("text").cast("string")
     rows = docs.withColumn("text", text).withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), text))
-    small = cut.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(cut) if small else cut, "dk", "left").drop("dk")
+    joined = rows.join(cut.hint("merge"), "dk", "left").drop("dk")  # one plan at every size
     schema = T.StructType([f for f in joined.schema if f.name != "repeat_spans"])
     had_words = joined.mapInArrow(_cut, schema)
     return had_words.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
