@@ -134,3 +134,32 @@ def thinned(events: DataFrame, most: int = 1000) -> DataFrame:
     rows = events.join(counts, "roi").crossJoin(total).withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") % (F.floor(F.col("total") / most) + 1) == 0)
     new = (F.coalesce(F.lag("roi").over(order), F.lit(-1)) != F.col("roi")).cast("int")
     return rows.withColumn("new", new).withColumn("run", F.sum("new").over(order)).drop("new", "total")
+
+
+def intervals(events: DataFrame, min_events: int) -> DataFrame:
+    """Median over rois (at least min_events events) of the median interval between events and of the median halfwidth."""
+    own = Window.partitionBy("roi").orderBy("t0", "event_id")
+    rows = events.withColumn("interval", F.col("t0") - F.lag("t0").over(own))
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    each = rows.groupBy("roi").agg(middle("interval").alias("interval"), middle("halfwidth").alias("halfwidth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_events)
+    return each.agg(middle("interval").alias("interval"), middle("halfwidth").alias("halfwidth"), F.count(F.lit(1)).alias("n_rois"))
+
+
+def event_windows(events: DataFrame, filtered: DataFrame, dt: float) -> DataFrame:
+    """Samples of fast from one to four widths around each event's start; k counts from the window's first.
+
+    The width is the halfwidth in samples down to a multiple of five, at least five.
+    """
+    wide = F.greatest(F.lit(5), F.floor(F.ceil(F.col("halfwidth") / dt) / 5) * 5).cast("int")
+    places = events.withColumn("i0", F.round(F.col("t0") / dt).cast("int")).withColumn("wide", wide)
+    # One row a sample of a window: an equi-join, not a range join.
+    wanted = places.select("roi", "event_id", "wide", "i0", F.explode(F.sequence(F.col("i0") - F.col("wide"), F.col("i0") + 4 * F.col("wide") - 1)).alias("i"))
+    return wanted.join(filtered.select("roi", "i", "fast"), ["roi", "i"]).select("roi", "event_id", "wide", (F.col("i") - F.col("i0") + F.col("wide")).alias("k"), "fast")
+
+
+def event_shapes(windows: DataFrame, least: int) -> DataFrame:
+    """Mean over events of the z-normalised windows of one width, where there are at least so many events."""
+    own = Window.partitionBy("roi", "event_id")
+    s = F.stddev_pop("fast").over(own)
+    rows = windows.withColumn("u", (F.col("fast") - F.avg("fast").over(own)) / F.nullif(s, F.lit(0.0)))
+    return rows.groupBy("wide", "k").agg(F.avg("u").alias("shape"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.tables import written
+from tracemill.operators.components import components
 
 WIDTH = 4096  # a roi is named by its peak: y x WIDTH + x
 
@@ -153,3 +154,21 @@ def colour_scale(summary: DataFrame, column: str, low: float = 0.01, high: float
     """(value - low percentile) / (high - low percentile)."""
     ends = summary.groupBy("recording").agg(F.percentile(column, F.lit(low)).alias("a"), F.percentile(column, F.lit(high)).alias("z"))
     return summary.join(ends, "recording").withColumn("scaled", (F.col(column) - F.col("a")) / (F.col("z") - F.col("a"))).drop("a", "z")
+
+
+def merged(graph: DataFrame, summary: DataFrame) -> DataFrame:
+    """Each roi with the one that its component merges into: of the rois without a way out the one of the highest peak."""
+    number = lambda c: F.col("recording").cast("long") * WIDTH * WIDTH + F.col(c)
+    ends = graph.select(number("roi_i").alias("a"), number("roi_j").alias("b"))
+    every = summary.select("recording", "roi", "size", "peak_value", number("roi").alias("node"))
+    roots = components(ends.union(every.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    sinks = every.join(ends.select(F.col("a").alias("node")).distinct(), "node", "left_anti").join(roots, "node")
+    best = F.max(F.struct("peak_value", (-F.col("roi")).alias("k"))).alias("b")
+    survivor = sinks.groupBy("root").agg(best).select("root", (-F.col("b.k")).alias("survivor"))
+    return every.join(roots, "node").join(survivor, "root").select("recording", "roi", "survivor", "size")
+
+
+def merged_traces(traces: DataFrame, found: DataFrame) -> DataFrame:
+    """Traces of the survivors: size-weighted sums over their rois, divided by the new size."""
+    rows = traces.join(found, ["recording", "roi"])
+    return rows.groupBy("recording", F.col("survivor").alias("roi"), "frame").agg((F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("value"))

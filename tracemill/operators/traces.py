@@ -242,3 +242,9 @@ def running_mode(df: DataFrame, size: int, width: float, keys=KEYS) -> DataFrame
     score = lambda b: F.struct(F.size(F.filter("bins", lambda x: x == b)).alias("n"), (-b).alias("low"))
     best = F.array_max(F.transform(F.array_distinct("bins"), score))
     return rows.filter("inner").select(*keys, "i", "t", ((-best["low"] + 0.5) * width).alias("mode"))
+
+
+def trace_activity(df: DataFrame, legs: DataFrame, dt: float) -> DataFrame:
+    """Per roi and leg the sum of fast / slow times dt over the leg's length; samples strictly inside the leg."""
+    rows = df.join(F.broadcast(legs), (F.col("t") > F.col("leg_begin")) & (F.col("t") < F.col("leg_end")))
+    return rows.groupBy("roi", "leg").agg((F.sum(F.col("fast") / F.greatest("slow", F.lit(1.0))) * dt / F.max(F.col("leg_end") - F.col("leg_begin"))).alias("activity"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.functions.numbers import hill, tidy
 from tracemill.operators import events as ev
 from tracemill.operators import mixed, stats
+from tracemill.operators import traces as tr
 from tracemill.plans.registry import query
-from tracemill.plans.trace_queries import r
+from tracemill.plans.trace_queries import RUNS, SLOW, r, z_table
 from tracemill.sources import bindings as b
 
 LEGGED = """le AS (SELECT ev.*, leg FROM ev LEFT JOIN legs ON peakpoint > leg_begin AND peakpoint < leg_end),
@@ -246,3 +248,33 @@ def a20(spark, sf_dir):
 def a9(spark, sf_dir):
     found = mixed.effect_mixed(legged(spark, sf_dir), "halfwidth", "a", least=5, legs=["a", "b", "c"])
     return found.select("leg", *(tidy(c).alias(c) for c in ("coef", "se", "z", "p", "effect", "theta")))
+
+
+@query("t29_summarise_recording", b.sql("events", then="iv AS (SELECT roi, halfwidth, t0 - lag(t0) OVER (PARTITION BY roi ORDER BY t0, event_id) AS d FROM ev), ea AS (SELECT roi, quantile_cont(d, 0.5) AS d, quantile_cont(halfwidth, 0.5) AS h FROM iv GROUP BY roi HAVING count(*) >= 10)") + 'SELECT round(quantile_cont(d, 0.5), 6) AS "interval", round(quantile_cont(h, 0.5), 6) AS halfwidth, count(*) AS n_rois FROM ea')
+def t29(spark, sf_dir):
+    found = ev.intervals(b.events(spark, sf_dir), 10)
+    return found.select(F.round("interval", 6).alias("interval"), F.round("halfwidth", 6).alias("halfwidth"), "n_rois")
+
+
+@query("t35_trace_activity", b.sql("week", "legs_days", then=SLOW) + "SELECT roi, leg, round(sum(fast / greatest(slow, 1.0)) * 7 / max(leg_end - leg_begin), 3) + 0.0 AS activity FROM slow JOIN legs ON t > leg_begin AND t < leg_end GROUP BY 1, 2")
+def t35(spark, sf_dir):
+    return tr.trace_activity(z_table(spark, sf_dir), b.legs(spark, b.LEGS_DAYS), 7.0).select("roi", "leg", tidy("activity", 3).alias("activity"))
+
+
+NUMBERED = "nu AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY t0) AS event_id FROM ex), wi AS (SELECT roi, event_id, CAST(round(t0 / 7) AS INTEGER) AS i0, CAST(greatest(5, floor(ceil(halfwidth / 7) / 5) * 5) AS INTEGER) AS wide FROM nu), wn AS (SELECT wi.roi, event_id, wide, slow.i - i0 + wide AS k, fast FROM wi JOIN slow ON slow.roi = wi.roi AND slow.i BETWEEN i0 - wide AND i0 + 4 * wide - 1)"
+
+
+def windows_of(spark, sf_dir):
+    z = z_table(spark, sf_dir)
+    found = tr.excursions(z, 3.0, 7.0).withColumn("event_id", F.row_number().over(Window.partitionBy("roi").orderBy("t0")))
+    return ev.event_windows(found, z, 7.0)
+
+
+@query("e9_event_windows", b.sql("week", then=SLOW + ",\n" + RUNS + ",\n" + NUMBERED) + f"SELECT roi, event_id, k, {r('fast')} AS fast FROM wn")
+def e9(spark, sf_dir):
+    return windows_of(spark, sf_dir).select("roi", F.col("event_id").cast("long").alias("event_id"), F.col("k").cast("int").alias("k"), tidy("fast").alias("fast"))
+
+
+@query("e10_event_shapes", b.sql("week", then=SLOW + ",\n" + RUNS + ",\n" + NUMBERED + ", u AS (SELECT wide, k, (fast - avg(fast) OVER w) / nullif(stddev_pop(fast) OVER w, 0) AS u FROM wn WINDOW w AS (PARTITION BY roi, event_id))") + f"SELECT wide, k, {r('avg(u)')} AS shape, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) >= 10")
+def e10(spark, sf_dir):
+    return ev.event_shapes(windows_of(spark, sf_dir), 10).select("wide", "k", tidy("shape").alias("shape"), "n")

@@ -250,3 +250,53 @@ def r23(spark, sf_dir):
 def r24(spark, sf_dir):
     s = rois.colour_scale(rois.roi_summary(basins(spark, sf_dir), image(spark, sf_dir)), "peak_value")
     return s.select("recording", "roi", tidy("scaled").alias("scaled"))
+
+
+SHIFTED = "sh AS (SELECT DISTINCT recording, frame, CAST(frame % 3 - 1 AS INTEGER) AS dy, CAST(frame % 5 - 2 AS INTEGER) AS dx FROM px WHERE frame < 20)"
+
+
+def planted_shifts(pixels):
+    return pixels.filter("frame < 20").select("recording", "frame").distinct().select("recording", "frame", (F.col("frame") % 3 - 1).cast("int").alias("dy"), (F.col("frame") % 5 - 2).cast("int").alias("dx"))
+
+
+@query("f16_apply_shifts", b.sql("pixels", then=SHIFTED) + f"SELECT a.recording, a.frame, a.y, a.x, {r('c.value')} AS value FROM px a JOIN sh USING (recording, frame) JOIN px c ON c.recording = a.recording AND c.frame = a.frame AND c.y = least(greatest(a.y + dy, 0), 7) AND c.x = least(greatest(a.x + dx, 0), 7)")
+def f16(spark, sf_dir):
+    pixels = px(spark, sf_dir)
+    return out(fr.apply_shifts(pixels, planted_shifts(pixels), 0, 7), *PX)
+
+
+@query("f14_pairwise_shifts", b.sql("pixels", then=SHIFTED + ", cu AS (SELECT recording, frame, sum(dy) OVER w AS cy, sum(dx) OVER w AS cx FROM sh WINDOW w AS (PARTITION BY recording ORDER BY frame)), md AS (SELECT recording, quantile_cont(cy, 0.5) AS my, quantile_cont(cx, 0.5) AS mx FROM cu GROUP BY 1)") + "SELECT recording, frame, CAST(cy - my AS DOUBLE) AS dy, CAST(cx - mx AS DOUBLE) AS dx FROM cu JOIN md USING (recording)")
+def f14(spark, sf_dir):
+    return fr.pairwise_shifts(planted_shifts(px(spark, sf_dir)))
+
+
+@query("f26_rois_from_shapes", b.sql("pixels", then="""im AS (SELECT recording, y, x, round(avg(value), 9) AS value FROM px GROUP BY 1, 2, 3), sp AS (SELECT * FROM (VALUES (0, 2.0, 2.0, 1.5), (1, 5.0, 4.0, 2.5)) v(roi, cy, cx, radius)),
+ins AS (SELECT recording, roi, y, x, value, row_number() OVER (PARTITION BY recording, roi ORDER BY value DESC, y, x) AS k FROM im JOIN sp ON pow(y - cy, 2) + pow(x - cx, 2) <= radius * radius)""") + f"SELECT recording, roi, max(CASE WHEN k = 1 THEN y END) AS peak_y, max(CASE WHEN k = 1 THEN x END) AS peak_x, count(*) AS n, {r('avg(value)')} AS mean FROM ins GROUP BY 1, 2")
+def f26(spark, sf_dir):
+    shapes = spark.createDataFrame([(0, 2.0, 2.0, 1.5), (1, 5.0, 4.0, 2.5)], "roi int, cy double, cx double, radius double")
+    return fr.rois_from_shapes(image(spark, sf_dir), shapes).select("recording", "roi", "peak_y", "peak_x", "n", tidy("mean").alias("mean"))
+
+
+MERGED = PROPOSED + """, mg AS (SELECT p.recording, p.roi_i, p.roi_j FROM pp p JOIN su a ON a.recording = p.recording AND a.roi = p.roi_i JOIN su c ON c.recording = p.recording AND c.roi = p.roi_j LEFT JOIN pp q ON q.recording = p.recording AND q.roi_i = p.roi_j AND q.roi_j = p.roi_i WHERE p.weight > 0.4 AND (q.roi_i IS NULL OR a.peak_value < c.peak_value OR (a.peak_value = c.peak_value AND p.roi_i < p.roi_j))),
+un AS (SELECT recording, roi_i AS a, roi_j AS b FROM mg UNION SELECT recording, roi_j, roi_i FROM mg UNION SELECT recording, roi, roi FROM su),
+cp(recording, node, root) AS (SELECT recording, a, a FROM un UNION SELECT un.recording, un.b, cp.root FROM cp JOIN un ON un.recording = cp.recording AND un.a = cp.node), rt AS (SELECT recording, node AS roi, min(root) AS root FROM cp GROUP BY 1, 2),
+sk AS (SELECT rt.recording, root, su.roi, row_number() OVER (PARTITION BY rt.recording, root ORDER BY peak_value DESC, su.roi) AS k FROM rt JOIN su ON su.recording = rt.recording AND su.roi = rt.roi WHERE NOT EXISTS (SELECT 1 FROM mg WHERE mg.recording = rt.recording AND mg.roi_i = rt.roi)),
+mr AS (SELECT rt.recording, rt.roi, sk.roi AS survivor FROM rt JOIN sk ON sk.recording = rt.recording AND sk.root = rt.root AND k = 1)"""
+
+
+def merge(spark, sf_dir):
+    own, summary, edges, pairs = geometry(spark, sf_dir)
+    proposed = rois.propose_by_shared_edges(pairs, edges, summary)
+    strong = rois.merge_graph(proposed, summary).join(proposed, ["recording", "roi_i", "roi_j"]).filter("weight > 0.4").drop("weight")
+    return own, rois.merged(strong, summary)
+
+
+@query("r13_merge_rois", b.sql("pixels", then=MERGED) + "SELECT recording, roi, survivor FROM mr")
+def r13(spark, sf_dir):
+    return merge(spark, sf_dir)[1].select("recording", "roi", "survivor")
+
+
+@query("r13_merged_traces", b.sql("pixels", then=MERGED + ", tc AS (SELECT px.recording, ba.roi, frame, avg(value) AS value FROM px JOIN ba ON ba.recording = px.recording AND ba.y = px.y AND ba.x = px.x GROUP BY 1, 2, 3)") + f"SELECT tc.recording, survivor AS roi, frame, {r('sum(value * size) / sum(size)')} AS value FROM tc JOIN mr ON mr.recording = tc.recording AND mr.roi = tc.roi JOIN su ON su.recording = tc.recording AND su.roi = tc.roi GROUP BY 1, 2, 3")
+def r13t(spark, sf_dir):
+    own, found = merge(spark, sf_dir)
+    return out(rois.merged_traces(rois.roi_traces(px(spark, sf_dir), own), found), "recording", "roi", "frame")
