@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-OWN = Window.partitionBy("recording").orderBy("series")
+
+def own():
+    """The series of a recording in order."""
+    return Window.partitionBy("recording").orderBy("series")
 
 
 def gaps(series: DataFrame) -> DataFrame:
     """Time from the end of the series before; null for the first."""
-    return series.withColumn("gap", F.col("start") - F.lag("end").over(OWN))
+    return series.withColumn("gap", F.col("start") - F.lag("end").over(own()))
 
 
 def group_series(series: DataFrame, most: float) -> DataFrame:
     """Series in sequence: a new group where the gap is unknown or beyond most either way, or the pixel size changes."""
-    new = F.col("gap").isNull() | (F.abs("gap") > most) | (F.col("px_size") != F.lag("px_size").over(OWN))
-    rows = gaps(series).withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(OWN))
+    new = F.col("gap").isNull() | (F.abs("gap") > most) | (F.col("px_size") != F.lag("px_size").over(own()))
+    rows = gaps(series).withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(own()))
     found = rows.groupBy("recording", "part").agg(F.min("series").alias("first"), F.max("series").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("size_t").alias("frames"))
     label = F.when(F.col("first") == F.col("last"), F.format_string("Series%03d", F.col("first").cast("int"))).otherwise(F.format_string("Series%03d-%d", F.col("first").cast("int"), F.col("last").cast("int")))
     return found.withColumn("label", label)
@@ -26,7 +29,7 @@ def group_series(series: DataFrame, most: float) -> DataFrame:
 def merged_offsets(series: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """First frame of each series when all of a recording are joined, and whether its frequency fits their mean."""
     f = F.col("size_t") / F.nullif(F.col("duration"), F.lit(0.0))
-    before = OWN.rowsBetween(Window.unboundedPreceding, -1)
+    before = own().rowsBetween(Window.unboundedPreceding, -1)
     mean = F.avg("frequency").over(Window.partitionBy("recording"))
     rows = series.withColumn("frequency", f).withColumn("mean_frequency", mean)
     return rows.withColumn("first_frame", F.coalesce(F.sum("size_t").over(before), F.lit(0))).withColumn("fits", F.abs(F.col("frequency") - F.col("mean_frequency")) <= tolerance * F.col("mean_frequency"))
@@ -45,7 +48,7 @@ def clock(x: Column) -> Column:
 
 def durations_text(series: DataFrame) -> DataFrame:
     """Cumulative ranges of the series of a recording, one a line."""
-    w = OWN.rowsBetween(Window.unboundedPreceding, 0)
+    w = own().rowsBetween(Window.unboundedPreceding, 0)
     rows = series.withColumn("until", F.sum("duration").over(w)).withColumn("line", F.concat_ws("-", clock(F.col("until") - F.col("duration")), clock(F.col("until"))))
     return rows.groupBy("recording").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("series", "line"))), lambda s: s["line"]), "\n").alias("ranges"))
 
