@@ -107,3 +107,15 @@ def detect_events(df: DataFrame, samples: int, dt: float, z_th: float = 3.0, lea
     x1 = F.col("rj") - (F.col("half") - F.col("r.zj")) / (F.col("zr") - F.col("r.zj"))
     out = ends.select(*keys, (F.col("p") * dt).alias("peakpoint"), F.col("zp").alias("z_max"), (x0 * dt).alias("t0"), ((x1 - x0) * dt).alias("halfwidth"))
     return out.filter(F.col("halfwidth").between(least * samples * dt, samples * dt))
+
+
+def candidate_events(df: DataFrame, timescales: list[int], dt: float, cutoff: float = 2.0, passes: int = 3, z_th: float = 3.0, keys=("roi",)) -> DataFrame:
+    """Events of every timescale (in samples), with its number and an id that is dense over (timescale, key, time)."""
+    every = None
+    for its, samples in enumerate(timescales):
+        z = fast_filter(df, samples, cutoff, passes, keys)
+        scale = z.agg(F.lit(1).alias("one"), F.stddev_pop("z").alias("s")).select("s")
+        found = detect_events(z.crossJoin(F.broadcast(scale)).withColumn("z", F.col("z") / F.col("s")), samples, dt, z_th, keys=keys).withColumn("its", F.lit(its)).withColumn("ts", F.lit(samples * dt))
+        every = found if every is None else every.unionByName(found)
+    own = Window.partitionBy("its", *keys).orderBy("t0", "peakpoint")
+    return every.withColumn("rank", F.row_number().over(own)).withColumn("event_id", F.xxhash64("its", *keys, "rank"))

@@ -187,3 +187,18 @@ def rois_from_shapes(image: DataFrame, shapes: DataFrame) -> DataFrame:
     return image.join(F.broadcast(shapes), inside).groupBy("recording", "roi").agg(F.max(F.struct("value", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("b"), F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).select("recording", "roi", (-F.col("b.ny")).alias("peak_y"), (-F.col("b.nx")).alias("peak_x"), "n", "mean")
 
 
+
+
+def preview(px: DataFrame, n_space: int, n_time: int) -> DataFrame:
+    """Block means in space and time; incomplete blocks are dropped."""
+    small = rebin_space(px, n_space)
+    out = small.groupBy("recording", F.floor(F.col("frame") / n_time).alias("frame"), "y", "x").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return out.filter(F.col("n") == n_time).drop("n")
+
+
+def bandpass(image: DataFrame, narrow: list[float], wide: list[float], low: int, high: int) -> DataFrame:
+    """Difference of a narrow and a wide blur of images(recording, y, x, value)."""
+    def both(weights: list[float]) -> DataFrame:
+        return blur(blur(image.withColumn("frame", F.lit(0)), "y", weights, low, high), "x", weights, low, high).drop("frame")
+
+    return both(narrow).join(both(wide).withColumnRenamed("value", "wide"), PLACE).select(*PLACE, (F.col("value") - F.col("wide")).alias("value"))

@@ -157,3 +157,20 @@ def infer_concentration(measured: DataFrame, fit: DataFrame) -> DataFrame:
     """Inverse of the curve; null outside its range."""
     y = (F.col("measurement") - F.col("bottom")) / (F.col("top") - F.col("bottom"))
     return measured.crossJoin(F.broadcast(fit)).withColumn("y", y).withColumn("inferred", F.when((F.col("y") > 0) & (F.col("y") < 1), F.col("ec50") * F.pow(F.col("y") / (1 - F.col("y")), 1 / F.col("h"))))
+
+
+def predict_and_residual(rows: DataFrame, column: str) -> DataFrame:
+    """fitted is the leg's mean of log10 of the quantity, residual the rest; null without a leg."""
+    y = F.log10(column)
+    fitted = F.when(F.col("leg").isNotNull(), F.avg(y).over(Window.partitionBy("leg")))
+    return rows.withColumn("fitted", fitted).withColumn("residual", y - F.col("fitted"))
+
+
+def pulse(t: Column, loc: Column, amplitude: Column, scale: Column, s: float = 0.5) -> Column:
+    """Log-normal pulse that starts at loc and peaks with amplitude; zero before, and under a hundredth of the peak."""
+    x = (t - loc) / scale
+    peak = float(2.718281828459045 ** (-(s * s)))  # the mode of the log-normal density
+    shape = F.exp(-F.pow(F.ln(x), F.lit(2)) / (2 * s * s)) / x
+    top = F.exp(F.lit(-(s**4) / (2 * s * s))) / peak
+    share = F.when(x > 0, shape / top).otherwise(F.lit(0.0))
+    return amplitude * F.when(share < 0.01, 0.0).otherwise(share)

@@ -278,3 +278,19 @@ def e9(spark, sf_dir):
 @query("e10_event_shapes", b.sql("week", then=SLOW + ",\n" + RUNS + ",\n" + NUMBERED + ", u AS (SELECT wide, k, (fast - avg(fast) OVER w) / nullif(stddev_pop(fast) OVER w, 0) AS u FROM wn WINDOW w AS (PARTITION BY roi, event_id))") + f"SELECT wide, k, {r('avg(u)')} AS shape, count(*) AS n FROM u GROUP BY 1, 2 HAVING count(*) >= 10")
 def e10(spark, sf_dir):
     return ev.event_shapes(windows_of(spark, sf_dir), 10).select("wide", "k", tidy("shape").alias("shape"), "n")
+
+
+@query("a16_predict_and_residual", b.sql("events", "legs", then=LEGGED) + f"SELECT event_id, {r('avg(log10(halfwidth)) OVER (PARTITION BY leg)')} AS fitted, {r('log10(halfwidth) - avg(log10(halfwidth)) OVER (PARTITION BY leg)')} AS residual FROM le WHERE leg IS NOT NULL")
+def a16(spark, sf_dir):
+    rows = stats.predict_and_residual(legged(spark, sf_dir).filter("leg is not null"), "halfwidth")
+    return rows.select("event_id", tidy("fitted").alias("fitted"), tidy("residual").alias("residual"))
+
+
+SHARE = "exp(-pow(ln(x), 2) / 0.5) / x / (exp(-0.125) / exp(-0.25))"
+
+
+@query("e11_pulse_shape", b.sql("events", then="xx AS (SELECT event_id, k, height, (k * halfwidth / 4) / (halfwidth / 2) AS x FROM ev, (SELECT unnest([1, 2, 4, 8, 16]) AS k))") + f"SELECT event_id, k, {r(f'height * CASE WHEN {SHARE} < 0.01 THEN 0.0 ELSE {SHARE} END')} AS value FROM xx")
+def e11(spark, sf_dir):
+    rows = b.events(spark, sf_dir).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))))
+    t = F.col("t0") + F.col("k") * F.col("halfwidth") / 4
+    return rows.select("event_id", "k", tidy(stats.pulse(t, F.col("t0"), F.col("height"), F.col("halfwidth") / 2)).alias("value"))

@@ -55,3 +55,9 @@ def t7(spark, sf_dir):
 def e2(spark, sf_dir):
     found = fl.detect_events(filtered(spark, sf_dir), N, 7.0)
     return found.select("roi", "peakpoint", tidy("z_max").alias("z_max"), tidy("t0", 3).alias("t0"), tidy("halfwidth", 3).alias("halfwidth"))
+
+
+@query("e3_candidate_events")
+def e3(spark, sf_dir):
+    found = fl.candidate_events(b.traces_week(spark, sf_dir), [4, 6, 8], 7.0, 2.0, 1)
+    return found.select("event_id", "its", "ts", "roi", "peakpoint", tidy("z_max").alias("z_max"), tidy("t0", 3).alias("t0"), tidy("halfwidth", 3).alias("halfwidth"))

@@ -300,3 +300,29 @@ def r13(spark, sf_dir):
 def r13t(spark, sf_dir):
     own, found = merge(spark, sf_dir)
     return out(rois.merged_traces(rois.roi_traces(px(spark, sf_dir), own), found), "recording", "roi", "frame")
+
+
+@query("f5_blur_time", b.sql("pixels", then="wt AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25, 0.5, 0.25]::DOUBLE[]) AS w), p1 AS (SELECT * FROM px WHERE frame < 20)") + f"SELECT a.recording, a.frame, a.y, a.x, {r('sum(c.value * w)')} AS value FROM p1 a, wt, p1 c WHERE c.recording = a.recording AND c.y = a.y AND c.x = a.x AND c.frame = least(greatest(a.frame + d, 0), 19) GROUP BY 1, 2, 3, 4")
+def f5(spark, sf_dir):
+    blurred = fr.blur(px(spark, sf_dir).filter("frame < 20"), "frame", [0.25, 0.5, 0.25], 0, 19)
+    return out(blurred.select("recording", F.col("frame").cast("long").alias("frame"), "y", "x", "value"), *PX)
+
+
+@query("f21_preview_reduce", b.sql("pixels", then="bl AS (SELECT recording, frame, CAST(y // 4 AS INTEGER) AS y, CAST(x // 4 AS INTEGER) AS x, avg(value) AS v FROM px GROUP BY 1, 2, 3, 4)") + f"SELECT recording, CAST(frame // 5 AS BIGINT) AS frame, y, x, {r('avg(v)')} AS value FROM bl GROUP BY 1, 2, 3, 4 HAVING count(*) = 5")
+def f21(spark, sf_dir):
+    return out(fr.preview(px(spark, sf_dir), 4, 5), *PX)
+
+
+def blurred_sql(name: str, weights: list[float]) -> str:
+    half = len(weights) // 2
+    return f"""w_{name} AS (SELECT unnest({list(range(-half, half + 1))}) AS d, unnest({weights}::DOUBLE[]) AS w), a_{name} AS (SELECT a.recording, a.y, a.x, sum(c.value * w) AS value FROM im a, w_{name}, im c WHERE c.recording = a.recording AND c.y = least(greatest(a.y + d, 0), 7) AND c.x = a.x GROUP BY 1, 2, 3),
+{name} AS (SELECT a.recording, a.y, a.x, sum(c.value * w) AS value FROM a_{name} a, w_{name}, a_{name} c WHERE c.recording = a.recording AND c.y = a.y AND c.x = least(greatest(a.x + d, 0), 7) GROUP BY 1, 2, 3)"""
+
+
+NARROW, WIDE = [0.25, 0.5, 0.25], [0.1, 0.2, 0.4, 0.2, 0.1]
+
+
+@query("f11_bandpass_image", b.sql("pixels", then="im AS (SELECT recording, y, x, round(avg(value), 9) AS value FROM px GROUP BY 1, 2, 3),\n" + blurred_sql("na", NARROW) + ",\n" + blurred_sql("wi", WIDE)) + f"SELECT na.recording, na.y, na.x, {r('na.value - wi.value')} AS value FROM na JOIN wi ON wi.recording = na.recording AND wi.y = na.y AND wi.x = na.x")
+def f11(spark, sf_dir):
+    found = fr.bandpass(image(spark, sf_dir), NARROW, WIDE, 0, 7)
+    return out(found.select("recording", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value"), "recording", "y", "x")
