@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm.shared import written
+from tracemill.llm.worker_cache import hold
 
 WIDTH = 4.0
 SHORT = 300.0
@@ -114,12 +115,8 @@ class Fertility:
         return out
 
 
-_FERTILITY: dict[tuple[str, str], Fertility] = {}
-
-
 def _measure(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, step: int = 256) -> Iterator[pa.RecordBatch]:
-    key = (byte_path, piece_path)
-    fertility = _FERTILITY.get(key) or _FERTILITY.setdefault(key, Fertility(*key))
+    fertility = hold(("fertility", byte_path, piece_path), lambda: Fertility(byte_path, piece_path))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.worker_cache import hold
+
 MARK = "▁"
 STEP = 256
 KEEP_UNITS = 600_000
@@ -126,19 +128,24 @@ def rebuild(model: dict):
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes, with parity against the sentencepiece library."""
 
-    def __init__(self, path: str, verify: bool = True, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         with open(path, "rb") as f:
             self.model = parse_model(f.read())
         self.tokenizer, self.by_word = rebuild(self.model)
         self.bytes = {i for i, (_, _, kind) in enumerate(self.model["pieces"]) if kind == BYTE}
-        self.theirs = None
-        if verify:
+        self.path, self.theirs = path, None
+        self.units: dict[str, tuple[bytes, int, bool]] = {}
+
+    def verifying(self) -> PieceEncoder:
+        """self, with the sentencepiece library at hand."""
+        if self.theirs is None:
             import sentencepiece
 
-            self.theirs = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.units: dict[str, tuple[bytes, int, bool]] = {}
+            self.theirs = sentencepiece.SentencePieceProcessor(model_file=self.path)
+            self.units = {}
+        return self
 
     def _encode(self, texts: list[str]) -> list[tuple[bytes, int, bool]]:
         ours = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -168,18 +175,15 @@ class PieceEncoder:
         return self.tokenizer.decode_batch([memoryview(r).cast("I").tolist() for r in rows], skip_special_tokens=False)
 
 
-_ENCODERS: dict[tuple[str, bool, int], PieceEncoder] = {}
-
-
-def piece_encoder(path: str, verify: bool, threads: int) -> PieceEncoder:
-    key = (path, verify, threads)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(*key)
-    return _ENCODERS[key]
+def piece_encoder(path: str, threads: int) -> PieceEncoder:
+    """The worker's encoder for this file; encoding and decoding share it."""
+    return hold(("pieces", path, threads), lambda: PieceEncoder(path, threads))
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, verify: bool, threads: int) -> Iterator[pa.RecordBatch]:
-    enc = piece_encoder(path, verify, threads)
+    enc = piece_encoder(path, threads)
+    if verify:
+        enc.verifying()
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             rows = batch.slice(at, STEP)
@@ -198,7 +202,7 @@ def encode_pieces(docs: DataFrame, model_path: str, verify: bool = True, threads
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], path: str, threads: int) -> Iterator[pa.RecordBatch]:
-    enc = piece_encoder(path, False, threads)
+    enc = piece_encoder(path, threads)
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             rows = batch.slice(at, STEP)

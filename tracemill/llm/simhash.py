@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
 from tracemill.llm.shared import discard, written
+from tracemill.llm.worker_cache import release
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -52,6 +53,7 @@ def simhash(text: str) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         prints = np.array([simhash(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])

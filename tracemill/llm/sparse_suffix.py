@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from tracemill.llm.shared import discard, partitions, written
+from tracemill.llm.worker_cache import release
 
 LEAST = 50
 SEED = 25
@@ -79,6 +80,7 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)

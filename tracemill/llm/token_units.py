@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tracemill.llm.worker_cache import hold
+
 ADJACENT = re.compile(r"\s\s")
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MARKED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
@@ -133,11 +135,6 @@ class UnitEncoder:
         return [raw[a:b] for a, b in zip(cuts[begins].tolist(), cuts[ends].tolist(), strict=True)]
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for this file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return hold(("units", path), lambda: UnitEncoder(path))
