@@ -104,6 +104,23 @@ def test_formats(spark):
     assert pseudonyms.pseudonymised(docs.limit(0), KEY).count() == 0
 
 
+def test_cards_next_to_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [
+        "4111111111111111 123", f"{card} 12/27", "card 4111111111111111 7 items", f"12 {card}", f"12345 {card}", f"9 {card} 12 4222222222222 9999999",
+        f"{card} 323-555-9830", "1234567 323-555-9830", f"{card} 10.1.2.3 {card}", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20", "12345 " * 4000 + card,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(docs, KEY).collect()}
+    for old in (card, "4111111111111111", "4222222222222"):
+        for i, t in enumerate(texts[:9]):
+            texts[i] = t.replace(old, plain(old))
+    texts = [t.replace("323-555-9830", plain("323-555-9830")).replace("10.1.2.3", plain("10.1.2.3")) for t in texts]
+    assert [got[i].text for i in range(10)] == texts[:10]
+    assert [got[i].personal_kinds for i in range(9)] == ["card"] * 5 + ["card,card", "card,phone", "phone", "card,address,card"]
+    assert got[9].n_personal == 0 and card not in got[10].text
+
+
 def test_bijection():
     assert len({feistel(x, y, 7, 7, "leap") for x in range(7) for y in range(7)}) == 49
     assert len({plain(f"10.0.{a}.{b}") for a in range(20) for b in range(200)}) == 4000

@@ -9,8 +9,11 @@ in place. Mail addresses become a keyed digest at a reserved domain.
 Kinds: mail; phone (three, three and four digits, with or without a country code, which stays);
 date (ISO, or day and month first with dots or slashes, 1900 to 2099); address (dotted quad); ssn
 (three, two and four digits); card (13 to 19 digits that pass the Luhn check, as the pseudonym does).
-What fails validation stays as it is. Replacement is one pass of leftmost matches, all in column
-expressions.
+What fails validation stays as it is. Cards are looked for from every group of digits to every later
+end of a group, so one next to another number is found, and what is no card hides nothing behind it.
+Only from the first group of a run on may groups but the last have less than three digits: otherwise
+most tables of small numbers would hold some valid run. Replacement is one pass of leftmost matches,
+all in column expressions.
 
 Nulls: a null text stays null; empty texts, repeated rows and null ids are rows like any other.
 Columns beside text are untouched.
@@ -21,8 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.text_spans import cut
-
 ROUNDS = 10
 KINDS = ["mail", "phone", "date", "address", "ssn", "card"]
 #: By kind, tried in this order at each place.
@@ -34,7 +35,11 @@ PATTERNS = {
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
+#: The longest candidate for a card from each group of digits, or from the first of each run, as group 1.
+CARD_AT_GROUP = r"(?<![A-Za-z0-9])(?=([0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])))"
+CARD_AT_RUN = r"(?<![A-Za-z0-9])(?<![0-9][ -])(?=([0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])))"
 ANY = "|".join(p.replace(r"([./])[0-9]{2}\1", r"[./][0-9]{2}[./]") for p in PATTERNS.values())
+OTHERS = ANY.removesuffix("|" + PATTERNS["card"])
 HINT = r"[0-9@]"
 
 
@@ -100,6 +105,23 @@ def _card(m: Column, key: str) -> Column:
     return with_value(only_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, valid(d)).otherwise(m))
 
 
+def card_texts(text: Column) -> Column:
+    """The distinct valid cards of a text as written there, the longest first."""
+    whole = F.regexp_extract_all(text, F.lit(CARD_AT_RUN), F.lit(1))
+    begun = lambda c: F.transform(F.sequence(F.lit(12), F.lit(18)), lambda n: F.regexp_extract_all(c, F.concat(F.lit("^[0-9](?:[ -]?[0-9]){"), n.cast("string"), F.lit("}(?![0-9])")), F.lit(0)))
+    parts = F.flatten(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CARD_AT_GROUP), F.lit(1)), begun)))
+    found = F.array_distinct(F.concat(whole, F.filter(parts, lambda c: c.rlike("^(?:[0-9]{3,}[ -])*[0-9]+$"))))
+    valid = F.filter(found, lambda c: luhn_sum(only_digits(c)) % 10 == 0)
+    return F.array_sort(valid, lambda a, b: F.length(b) - F.length(a))
+
+
+def pattern_of(text: Column) -> Column:
+    """The text's own pattern: that of the other kinds, and its valid cards."""
+    either = lambda cards: F.concat(F.lit(OTHERS + "|(?<![A-Za-z0-9])(?:"), F.array_join(cards, "|"), F.lit(")(?![A-Za-z0-9])"))
+    with_cards = with_value(card_texts(text), lambda cards: F.when(F.size(cards) > 0, either(cards)).otherwise(F.lit(OTHERS)))
+    return F.when(text.rlike(PATTERNS["card"]), with_cards).otherwise(F.lit(OTHERS))
+
+
 def _phone(m: Column, key: str) -> Column:
     national = F.regexp_extract(m, r"((?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})$", 1)
     country = F.substr(m, F.lit(1), F.length(m) - F.length(national))
@@ -166,14 +188,17 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs(text, ...) with pseudonyms in text and two more columns: n_personal (values replaced) and
     personal_kinds (kind of each, in order). Columns of these names are replaced."""
     text = F.col("text").cast("string")
-    between, matches = cut(text, ANY)
-    found = F.transform(matches, lambda m: F.struct(m.alias("old"), replacement(m, key).alias("new"), kind_of(m).alias("kind")))
-    rows = docs.withColumn("text", text).withColumn("personal_found", F.when(text.rlike(HINT) & text.rlike(ANY), found))
-    tail = F.concat(F.transform("personal_found", lambda f: f["new"]), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with(between, tail, lambda b, n: F.concat(b, n)), "")
-    changed = F.filter("personal_found", lambda f: f["old"] != f["new"])
+
+    def pieces(pattern: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.struct(m.alias("old"), replacement(m, key).alias("new"), kind_of(m).alias("kind")))
+        return F.struct(F.split(text, pattern, -1).alias("between"), found.alias("found"))
+
+    rows = docs.withColumn("text", text).withColumn("personal_pieces", F.when(text.rlike(HINT) & text.rlike(ANY), with_value(pattern_of(text), pieces)))
+    tail = F.concat(F.transform("personal_pieces.found", lambda f: f["new"]), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with("personal_pieces.between", tail, lambda b, n: F.concat(b, n)), "")
+    changed = F.filter("personal_pieces.found", lambda f: f["old"] != f["new"])
     return rows.select(
-        *(F.coalesce(F.when(F.col("personal_found").isNotNull(), whole), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_personal", "personal_kinds")),
+        *(F.coalesce(F.when(F.col("personal_pieces").isNotNull(), whole), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_personal", "personal_kinds")),
         F.coalesce(F.size(changed), F.lit(0)).cast("long").alias("n_personal"),
         F.coalesce(F.array_join(F.transform(changed, lambda f: f["kind"]), ","), F.lit("")).alias("personal_kinds"),
     )
