@@ -52,3 +52,25 @@ def test_planted(spark, tmp_path):
     assert sum("random" in got[i].spans for i in range(45, 75)) >= 25
     assert not any("random" in got[i].spans for i in range(15))
     assert secret_battery.find_secrets(docs.limit(0)).count() == 0
+
+
+KEYS = {"hex": "0123456789abcdef", "base 32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base 36": "0123456789abcdefghijklmnopqrstuvwxyz", "letters": "abcdefghijklmnopqrstuvwxyz", "base 64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "digits": "0123456789"}
+
+
+def test_short_keys_among_many_identifiers(spark):
+    """Keys of every alphabet are found even where a class of length is full of identifiers."""
+    r = random.Random(5)
+    parts = "section report final version user account total count index value handler request response config session order item page draft 2024 01 12 v2 7".split()
+    names = []
+    while len(names) < 4000:
+        name = r.choice(["-", "_", "/", ""]).join(r.choice(parts) for _ in range(r.randint(3, 5)))
+        names += [name] if 20 <= len(name) < 40 else []
+    planted = {(k, n): ["".join(r.choice(a) for _ in range(n)) for _ in range(40)] for k, a in KEYS.items() for n in (20, 32)}
+    rows = [(k, n, f"id {x} end") for (k, n), found in planted.items() for x in found] + [("name", 0, f"id {x} end") for x in names]
+    docs = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    hit = {(k, n): 0 for k, n, _ in rows}
+    for g in secret_battery.find_secrets(docs).collect():
+        hit[rows[g.doc_id][:2]] += bool(g.spans)
+    print(hit)
+    assert all(hit[k, n] >= 36 for k, n in planted if k != "digits")
+    assert hit["name", 0] <= 0.01 * sum(hit.values())

@@ -1,21 +1,27 @@
 """Secrets in text: fixed shapes, and random strings found by a battery of randomness tests.
 
 Base kinds are assignments to secret names, access keys and long hexadecimal runs. The method looks
-at every other run of at least MIN_LENGTH token characters that holds a digit and a letter. Its
-encoding (hexadecimal, base 32, base 36 or base 64) is inferred from the characters it uses. Three
-tests ask whether it can be uniformly random over that alphabet: chi-squared over the characters,
-runs of characters above and below the alphabet's middle, and lag-one serial correlation; each
-rejects at ALPHA / 3. What stands is then tested against the hypothesis of an ordinary identifier,
-in which letters and digits seldom take turns: the p-value is that of at least so many changes of
-class at a rate of CHANGES. Benjamini-Hochberg bounds the false discovery rate at FDR within each
-class of length, since the power of all tests, and so the mix of findings, depends on length. The
-ranks come from a histogram of p-values whose size is fixed, so no candidate list is ever gathered.
+at every other run of at least MIN_LENGTH token characters. Its encoding (decimal, hexadecimal, base
+32, base 36 or base 64) is inferred from the characters it uses. A run's p-value is against the
+hypothesis of an ordinary identifier, a Markov chain over letters, digits and separators (COSTS, fitted
+once on words of the documents of sf0.1 and of Python's library, and CLASS_COSTS, assumed): the
+likelihood of the run under that chain over its likelihood as uniformly random characters of the
+inferred alphabet, which by Markov's inequality bounds the p-value. Three tests of randomness, chi-squared
+over the characters, runs of characters above and below the alphabet's middle, and lag-one serial
+correlation, enter the same p-value: it is divided by their least p-value times three, so that what is
+repetitive or in order is no finding either. Benjamini-Hochberg bounds the false discovery rate at FDR
+within each class of length and encoding, since the power of all tests, and so the mix of findings,
+depends on both. The ranks come from a histogram of p-values whose size is fixed, so no candidate list
+is ever gathered. Runs of digits alone are tested too; since an ordinary number's digits are as random as
+a key's, only their length speaks against an identifier.
 
 Nulls: a null text is an empty one; repeated rows and null ids are judged row by row.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,15 +37,48 @@ MIN_VALUE = 8
 KINDS = ["assign", "access", "hex", "random"]
 
 MIN_LENGTH = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
-ALPHA = 0.003
-CHANGES = 0.15
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 FDR = 0.01
 LENGTH_CLASSES = [20, 28, 40, 64, 128]
 BINS = 400  # of minus the decimal logarithm of p, in steps of 0.05
 
+#: Tenths of bits of a letter (a to z) at the start of a word, then after each letter (a to z).
+COSTS = "".join([
+    "3155515025676454448677476045286068454826586763939678",
+    "5061434944997262418394536218497579403926358572979199",
+    "6279809015939999648099119693338799697090689999996099",
+    "5499758856949906339960658790319499657656689899998199",
+    "3755717523868544299999539547209199454335689456999899",
+    "3362613940887459369384527025517377213348607572859962",
+    "3154657624556845409970539461276899344926597171998570",
+    "2551689114986544449973508248436999504241637061999971",
+    "2350689916997044429971529546396999544237707056999971",
+    "5370417227837172649199606214267476605031917384959983",
+    "0199768751919991659577859195578199877391569995999199",
+    "5878667203767070499990628667697392685072778969998199",
+    "3885747213968799329199317895548689797269729999992099",
+    "3663797509889184209986736280474699795869629999997999",
+    "4052583030903047449274527549396978524324696859999977",
+    "6075646863327691518295686213657683284463269179999999",
+    "1884717438158665529989458780425595395752619178996199",
+    "9099869694999999999999879994969673847196019999999999",
+    "3351607712966647438970536950406885424339666960998873",
+    "4462306737976923487188605965477069525516589972998599",
+    "4261739930998116219984629160427699475248757968998548",
+    "4251588918746855499972506225455673504741726470319974",
+    "4483849708918399179999838889438599818386999993999999",
+    "4198848462929902449999839969679399696889999994939999",
+    "3173416825558973419997454884303848416929804685667391",
+    "3748757824859638389999467136315399443531948448999191",
+    "4048486734965559516760555999636171615048106099999961",
+])
+#: Bits of a letter, a digit and a separator as the next character, after each of them; one of ten digits and of four separators.
+CLASS_COSTS = [[0.2, 4.1, 3.6], [2.3, 0.7, 2.3], [0.4, 2.3, 4.3]]
+SWITCH_COSTS = [0.2, 2.7]  # of the same and the other case of two letters in a row, in a run of both cases
+
 #: Alphabets by encoding, in order of their digits.
 ALPHABETS = {
+    10: "0123456789",
     16: "0123456789abcdef",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     36: "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -59,7 +98,8 @@ def upper_tail(z: Column) -> Column:
 def encoding(token: Column) -> Column:
     """Size of the inferred alphabet."""
     return (
-        F.when(token.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 16)
+        F.when(token.rlike("^[0-9]+$"), 10)
+        .when(token.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 16)
         .when(token.rlike("^[A-Z2-7]+$"), 32)
         .when(token.rlike("^[0-9a-z]+$|^[0-9A-Z]+$"), 36)
         .otherwise(64)
@@ -69,17 +109,35 @@ def encoding(token: Column) -> Column:
 def digits(token: Column, size: Column) -> Column:
     """The token's characters as numbers below size; url-safe characters count as their base-64 twins."""
     folded = F.when(size == 32, token).when(size < 64, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
-    alphabet = F.when(size == 16, ALPHABETS[16]).when(size == 32, ALPHABETS[32]).when(size == 36, ALPHABETS[36]).otherwise(ALPHABETS[64])
+    alphabet = F.when(size <= 16, ALPHABETS[16]).when(size == 32, ALPHABETS[32]).when(size == 36, ALPHABETS[36]).otherwise(ALPHABETS[64])
     return F.transform(F.sequence(F.lit(1), F.length(folded)), lambda i: (F.call_function("instr", alphabet, F.substr(folded, i, F.lit(1))) - 1).cast("double"))
 
 
+def identifier_bits(token: Column, size: Column) -> Column:
+    """Minus the binary logarithm of the token's likelihood as an ordinary identifier."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substr(token, i, F.lit(1)))
+    # letter: 1 to 26, or 0; kind: letter, digit or separator
+    letter = lambda c: F.call_function("instr", F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(c))
+    seen = F.transform(chars, lambda c: F.struct(letter(c).alias("letter"), F.when(letter(c) > 0, 0).when(c.rlike("[0-9]"), 1).otherwise(2).alias("kind"), (c != F.lower(c)).alias("upper")))
+    before = F.concat(F.array(F.struct(F.lit(0).alias("letter"), F.lit(2).alias("kind"), F.lit(False).alias("upper"))), F.slice(seen, 1, F.size(seen) - 1))
+    bigrams = F.array(*(F.lit(int(COSTS[i : i + 2]) / 10) for i in range(0, len(COSTS), 2)))
+    classes = F.array(*(F.lit(c) for row in CLASS_COSTS for c in row))
+
+    def bits(a: Column, b: Column) -> Column:
+        within = F.when(b["kind"] == 0, bigrams[a["letter"] * 26 + b["letter"] - 1]).when(b["kind"] == 1, math.log2(10)).otherwise(2.0)
+        case = F.when((size != 64) | (b["kind"] != 0), 0.0).when(a["kind"] != 0, 1.0).when(a["upper"] == b["upper"], SWITCH_COSTS[0]).otherwise(SWITCH_COSTS[1])
+        return classes[a["kind"] * 3 + b["kind"]] + within + case
+
+    return F.aggregate(F.zip_with(before, seen, bits), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def battery(token: Column) -> Column:
-    """struct(random, p): whether no test rejects uniform randomness, and the p-value against an identifier."""
+    """struct(size, score): the alphabet, and minus the decimal logarithm of the p-value against an identifier."""
     size = encoding(token)
-    found = F.struct(token.alias("s"), size.cast("double").alias("k"), F.length(token).cast("double").alias("n"), digits(token, size).alias("d"))
+    found = F.struct(size.cast("double").alias("k"), F.length(token).cast("double").alias("n"), digits(token, size).alias("d"), identifier_bits(token, size).alias("bits"))
 
     def tests(x: Column) -> Column:
-        s, k, n, d = x["s"], x["k"], x["n"], x["d"]
+        k, n, d = x["k"], x["n"], x["d"]
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
         squares = total(F.transform(F.array_distinct(d), lambda c: F.pow(F.size(F.filter(d, lambda v: v == c)).cast("double"), F.lit(2.0))))
         chi = k / n * squares - n
@@ -92,14 +150,10 @@ def battery(token: Column) -> Column:
         mean, var = (k - 1) / 2, (k * k - 1) / 12
         serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / var
         z_serial = F.abs(serial) / F.sqrt(n - 1)
-        level = ALPHA / 3
-        random = (upper_tail(z_chi) >= level) & (2 * upper_tail(z_runs) >= level) & (2 * upper_tail(z_serial) >= level)
-        kinds = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substr(s, i, F.lit(1)))
-        of_class = F.transform(kinds, lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).otherwise(2))
-        changes = F.size(F.filter(F.zip_with(F.slice(of_class, 1, F.size(of_class) - 1), F.slice(of_class, 2, F.size(of_class) - 1), lambda a, b: a != b), lambda v: v)).cast("double")
-        expected = (n - 1) * CHANGES
-        z_changes = (changes - 0.5 - expected) / F.sqrt(expected * (1 - CHANGES))
-        return F.struct(random.alias("random"), F.least(F.greatest(upper_tail(z_changes), F.lit(1e-30)), F.lit(1.0)).alias("p"))
+        least = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
+        uniform = F.greatest(F.least(3 * least, F.lit(1.0)), F.lit(1e-300))
+        ratio = x["bits"] - n * F.log2(k) - math.log2(len(ALPHABETS))  # the alphabet was chosen by its characters
+        return F.struct(k.cast("int").alias("size"), F.greatest(ratio * math.log10(2) + F.log10(uniform), F.lit(0.0)).alias("score"))
 
     return F.element_at(F.transform(F.array(found), tests), 1)
 
@@ -121,35 +175,36 @@ def scan(docs: DataFrame) -> DataFrame:
     ), "secret-candidates")
 
 
-def thresholds(scanned: DataFrame) -> dict[int, int]:
-    """The least bin of -log10(p) that Benjamini-Hochberg accepts, by class of length."""
-    one = scanned.select(F.explode("candidates").alias("c")).select(F.col("c.length_class").alias("length_class"), _bin(F.col("c.test.p")).alias("bin"))
-    counts = one.groupBy("length_class", "bin").agg(F.count(F.lit(1)).alias("n"))  # at most classes x BINS rows
-    down = Window.partitionBy("length_class").orderBy(F.desc("bin"))
-    ranked = counts.withColumn("above", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy("length_class")))
+def thresholds(scanned: DataFrame) -> dict[tuple[int, int], int]:
+    """The least bin of -log10(p) that Benjamini-Hochberg accepts, by class of length and encoding."""
+    keys = ["length_class", "size"]
+    one = scanned.select(F.explode("candidates").alias("c")).select(F.col("c.length_class").alias("length_class"), F.col("c.test.size").alias("size"), _bin(F.col("c.test.score")).alias("bin"))
+    counts = one.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))  # at most classes x alphabets x BINS rows
+    down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
+    ranked = counts.withColumn("above", F.sum("n").over(down)).withColumn("m", F.sum("n").over(Window.partitionBy(*keys)))
     # A bin's largest p must be at most FDR x rank / m.
     passed = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") / 20) <= FDR * F.col("above") / F.col("m"))
-    return {r["length_class"]: r["bin"] for r in passed.groupBy("length_class").agg(F.min("bin").alias("bin")).collect()}
+    return {(r["length_class"], r["size"]): r["bin"] for r in passed.groupBy(*keys).agg(F.min("bin").alias("bin")).collect()}
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.floor(-F.log10(p) * 20), F.lit(BINS - 1)).cast("int")
+def _bin(score: Column) -> Column:
+    return F.least(F.floor(score * 20), F.lit(BINS - 1)).cast("int")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as doc_id and spans: structs (start, kind, end), kind an index of KINDS, in order."""
     scanned = scan(docs)
     found = thresholds(scanned)
-    accepted = F.filter("candidates", lambda c: c["test"]["random"] & F.coalesce(_bin(c["test"]["p"]) >= _least(c, found), F.lit(False)))
+    accepted = F.filter("candidates", lambda c: F.coalesce(_bin(c["test"]["score"]) >= _least(c, found), F.lit(False)))
     new = F.filter(accepted, lambda c: ~F.exists("found", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     as_spans = F.transform(new, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.select("doc_id", F.array_sort("found").alias("base"), F.array_sort(F.concat("found", as_spans)).alias("spans"))
 
 
-def _least(c: Column, found: dict[int, int]) -> Column:
+def _least(c: Column, found: dict[tuple[int, int], int]) -> Column:
     out = F.lit(None).cast("int")
-    for length_class, bin_ in found.items():
-        out = F.when(c["length_class"] == length_class, F.lit(bin_)).otherwise(out)
+    for (length_class, size), bin_ in found.items():
+        out = F.when((c["length_class"] == length_class) & (c["test"]["size"] == size), F.lit(bin_)).otherwise(out)
     return out
 
 
