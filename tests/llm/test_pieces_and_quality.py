@@ -93,6 +93,19 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert len(found) == 5 and all(r.byte_share > 0.5 and not r.kept and not r.base_failed for r in found)
 
 
+def test_verdict_depends_on_the_row_alone(spark):
+    """A third of poor rows does not switch the method off, nor do few rows of a language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels, "doc_id").select("doc_id", "text", "lang", "quality").filter("lang = 'en' and doc_id % 4 = 0")
+    poor = labelled.filter("quality = 0")
+    mixed = labelled.filter("quality = 1").select("doc_id", "text", "lang").union(poor.crossJoin(spark.range(5)).select("doc_id", "text", "lang"))
+    verdict = lambda d: {(r.doc_id, r.kept) for r in fertility.judge(fertility.measured(d, queries.BYTE_BPE, queries.PIECES)).filter("not base_failed").select("doc.doc_id", "kept").collect()}
+    ids = {r.doc_id for r in poor.collect()}
+    alone = verdict(poor.select("doc_id", "text", "lang"))
+    assert alone == {v for v in verdict(mixed) if v[0] in ids}
+    assert sum(not kept for _, kept in alone) >= 0.4 * len(alone) > 0
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, None, "c", 1) for i, t in enumerate(ODD)] + [(None, "a b c " * 300, "en", "c", 1)], "doc_id long, text string, lang string, kept string, n_words int")
     got = fertility.judge(fertility.measured(docs, queries.BYTE_BPE, queries.PIECES)).select("doc.doc_id", "n_words", "n_repeat_words", "kept", "script").collect()
