@@ -70,7 +70,6 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert docs.columns == columns
             assert {r.doc_id: r.text for r in rows} == texts and all(r.n_chars == len(r.text) for r in rows), name
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)

@@ -2,12 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tracemill.llm import packing, queries, token_frames
+from tracemill.llm.text_blocks import blocks
 from tracemill.llm.token_units import UnitEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,17 +18,27 @@ ODD = [None, "", " ", "  a", "a ", "a \n b", "don't  'll\t\x1c　x", "x<|endofte
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(PATH)  # as it is: its added token is found in texts
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-@given(st.lists(st.text(st.sampled_from(" \t\n ab1.'s\x1c日"), max_size=30), max_size=8))
-@settings(max_examples=150, deadline=None)
+PARTS = [" ", " ", "  ", "\t", "\n", "\u3000", "\x1c", "a", "word", "Éa", "ж", "日", "½", "Ა", "1", ".", ",)", "'s", "_", "<|endoftext|>", "<|", "|>"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=8))
+@settings(max_examples=300, deadline=None)
 def test_units_equal_whole_texts(texts):
-    enc = test_units_equal_whole_texts.__dict__.setdefault("enc", UnitEncoder(PATH, keep=5))
+    own = test_units_equal_whole_texts.__dict__
+    enc, plain = own.setdefault("enc", UnitEncoder(PATH, keep=5)), own.setdefault("plain", Tokenizer.from_file(PATH))
     for text, raw in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_blocks_are_bounded():
+    texts = pa.array([None, "", "a" * 50, "b" * 500, "c", *["d" * 9] * 40])
+    found = list(blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], "text", rows=7, most=60))
+    assert [t for b in found for t in b.column(0).to_pylist()] == texts.to_pylist()
+    assert all(b.num_rows == 1 or b.num_rows <= 7 and sum(len(t or "") for t in b.column(0).to_pylist()) <= 60 for b in found)
 
 
 def expected(rows, plain):
@@ -118,11 +130,21 @@ def test_packing_odd_rows(spark, plain):
 @settings(max_examples=200, deadline=None)
 def test_patterns_hold_every_piece(histogram):
     held = {}
-    for bin_, times in packing.patterns(histogram, 20):
+    found = packing.patterns(histogram, 20)
+    for bin_, times in found:
         assert sum(bin_) <= 20 and times > 0
         for x in bin_:
             held[x] = held.get(x, 0) + times
     assert held == histogram
+    bins, numbers = {}, {}
+    for length, low, last, times, first, at in packing.places(found):
+        for rank in range(low, last):
+            bins.setdefault(first + (rank - low) % times, []).append((at + (rank - low) // times * length, length))
+            numbers.setdefault(length, []).append(rank)
+    assert all(sorted(x) == list(range(histogram[k])) for k, x in numbers.items())
+    for own in bins.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
 
 
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 4), max_size=5), st.integers(0, 20))

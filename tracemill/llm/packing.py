@@ -15,6 +15,7 @@ pieces, the first piece taking the remainder.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,6 @@ from pyspark.sql.window import Window
 
 from tracemill.llm.shared import written
 
-STEP = 1024
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, k long"
 
 
@@ -33,24 +33,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     """Pieces of each document; k numbers the pieces of one length within the task."""
     from pyspark import TaskContext
 
+    from tracemill.llm.text_blocks import blocks
     from tracemill.llm.token_units import encoder
 
     enc, end = encoder(tokenizer_path), struct.pack("<I", end_id)
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
     names = ["doc_id", "piece", "start", "length", "ids", "part", "k"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            rows = batch.slice(at, STEP)
-            out = []
-            for doc_id, raw in zip(rows.column(0).to_pylist(), enc.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
-                raw += end
-                n = len(raw) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc_id, piece, a, b - a, raw[4 * a : 4 * b], part, int(seen[b - a])))
-                    seen[b - a] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+    for rows in blocks(batches, 1):
+        out = []
+        for doc_id, raw in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1)), strict=True):
+            raw += end
+            n = len(raw) // 4
+            cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+            for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                out.append((doc_id, piece, a, b - a, raw[4 * a : 4 * b], part, int(seen[b - a])))
+                seen[b - a] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -101,6 +100,26 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return out
 
 
+def places(found: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """One row a pattern and length in it: (length, low, last, times, first, at).
+
+    Pieces of the length numbered low to before last go into the bins numbered first to before
+    first + times, one after another from offset at on. After every pattern some length has fewer
+    pieces left than one bin can hold of it, so there are at most capacity x (1 + ln capacity)
+    patterns of at most sqrt(2 capacity) lengths each, whatever the number of pieces.
+    """
+    out, used, first = [], {}, 0
+    for bin_, times in found:
+        at = 0
+        for length, n in sorted(Counter(bin_).items(), reverse=True):
+            low = used.get(length, 0)
+            used[length] = low + n * times
+            out.append((length, low, used[length], times, first, at))
+            at += n * length
+        first += times
+    return out
+
+
 def cut_and_encode(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """The pieces of docs(doc_id, text) as a table in the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -122,27 +141,19 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     # At most capacity - 1 rows come to the driver.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
 
-    # One row for each place in a pattern: pieces of this length numbered [low, low + times) go there.
-    slots, used, first = [], dict.fromkeys(histogram, 0), 0
-    for bin_, times in patterns(histogram, capacity):
-        at = 0
-        for length in bin_:
-            slots.append((length, used[length], times, first, at))
-            used[length] += times
-            at += length
-        first += times
-    slot_table = spark.createDataFrame(slots, "length int, low long, times long, first long, at long")
-    by_length = slot_table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "times", "first", "at"))).alias("slots"))
+    slots = places(patterns(histogram, capacity))
+    slot_table = spark.createDataFrame(slots, "length int, low long, last long, times long, first long, at long")
+    by_length = slot_table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "last", "times", "first", "at"))).alias("slots"))
 
     ranked = short.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("k"))
-    found = ranked.join(F.broadcast(by_length), "length")  # fewer rows than capacity
-    slot = F.element_at(F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["low"] + s["times"])), 1)
-    placed = found.withColumn("slot", slot)
+    found = ranked.join(F.broadcast(by_length), "length")  # bounded by the capacity alone, see places
+    slot = F.element_at(F.filter("slots", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["last"])), 1)
+    placed = found.withColumn("slot", slot).withColumn("number", F.col("rank") - F.col("slot.low"))
     columns = [c for c in pieces.columns if c not in ("part", "k")]
     return placed.select(
         *columns,
-        (F.col("slot.first") + F.col("rank") - F.col("slot.low")).alias("sequence_id"),
-        F.col("slot.at").alias("offset"),
+        (F.col("slot.first") + F.col("number") % F.col("slot.times")).alias("sequence_id"),
+        F.expr("slot.at + (number div slot.times) * length").alias("offset"),
     ).unionByName(
         full.select(*columns, (F.shiftleft(F.col("part").cast("long") + 1, 40) + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )

@@ -39,7 +39,7 @@ SEEK_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_frames", "<u4")])
 ENTRY = np.dtype([("stored", "<u4"), ("content", "<u4"), ("checksum", "<u4")])
-STEP = 1024  # documents encoded at once
+READ_ROWS, READ_BYTES = 1024, 4 << 20  # documents and stored bytes read at once
 
 ENCODED = "doc_id long, order_key long, shard int, width int, frames array<binary>, contents array<int>, checksums array<long>"
 MANIFEST = "shard int, path string, width int, n_docs long, n_tokens long"
@@ -49,6 +49,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     import xxhash
     import zstandard
 
+    from tracemill.llm.text_blocks import blocks
     from tracemill.llm.token_units import encoder
 
     enc = encoder(tokenizer_path)
@@ -56,20 +57,17 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
     schema = pa.schema([("doc_id", pa.int64()), ("order_key", pa.int64()), ("shard", pa.int32()), ("width", pa.int32()), ("frames", pa.list_(pa.binary())), ("contents", pa.list_(pa.int32())), ("checksums", pa.list_(pa.int64()))])
     end = struct.pack("<I", end_id)
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            doc_ids = part.column(0).to_pylist()
-            rows = []
-            for doc_id, raw in zip(doc_ids, enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                raw += end
-                ids = np.frombuffer(raw, "<u4")
-                blocks = [ids[i : i + FRAME_IDS].astype(f"<u{width}").tobytes() for i in range(0, len(ids), FRAME_IDS)]
-                rows.append((
-                    doc_id, zlib.crc32(raw), 0 if doc_id is None else bisect_left(bounds, doc_id), width,
-                    [squeeze(b) for b in blocks], [len(b) for b in blocks], [xxhash.xxh64_intdigest(b) & 0xFFFFFFFF for b in blocks],
-                ))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    for part in blocks(batches, 1):
+        rows = []
+        for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
+            raw += end
+            ids = np.frombuffer(raw, "<u4").astype(f"<u{width}")
+            frames = [ids[i : i + FRAME_IDS].tobytes() for i in range(0, len(ids), FRAME_IDS)]
+            rows.append((
+                doc_id, zlib.crc32(raw), 0 if doc_id is None else bisect_left(bounds, doc_id), width,
+                [squeeze(b) for b in frames], [len(b) for b in frames], [xxhash.xxh64_intdigest(b) & 0xFFFFFFFF for b in frames],
+            ))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _write(batches: Iterator[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
@@ -156,11 +154,26 @@ class FrameFile:
 
     def ids(self, d: int) -> bytes:
         """Ids of the d-th document as little-endian unsigned 32-bit integers."""
-        a, b = int(self.first[d]), int(self.first[d + 1])
-        span = self._at(int(self.begins[a]), int(self.begins[b] - self.begins[a]))
-        cuts = self.begins[a : b + 1] - self.begins[a]
-        raw = b"".join(self.frame(k, span[cuts[k - a] : cuts[k - a + 1]]) for k in range(a, b))
-        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+        return self.run(d, d + 1)[0]
+
+    def run(self, first: int, last: int) -> list[bytes]:
+        """Ids of the documents from first to before last, whose frames are read at once."""
+        bounds = self.first[first : last + 1].tolist()
+        begins = self.begins[bounds[0] : bounds[-1] + 1].tolist()
+        span, out = self._at(begins[0], begins[-1] - begins[0]), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            raw = b"".join([self.frame(k, span[begins[k - bounds[0]] - begins[0] : begins[k - bounds[0] + 1] - begins[0]]) for k in range(a, b)])
+            out.append(raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+        return out
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """All documents in runs of bounded size."""
+        at, begins = 0, self.begins[self.first]
+        while at < len(self.index):
+            stop = int(np.searchsorted(begins, begins[at] + READ_BYTES, "right")) - 1
+            stop = min(max(stop, at + 1), at + READ_ROWS, len(self.index))
+            yield at, stop
+            at = stop
 
     def find(self, doc_id: int) -> list[int]:
         """Positions of a document by binary search in the index."""
@@ -174,9 +187,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             file = FrameFile(row["path"], row["width"])
             start = row["start"]
-            for at in range(0, len(file.index), STEP):
-                part = file.index[at : at + STEP]
-                ids = [file.ids(at + i) for i in range(len(part))]
+            for at, stop in file.runs():
+                part, ids = file.index[at:stop], file.run(at, stop)
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = start + np.concatenate([[0], np.cumsum(counts)])
                 start = int(starts[-1])
