@@ -2,14 +2,13 @@
 
 Base rules need only the text. The method adds tokeniser fertility: characters per token under a
 byte-level vocabulary, share of byte-fallback tokens and entropy of the tokens under a vocabulary
-with byte fallback. Each measure is compared with a band of its language: middle plus or minus
-WIDTH spreads, wider by sqrt(1 + SHORT / n_tokens) since the measures of short texts spread more. The
-bands of BANDS are fixed, so a row's verdict depends on the row alone. They were fitted once, on the
-documents of sf0.1 that are labelled good and pass the base rules: median and half the distance between
-the 16th and the 84th percentile, at least FLOOR; the entropy's middle is a line over log2(n_tokens). A
-Latin text of no given or no known language must lie in the bands of one of these languages. A language
-or another script that was not fitted takes a band from the judged table, over its documents that pass
-the base rules, if they are MIN_DOCS at least, and else none.
+with byte fallback. Each measure is compared with a band: middle plus or minus WIDTH spreads, wider
+by sqrt(1 + SHORT / n_tokens), since the measures of short texts spread more. Bands are fixed
+parameters, so a row's verdict depends on the row alone, and every text gets one. BANDS holds those
+of languages, fitted once by ``fit_bands`` on the documents of sf0.1 that are labelled good and pass
+the base rules. A Latin text of no given or no known language must lie in the bands of one of these
+languages. For other scripts, and texts without letters, there are no labels: their bands are wide,
+assumed from the bytes of a letter, and reject what no writing in that script gives.
 
 Nulls: a null text is an empty one and fails the base rules; a null doc_id is kept as it is;
 repeated rows are judged alike. The result carries every column of the input in the struct ``doc``,
@@ -25,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.shared import written
+from tracemill.llm.text_blocks import blocks, split_at_white_space, texts_of
+from tracemill.llm.token_units import MARKS, UnitEncoder
 from tracemill.llm.worker_cache import hold
 
 WIDTH = 4.0
 SHORT = 300.0
-MIN_DOCS = 100
 FLOOR = {"chars_per_token": 0.03, "byte_share": 0.02, "entropy": 0.1}
 #: By language and measure: middle, its slope over log2(n_tokens), spread.
 BANDS = {
@@ -43,10 +43,15 @@ BANDS = {
     "es": {"chars_per_token": (1.768, 0.0, 0.034), "byte_share": (0.0, 0.0, 0.02), "entropy": (4.826, 0.174, 0.107)},
     "fr": {"chars_per_token": (1.851, 0.0, 0.036), "byte_share": (0.0, 0.0, 0.02), "entropy": (5.023, 0.145, 0.1)},
 }
-BROADCAST_ROWS = 10_000
-KEEP_WORDS = 300_000
+#: Likewise for other scripts, assumed, by the UTF-8 bytes of a letter: from a token a byte to whole words, any byte share.
+SCRIPT_BANDS = {
+    2: {"chars_per_token": (1.5, 0.0, 0.28), "byte_share": (0.5, 0.0, 0.125), "entropy": (6.0, 0.0, 0.6)},
+    3: {"chars_per_token": (1.1, 0.0, 0.21), "byte_share": (0.5, 0.0, 0.125), "entropy": (6.0, 0.0, 0.6)},
+}
+TWO_BYTES = ["greek", "cyrillic", "armenian", "hebrew", "arabic"]
+KEEP_WORDS = 700_000
 KEEP_CHARS = 64
-SYMBOLS = str.maketrans("", "", "#*$%&|<>")
+SYMBOLS = b"#*$%&|<>"
 LETTERS = re.compile(r"[^\W\d_]")
 #: First code point of a block, by script; Latin is what comes before them.
 BLOCKS = [(0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0x1100, "hangul"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2C00, "other"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
@@ -55,87 +60,138 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 MEASURES = ["chars_per_token", "byte_share", "entropy"]
 
 
-def script_of(text: str) -> str:
-    """The script of most letters; "none" without letters."""
-    points = Counter(LETTERS.findall(text))
+def letters_of(text: str) -> Counter:
+    """Number of letters by script."""
     found: Counter = Counter()
-    for c, n in points.items():
+    for c, n in Counter(LETTERS.findall(text)).items():
         name = "latin"
         for low, script in BLOCKS:
             if ord(c) < low:
                 break
             name = script
         found[name] += n
+    return found
+
+
+def main_script(found: Counter) -> str:
+    """The script of most letters; "none" without letters."""
     return max(found, key=lambda s: (found[s], s), default="none")
 
 
-def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    counts = Counter(windows) if len(set(windows)) < len(windows) else {}
-    covered: set[int] = set()
-    for i, w in enumerate(windows) if counts else ():
-        if counts[w] > 1:
-            covered.update((i, i + 1, i + 2))
-    chars = sum(map(len, text.split(" "))) - sum(map(text.count, "\t\n\r\x0b\x0c"))
-    return len(words), chars, len(text) - len(text.translate(SYMBOLS)), len(lines) - len(set(lines)), len(covered)
+def repeated_words(windows: np.ndarray) -> int:
+    """Words of a text in three-word windows that occur twice or more, of the windows' codes in order."""
+    ordered = np.sort(windows)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    twice = np.zeros(len(windows) + 2, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    twice[2:] |= twice[1:-1] | twice[:-2]
+    twice[1] |= twice[0]
+    return int(twice.sum())
+
+
+def window_codes(order: np.ndarray, distinct: int) -> np.ndarray:
+    """A code of every three neighbouring words, of numbers below distinct."""
+    order = order.astype(np.int64)
+    if distinct < 1 << 21:
+        return (order[:-2] * distinct + order[1:-1]) * distinct + order[2:]
+    pairs = np.unique(order[:-1] * distinct + order[1:], return_inverse=True)[1]
+    return pairs[:-1] * distinct + order[2:]
+
+
+def repeated_lines(raw: bytes) -> int:
+    """Lines with a word that are equal to an earlier one."""
+    if b"\n" not in raw:
+        return 0
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    return len(lines) - len(set(lines))
 
 
 class Fertility:
-    """Token counts of words under both vocabularies, each distinct word encoded once per worker."""
+    """What both vocabularies make of words, each distinct word encoded once per worker."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.bpe = Tokenizer.from_file(byte_path)
-        self.bpe.encode_special_tokens = True
+        self.units = UnitEncoder(byte_path)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.bytes = {i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i)}
-        self.known: dict[bytes, tuple[int, int, bytes]] = {}
-
-    def measure(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float, float]]:
-        """Per text: piece tokens, byte-fallback tokens, characters per token, byte share, entropy."""
-        distinct = set().union(*texts)
+        size = self.pieces.get_piece_size()
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(size)])
+        #: By word: tokens of the byte-level vocabulary, Latin letters, ids of pieces.
+        self.known: dict[str, tuple[int, int, bytes]] = {"": (0, 0, b"")}
+        self.others: dict[str, Counter] = {}  # letters by script of words that hold others
+
+    def _learn(self, words: list[str]) -> dict[str, tuple]:
+        found = {}
+        for word, n, ids in zip(words, self.units.sizes(words), self.pieces.encode(words, num_threads=1), strict=True):
+            bare = word.rstrip(MARKS)
+            if not bare or bare.isalpha() and (bare.isascii() or max(bare) < "\u0370"):
+                latin = len(bare)
+            else:
+                letters = letters_of(word)
+                latin = letters.pop("latin", 0)
+                if letters:
+                    self.others[word] = letters
+            found[word] = (n, latin, array(self.kind, ids).tobytes())
+        return found
+
+    def measure(self, texts: pa.Array) -> list[tuple]:
+        """Per text the values of COUNTS and MEASURES, and the script."""
+        words = split_at_white_space(texts)
+        distinct = words.distinct
         if len(self.known) + len(distinct) > KEEP_WORDS:
-            self.known = {}
-        missing = list(distinct - self.known.keys())
-        as_text = [w.decode() for w in missing]
-        low = self.bytes
-        counts = [len(e) for e in self.bpe.encode_batch_fast([" " + w for w in as_text], add_special_tokens=False)]
-        for word, n, ids in zip(missing, counts, self.pieces.encode(as_text, num_threads=1), strict=True):
-            self.known[word] = (n, sum(i in low for i in ids), array("H", ids).tobytes())
-        get, out = self.known.__getitem__, []
-        for words in texts:
-            found = list(map(get, words))
-            ids = np.frombuffer(b"".join([x[2] for x in found]), np.uint16)
-            n_bpe, n_bytes, n = sum([x[0] for x in found]), sum([x[1] for x in found]), len(ids)
-            p = np.bincount(ids)
-            p = p[p > 0] / max(n, 1)
-            chars = len(b"".join(words).decode())
-            out.append((n, n_bytes, chars / n_bpe if n_bpe else 0.0, n_bytes / n if n else 0.0, float(-(p * np.log2(p)).sum()) + 0.0))
-        for word in missing:
-            if len(word) > KEEP_CHARS:
-                self.known.pop(word, None)
+            self.known, self.others = {"": self.known[""]}, {}
+        own = list(map(self.known.get, distinct))
+        missing = [i for i, x in enumerate(own) if x is None]
+        new = self._learn([distinct[i] for i in missing])
+        for i in missing:
+            own[i] = new[distinct[i]]
+        other = {i: self.others[w] for i, w in enumerate(distinct) if w in self.others} if self.others else {}
+        self.known.update(new)
+        for w in new:
+            if len(w) > KEEP_CHARS:
+                del self.known[w]
+                self.others.pop(w, None)
+
+        # Empty words at the ends of texts are left out of all counts.
+        full = (words.lengths > 0)[words.order]
+        order = words.order[full]
+        bounds = np.concatenate([[0], np.cumsum(full)])[words.bounds]
+        n_bpe = np.fromiter((x[0] for x in own), np.int64, len(own))
+        n_chars = words.lengths
+        latin = np.fromiter((x[1] for x in own), np.int64, len(own))
+        mixed = np.isin(np.arange(len(own)), list(other))
+        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[order])])[bounds]).tolist()
+        sums = list(zip(total(n_bpe), total(n_chars), total(latin), total(mixed), strict=True))
+        windows = window_codes(order, len(distinct)) if len(order) > 2 else order[:0]
+        numbers, bounds, ids_of, out = order.tolist(), bounds.tolist(), [x[2] for x in own].__getitem__, []
+        for raw, a, b, (bpe, chars, of_latin, of_mixed) in zip(texts.cast(pa.binary()).to_pylist(), bounds, bounds[1:], sums, strict=False):
+            ids = np.frombuffer(b"".join(map(ids_of, numbers[a:b])), self.kind)
+            n, n_bytes = len(ids), int(np.count_nonzero(self.is_byte[ids]))
+            ordered = np.sort(ids)
+            ends = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]), n - 1) if n else ordered
+            p = np.diff(ends, prepend=-1) / max(n, 1)
+            letters = Counter({"latin": of_latin} if of_latin else {})
+            if of_mixed:
+                for k, times in Counter(k for k in numbers[a:b] if k in other).items():
+                    letters.update({s: c * times for s, c in other[k].items()})
+            out.append((
+                b - a, chars, len(raw) - len(raw.translate(None, SYMBOLS)), repeated_lines(raw), repeated_words(windows[a : b - 2]) if b - a > 2 else 0, n, n_bytes,
+                chars / bpe if bpe else 0.0, n_bytes / n if n else 0.0, float(-(p * np.log2(p)).sum()) + 0.0, main_script(letters),
+            ))
         return out
 
 
-def _measure(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, step: int = 256) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str) -> Iterator[pa.RecordBatch]:
     fertility = hold(("fertility", byte_path, piece_path), lambda: Fertility(byte_path, piece_path))
-    for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            doc = part.column(0)
-            texts = [t or "" for t in doc.field("text").to_pylist()] if not doc.null_count else [(d or {}).get("text") or "" for d in doc.to_pylist()]
-            words = [t.encode().split() for t in texts]
-            rows = [(*base_counts(t, w), *m[:2], *m[2:], script_of(t)) for t, w, m in zip(texts, words, fertility.measure(words), strict=True)]
-            columns = list(zip(*rows, strict=True))
-            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.float64()) for c in columns[7:10]] + [pa.array(columns[10], pa.string())]
-            yield pa.RecordBatch.from_arrays([doc, *arrays], names=["doc", *COUNTS, *MEASURES, "script"])
+    text = lambda batch: texts_of(pc.struct_field(batch.column(0), "text"))
+    kinds = [*[pa.int64()] * len(COUNTS), *[pa.float64()] * len(MEASURES), pa.string()]
+    for part in blocks(batches, text):
+        columns = zip(*fertility.measure(text(part)), strict=True)
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", *COUNTS, *MEASURES, "script"])
 
 
 def measured(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -145,49 +201,42 @@ def measured(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return source.mapInArrow(lambda it: _measure(it, byte_path, piece_path), schema)
 
 
-def _bands(rows: DataFrame, by: str) -> DataFrame:
-    """Median and half the spread of each measure, by language or script."""
-    found = rows.groupBy(F.col(by).alias(f"band_{by}")).agg(
-        F.count(F.lit(1)).alias("n"), *(F.percentile_approx(m, [0.16, 0.5, 0.84], 10_000).alias(m) for m in MEASURES)
-    ).filter(F.col("n") >= MIN_DOCS)
-    return found.select(
-        f"band_{by}",
-        F.struct(*(
-            F.struct(F.col(m)[1].alias("middle"), F.greatest((F.col(m)[2] - F.col(m)[0]) / 2, F.lit(FLOOR[m])).alias("spread")).alias(m) for m in MEASURES
-        )).alias(f"{by}_band"),
-    )
+def fit_bands(rows: DataFrame) -> dict[str, dict[str, tuple[float, float, float]]]:
+    """Bands by language of measured rows that are known to be good; one row a language comes to the driver.
 
+    A measure's middle is its median and its spread half the distance between the 16th and the 84th
+    percentile, FLOOR at least; the entropy's middle is a line over log2(n_tokens).
+    """
+    good = rows.filter(~failed() & F.col("doc.lang").isNotNull()).select(F.col("doc.lang").alias("lang"), "n_tokens", *MEASURES).withColumn("n_log", F.log2("n_tokens"))
+    slopes = good.groupBy("lang").agg(F.coalesce(F.regr_slope("entropy", "n_log"), F.lit(0.0)).alias("slope"))
+    rest = good.join(slopes, "lang").withColumn("entropy", F.col("entropy") - F.col("slope") * F.col("n_log"))
+    found = rest.groupBy("lang").agg(F.first("slope").alias("slope"), *(F.percentile_approx(m, [0.16, 0.5, 0.84], 10_000).alias(m) for m in MEASURES)).collect()
+    return {r["lang"]: {m: (r[m][1], r["slope"] if m == "entropy" else 0.0, max((r[m][2] - r[m][0]) / 2, FLOOR[m])) for m in MEASURES} for r in found}
 
-def _inside_fixed(lang: str) -> Column:
-    """Whether a row lies in the fixed bands of a language."""
+
+def _inside(band: dict[str, tuple[float, float, float]]) -> Column:
+    """Whether a row lies in a band."""
     n = F.greatest("n_tokens", F.lit(1))
     width = WIDTH * F.sqrt(1 + SHORT / n)
     inside = F.lit(True)
-    for m, (middle, slope, spread) in BANDS[lang].items():
+    for m, (middle, slope, spread) in band.items():
         inside &= F.abs(F.col(m) - (middle + slope * F.log2(n))) <= width * spread
     return inside
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """measured rows with base_failed and kept."""
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    has_lang = "lang" in rows.schema["doc"].dataType.names
-    rows = written(rows.withColumn("lang", F.col("doc.lang").cast("string") if has_lang else F.lit(None).cast("string")), "fertility")
-    fitted = F.coalesce(F.col("lang").isin(*BANDS), F.lit(False))
-    sound = rows.filter(~F.col("base_failed") & ~fitted).select("lang", "script", *MEASURES)
-    out = rows
-    for by, bands in (("lang", written(_bands(sound.filter("lang is not null"), "lang"), "lang-bands")), ("script", written(_bands(sound.filter("script != 'latin'"), "script"), "script-bands"))):
-        small = bands.count() <= BROADCAST_ROWS
-        out = out.join(F.broadcast(bands) if small else bands, F.col(by) == F.col(f"band_{by}"), "left").drop(f"band_{by}")
-    band = F.coalesce("lang_band", "script_band")
-    width = WIDTH * F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
-    of_table = F.lit(True)
-    for m in MEASURES:
-        of_table &= F.coalesce(F.abs(F.col(m) - band[m]["middle"]) <= width * band[m]["spread"], F.lit(True))
+def failed() -> Column:
+    """Whether a measured row fails the base rules."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def judge(rows: DataFrame, bands: dict[str, dict[str, tuple[float, float, float]]] | None = None) -> DataFrame:
+    """measured rows with base_failed and kept. bands: by language, BANDS if none are given."""
+    bands = BANDS if bands is None else bands
+    lang = F.col("doc.lang").cast("string") if "lang" in rows.schema["doc"].dataType.names else F.lit(None).cast("string")
     any_language = F.lit(False)
-    for lang in BANDS:
-        any_language |= _inside_fixed(lang)
-    inside = F.when(F.col("lang_band").isNull() & (F.col("script") == "latin"), any_language).otherwise(of_table)
-    for lang in BANDS:
-        inside = F.when(F.col("lang") == lang, _inside_fixed(lang)).otherwise(inside)
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("lang_band", "script_band", "lang")
+    for band in bands.values():
+        any_language |= _inside(band)
+    inside = F.when(F.col("script") == "latin", any_language).when(F.col("script").isin(*TWO_BYTES), _inside(SCRIPT_BANDS[2])).otherwise(_inside(SCRIPT_BANDS[3]))
+    for name, band in bands.items():
+        inside = F.when(lang == name, _inside(band)).otherwise(inside)
+    return rows.withColumn("base_failed", failed()).withColumn("kept", ~failed() & inside)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,11 @@ BLOCK_ROWS = 2048
 BLOCK_BYTES = 8 << 20
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: int | str, rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: int | str | Callable[[pa.RecordBatch], pa.Array], rows: int = BLOCK_ROWS, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows, and of at most so many bytes in the column unless one row has more."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = column(batch) if callable(column) else batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
@@ -41,6 +42,11 @@ class Words:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         self.bounds: np.ndarray = bounds - bounds[0]
 
+    @property
+    def lengths(self) -> np.ndarray:
+        """Code points of each distinct word."""
+        return pc.utf8_length(self.values).to_numpy(zero_copy_only=False).astype(np.int64)
+
     @property
     def edged(self) -> np.ndarray:
         """Which distinct words are empty or have white space at an end."""

@@ -119,6 +119,11 @@ class UnitEncoder:
             found[u] = (found.get(word) or known[word]) + self.marks[mark]
         return found
 
+    def sizes(self, units: list[str]) -> list[int]:
+        """Number of ids of " " + unit for distinct units without spaces; nothing is held."""
+        found = self._encode_units(units) if self.by_unit else dict(zip(units, self._encode([" " + u for u in units]), strict=True))
+        return [len(found[u]) // 4 for u in units]
+
     def _lookup(self, units: list[str]) -> list[bytes]:
         """Ids of " " + unit for distinct units, from what is held where that is possible."""
         if len(self.after_space) + len(units) > self.keep:
