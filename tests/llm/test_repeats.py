@@ -1,7 +1,10 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tracemill.llm import queries, sparse_suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,11 +65,36 @@ def test_planted_passages(spark):
             assert got[d] == [want[k]], d
     assert len(got[104]) == 2
     # After the cut every passage is there once, and what does not repeat stays.
-    left = {x.doc_id: x.text for x in sparse_suffix.without_repeats(docs.filter("doc_id < 104").drop("dk", "spans")).collect()}
+    left = {x.doc_id: x.text for x in sparse_suffix.without_repeats(docs.filter("doc_id < 104").withColumn("repeat_spans", F.lit(7))).collect()}
     assert left[100] == rows[60][1]
     for p in passages:
         assert sum(" ".join(p) in " ".join((t or "").split()) for t in left.values()) == 1
     for d, t in rows[:60]:
         free = [w for w in t.split() if not any(w in p for p in passages)]
         assert [w for w in left.get(d, "").split() if not any(w in p for p in passages)] == free
-    assert sparse_suffix.repeated_passages(docs.limit(0)).count() == 0 and sparse_suffix.without_repeats(docs.limit(0).drop("dk")).count() == 0
+    assert sparse_suffix.repeated_passages(docs.limit(0)).count() == 0 and sparse_suffix.without_repeats(docs.limit(0)).count() == 0
+    kept = sparse_suffix.without_repeats(docs.filter("doc_id < 3").withColumn("repeat_spans", F.lit(7)))
+    assert kept.columns == ["doc_id", "text", "spans", "dk", "repeat_spans"] and {(r.spans, r.dk, r.repeat_spans) for r in kept.collect()} == {("x", 1, 7)}
+
+
+def test_hashes_are_those_of_the_words():
+    r = random.Random(3)
+    words = [r.choice("abcdef") * r.randint(1, 2) for _ in range(400)]
+    codes = sparse_suffix.word_codes(" ".join(words).encode())
+    grams, windows = sparse_suffix.hashes_of(codes)
+    for found, n in ((grams, sparse_suffix.SEED), (windows, sparse_suffix.LEAST)):
+        assert len(found) == len(words) - n + 1
+        by_hash = {}
+        for i, h in enumerate(found.tolist()):
+            by_hash.setdefault(h, set()).add(tuple(words[i : i + n]))
+        assert all(len(x) == 1 for x in by_hash.values())
+        again = sparse_suffix.hashes_of(sparse_suffix.word_codes((" ".join(["x", *words[7:]])).encode()))[n == sparse_suffix.LEAST]
+        assert again[1:].tolist() == found[7:].tolist()
+
+
+def test_words_of_equal_crc_are_unlike(spark):
+    """Two passages that differ in one word of the same CRC-32 do not repeat."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    around = make(random.Random(8), 60)
+    rows = [(i, " ".join([*around[:30], w, *around[30:]])) for i, w in enumerate(["plumless", "buckeroo"])]
+    assert all(not r.spans for r in sparse_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())

@@ -3,26 +3,27 @@
 A text is its sequence of words. Suffixes are kept only at minimiser positions: of every
 LEAST - SEED + 1 neighbouring SEED-word grams the one with the least hash, the first of equals. A
 passage of LEAST or more words that occurs twice holds such a gram at the same place both times.
-Suffixes whose gram occurs once end there. The others carry the words around the gram, as far as a
-window of LEAST words can reach; equal surroundings meet in one entry with a count, by partial
-aggregation, so that copies in any number are one entry. The entries are sorted as suffixes over all
-tasks and compared with their neighbours: in a sorted list the longest match to the right of any
-other entry is that of a neighbour, which bounds how far a match can reach. Windows of LEAST words
-within that bound are extended to the left and right and verified exactly, by meeting the windows of
-other entries; each window belongs to its own least gram, so it is looked at once. Of the places of
-a window the least (doc_id, position) stays. A word goes if a window over it has an earlier place;
-that place is strictly earlier, so one copy of every word is left.
-
-Words are compared by their CRC-32, grams by a 64-bit hash of those. A text with fewer than LEAST
-words has no passage. Nulls: a null text is an empty one. Rows with the same doc_id and text count
-as one row with one decision; a null doc_id is the least.
+Suffixes whose gram occurs once end there. The others carry the words to the right of the gram and
+the windows of LEAST words around it that have it as their least gram, as far as any of them
+reaches; equal surroundings meet in one entry with a count, by partial aggregation, so that copies in
+any number are one entry. The entries are sorted as suffixes over all tasks and compared with their
+neighbours: in a sorted list the longest match to the right of any other entry is that of a
+neighbour, which bounds how far a match can reach. The windows within that bound, extended to the
+left and right, meet the windows of other entries; each window belongs to its own least gram, so it
+is looked at once. Of the places of a window the least (doc_id, position) stays. A word goes if a
+window over it has an earlier place; that place is strictly earlier, so one copy of every word is left.
+
+What decides that two windows are equal is 128 bits: a 64-bit hash of the gram and another of the
+whole window, both of the words' 64-bit XXH3. Among 10^12 unlike windows the chance of any false match
+is below 10^-14; of two windows that differ in a single word it is 2^-63. The sort only prunes.
+
+A text with fewer than LEAST words has no passage. Nulls: a null text is an empty one. Rows with the
+same doc_id and text count as one row with one decision; a null doc_id is the least.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +31,50 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest
 
 from tracemill.llm.shared import discard, partitions, written
+from tracemill.llm.text_blocks import blocks
 from tracemill.llm.worker_cache import release
 
 LEAST = 50
 SEED = 25
-SIDE = LEAST - SEED  # words carried on either side of a gram
-BASE = np.uint64(0x9E3779B97F4A7C15)
-MIX = np.uint64(0xFF51AFD7ED558CCD)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-STEP = 256
+SIDE = LEAST - SEED  # words of a window on the sides of its gram
+BASE = 0x9E3779B97F4A7C15
+ROWS, BYTES = 256, 2 << 20  # texts at once
 
 
-def word_codes(text: str) -> np.ndarray:
-    words = text.encode().split()
-    return np.fromiter(map(crc32, words), np.uint32, len(words))
+def word_codes(raw: bytes) -> np.ndarray:
+    words = raw.split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every SEED-word gram."""
-    with np.errstate(over="ignore"):
-        x = (codes.astype(np.uint64) + np.uint64(1)) * MIX
-        x ^= x >> np.uint64(33)
-        out = np.zeros(max(len(x) - SEED + 1, 0), np.uint64)
-        for i in range(SEED):
-            out = out * BASE + x[i : i + len(out)]
-        out ^= out >> np.uint64(32)
-        out *= MIX
-        return out ^ out >> np.uint64(29)
+def _mixed(x: np.ndarray, factor: int, shift: int) -> np.ndarray:
+    x = x ^ x >> np.uint64(32)
+    x *= np.uint64(factor)
+    return x ^ x >> np.uint64(shift)
+
+
+def _rolled(codes: np.ndarray, n: int) -> np.ndarray:
+    """The polynomial of every n neighbouring codes, put together of those of powers of two."""
+    power = lambda k: np.uint64(pow(BASE, k, 1 << 64))
+    out, size, part, k = np.zeros(len(codes) + 1, np.uint64), 0, codes, 1
+    while True:
+        if n & k:
+            length = max(len(codes) - size - k + 1, 0)
+            out, size = out[:length] * power(k) + part[size : size + length], size + k
+        if 2 * k > n:
+            return out
+        length = max(len(part) - k, 0)
+        part, k = part[:length] * power(k) + part[k:], 2 * k
+
+
+def hashes_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every SEED-word gram and of every window of LEAST words."""
+    grams = _rolled(codes, SEED)
+    length = max(len(codes) - LEAST + 1, 0)
+    windows = grams[:length] * np.uint64(pow(BASE, SIDE, 1 << 64)) + grams[SEED : SEED + length]
+    return _mixed(grams, 0xFF51AFD7ED558CCD, 29), _mixed(windows, 0xC4CEB9FE1A85EC53, 31)
 
 
 def owners(hashes: np.ndarray) -> np.ndarray:
@@ -81,18 +96,16 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            n, pos, grams = [], [], []
-            for text in part.column("text").to_pylist():
-                codes = word_codes(text or "")
-                hashes = gram_hashes(codes)
-                own = minimisers(hashes)
-                n.append(len(codes))
-                pos.append(own.astype(np.int32))
-                grams.append(hashes[own].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dk"), pa.array(n, pa.int32()), pa.array(pos, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "dk", "n_words", "pos", "gram"])
+    for part in blocks(batches, "text", ROWS, BYTES):
+        n, pos, grams = [], [], []
+        for raw in part.column("text").cast(pa.binary()).to_pylist():
+            codes = word_codes(raw or b"")
+            hashes = _mixed(_rolled(codes, SEED), 0xFF51AFD7ED558CCD, 29)
+            own = minimisers(hashes)
+            n.append(len(codes))
+            pos.append(own.astype(np.int32))
+            grams.append(hashes[own].view(np.int64))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dk"), pa.array(n, pa.int32()), pa.array(pos, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "dk", "n_words", "pos", "gram"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -106,29 +119,30 @@ def suffixes(rows: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_anchored, "doc_id long, dk long, n_words int, pos array<int>, gram array<long>"), "suffixes")
 
 
+SURROUNDED = "doc_id long, dk long, pos int, gram long, least int, right binary, windows array<long>"
+
+
 def _surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            out = []
-            for row in batch.slice(at, 64).to_pylist():
-                codes = word_codes(row["text"] or "")
-                hashes = gram_hashes(codes)
-                flat = codes.astype(">u4").tobytes()
-                back = codes[::-1].astype(">u4").tobytes()
-                n, owner, pos = len(codes), owners(hashes), np.array(row["pos"])
-                first, last = (pos - np.searchsorted(owner, pos, "left")).tolist(), (pos + 1 - np.searchsorted(owner, pos, "right")).tolist()
-                for p, most, least in zip(row["pos"], first, last, strict=True):
-                    left = back[4 * (n - p) : 4 * min(n - p + SIDE, n)]
-                    right = flat[4 * (p + SEED) : 4 * (p + SEED + SIDE)]
-                    out.append((row["doc_id"], row["dk"], p, int(hashes[p].view(np.int64)), left, right, least, most))
-            yield _batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()], ["doc_id", "dk", "pos", "gram", "left", "right", "least", "most"])
-
-
-def _common(a: dict, b: dict) -> int:
-    """Words that two entries have alike after the gram; -1 if the grams differ."""
-    x, y = a["right"], b["right"]
-    if a["gram"] != b["gram"]:
-        return -1
+    """Each shared gram of a text with the windows that it is the least gram of. A window begins low
+    words before its gram; windows[0] is that of low = least, the following begin farther left."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    for part in blocks(batches, "text", ROWS // 4, BYTES):
+        out = []
+        for doc_id, dk, raw, pos in zip(*(part.column(c).to_pylist() for c in ("doc_id", "dk")), part.column("text").cast(pa.binary()).to_pylist(), part.column("pos").to_pylist(), strict=True):
+            codes = word_codes(raw or b"")
+            grams, windows = hashes_of(codes)
+            flat = codes.astype(">u4").tobytes()
+            owner, pos = owners(grams), np.array(pos)
+            begin, end = np.searchsorted(owner, pos, "left"), np.searchsorted(owner, pos, "right")
+            least, own = (pos + 1 - end).tolist(), grams[pos].view(np.int64).tolist()
+            backward = windows[::-1].view(np.int64)
+            for p, a, b, low, gram in zip(pos.tolist(), (len(windows) - end).tolist(), (len(windows) - begin).tolist(), least, own, strict=True):
+                out.append((doc_id, dk, p, gram, low, flat[4 * (p + SEED) : 4 * (p + SEED + SIDE - low)], backward[a:b]))
+        yield _batch(out, kinds, SURROUNDED)
+
+
+def _alike(x: bytes, y: bytes) -> int:
+    """Words that two sides have alike from their beginning."""
     n = min(len(x), len(y))
     if x[:n] == y[:n]:
         return n // 4
@@ -138,19 +152,12 @@ def _common(a: dict, b: dict) -> int:
     return low // 4
 
 
-def _window(e: dict, low: int) -> int:
-    """A signed hash of the window that begins low words before the entry's gram."""
-    words = e["left"][: 4 * low] + bytes([low]) + e["right"][: 4 * (SIDE - low)]
-    h = xxh64_intdigest(words, e["gram"] & 0xFFFFFFFFFFFFFFFF)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], kinds: list, schema: str) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
 
-WINDOW = "window long, entry long, low int, n long, doc_id long, dk long, pos int"
+WINDOW = "gram long, window long, entry long, low int, n int, doc_id long, dk long, pos int"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,26 +165,29 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The first and the last entry of a task have a neighbour in another task, so nothing bounds them.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = WINDOW.replace(",", "").split()[::2]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+    names = ["gram", "right", "windows", "entry", "least", "n", "doc_id", "dk", "pos"]
 
-    def windows(e: dict, bound: int) -> list[tuple]:
-        bound = SIDE if e["n"] > 1 else bound
-        return [(_window(e, low), e["entry"], low, e["n"], e["doc_id"], e["dk"], e["pos"]) for low in range(max(e["least"], SIDE - bound), e["most"] + 1)] if bound >= 0 else []
+    def reaching(e: tuple, bound: int) -> list[tuple]:
+        gram, _, windows, entry, least, n, *place = e
+        n = min(n, 2)  # once, or more often
+        first = 0 if n > 1 else max(0, SIDE - bound - least)
+        return [(gram, w, entry, least + i, n, *place) for i, w in enumerate(windows[first:], first)]
 
     last, bound = None, SIDE
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             out = []
-            for e in batch.slice(at, 1024).to_pylist():
+            for e in zip(*(batch.column(c).slice(at, 1024).to_pylist() for c in names), strict=True):
                 if last is not None:
-                    alike = _common(last, e)
-                    out += windows(last, max(bound, alike))
+                    alike = _alike(last[1], e[1]) if last[0] == e[0] else -1
+                    if max(bound, alike) >= 0 or last[5] > 1:
+                        out += reaching(last, max(bound, alike))
                     bound = alike
                 last = e
-            yield _batch(out, kinds, names)
+            yield _batch(out, kinds, WINDOW)
     if last is not None:
-        yield _batch(windows(last, SIDE), kinds, names)
+        yield _batch(reaching(last, SIDE), kinds, WINDOW)
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -186,23 +196,28 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = keyed(docs)
     own = suffixes(rows)
     each = own.select("dk", F.explode(F.arrays_zip("pos", "gram")).alias("a")).select("dk", F.col("a.pos").alias("pos"), F.col("a.gram").alias("gram"))
-    shared = own.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # What is met below is written first: a join of two plain tables can be split where a key is hot.
+    shared = written(own.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared-grams")
     positions = each.join(shared.hint("merge"), "gram").groupBy("dk").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
     texts = written(rows.join(positions.hint("merge"), "dk"), "candidate-texts")  # one plan at every size
-    entry = F.xxhash64("gram", "left", "right").alias("entry")
-    around = written(texts.mapInArrow(_surrounded, "doc_id long, dk long, pos int, gram long, left binary, right binary, least int, most int").select("*", entry), "surroundings")
-    order = ["gram", "right", "left"]
-    entries = around.groupBy("entry", *order, "least", "most").agg(F.min(F.struct("doc_id", "dk", "pos")).alias("place"), F.count(F.lit(1)).alias("n"))
-    entries = entries.select("entry", *order, "least", "most", "n", "place.*").repartitionByRange(partitions(docs.sparkSession), *order)
+    around = written(texts.mapInArrow(_surrounded, SURROUNDED).select("*", F.xxhash64("right", "windows").alias("entry")), "surroundings")
+    discard(shared)
+    order = ["gram", "right", "entry"]
+    entries = around.groupBy(*order, "windows", "least").agg(F.min(F.struct("doc_id", "dk", "pos")).alias("place"), F.count(F.lit(1)).alias("n"))
+    entries = entries.select(*order, "windows", "least", "n", "place.*").repartitionByRange(partitions(docs.sparkSession), *order)
     windows = written(entries.sortWithinPartitions(*order).mapInArrow(_neighbours, WINDOW), "windows")
-    again = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "dk", "pos")).alias("stays")).filter("n > 1").select("window", "stays")
-    matched = windows.select("window", "entry", "low").join(again.hint("merge"), "window").groupBy("entry").agg(F.collect_list(F.struct("low", "stays")).alias("reach"))  # SIDE + 1 at most
-    at = around.select("entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), "entry")
+    again = windows.groupBy("gram", "window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "dk", "pos")).alias("stays")).filter("n > 1").select("gram", "window", "stays")
+    again = written(again, "windows-again")
+    met = windows.select("gram", "window", "entry", "low").join(again.hint("merge"), ["gram", "window"])
+    matched = written(met.groupBy("gram", "entry").agg(F.collect_list(F.struct("low", "stays")).alias("reach")), "reach")  # SIDE + 1 at most
+    discard(windows)
+    discard(again)
+    at = around.select("gram", "entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
     spans = F.transform("reach", lambda m: F.struct((F.col("pos") - m["low"]).alias("first"), F.col("place").eqNullSafe(m["stays"]).alias("stays")))
     found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     found = written(found, "repeats")
     discard(around)
-    discard(windows)
+    discard(matched)
     return own, texts, found
 
 
@@ -217,13 +232,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _in_characters(text: str, spans: list[dict]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
-    """(all repeated spans, spans to drop) in code points, end exclusive, and the number of repeated words."""
-    words = [m.span() for m in WORD.finditer(text)]
-    every = merged([(s["first"], s["first"] + LEAST) for s in spans])
-    gone = merged([(s["first"], s["first"] + LEAST) for s in spans if not s["stays"]])
-    chars = lambda x: [(words[a][0], words[b - 1][1]) for a, b in x]
-    return chars(every), chars(gone), sum(b - a for a, b in every)
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after it."""
+    codes = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = (codes != 32) & ((codes < 9) | (codes > 13))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def in_bytes(raw: bytes, spans: list[dict], gone: bool) -> tuple[list[tuple[int, int]], int]:
+    """Byte ranges of the repeated passages, or of those to drop, and the number of their words."""
+    found = merged([(s["first"], s["first"] + LEAST) for s in spans if not (gone and s["stays"])])
+    begins, ends = word_places(raw)
+    return [(int(begins[a]), int(ends[b - 1])) for a, b in found], sum(b - a for a, b in found)
+
+
+def in_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
+    """Byte ranges as structs in code points."""
+    if raw.isascii():
+        return [{"start": a, "end": b} for a, b in ranges]
+    before = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])
+    return [{"start": int(before[a]), "end": int(before[b])} for a, b in ranges]
 
 
 SPANNED = "dk long, n_repeated_words int, spans array<struct<start:int,end:int>>, dropped array<struct<start:int,end:int>>"
@@ -231,10 +261,15 @@ SPANNED = "dk long, n_repeated_words int, spans array<struct<start:int,end:int>>
 
 def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    as_dicts = lambda x: [{"start": a, "end": b} for a, b in x]
-    for batch in batches:
-        found = [(r["dk"], *_in_characters(r["text"] or "", r["spans"])) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int32()), pa.array([as_dicts(f[1]) for f in found], ranges), pa.array([as_dicts(f[2]) for f in found], ranges)], names=["dk", "n_repeated_words", "spans", "dropped"])
+    for part in blocks(batches, "text", ROWS, BYTES):
+        every, gone, n_words = [], [], []
+        for raw, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
+            raw = raw or b""
+            found, n = in_bytes(raw, spans, False)
+            every.append(in_characters(raw, found))
+            gone.append(in_characters(raw, in_bytes(raw, spans, True)[0]))
+            n_words.append(n)
+        yield pa.RecordBatch.from_arrays([part.column("dk"), pa.array(n_words, pa.int32()), pa.array(every, ranges), pa.array(gone, ranges)], names=["dk", "n_repeated_words", "spans", "dropped"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -247,33 +282,35 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], spans_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("repeat_spans").to_pylist()
-        for i, (text, own) in enumerate(zip(texts, spans, strict=True)):
+        k = batch.schema.get_field_index("text")
+        raws, spans = batch.column(k).cast(pa.binary()).to_pylist(), batch.column(spans_name).to_pylist()
+        for i, (raw, own) in enumerate(zip(raws, spans, strict=True)):
             if own:
                 parts, at = [], 0
-                for a, b in _in_characters(text or "", own)[1]:
-                    parts.append(text[at:a])
+                for a, b in in_bytes(raw or b"", own, True)[0]:
+                    parts.append(raw[at:a])
                     at = b
-                texts[i] = "".join([*parts, text[at:]]) if at else text
-        k = batch.schema.get_field_index("text")
-        out = batch.set_column(k, "text", pa.array(texts, batch.schema.field(k).type))
-        yield out.remove_column(out.schema.get_field_index("repeat_spans"))
+                raws[i] = b"".join([*parts, raw[at:]]) if at else raw
+        out = batch.set_column(k, batch.schema.field(k), pa.array(raws, pa.binary()).cast(batch.schema.field(k).type))
+        yield out.remove_column(out.schema.get_field_index(spans_name))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut but for its first place; rows with no word left go.
 
-    docs needs doc_id and text; its other columns, but for one named repeat_spans or dk, stay as they are.
+    docs needs doc_id and text; its other columns stay as they are.
     """
+    free = lambda name: next(c for c in (name + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    key, spans = free("dk"), free("repeat_spans")
     own, texts, found = repeats(docs)
     discard(own)
     discard(texts)
-    cut = found.filter(F.exists("spans", lambda s: ~s["stays"])).select("dk", F.col("spans").alias("repeat_spans"))
+    cut = found.filter(F.exists("spans", lambda s: ~s["stays"])).select(F.col("dk").alias(key), F.col("spans").alias(spans))
     text = F.col("text").cast("string")
-    rows = docs.withColumn("text", text).withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), text))
-    joined = rows.join(cut.hint("merge"), "dk", "left").drop("dk")  # one plan at every size
-    schema = T.StructType([f for f in joined.schema if f.name != "repeat_spans"])
-    had_words = joined.mapInArrow(_cut, schema)
+    rows = docs.withColumn("text", text).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
+    joined = rows.join(cut.hint("merge"), key, "left").drop(key)  # one plan at every size
+    schema = T.StructType([f for f in joined.schema if f.name != spans])
+    had_words = joined.mapInArrow(lambda it: _cut(it, spans), schema)
     return had_words.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
