@@ -61,6 +61,9 @@ def plain(m):
         left, right = feistel(a - 1 - (a > 666), (g - 1) * 9999 + s - 1, 898, 99 * 9999, "ssn")
         return f"{left + 1 + (left >= 665):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
     y, mo, da = (d[:4], d[4:6], d[6:]) if m[4] == "-" else (d[4:], d[2:4], d[:2])
+    month_first = m[4] != "-" and mo > "12"
+    if month_first:
+        mo, da = da, mo
     try:
         datetime.date(int(y), int(mo), int(da))
     except ValueError:
@@ -70,10 +73,14 @@ def plain(m):
     if (mo, da) == ("02", "29"):
         left, right = feistel((int(y) - 1904) // 4 // 7, (int(y) - 1904) // 4 % 7, 7, 7, "leap")
         new = datetime.date(1904 + 4 * (left * 7 + right), 2, 29)
+    elif month_first:
+        late = [x for x in (datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(365)) if x.day > 12]
+        left, right = feistel(int(y) - 1900, late.index(datetime.date(1999, int(mo), int(da))), 200, len(late), "late")
+        new = late[right].replace(year=left + 1900)
     else:
         left, right = feistel(int(y) - 1900, (datetime.date(1999, int(mo), int(da)) - datetime.date(1999, 1, 1)).days, 200, 365, "date")
         new = (datetime.date(1999, 1, 1) + datetime.timedelta(right)).replace(year=left + 1900)
-    return refill(m, new.strftime("%Y%m%d" if m[4] == "-" else "%d%m%Y"))
+    return refill(m, new.strftime("%Y%m%d" if m[4] == "-" else "%m%d%Y" if month_first else "%d%m%Y"))
 
 
 def test_documents(spark):
@@ -104,6 +111,30 @@ def test_formats(spark):
     assert pseudonyms.pseudonymised(docs.limit(0), KEY).count() == 0
 
 
+def test_month_first_dates(spark):
+    texts = ["12/31/2024", "02/29/2000", "01.13.1950 and 13.01.1950", "13/13/2000 02/30/1999 02/29/1999", "03/04/2024"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    pattern = re.compile(pseudonyms.ANY, re.A)
+    assert [got[i].text for i in range(5)] == [pattern.sub(lambda m: plain(m[0]), t) for t in texts]
+    assert [got[i].n_personal for i in range(5)] == [1, 1, 2, 0, 1]
+    assert len({plain(f"{m:02d}/{d}/19{y:02d}") for m in range(1, 13) for d in range(13, 29) for y in range(100)}) == 12 * 16 * 100
+
+
+def test_key_is_in_no_plan(spark):
+    df = pseudonyms.pseudonymised(spark.createDataFrame([(1, "a@b.co 10.1.2.3", "k")], "doc_id long, text string, personal_key string"), "a-very-secret-key")
+    assert "a-very-secret-key" not in df._jdf.queryExecution().toString() and df.columns[:3] == ["doc_id", "text", "personal_key"]
+
+
+def test_texts_that_drive_matchers(spark):
+    """A megabyte for every pattern that could recurse, look back or try again and again."""
+    mega = 1 << 20
+    units = ["a@b" + ".c" * (mega // 2), "a" * mega + "@", "a.b@" * (mega // 4), "1" * mega, "1 " * (mega // 2), "4111 1111 1111 1111 " * (mega // 20), "1.2.3." * (mega // 6), "01.02." * (mega // 6), "555-" * (mega // 4), "1-2-" * (mega // 4), "@" * mega, "(323) " * (mega // 6)]
+    docs = spark.createDataFrame([(i, t + " 10.1.2.3") for i, t in enumerate(units)], "doc_id long, text string").repartition(len(units))
+    got = {r.doc_id: r for r in pseudonyms.pseudonymised(docs, KEY).collect()}
+    assert len(got) == len(units) and all(r.text.endswith(plain("10.1.2.3")) for r in got.values())
+    assert got[0].personal_kinds == "mail,address" and got[5].n_personal == mega // 20 + 1
+
+
 def test_cards_next_to_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [
