@@ -56,7 +56,7 @@ def test_planted_bits(spark, monkeypatch):
     values += [0, 1, 3, 7, (1 << 64) - 1, (1 << 63)]
     prints = list(enumerate(values))
     want = plain_components(prints)
-    frame = spark.createDataFrame([(d, v - (1 << 64) if v >> 63 else v) for d, v in prints], "doc_id long, fp long")
+    frame = spark.createDataFrame([(d, v - (1 << 64) if v >> 63 else v) for d, v in prints], "doc_id long, fp long").selectExpr("doc_id", "doc_id key", "fp")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs: frame)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
     assert got == want
@@ -75,6 +75,19 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Of repeated rows one stays, of other texts with that id none; null ids come last."""
+    other = "some other words that are long enough to have a fingerprint of their own"
+    rows = [(2, "One two"), (2, "one two"), (2, "one  two"), (2, "one  two"), (5, "one two"), (None, other), (None, other), (7, "x y z"), (7, "x y z"), (None, "x y z"), (8, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "s", k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, kept_key string, n int").repartition(3)
+    kept = simhash.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert len(got) == 4 and got.count((7, "x y z")) == 1 and got.count((8, None)) == 1 and got.count((None, other)) == 1
+    assert sum(d == 2 for d, _ in got) == 1
+    assert simhash.without_near_duplicates(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 60])
 def test_components_of_paths_and_stars(spark, n):
     edges = [(i, i + 1) for i in range(100, 100 + n)] + [(500, 500 + i) for i in range(1, n)] + [(7, 7), (9, None)]

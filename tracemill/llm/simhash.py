@@ -15,6 +15,9 @@ Fingerprints and shared values form a bipartite graph, linear in size, whose com
 Exact copies meet in one fingerprint before the search, by partial aggregation. Nulls: a null text
 is an empty one; texts without words have fingerprint zero and link like any other. A null doc_id
 takes no part in the choice of a component's smallest id, but gets the component of its text.
+``without_near_duplicates`` keeps one row of every component: that of the smallest doc_id, of several
+rows with that id the one whose text has the least hash, of equal ones any; a null doc_id is the
+largest.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.shared import discard, written
+from tracemill.llm.shared import discard, free_name, partitions, written
+from tracemill.llm.text_blocks import blocks
 from tracemill.llm.worker_cache import release
 
 LOW = 0x5555555555555555
@@ -54,15 +58,16 @@ def simhash(text: str) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
-    for batch in batches:
-        prints = np.array([simhash(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+    for part in blocks(batches, "text"):
+        prints = np.array([simhash(t or "") for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(prints)], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the signed 64-bit fingerprint of docs(doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, key (a hash of the text) and the signed 64-bit fingerprint of docs(doc_id, text)."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def bit_counts(fp: Column) -> Column:
@@ -89,13 +94,42 @@ def links(prints: DataFrame) -> DataFrame:
     return values.join(common.hint("merge"), "value").select(F.col("fp").alias("a"), F.col("value").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable), one row a document."""
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key and fp of every row, component of every fp), both written. A component is told by its
+    least fingerprint, root; first is its first row as a struct (is_null, doc_id, key), n the number of
+    rows equal to that one."""
     of_docs = written(fingerprints(docs), "fingerprints")
-    prints = written(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(prints.select("fp")))
+    place = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "key").alias("place")
+    # Equal rows meet before anything else.
+    rows = of_docs.groupBy("fp", place).agg(F.count(F.lit(1)).alias("n"))
+    prints = written(rows.groupBy("fp").agg(F.min(F.struct("place", "n")).alias("first")), "distinct-fingerprints")
+    roots = components(links(prints.select("fp").repartition(partitions(docs.sparkSession))))
     known = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = written(known.join(least, "root").select("fp", "component_id"), "labels")
+    least = known.groupBy("root").agg(F.min("first").alias("first"))
+    labels = written(known.drop("first").join(least, "root").select("fp", "root", "first.place", "first.n"), "labels")
     discard(prints)
+    return of_docs, labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable), one row a document."""
+    of_docs, labels = labelled(docs)
+    labels = labels.select("fp", F.col("place.doc_id").alias("component_id"))
     return of_docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of docs(doc_id, text, ...) for each component, with the columns of docs."""
+    of_docs, labels = labelled(docs)
+    discard(of_docs)
+    first = labels.select("place.doc_id", "place.key", "n").distinct()
+
+    own_id, own_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
+    rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.xxhash64(F.col("text").cast("string")))
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        return rows.join(kept, rows[own_id].eqNullSafe(kept["doc_id"]) & (rows[own_key] == kept["key"]), "left_semi")
+
+    # Rows that are there more than once are few ids; of each one row stays.
+    several = rows_of(first.filter("n > 1")).dropDuplicates([own_id, own_key])
+    return rows_of(first.filter("n = 1")).unionByName(several).drop(own_id, own_key)
