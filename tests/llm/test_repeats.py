@@ -22,7 +22,17 @@ def plain_repeats(rows):
         if len(found) > 1:
             for k, i in found:
                 spans[k].append((i, i + 50))
-    return {k: [(words[k][a].start(), words[k][b - 1].end()) for a, b in sparse_suffix.merged(spans[k])] for k in range(len(rows))}
+    return {k: [(words[k][a].start(), words[k][b - 1].end()) for a, b in merged(spans[k])] for k in range(len(rows))}
+
+
+def merged(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def test_documents_against_all_windows(spark, sf_dir):

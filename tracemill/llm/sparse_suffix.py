@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from tracemill.llm.shared import discard, partitions, written
+from tracemill.llm.shared import discard, free_name, partitions, written
 from tracemill.llm.text_blocks import blocks
 from tracemill.llm.worker_cache import release
 
@@ -191,8 +192,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(suffixes, candidate texts, repeats): repeats has dk and spans, structs (first, stays) of every
-    window of LEAST words, by its first word, that occurs more than once."""
+    """(suffixes, candidate texts, repeats): repeats has dk and spans, structs (pos, every, stays). Bit low
+    of every is set if the window that begins low words before pos occurs more than once, and of stays
+    if this is its first place."""
     rows = keyed(docs)
     own = suffixes(rows)
     each = own.select("dk", F.explode(F.arrays_zip("pos", "gram")).alias("a")).select("dk", F.col("a.pos").alias("pos"), F.col("a.gram").alias("gram"))
@@ -213,25 +215,15 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     discard(windows)
     discard(again)
     at = around.select("gram", "entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
-    spans = F.transform("reach", lambda m: F.struct((F.col("pos") - m["low"]).alias("first"), F.col("place").eqNullSafe(m["stays"]).alias("stays")))
-    found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    bits = lambda f: F.aggregate("reach", F.lit(0), lambda acc, m: acc.bitwiseOR(F.when(f(m), F.call_function("shiftleft", F.lit(1), m["low"])).otherwise(0)))
+    spans = F.struct("pos", bits(lambda m: F.lit(True)).alias("every"), bits(lambda m: F.col("place").eqNullSafe(m["stays"])).alias("stays"))
+    found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.collect_list("spans").alias("spans"))
     found = written(found, "repeats")
     discard(around)
     discard(matched)
     return own, texts, found
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans joined where they touch or overlap, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word, and the byte after it."""
     codes = np.frombuffer(raw, np.uint8)
@@ -241,11 +233,24 @@ def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def in_bytes(raw: bytes, spans: list[dict], gone: bool) -> tuple[list[tuple[int, int]], int]:
-    """Byte ranges of the repeated passages, or of those to drop, and the number of their words."""
-    found = merged([(s["first"], s["first"] + LEAST) for s in spans if not (gone and s["stays"])])
-    begins, ends = word_places(raw)
-    return [(int(begins[a]), int(ends[b - 1])) for a, b in found], sum(b - a for a, b in found)
+def spans_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """pos, every and stays of each row of a spans column."""
+    cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    pos, every, stays = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield pos[a:b], every[a:b], stays[a:b]
+
+
+def in_bytes(places: tuple[np.ndarray, np.ndarray], pos: np.ndarray, which: np.ndarray) -> tuple[list[tuple[int, int]], int]:
+    """Byte ranges under the windows whose bits are set in which, joined where they touch or overlap, and
+    the number of their words. places: as of word_places."""
+    low = np.arange(SIDE + 1)
+    firsts = np.sort((pos[:, None] - low)[(which[:, None] >> low & 1).astype(bool)])
+    if not len(firsts):
+        return [], 0
+    breaks = np.flatnonzero(firsts[1:] > firsts[:-1] + LEAST)
+    begin, end = firsts[np.append(0, breaks + 1)], firsts[np.append(breaks, len(firsts) - 1)] + LEAST
+    return list(zip(places[0][begin].tolist(), places[1][end - 1].tolist(), strict=True)), int((end - begin).sum())
 
 
 def in_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
@@ -263,11 +268,12 @@ def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for part in blocks(batches, "text", ROWS, BYTES):
         every, gone, n_words = [], [], []
-        for raw, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
+        for raw, (pos, repeated, stays) in zip(part.column("text").cast(pa.binary()).to_pylist(), spans_of(part.column("spans")), strict=True):
             raw = raw or b""
-            found, n = in_bytes(raw, spans, False)
+            places = word_places(raw)
+            found, n = in_bytes(places, pos, repeated)
             every.append(in_characters(raw, found))
-            gone.append(in_characters(raw, in_bytes(raw, spans, True)[0]))
+            gone.append(in_characters(raw, in_bytes(places, pos, repeated & ~stays)[0]))
             n_words.append(n)
         yield pa.RecordBatch.from_arrays([part.column("dk"), pa.array(n_words, pa.int32()), pa.array(every, ranges), pa.array(gone, ranges)], names=["dk", "n_repeated_words", "spans", "dropped"])
 
@@ -285,11 +291,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch], spans_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k = batch.schema.get_field_index("text")
-        raws, spans = batch.column(k).cast(pa.binary()).to_pylist(), batch.column(spans_name).to_pylist()
-        for i, (raw, own) in enumerate(zip(raws, spans, strict=True)):
-            if own:
+        raws = batch.column(k).cast(pa.binary()).to_pylist()
+        for i, (raw, (pos, every, stays)) in enumerate(zip(raws, spans_of(batch.column(spans_name)), strict=True)):
+            if len(pos):
                 parts, at = [], 0
-                for a, b in in_bytes(raw or b"", own, True)[0]:
+                for a, b in in_bytes(word_places(raw or b""), pos, every & ~stays)[0]:
                     parts.append(raw[at:a])
                     at = b
                 raws[i] = b"".join([*parts, raw[at:]]) if at else raw
@@ -302,12 +308,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; its other columns stay as they are.
     """
-    free = lambda name: next(c for c in (name + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns)
-    key, spans = free("dk"), free("repeat_spans")
+    key, spans = free_name(docs, "dk"), free_name(docs, "repeat_spans")
     own, texts, found = repeats(docs)
     discard(own)
     discard(texts)
-    cut = found.filter(F.exists("spans", lambda s: ~s["stays"])).select(F.col("dk").alias(key), F.col("spans").alias(spans))
+    cut = found.filter(F.exists("spans", lambda s: s["every"] != s["stays"])).select(F.col("dk").alias(key), F.col("spans").alias(spans))
     text = F.col("text").cast("string")
     rows = docs.withColumn("text", text).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
     joined = rows.join(cut.hint("merge"), key, "left").drop(key)  # one plan at every size
