@@ -85,10 +85,12 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 
 def test_odd_rows(spark):
     rows = [(1, None, None, "s", 0), (None, "", "en", None, 0), (None, "word " * 60 + "a b c d e f", "en", "s", None), (2, "x" * 100000, "en", "s", 1), (2, "x" * 100000, "en", "s", 1)]
-    rows += [(10 + i, " ".join(f"w{(i // 2) * 97 + k * k}" for k in range(80)), "en", "s", 1) for i in range(6)]
+    rows += [(10 + i, " ".join(f"w{(i // 2) * 97 + k * k}" for k in range(80)), "en", "s", 1) for i in range(6)] * 2  # every row twice
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for part in (docs, docs.limit(0)):
         out = part
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, "")
+            if name == "near_duplicates" and part is docs:  # of (10, 11), (12, 13) and (14, 15) one each
+                assert sorted(r.doc_id for r in out.collect() if r.doc_id >= 10) == [10, 12, 14]
         assert (out.count() > 0) == (part is docs)

@@ -1,6 +1,12 @@
 import hashlib
+import math
 import random
 import re
+import string
+import time
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from tracemill.llm import queries, secret_battery
 
@@ -74,3 +80,71 @@ def test_short_keys_among_many_identifiers(spark):
     print(hit)
     assert all(hit[k, n] >= 36 for k, n in planted if k != "digits")
     assert hit["name", 0] <= 0.01 * sum(hit.values())
+
+
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def plain_test(token):
+    """(alphabet, minus the logarithm of the p-value) of one run, written out."""
+    size = next((k for k, p in ((10, "[0-9]+"), (16, "[0-9a-f]+|[0-9A-F]+"), (32, "[A-Z2-7]+"), (36, "[0-9a-z]+|[0-9A-Z]+")) if re.fullmatch(p, token)), 64)
+    folded = token if size == 32 else token.lower() if size < 64 else token.translate(str.maketrans("-_", "+/"))
+    d = [secret_battery.ALPHABETS[max(size, 16)].index(c) for c in folded]
+    n, pairs = len(d), list(zip(d, d[1:]))
+    chi, df = size / n * sum(c * c for c in Counter(d).values()) - n, size - 1
+    z_chi = (max(chi / df, 0.0) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    turns = sum((2 * a < size) != (2 * b < size) for a, b in pairs)
+    mean, var = (size - 1) / 2, (size * size - 1) / 12
+    serial = abs(sum((a - mean) * (b - mean) for a, b in pairs) / var) / math.sqrt(n - 1)
+    uniform = max(min(3 * min(tail(z_chi), 2 * tail(abs(turns - (n - 1) / 2) / math.sqrt((n - 1) / 4)), 2 * tail(serial)), 1.0), 1e-300)
+    costs = [int(secret_battery.COSTS[i : i + 2]) / 10 for i in range(0, len(secret_battery.COSTS), 2)]
+    bits, before = 0.0, (0, 2, False)
+    for c in token:
+        letter = string.ascii_lowercase.find(c.lower()) + 1
+        now = (letter, 0 if letter else 1 if c.isdigit() else 2, c in string.ascii_uppercase)
+        bits += secret_battery.CLASS_COSTS[before[1]][now[1]] + (costs[before[0] * 26 + letter - 1] if letter else math.log2(10) if now[1] == 1 else 2.0)
+        if size == 64 and letter:
+            bits += 1.0 if before[1] else secret_battery.SWITCH_COSTS[before[2] != now[2]]
+        before = now
+    return size, max((bits - n * math.log2(size) - math.log2(5)) * math.log10(2) + math.log10(uniform), 0.0)
+
+
+def plain_spans(rows):
+    """All spans of every text: base ones, and runs that Benjamini-Hochberg accepts in their class."""
+    runs = {i: [(m.start(), m.end(), *plain_test(m[0])) for m in re.finditer(secret_battery.CANDIDATE, t or "")] for i, t in rows}
+    of_class = lambda a, b, size: (sum(b - a >= c for c in secret_battery.LENGTH_CLASSES), size)
+    scores = defaultdict(list)
+    for found in runs.values():
+        for a, b, size, score in found:
+            scores[of_class(a, b, size)].append(min(int(score * 20), secret_battery.BINS - 1))
+    least = {k: min((x for x in set(v) if 10 ** (-x / 20) <= secret_battery.FDR * sum(y >= x for y in v) / len(v)), default=math.inf) for k, v in scores.items()}
+    out = {}
+    for i, t in rows:
+        base = plain_base(t)
+        new = [(a, 3, b) for a, b, size, score in runs[i] if min(int(score * 20), secret_battery.BINS - 1) >= least[of_class(a, b, size)] and not any(s < b and a < e for s, _, e in base)]
+        out[i] = listed(sorted(base + new))
+    return out
+
+
+def test_added_spans_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    r = random.Random(7)
+    for i in range(300):
+        alphabet = r.choice([*KEYS.values(), "abcab", "aeiou-"])
+        rows.append((10**6 + i, "é id " + "".join(r.choice(alphabet) for _ in range(r.choice([20, 21, 32, 45, 70, 200]))) + " end"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = plain_spans(rows)
+    got = {g.doc_id: g.spans for g in secret_battery.find_secrets(docs).select("doc_id", secret_battery.listed(F.col("spans")).alias("spans")).collect()}
+    assert got == want and sum("random" in x for x in want.values()) > 150
+
+
+def test_a_megabyte_of_every_kind(spark):
+    """One embedded image, and texts full of spans, take time in proportion to their length."""
+    r = random.Random(1)
+    units = ["".join(r.choices(KEYS["base 64"], k=1 << 20)), "token=abcdefgh " * (1 << 16), "AKIA" * (1 << 18), "deadbeef" * (1 << 17), ("f" * 33 + " ") * 30000, "token=" * (1 << 17), "apikey" * (1 << 17), " ".join("".join(r.choices(KEYS["base 36"], k=24)) for _ in range(40000))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(units)], "doc_id long, text string").repartition(len(units))
+    began = time.time()
+    got = {g.doc_id: g for g in secret_battery.find_secrets(docs).collect()}
+    assert time.time() - began < 240
+    assert [[s.kind for s in got[i].spans] for i in (0, 1, 4)] == [[3], [0] * (1 << 16), [2] * 30000] and len(got[7].spans) >= 39800

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.llm.shared import written
-from tracemill.llm.text_spans import spans
+from tracemill.llm.text_spans import spans, with_value
 
 #: The patterns of the base kinds.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -106,45 +106,62 @@ def encoding(token: Column) -> Column:
     )
 
 
+def characters(token: Column) -> Column:
+    return F.filter(F.split(token, ""), lambda c: c != "")
+
+
 def digits(token: Column, size: Column) -> Column:
     """The token's characters as numbers below size; url-safe characters count as their base-64 twins."""
     folded = F.when(size == 32, token).when(size < 64, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
     alphabet = F.when(size <= 16, ALPHABETS[16]).when(size == 32, ALPHABETS[32]).when(size == 36, ALPHABETS[36]).otherwise(ALPHABETS[64])
-    return F.transform(F.sequence(F.lit(1), F.length(folded)), lambda i: (F.call_function("instr", alphabet, F.substr(folded, i, F.lit(1))) - 1).cast("double"))
+    return with_value(F.struct(characters(folded).alias("c"), alphabet.alias("a")), lambda x: F.transform(x["c"], lambda c: (F.call_function("instr", x["a"], c) - 1).cast("double")))
 
 
 def identifier_bits(token: Column, size: Column) -> Column:
     """Minus the binary logarithm of the token's likelihood as an ordinary identifier."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substr(token, i, F.lit(1)))
     # letter: 1 to 26, or 0; kind: letter, digit or separator
     letter = lambda c: F.call_function("instr", F.lit("abcdefghijklmnopqrstuvwxyz"), F.lower(c))
-    seen = F.transform(chars, lambda c: F.struct(letter(c).alias("letter"), F.when(letter(c) > 0, 0).when(c.rlike("[0-9]"), 1).otherwise(2).alias("kind"), (c != F.lower(c)).alias("upper")))
-    before = F.concat(F.array(F.struct(F.lit(0).alias("letter"), F.lit(2).alias("kind"), F.lit(False).alias("upper"))), F.slice(seen, 1, F.size(seen) - 1))
+    seen = F.transform(characters(token), lambda c: with_value(F.struct(letter(c).alias("n"), c.alias("c")), lambda x: F.struct(x["n"].alias("letter"), F.when(x["n"] > 0, 0).when(x["c"].between("0", "9"), 1).otherwise(2).alias("kind"), ((x["n"] > 0) & x["c"].between("A", "Z")).alias("upper"))))
     bigrams = F.array(*(F.lit(int(COSTS[i : i + 2]) / 10) for i in range(0, len(COSTS), 2)))
     classes = F.array(*(F.lit(c) for row in CLASS_COSTS for c in row))
 
-    def bits(a: Column, b: Column) -> Column:
+    def bits(a: Column, b: Column, size: Column) -> Column:
         within = F.when(b["kind"] == 0, bigrams[a["letter"] * 26 + b["letter"] - 1]).when(b["kind"] == 1, math.log2(10)).otherwise(2.0)
         case = F.when((size != 64) | (b["kind"] != 0), 0.0).when(a["kind"] != 0, 1.0).when(a["upper"] == b["upper"], SWITCH_COSTS[0]).otherwise(SWITCH_COSTS[1])
         return classes[a["kind"] * 3 + b["kind"]] + within + case
 
-    return F.aggregate(F.zip_with(before, seen, bits), F.lit(0.0), lambda acc, v: acc + v)
+    def total(x: Column) -> Column:
+        before = F.concat(F.array(F.struct(F.lit(0).alias("letter"), F.lit(2).alias("kind"), F.lit(False).alias("upper"))), F.slice(x["seen"], 1, F.size(x["seen"]) - 1))
+        return F.aggregate(F.zip_with(before, x["seen"], lambda a, b: bits(a, b, x["size"])), F.lit(0.0), lambda acc, v: acc + v)
+
+    return with_value(F.struct(seen.alias("seen"), size.alias("size")), total)
+
+
+def squared_counts(numbers: Column) -> Column:
+    """Sum over distinct numbers of their squared counts, by the runs of the sorted array."""
+    start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, v: Column) -> Column:
+        run = F.when(acc["last"] == v, acc["run"] + 1).otherwise(F.lit(1.0))
+        return F.struct(v.alias("last"), run.alias("run"), (acc["total"] + 2 * run - 1).alias("total"))  # n squared is the sum of the first n odd numbers
+
+    return F.aggregate(F.sort_array(numbers), start, step, lambda acc: acc["total"])
 
 
 def battery(token: Column) -> Column:
     """struct(size, score): the alphabet, and minus the decimal logarithm of the p-value against an identifier."""
-    size = encoding(token)
-    found = F.struct(size.cast("double").alias("k"), F.length(token).cast("double").alias("n"), digits(token, size).alias("d"), identifier_bits(token, size).alias("bits"))
+    def prepared(x: Column) -> Column:
+        d = digits(x["token"], x["size"])
+        pairs = lambda d: F.zip_with(F.slice(d, 1, F.size(d) - 1), F.slice(d, 2, F.size(d) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return with_value(d, lambda d: F.struct(x["size"].cast("double").alias("k"), F.length(x["token"]).cast("double").alias("n"), squared_counts(d).alias("squares"), pairs(d).alias("pairs"), identifier_bits(x["token"], x["size"]).alias("bits")))
 
     def tests(x: Column) -> Column:
-        k, n, d = x["k"], x["n"], x["d"]
+        k, n, pairs = x["k"], x["n"], x["pairs"]
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-        squares = total(F.transform(F.array_distinct(d), lambda c: F.pow(F.size(F.filter(d, lambda v: v == c)).cast("double"), F.lit(2.0))))
-        chi = k / n * squares - n
+        chi = k / n * x["squares"] - n
         df = k - 1
         # Wilson-Hilferty: the cube root of chi-squared over its mean is nearly normal.
         z_chi = (F.pow(F.greatest(chi / df, F.lit(0.0)), F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        pairs = F.zip_with(F.slice(d, 1, F.size(d) - 1), F.slice(d, 2, F.size(d) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         turns = F.size(F.filter(pairs, lambda p: (p["a"] * 2 < k) != (p["b"] * 2 < k))).cast("double")
         z_runs = F.abs(turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         mean, var = (k - 1) / 2, (k * k - 1) / 12
@@ -155,7 +172,7 @@ def battery(token: Column) -> Column:
         ratio = x["bits"] - n * F.log2(k) - math.log2(len(ALPHABETS))  # the alphabet was chosen by its characters
         return F.struct(k.cast("int").alias("size"), F.greatest(ratio * math.log10(2) + F.log10(uniform), F.lit(0.0)).alias("score"))
 
-    return F.element_at(F.transform(F.array(found), tests), 1)
+    return with_value(with_value(F.struct(token.alias("token"), encoding(token).alias("size")), prepared), tests)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PART = 128
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -16,15 +19,34 @@ def cut(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def with_value(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array of integers up to each place, by parts of PART, so that no long array grows by one."""
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    sums = lambda a: F.aggregate(a, F.array().cast("array<int>"), add)
+    parts = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / PART).cast("int")), lambda k: sums(F.slice(a, k * PART + 1, F.lit(PART))))
+
+    def whole(inner: Column) -> Column:
+        ends = sums(F.transform(inner, lambda p: F.element_at(p, -1)))
+        before = F.concat(F.array(F.lit(0)), ends)
+        return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda p, b: F.transform(p, lambda x: x + b)))
+
+    return with_value(numbers, lambda a: F.when(F.size(a) > 0, with_value(parts(a), whole)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches as structs (start, end, text) in code points, end exclusive; empty for no match or null."""
     between, matches = cut(text, pattern)
-    sizes = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["text"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("found"))
+    def placed(x: Column) -> Column:
+        # two sizes a match: what lies before it, and its own
+        sizes = F.flatten(F.zip_with(F.slice(x["between"], 1, F.size(x["matches"])), x["matches"], lambda b, m: F.array(F.length(b), F.length(m))))
+        ends = running_sums(sizes)
+        return with_value(ends, lambda e: F.transform(x["matches"], lambda m, i: F.struct(e[i * 2].alias("start"), e[i * 2 + 1].alias("end"), m.alias("text"))))
 
-    return F.when(text.rlike(pattern), F.aggregate(sizes, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPANS))
+    found = with_value(F.struct(between.alias("between"), matches.alias("matches")), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
