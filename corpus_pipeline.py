@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the
 next stage's docs. All but the last give the columns of documents; n_chars follows the text.
 
-Nulls, empty tables and repeated rows are treated as the operators say. A document is known by its
-doc_id; a row without one is dropped as a near copy only if its group has a document with one.
+Nulls, empty tables and repeated rows are treated as the operators say: of equal rows, and of rows
+with the same doc_id among near copies, one stays.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    """Of each group of near copies one row, that of the smallest doc_id."""
+    return simhash.without_near_duplicates(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
