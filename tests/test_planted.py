@@ -96,3 +96,34 @@ def test_rebin_keeps_means(spark):
     df = spark.range(0, 90).select(F.lit(0).alias("roi"), F.col("id").cast("int").alias("i"), F.col("id").cast("double").alias("t"), (F.col("id") * 2.0).alias("value"))
     assert tr.rebin(df, 9).agg(F.avg("value")).first()[0] == pytest.approx(89.0)
     assert tr.rebin(df, 40).count() == 2
+
+
+def test_gaps_of_each_recording(spark):
+    """Gaps at other places in two recordings, rois of the same names."""
+    rows = []
+    for rec, (g0, g1), level in (("a", (5, 8), 10.0), ("b", (12, 14), 100.0)):
+        for roi in range(2):
+            rows += [(rec, roi, i, float(i), 0.0 if g0 <= i <= g1 else level + roi) for i in range(20)]
+    df = spark.createDataFrame(rows, "recording string, roi int, i int, t double, value double")
+    got = {(r.recording, r.roi, r.i): (r.value, r.raw) for r in tr.fill_gaps(df, 2, ("recording",)).collect()}
+    assert len(got) == len(rows)
+    for rec, roi, i, _, v in rows:
+        filled = {"a": 10.0, "b": 100.0}[rec] + roi
+        last = i == {"a": 8, "b": 14}[rec]
+        assert got[rec, roi, i] == (pytest.approx(v if last else filled), v)
+
+
+def test_legs_of_each_recording(spark):
+    events = spark.createDataFrame([(k, rec, p) for k, (rec, p) in enumerate([("a", 5.0), ("b", 5.0), ("b", 25.0), ("c", 5.0)])], "event_id long, recording string, peakpoint double")
+    legs = spark.createDataFrame([("a", "x", 0.0, 10.0), ("b", "y", 0.0, 10.0), ("b", "z", 20.0, 30.0)], "recording string, leg string, leg_begin double, leg_end double")
+    assert {r.event_id: r.leg for r in ev.define_legs(events, legs).collect()} == {0: "x", 1: "y", 2: "z", 3: None}
+    assert {r.event_id: r.leg for r in ev.define_legs(events, legs.drop("recording").filter("leg != 'y'")).collect()} == {0: "x", 1: "x", 2: "z", 3: "x"}
+
+
+def test_saturated_pixels(spark):
+    rows = [("r", f, 0, x, 100.0 if x < 2 else 10.0 + f) for f in range(30) for x in range(4)]
+    px = spark.createDataFrame(rows, "recording string, frame int, y int, x int, value double")
+    own = spark.createDataFrame([("r", 1, 0, 0), ("r", 1, 0, 1), ("r", 1, 0, 2), ("r", 2, 0, 3)], "recording string, roi int, y int, x int")
+    assert {r.roi: (r.n_saturated, r.n_pixels) for r in fr.count_saturated(px, own).collect()} == {1: (2, 3), 2: (0, 1)}
+    few = px.filter("frame < 2").select("recording", "value")
+    assert fr.robust_max(few, "value", 10).first().robust_max == 10.0

@@ -13,8 +13,13 @@ from tracemill.operators.components import components
 def define_legs(events: DataFrame, legs: DataFrame) -> DataFrame:
     """leg whose open interval holds the peak; of several the last named, of none null.
 
-    legs(leg, leg_begin, leg_end) is a treatment plan: a handful of rows a recording.
+    legs(leg, leg_begin, leg_end) is a treatment plan: a handful of rows a recording. With a column
+    recording in both, each recording has its own legs; without one in legs, all have the same.
     """
+    if "recording" in legs.columns and "recording" in events.columns:
+        own = legs.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct("leg", "leg_begin", "leg_end"))).alias("legs"))
+        inside = F.filter("legs", lambda x: (F.col("peakpoint") > x["leg_begin"]) & (F.col("peakpoint") < x["leg_end"]))
+        return events.join(own, "recording", "left").withColumn("leg", F.try_element_at(inside, F.lit(-1))["leg"]).drop("legs").select(*[c for c in events.columns if c != "leg"], "leg")
     ordered = legs.agg(F.sort_array(F.collect_list(F.struct("leg", "leg_begin", "leg_end"))).alias("legs"))
     inside = F.filter("legs", lambda x: (F.col("peakpoint") > x["leg_begin"]) & (F.col("peakpoint") < x["leg_end"]))
     return events.crossJoin(F.broadcast(ordered)).withColumn("leg", F.try_element_at(inside, F.lit(-1))["leg"]).drop("legs")
@@ -126,14 +131,19 @@ def cross_filter(events: DataFrame, ranges: dict[str, tuple[float, float]]) -> D
 
 
 def thinned(events: DataFrame, most: int = 1000) -> DataFrame:
-    """Rois in order of abundance, then time; every (n // most + 1)-th event; run numbers the blocks of one roi."""
+    """Rois in order of abundance, then time; every (n // most + 1)-th event; run numbers the blocks of one roi.
+
+    Only rois are put in one order, one row each; events are numbered within theirs.
+    """
     counts = events.groupBy("roi").agg(F.count(F.lit(1)).alias("abundance"))
+    by_abundance = Window.orderBy(F.desc("abundance"), "roi")
+    before = F.coalesce(F.sum("abundance").over(by_abundance.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("before", before)
     total = F.broadcast(events.agg(F.count(F.lit(1)).alias("total")))
-    order = Window.orderBy(F.desc("abundance"), "roi", "t0", "event_id")
-    # The few events that an examiner looks at, after filters.
-    rows = events.join(counts, "roi").crossJoin(total).withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") % (F.floor(F.col("total") / most) + 1) == 0)
-    new = (F.coalesce(F.lag("roi").over(order), F.lit(-1)) != F.col("roi")).cast("int")
-    return rows.withColumn("new", new).withColumn("run", F.sum("new").over(order)).drop("new", "total")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("roi").orderBy("t0", "event_id")) - 1
+    rows = events.join(offsets, "roi").crossJoin(total).withColumn("place", place).filter(F.col("place") % (F.floor(F.col("total") / most) + 1) == 0)
+    runs = rows.select("roi", "abundance").distinct().select("roi", F.row_number().over(by_abundance).cast("long").alias("run"))
+    return rows.join(runs, "roi").drop("before", "total")
 
 
 def intervals(events: DataFrame, min_events: int) -> DataFrame:

@@ -32,15 +32,19 @@ def resize_time(px: DataFrame, factor: float) -> DataFrame:
     return out.filter(F.col("o") > step - 1e-9).select("recording", F.col("k").alias("frame"), "y", "x", "value")
 
 
-def blur(px: DataFrame, axis: str, weights: list[float], low: int, high: int) -> DataFrame:
-    """Weighted mean along one axis with the edge repeated; weights has odd length, low and high are the axis' ends."""
+def blur(px: DataFrame, axis: str, weights: list[float], low: int, high: int | None = None) -> DataFrame:
+    """Weighted mean along one axis with the edge repeated; weights has odd length, low and high are the axis'
+    ends, high each recording's own if none is given."""
     half = len(weights) // 2
+    if high is None:
+        px = px.join(px.groupBy("recording").agg(F.max(axis).alias("axis_end")), "recording")
+    high = F.col("axis_end") if high is None else F.lit(high)
     taps = F.array(*(F.struct(F.lit(i - half).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)))
     # A pixel feeds every place whose clamped neighbour it is: edges feed the taps beyond them too.
     fed = px.withColumn("tap", F.explode(taps)).withColumn("to", F.col(axis) - F.col("tap.d"))
     inside = fed.filter(F.col("to").between(low, high)).select("*", F.col("tap.w").alias("w"))
     over_low = px.filter(F.col(axis) == low).withColumn("tap", F.explode(taps)).withColumn("to", F.explode(F.sequence(F.lit(low), F.lit(low + half)))).filter(F.col("to") + F.col("tap.d") < low)
-    over_high = px.filter(F.col(axis) == high).withColumn("tap", F.explode(taps)).withColumn("to", F.explode(F.sequence(F.lit(max(low, high - half)), F.lit(high)))).filter(F.col("to") + F.col("tap.d") > high)
+    over_high = px.filter(F.col(axis) == high).withColumn("tap", F.explode(taps)).withColumn("to", F.explode(F.sequence(F.greatest(F.lit(low), high - half), high))).filter(F.col("to") + F.col("tap.d") > high)
     every = inside.unionByName(over_low.select("*", F.col("tap.w").alias("w"))).unionByName(over_high.select("*", F.col("tap.w").alias("w")))
     others = [c for c in ("recording", "frame", "y", "x") if c != axis]
     return every.filter(F.col("to").between(low, high)).groupBy(*others, F.col("to").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
@@ -73,12 +77,18 @@ def stat_images(px: DataFrame, last: int = 10) -> DataFrame:
 
 
 def robust_max(px: DataFrame, column: str, last: int = 10, keys=("recording",)) -> DataFrame:
-    """Per key the value of the last-th largest magnitude, interpolated."""
-    a = px.groupBy(*keys).agg(F.sort_array(F.collect_list(F.abs(column))).alias("v"))
-    at = (F.size("v") - 1) * F.greatest(1 - last / F.size("v"), F.lit(0.0))
-    low = F.floor(at).cast("int")
-    value = lambda k: F.element_at("v", F.least(k, F.size("v") - 1) + 1)
-    return a.select(*keys, (value(low) + (value(low + 1) - value(low)) * (at - low)).alias("robust_max"))
+    """Per key the value of the last-th largest magnitude, interpolated.
+
+    Only the last + 1 largest of a key are ranked, of each task first, so no key meets in one array.
+    """
+    size = px.groupBy(*keys).agg(F.count(column).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("magnitude")))
+    top = px.filter(F.col(column).isNotNull()).select(*keys, F.abs(column).alias("magnitude")).withColumn("place", place).filter(F.col("place") <= last + 1)
+    v = top.groupBy(*keys).agg(F.sort_array(F.collect_list("magnitude"), False).alias("v")).join(size, list(keys))
+    at = (F.col("n") - 1) * F.greatest(1 - last / F.col("n"), F.lit(0.0))
+    low = F.floor(at)
+    value = lambda k: F.element_at("v", (F.col("n") - F.least(k, F.col("n") - 1)).cast("int"))  # noqa: E731  the k-th from below
+    return v.select(*keys, (value(low) + (value(low + 1) - value(low)) * (at - low)).alias("robust_max"))
 
 
 def composite(images: DataFrame, names: list[str], last: int = 10) -> DataFrame:
@@ -93,8 +103,8 @@ def composite(images: DataFrame, names: list[str], last: int = 10) -> DataFrame:
 
 def threshold_mask(image: DataFrame, fraction: float) -> DataFrame:
     """Pixels above a fraction of the recording's largest value."""
-    top = F.max("value").over(Window.partitionBy("recording"))
-    return image.withColumn("top", top).filter(F.col("value") > fraction * F.col("top")).drop("top")
+    top = image.groupBy("recording").agg(F.max("value").alias("top"))
+    return image.join(top, "recording").filter(F.col("value") > fraction * F.col("top")).drop("top")
 
 
 def dilate(mask: DataFrame, radius: int, low: int, high: int) -> DataFrame:
@@ -108,15 +118,16 @@ def dilate(mask: DataFrame, radius: int, low: int, high: int) -> DataFrame:
 def subset_frames(px: DataFrame, every: int, largest: int) -> DataFrame:
     """Every so many frames, rescaled so that twice the maximum maps to the integer range."""
     kept = px.filter(F.col("frame") % every == 0)
-    top = F.max("value").over(Window.partitionBy("recording"))
-    return kept.withColumn("frame", F.floor(F.col("frame") / every)).withColumn("value", F.floor(F.greatest("value", F.lit(0.0)) / (2 * top) * largest).cast("int"))
+    top = kept.groupBy("recording").agg(F.max("value").alias("top"))
+    scaled = F.floor(F.greatest("value", F.lit(0.0)) / (2 * F.col("top")) * largest).cast("int")
+    return kept.join(top, "recording").withColumn("frame", F.floor(F.col("frame") / every)).withColumn("value", scaled).select(*px.columns)
 
 
 def count_saturated(px: DataFrame, roi_pixels: DataFrame, last: int = 3) -> DataFrame:
     """Per roi the pixels whose robust maximum over time is that of the whole recording's largest."""
     each = robust_max(px, "value", last, PLACE)
-    top = F.max("robust_max").over(Window.partitionBy("recording"))
-    return each.withColumn("top", top).join(roi_pixels, PLACE).groupBy("recording", "roi").agg(F.count_if(F.col("robust_max") >= 0.9 * F.col("top")).alias("n_saturated"), F.count(F.lit(1)).alias("n_pixels"))
+    top = each.groupBy("recording").agg(F.max("robust_max").alias("top"))
+    return each.join(top, "recording").join(roi_pixels, PLACE).groupBy("recording", "roi").agg(F.count_if(F.col("robust_max") >= 0.9 * F.col("top")).alias("n_saturated"), F.count(F.lit(1)).alias("n_pixels"))
 
 
 def connected_events(mask: DataFrame, width: int = 4096) -> DataFrame:
@@ -142,8 +153,8 @@ def event_bounds(found: DataFrame) -> DataFrame:
 
 def still_movie(px: DataFrame, samples: int = 10) -> DataFrame:
     """Deviation over mean of sampled frames: below a tenth nothing moves."""
-    n = F.max("frame").over(Window.partitionBy("recording")) + 1
-    s = px.withColumn("n", n).filter(F.col("frame") % F.greatest(F.floor(F.col("n") / samples), F.lit(1)) == 0)
+    n = px.groupBy("recording").agg((F.max("frame") + 1).alias("n"))
+    s = px.join(n, "recording").filter(F.col("frame") % F.greatest(F.floor(F.col("n") / samples), F.lit(1)) == 0)
     return s.groupBy("recording").agg((F.stddev_pop("value") / F.abs(F.avg("value"))).alias("contrast"))
 
 

@@ -162,8 +162,8 @@ def infer_concentration(measured: DataFrame, fit: DataFrame) -> DataFrame:
 def predict_and_residual(rows: DataFrame, column: str) -> DataFrame:
     """fitted is the leg's mean of log10 of the quantity, residual the rest; null without a leg."""
     y = F.log10(column)
-    fitted = F.when(F.col("leg").isNotNull(), F.avg(y).over(Window.partitionBy("leg")))
-    return rows.withColumn("fitted", fitted).withColumn("residual", y - F.col("fitted"))
+    fitted = rows.filter("leg is not null").groupBy("leg").agg(F.avg(y).alias("fitted"))
+    return rows.join(fitted, "leg", "left").withColumn("residual", y - F.col("fitted"))
 
 
 def pulse(t: Column, loc: Column, amplitude: Column, scale: Column, s: float = 0.5) -> Column:

@@ -105,14 +105,15 @@ def fill_gaps(df: DataFrame, width: int, keys=()) -> DataFrame:
     # One row a time step, whatever the number of traces.
     starts = zero.withColumn("starts", (F.col("zero") & ~F.coalesce(F.lag("zero").over(order), F.lit(False))).cast("int"))
     gaps = starts.withColumn("gap", F.sum("starts").over(order)).filter("zero").groupBy(*keys, "gap").agg(F.min("i").alias("g0"), F.max("i").alias("g1"))
-    near = df.join(F.broadcast(gaps), (F.col("i") >= F.col("g0") - width) & (F.col("i") <= F.col("g1") + width) if not keys else list(keys))
-    side = near.groupBy("roi", "g0", "g1").agg(
-        F.avg(F.when((F.col("i") < F.col("g0")) & (F.col("i") >= F.col("g0") - width), F.col("value"))).alias("before"),
-        F.avg(F.when((F.col("i") > F.col("g1")) & (F.col("i") <= F.col("g1") + width), F.col("value"))).alias("after"),
-    )
-    inside = df.alias("d").join(side.alias("s"), (F.col("d.roi") == F.col("s.roi")) & (F.col("d.i") >= F.col("s.g0")) & (F.col("d.i") < F.col("s.g1")), "left")
-    line = F.coalesce("before", "after") + (F.coalesce("after", "before") - F.coalesce("before", "after")) * (F.col("d.i") - F.col("g0") + 1) / (F.col("g1") - F.col("g0") + 2)
-    return inside.select("d.roi", "d.i", "d.t", F.col("d.value").alias("raw"), F.coalesce(line, F.col("d.value")).alias("value"))
+    keys = list(keys)
+    # The samples beside a gap and in it, one row each: equi-joins, whatever the number of gaps.
+    beside = lambda a, c, what: gaps.select(*keys, "g0", "g1", F.explode(F.sequence(a, c)).alias("i"), F.lit(what).alias("side"))
+    near = beside(F.col("g0") - width, F.col("g0") - 1, "before").unionByName(beside(F.col("g1") + 1, F.col("g1") + width, "after"))
+    side = df.join(near, [*keys, "i"]).groupBy(*keys, "roi", "g0", "g1").agg(*(F.avg(F.when(F.col("side") == w, F.col("value"))).alias(w) for w in ("before", "after")))
+    inside = gaps.filter("g1 > g0").select(*keys, "g0", "g1", F.explode(F.sequence(F.col("g0"), F.col("g1") - 1)).alias("i"))
+    rows = df.join(inside, [*keys, "i"], "left").join(side, [*keys, "roi", "g0", "g1"], "left")
+    line = F.coalesce("before", "after") + (F.coalesce("after", "before") - F.coalesce("before", "after")) * (F.col("i") - F.col("g0") + 1) / (F.col("g1") - F.col("g0") + 2)
+    return rows.select(*keys, "roi", "i", "t", F.col("value").alias("raw"), F.coalesce(line, F.col("value")).alias("value"))
 
 
 def weighted_mean_trace(df: DataFrame, weight: Column, keys=()) -> DataFrame:

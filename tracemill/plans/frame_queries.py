@@ -40,10 +40,10 @@ def f3(spark, sf_dir):
 BLUR = "wt AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25, 0.5, 0.25]::DOUBLE[]) AS w), b1 AS (SELECT a.recording, a.frame, a.y, a.x, sum(c.value * w) AS value FROM {src} a, wt, {src} c WHERE c.recording = a.recording AND c.frame = a.frame AND c.y = least(greatest(a.y + d, 0), 7) AND c.x = a.x GROUP BY 1, 2, 3, 4), bl AS (SELECT a.recording, a.frame, a.y, a.x, sum(c.value * w) AS value FROM b1 a, wt, b1 c WHERE c.recording = a.recording AND c.frame = a.frame AND c.y = a.y AND c.x = least(greatest(a.x + d, 0), 7) GROUP BY 1, 2, 3, 4)"
 
 
-@query("f4_gaussian_blur", b.sql("pixels", then="p1 AS (SELECT * FROM px WHERE frame < 10), " + BLUR.format(src="p1")) + f"SELECT recording, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r('value')} AS value FROM bl")
+@query("f4_gaussian_blur", b.sql("pixels", then=BLUR.format(src="px")) + f"SELECT recording, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r('value')} AS value FROM bl")
 def f4(spark, sf_dir):
     w = [0.25, 0.5, 0.25]
-    blurred = fr.blur(fr.blur(px(spark, sf_dir).filter("frame < 10"), "y", w, 0, 7), "x", w, 0, 7)
+    blurred = fr.blur(fr.blur(px(spark, sf_dir), "y", w, 0, 7), "x", w, 0, 7)
     return out(blurred.select("recording", "frame", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value"), *PX)
 
 
@@ -98,14 +98,14 @@ def f20(spark, sf_dir):
     return fr.subset_frames(px(spark, sf_dir), 2, 65535)
 
 
-MASK = "mk AS (SELECT recording, frame, y, x FROM px WHERE value > 0.25 AND frame < 40)"
+MASK = "mk AS (SELECT recording, frame, y, x FROM px WHERE value > 0.25)"
 
 
 @query("f24_event_bounds", b.sql("pixels", then=MASK + """, nb AS (SELECT *, (CAST(recording AS BIGINT) * 1000000 + frame) * 16777216 + y * 4096 + x AS id FROM mk),
 eg AS (SELECT a.id AS a, c.id AS b FROM nb a JOIN nb c ON a.recording = c.recording AND abs(a.frame - c.frame) <= 1 AND abs(a.y - c.y) <= 1 AND abs(a.x - c.x) <= 1),
 cc(node, root) AS (SELECT a, a FROM eg UNION SELECT eg.b, cc.root FROM cc JOIN eg ON eg.a = cc.node), ro AS (SELECT node, min(root) AS event FROM cc GROUP BY node)""") + "SELECT recording, event, min(frame) AS frame_begin, max(frame) + 1 AS frame_end, min(y) AS y_begin, max(y) + 1 AS y_end, min(x) AS x_begin, max(x) + 1 AS x_end, count(*) AS n FROM nb JOIN ro ON id = node GROUP BY 1, 2")
 def f24(spark, sf_dir):
-    mask = px(spark, sf_dir).filter("value > 0.25 and frame < 40").drop("value")
+    mask = px(spark, sf_dir).filter("value > 0.25").drop("value")
     return fr.event_bounds(fr.connected_events(mask))
 
 
@@ -114,14 +114,14 @@ def m14(spark, sf_dir):
     return fr.still_movie(px(spark, sf_dir)).select("recording", F.round("contrast", 2).alias("contrast"))
 
 
-@query("f13_estimate_shifts", b.sql("pixels", then="""p1 AS (SELECT * FROM px WHERE frame < 12), te AS (SELECT recording, y, x, avg(value) AS g FROM px GROUP BY 1, 2, 3),
+@query("f13_estimate_shifts", b.sql("pixels", then="""te AS (SELECT recording, y, x, avg(value) AS g FROM px GROUP BY 1, 2, 3),
 of AS (SELECT dy, dx FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS dy), (SELECT unnest([-2, -1, 0, 1, 2]) AS dx)),
-sc AS (SELECT p1.recording, frame, dy, dx, round(sum(value * g) / sqrt(sum(value * value) * sum(g * g)), 9) AS s FROM te, of, p1 WHERE te.y BETWEEN 2 AND 5 AND te.x BETWEEN 2 AND 5 AND p1.recording = te.recording AND p1.y = te.y + dy AND p1.x = te.x + dx GROUP BY 1, 2, 3, 4),
+sc AS (SELECT p1.recording, frame, dy, dx, round(sum(value * g) / sqrt(sum(value * value) * sum(g * g)), 9) AS s FROM te, of, px p1 WHERE te.y BETWEEN 2 AND 5 AND te.x BETWEEN 2 AND 5 AND p1.recording = te.recording AND p1.y = te.y + dy AND p1.x = te.x + dx GROUP BY 1, 2, 3, 4),
 rk AS (SELECT *, row_number() OVER (PARTITION BY recording, frame ORDER BY s DESC, abs(dy) + abs(dx), dy DESC, dx DESC) AS k FROM sc)""") + f"SELECT recording, frame, CAST(dy AS INTEGER) AS dy, CAST(dx AS INTEGER) AS dx, {r('s')} AS score FROM rk WHERE k = 1")
 def f13(spark, sf_dir):
     pixels = px(spark, sf_dir)
     template = pixels.groupBy("recording", "y", "x").agg(F.avg("value").alias("value"))
-    return out(fr.estimate_shifts(pixels.filter("frame < 12"), template, 2, (2, 5)), "recording", "frame", "dy", "dx")
+    return out(fr.estimate_shifts(pixels, template, 2, (2, 5)), "recording", "frame", "dy", "dx")
 
 
 def image(spark, sf_dir):
@@ -252,11 +252,11 @@ def r24(spark, sf_dir):
     return s.select("recording", "roi", tidy("scaled").alias("scaled"))
 
 
-SHIFTED = "sh AS (SELECT DISTINCT recording, frame, CAST(frame % 3 - 1 AS INTEGER) AS dy, CAST(frame % 5 - 2 AS INTEGER) AS dx FROM px WHERE frame < 20)"
+SHIFTED = "sh AS (SELECT DISTINCT recording, frame, CAST(frame % 3 - 1 AS INTEGER) AS dy, CAST(frame % 5 - 2 AS INTEGER) AS dx FROM px)"
 
 
 def planted_shifts(pixels):
-    return pixels.filter("frame < 20").select("recording", "frame").distinct().select("recording", "frame", (F.col("frame") % 3 - 1).cast("int").alias("dy"), (F.col("frame") % 5 - 2).cast("int").alias("dx"))
+    return pixels.select("recording", "frame").distinct().select("recording", "frame", (F.col("frame") % 3 - 1).cast("int").alias("dy"), (F.col("frame") % 5 - 2).cast("int").alias("dx"))
 
 
 @query("f16_apply_shifts", b.sql("pixels", then=SHIFTED) + f"SELECT a.recording, a.frame, a.y, a.x, {r('c.value')} AS value FROM px a JOIN sh USING (recording, frame) JOIN px c ON c.recording = a.recording AND c.frame = a.frame AND c.y = least(greatest(a.y + dy, 0), 7) AND c.x = least(greatest(a.x + dx, 0), 7)")
@@ -302,9 +302,9 @@ def r13t(spark, sf_dir):
     return out(rois.merged_traces(rois.roi_traces(px(spark, sf_dir), own), found), "recording", "roi", "frame")
 
 
-@query("f5_blur_time", b.sql("pixels", then="wt AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25, 0.5, 0.25]::DOUBLE[]) AS w), p1 AS (SELECT * FROM px WHERE frame < 20)") + f"SELECT a.recording, a.frame, a.y, a.x, {r('sum(c.value * w)')} AS value FROM p1 a, wt, p1 c WHERE c.recording = a.recording AND c.y = a.y AND c.x = a.x AND c.frame = least(greatest(a.frame + d, 0), 19) GROUP BY 1, 2, 3, 4")
+@query("f5_blur_time", b.sql("pixels", then="wt AS (SELECT unnest([-1, 0, 1]) AS d, unnest([0.25, 0.5, 0.25]::DOUBLE[]) AS w), p1 AS (SELECT *, max(frame) OVER (PARTITION BY recording) AS last FROM px)") + f"SELECT a.recording, a.frame, a.y, a.x, {r('sum(c.value * w)')} AS value FROM p1 a, wt, px c WHERE c.recording = a.recording AND c.y = a.y AND c.x = a.x AND c.frame = least(greatest(a.frame + d, 0), a.last) GROUP BY 1, 2, 3, 4")
 def f5(spark, sf_dir):
-    blurred = fr.blur(px(spark, sf_dir).filter("frame < 20"), "frame", [0.25, 0.5, 0.25], 0, 19)
+    blurred = fr.blur(px(spark, sf_dir), "frame", [0.25, 0.5, 0.25], 0)
     return out(blurred.select("recording", F.col("frame").cast("long").alias("frame"), "y", "x", "value"), *PX)
 
 

@@ -123,10 +123,10 @@ def m11(spark, sf_dir):
     return b.protocol(spark, sf_dir).groupBy("recording").agg(F.array_join(F.array_sort(F.collect_set(item)), " ").alias("summary"))
 
 
-@query("s8_wide_traces", b.sql("week") + "SELECT t, " + ", ".join(f"max(CASE WHEN roi = {k} THEN value END) AS roi_{k}" for k in range(10)) + " FROM tr GROUP BY t")
+@query("s8_wide_traces", b.sql("week") + "SELECT t, count(*) AS n_rois, string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY roi) AS row_values FROM tr GROUP BY t")
 def s8(spark, sf_dir):
-    wide = b.traces_week(spark, sf_dir).groupBy("t").pivot("roi", list(range(10))).agg(F.first("value"))
-    return wide.select("t", *(F.col(str(k)).alias(f"roi_{k}") for k in range(10)))
+    in_order = F.sort_array(F.collect_list(F.struct("roi", F.col("value").cast("long").cast("string").alias("v"))))
+    return b.traces_week(spark, sf_dir).groupBy("t").agg(F.count(F.lit(1)).alias("n_rois"), F.array_join(F.transform(in_order, lambda x: x["v"]), ",").alias("row_values"))
 
 
 @query("s11_melt_calibration", "SELECT p_size AS concentration, m AS replicate, v AS measurement FROM (SELECT p_size, p_retailprice AS measurement_1, p_retailprice * 2 AS measurement_2 FROM part) UNPIVOT (v FOR m IN (measurement_1, measurement_2))")

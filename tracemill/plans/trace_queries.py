@@ -48,7 +48,7 @@ def t1(spark, sf_dir):
     return tr.demean(b.traces_week(spark, sf_dir)).select("roi", "i", tidy("trend").alias("trend"), tidy("detrended").alias("detrended"))
 
 
-@query("t2_fit_bleaching", b.sql("week", then="rates AS (SELECT unnest([0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03]) AS rate), xs AS (SELECT roi, rate, value, exp(-rate * t) AS e FROM tr, rates), ft AS (SELECT roi, rate, regr_slope(value, e) AS c, regr_intercept(value, e) AS b, regr_syy(value, e) - pow(regr_sxy(value, e), 2) / regr_sxx(value, e) AS sse FROM xs GROUP BY roi, rate)") + "SELECT roi, rate, round(b, 2) + 0.0 AS b, round(c, 2) + 0.0 AS c FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY sse, rate) AS k FROM ft) WHERE k = 1")
+@query("t2_fit_bleaching", b.sql("week", then="rates AS (SELECT unnest([0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03]::DOUBLE[]) AS rate), xs AS (SELECT roi, rate, value, exp(-rate * t) AS e FROM tr, rates), ft AS (SELECT roi, rate, regr_slope(value, e) AS c, regr_intercept(value, e) AS b, regr_syy(value, e) - pow(regr_sxy(value, e), 2) / regr_sxx(value, e) AS sse FROM xs GROUP BY roi, rate)") + "SELECT roi, rate, round(b, 2) + 0.0 AS b, round(c, 2) + 0.0 AS c FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY sse, rate) AS k FROM ft) WHERE k = 1")
 def t2(spark, sf_dir):
     return tr.bleaching(b.traces_week(spark, sf_dir), [0.0001, 0.0003, 0.001, 0.003, 0.01, 0.03]).select("roi", "rate", tidy("b", 2).alias("b"), tidy("c", 2).alias("c"))
 
@@ -175,10 +175,9 @@ def t27(spark, sf_dir):
     return tr.correlation_to_sum(b.traces_week(spark, sf_dir), ()).select("roi", tidy("r").alias("r"))
 
 
-@query("t27_correlation_matrix", b.sql("emb", then="sm AS (SELECT * FROM tr WHERE recording = 0)") + f"SELECT a.roi AS roi_a, c.roi AS roi_b, {r('corr(a.value, c.value)')} AS r FROM sm a JOIN sm c ON a.i = c.i AND a.roi < c.roi GROUP BY 1, 2")
+@query("t27_correlation_matrix", b.sql("emb") + f"SELECT a.recording, a.roi AS roi_a, c.roi AS roi_b, {r('corr(a.value, c.value)')} AS r FROM tr a JOIN tr c ON a.recording = c.recording AND a.i = c.i AND a.roi < c.roi GROUP BY 1, 2, 3")
 def t27m(spark, sf_dir):
-    one = b.traces_emb(spark, sf_dir).filter("recording = 0")
-    return tr.correlation_matrix(one).select("roi_a", "roi_b", tidy("r").alias("r"))
+    return tr.correlation_matrix(b.traces_emb(spark, sf_dir)).select("recording", "roi_a", "roi_b", tidy("r").alias("r"))
 
 
 @query("t28_most_representative", b.sql("week", then="""c0 AS (SELECT roi, i, value, sum(value) OVER (PARTITION BY i) AS total FROM tr), sc AS (SELECT roi, round(corr(value, total), 9) AS r, round(avg(value), 9) AS m FROM c0 GROUP BY roi),
