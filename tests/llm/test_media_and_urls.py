@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 from tracemill.llm import iso_media, queries, url_filter
@@ -29,6 +30,39 @@ def test_media_round_trip_over_chunk_sizes():
         assert iso_media.samples(media, found) == payload and found["n_samples"] == n
 
 
+def merged_tracks(a, b):
+    """A file of the tracks of two, the samples of the first; chunk offsets are moved by what was put before them."""
+    moov = lambda m: m.index(b"moov") - 4
+    size = lambda m, at: struct.unpack_from(">I", m, at)[0]
+    at, other = moov(a), moov(b)
+    track = b[b.index(b"trak") - 4 : other + size(b, other)]
+    grown = bytearray(a[: at + size(a, at)] + track + a[at + size(a, at) :])
+    struct.pack_into(">I", grown, at, size(a, at) + len(track))
+    places = grown.index(b"stco") + 12
+    for k in range(struct.unpack_from(">I", grown, places - 4)[0]):
+        struct.pack_into(">I", grown, places + 4 * k, struct.unpack_from(">I", grown, places + 4 * k)[0] + len(track))
+    return bytes(grown)
+
+
+def test_tracks_are_not_mixed():
+    payload = random.Random(4).randbytes(40 * 64)
+    first = bytearray(iso_media.wrap(payload))
+    first[first.index(b"stss") : first.index(b"stss") + 4] = b"free"  # every sample is a key sample
+    media = merged_tracks(bytes(first), iso_media.wrap(bytes(48 * 64)))
+    found = iso_media.probe(media)
+    assert len(iso_media.tracks(media)) == 2 and found["n_samples"] == len(found["keyframes"]) == 40
+    assert iso_media.samples(media, found) == payload
+
+
+def test_compact_sizes_and_fragments(spark):
+    for bits, raw in ((4, b"\x12\x30"), (8, b"\x01\x02\x03"), (16, b"\x00\x01\x00\x02\x00\x03")):
+        data = struct.pack(">III", 0, bits, 3) + raw
+        assert iso_media.sample_sizes(memoryview(data), {b"stz2": 0}).tolist() == [1, 2, 3]
+    media = iso_media.wrap(bytes(64)) + iso_media.box(b"moof")
+    rows = spark.createDataFrame([(1, 0, media)], "doc_id long, n_bytes long, media binary")
+    assert "fragmented" in iso_media.probe_media(rows).first().problem
+
+
 def test_bad_media(spark):
     good = iso_media.wrap(bytes(64))
     bad = [None, b"", b"abc", good[:60], good.replace(b"stsd", b"stsx"), b"\x00\x00\x00\x04mdat"]

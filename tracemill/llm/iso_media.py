@@ -1,7 +1,8 @@
 """ISO base media files in a binary column: writing raw samples, walking boxes, sample tables.
 
-``probe`` reads nested boxes and decodes the sample tables (stts, stss, stsc, stsz, stco or co64)
-of the first track. It gives codec, duration and the byte range of every keyframe and never touches
+``probe`` reads nested boxes and decodes the sample tables (stts, stss, stsc, stsz or stz2, stco or
+co64) of the first track that has a sample description; tables of other tracks are not mixed in.
+Fragmented files, whose samples are in moof boxes, are named in ``problem``. It gives codec, duration and the byte range of every keyframe and never touches
 the sample data. ``wrap`` stores bytes losslessly as raw 8x8 frames of 8-bit grey samples.
 
 Nulls: a null text is an empty one, whose payload is one frame of zeros; null and repeated ids are
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.text_blocks import blocks
+
 UNIT = 64  # bytes of a frame: 8 x 8 grey samples of 8 bits
 FRAMES_PER_SECOND = 25
 KEY_EVERY = 16
@@ -95,20 +98,44 @@ def table(data: memoryview, at: int, columns: int, kind: str = ">u4") -> np.ndar
     return np.frombuffer(data, kind, n * columns, at + 8).reshape(n, columns).astype(np.int64)
 
 
+def sample_sizes(data: memoryview, at: dict[bytes, int]) -> np.ndarray:
+    """Sizes of a track's samples, from stsz or the compact stz2 of 4, 8 or 16 bits a sample."""
+    if b"stsz" in at:
+        fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
+        return np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[b"stsz"] + 12).astype(np.int64)
+    bits, n = struct.unpack_from(">II", data, at[b"stz2"] + 4)
+    if bits & 0xFF == 4:
+        both = np.frombuffer(data, np.uint8, (n + 1) // 2, at[b"stz2"] + 12)
+        return np.stack([both >> 4, both & 15], axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, {8: ">u1", 16: ">u2"}[bits & 0xFF], n, at[b"stz2"] + 12).astype(np.int64)
+
+
+def tracks(media: bytes) -> list[dict[bytes, int]]:
+    """By track and kind of box the first byte of the box's body."""
+    found, end_of_track = [], 0
+    for path, begin, end in walk(memoryview(media), 0, len(media)):
+        kind = path.rpartition(b"/")[2]
+        if kind == b"moof":
+            raise ValueError("fragmented file")
+        if kind == b"trak":
+            found.append({})
+            end_of_track = end
+        elif found and begin < end_of_track:
+            found[-1].setdefault(kind, begin)
+    return found
+
+
 def probe(media: bytes) -> dict:
-    """codec, timescale, duration (s), n_samples, keyframes and chunk ranges of the first track."""
+    """codec, timescale, duration (s), n_samples, keyframes and chunk ranges of the first described track."""
     data = memoryview(media)
-    first: dict[bytes, tuple[int, int]] = {}
-    for path, begin, end in walk(data, 0, len(data)):
-        first.setdefault(path.rpartition(b"/")[2], (begin, end))
-    if b"stsd" not in first:
+    at = next((t for t in tracks(media) if b"stsd" in t), None)
+    if at is None:
         raise ValueError("no sample description")
-    at = {k: v[0] for k, v in first.items()}
     codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1").strip()
     version = data[at[b"mdhd"]]
     timescale = struct.unpack_from(">I", data, at[b"mdhd"] + (20 if version else 12))[0]
-    fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[b"stsz"] + 12).astype(np.int64)
+    sizes = sample_sizes(data, at)
+    n = len(sizes)
     ticks = table(data, at[b"stts"], 2)
     chunks = table(data, at[b"co64"], 1, ">u8")[:, 0] if b"co64" in at else table(data, at[b"stco"], 1)[:, 0]
     runs = table(data, at[b"stsc"], 3)
@@ -138,12 +165,10 @@ def samples(media: bytes, found: dict) -> bytes:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            media = [wrap(t + bytes(-len(t) % UNIT if t else UNIT)) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+    for part in blocks(batches, 1, STEP):
+        texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+        media = [wrap(t + bytes(-len(t) % UNIT if t else UNIT)) for t in texts]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -157,22 +182,20 @@ PROBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            rows = []
-            for media in part.column(2).to_pylist():
-                media = media or b""
-                base = (len(media), hashlib.sha256(media).hexdigest())
-                try:
-                    f = probe(media)
-                    payload = samples(media, f)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *base, f["codec"], f["duration"], f["n_samples"], [{"offset": a, "length": b} for a, b in f["keyframes"]], None))
-                except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError) as e:
-                    rows.append((None, None, None, *base, None, None, None, None, f"{type(e).__name__}: {e}"))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), ranges, pa.string()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[x.split(" ")[0].strip() for x in PROBED.replace("struct<offset:long,length:long>", "x").split(", ")])
+    for part in blocks(batches, 2, STEP):
+        rows = []
+        for media in part.column(2).to_pylist():
+            media = media or b""
+            base = (len(media), hashlib.sha256(media).hexdigest())
+            try:
+                f = probe(media)
+                payload = samples(media, f)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *base, f["codec"], f["duration"], f["n_samples"], [{"offset": a, "length": b} for a, b in f["keyframes"]], None))
+            except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError) as e:
+                rows.append((None, None, None, *base, None, None, None, None, f"{type(e).__name__}: {e}"))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), ranges, pa.string()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[x.split(" ")[0].strip() for x in PROBED.replace("struct<offset:long,length:long>", "x").split(", ")])
 
 
 def probe_media(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 STABLE = "԰"  # letters below are the same in every version of Unicode
 WORDS = 500  # in one call's text
-KEEP_UNITS = 1_200_000  # units held per worker, about 250 MB; when full, the cache starts again
+KEEP_UNITS = 1_000_000  # units held per worker, about 200 MB; when full, the cache starts again
 KEEP_CHARS = 64  # longer units are encoded but not held
 
 
