@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the setting is absent, as in tests on one machine, a local folder is set as the
-    checkpoint folder of the session.
+    Where the setting is absent, a local folder is set as the session's checkpoint folder if all of it
+    runs on this machine; on a cluster that is an error, since executors would not see the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-tracemill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tracemill-{label}-{uuid.uuid4().hex}"
