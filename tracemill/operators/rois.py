@@ -41,6 +41,8 @@ def grow_basins(image: DataFrame, diagonal: bool = True, rounds: int = 20) -> Da
         now = jumped
         if not moved:
             break
+    else:
+        raise RuntimeError("basins did not converge")
     return now.select("recording", F.col("to").alias("roi"), F.floor(F.col("p") / WIDTH).cast("int").alias("y"), (F.col("p") % WIDTH).cast("int").alias("x"))
 
 
@@ -158,7 +160,7 @@ def colour_scale(summary: DataFrame, column: str, low: float = 0.01, high: float
 
 def merged(graph: DataFrame, summary: DataFrame) -> DataFrame:
     """Each roi with the one that its component merges into: of the rois without a way out the one of the highest peak."""
-    number = lambda c: F.col("recording").cast("long") * WIDTH * WIDTH + F.col(c)
+    number = lambda c: F.struct("recording", F.col(c).alias("roi"))
     ends = graph.select(number("roi_i").alias("a"), number("roi_j").alias("b"))
     every = summary.select("recording", "roi", "size", "peak_value", number("roi").alias("node"))
     roots = components(ends.union(every.select(F.col("node").alias("a"), F.col("node").alias("b"))))
