@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-from tracemill.plans import event_queries, filter_queries, frame_queries, metadata_queries, segment_queries, trace_queries  # noqa: F401
+from tracemill.plans import baseline_queries, event_queries, filter_queries, frame_queries, metadata_queries, segment_queries, trace_queries  # noqa: F401
 from tracemill.plans.registry import QUERIES, SQL  # noqa: F401
