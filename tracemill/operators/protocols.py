@@ -33,10 +33,13 @@ def parse_times(df: DataFrame, t0: float = 0.0, tend: float = 0.0) -> DataFrame:
 
 def legs(df: DataFrame) -> DataFrame:
     """Each time at which something begins or ends, with the treatment then and the earliest end among it."""
-    points = df.select("recording", F.explode(F.array("t_begin", "t_end")).alias("t")).distinct()
-    active = points.join(df, "recording").filter((F.col("t_begin") <= F.col("t")) & (F.col("t") < F.col("t_end")))
+    points = df.select("recording", F.explode(F.array("t_begin", "t_end")).alias("t")).filter("t is not null").distinct().withColumn("k", F.row_number().over(Window.partitionBy("recording").orderBy("t")))
+    # A row covers a range of numbered time points, so rows meet only the points at which they are active.
+    first, last = (points.select("recording", F.col("t").alias(c), F.col("k").alias(k)) for c, k in (("t_begin", "k0"), ("t_end", "k1")))
+    active = df.join(first, ["recording", "t_begin"]).join(last, ["recording", "t_end"]).filter("k0 < k1").withColumn("k", F.explode(F.sequence("k0", F.col("k1") - 1)))
     item = F.concat_ws("=", F.lower("compound"), "concentration")
-    return active.groupBy("recording", F.col("t").alias("leg_begin")).agg(F.min("t_end").alias("leg_end"), F.array_join(F.array_sort(F.collect_set(item)), ";").alias("treatment"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.lower("compound")).alias("n_compounds"))
+    found = active.groupBy("recording", "k").agg(F.min("t_end").alias("leg_end"), F.array_join(F.array_sort(F.collect_set(item)), ";").alias("treatment"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.lower("compound")).alias("n_compounds"))
+    return found.join(points, ["recording", "k"]).select("recording", F.col("t").alias("leg_begin"), "leg_end", "treatment", "n_rows", "n_compounds")
 
 
 def invalid(found: DataFrame) -> DataFrame:

@@ -68,10 +68,21 @@ def duration_histogram(events: DataFrame, edges: list[float], legs: DataFrame) -
     return counts.join(F.broadcast(legs), "leg").select("leg", "bin", "n", (F.col("n") * per_minute).alias("rate"), (F.sqrt("n") * per_minute).alias("rate_err"))
 
 
-def cdf(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """Each value with its place in the order, from 0 to 1."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("cdf", (F.row_number().over(w.orderBy(column, "event_id")) - 1) / F.nullif(F.count(F.lit(1)).over(w) - 1, F.lit(0)))
+def cdf(rows: DataFrame, column: str, keys: list[str], parts: int = 200) -> DataFrame:
+    """Each value with its place in the order, from 0 to 1; of equal values the lower event_id comes first.
+
+    Rows are numbered within buckets between approximate percentiles, so that no task orders a whole
+    key; the places are exact, wherever the ends of the buckets fall.
+    """
+    own = [F.col(f"at.{k}").eqNullSafe(F.col(f"of.{k}")) for k in keys]
+    ends = rows.groupBy(*keys).agg(F.percentile_approx(column, F.array(*(F.lit(i / parts) for i in range(1, parts)))).alias("ends"), F.count(F.lit(1)).alias("n_all"))
+    bucket = F.coalesce(F.size(F.filter("of.ends", lambda e: e < F.col(f"at.{column}"))), F.lit(0))
+    at = rows.alias("at").join(ends.alias("of"), own).select("at.*", "of.n_all", bucket.alias("bucket"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = at.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    placed = at.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(column, "event_id")))
+    both = placed.alias("at").join(firsts.alias("of"), [*own, F.col("at.bucket") == F.col("of.bucket")])
+    return both.select(*(F.col(f"at.{c}") for c in rows.columns), ((F.col("of.before") + F.col("at.place") - 1) / F.nullif(F.col("at.n_all") - 1, F.lit(0))).alias("cdf"))
 
 
 def box_summary(rows: DataFrame, column: str, keys: list[str], whiskers=(0.05, 0.95)) -> DataFrame:

@@ -81,6 +81,11 @@ def write_sweeps(df: DataFrame, path: str) -> None:
     df.write.partitionBy("sweep").csv(path, header=True)
 
 
+def write_shifts(shifts: DataFrame, path: str) -> None:
+    """Shifts of a recording's frames as CSV in order of frames, one folder a recording."""
+    shifts.select("recording", "frame", "dy", "dx").repartitionByRange("recording", "frame").sortWithinPartitions("recording", "frame").write.partitionBy("recording").csv(path, header=True)
+
+
 def cache_metadata(series: DataFrame, path: str) -> DataFrame:
     """Series metadata through a CSV beside the data, read back with its types."""
     series.write.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS")
