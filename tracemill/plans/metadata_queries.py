@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import tidy
+from tracemill.operators import linescans as ls
 from tracemill.operators import protocols as pr
 from tracemill.operators import recordings as rec
 from tracemill.plans.registry import query
@@ -137,10 +138,19 @@ def s11(spark, sf_dir):
 
 @query("m7_reshape_linescan", b.sql("pixels") + f"SELECT recording, x, frame * 8 + y AS i, {r('value')} AS value FROM px")
 def m7(spark, sf_dir):
-    return b.pixels(spark, sf_dir).select("recording", "x", (F.col("frame") * 8 + F.col("y")).cast("long").alias("i"), tidy("value").alias("value"))
+    return ls.reshape_linescan(b.pixels(spark, sf_dir), 8).withColumn("value", tidy("value"))
 
 
 @query("t34_heatmap_bins", b.sql("pixels", then="li AS (SELECT recording, x, frame * 8 + y AS i, value FROM px WHERE x BETWEEN 2 AND 5), bi AS (SELECT recording, x, i // 16 AS k, avg(value) AS v, count(*) AS n FROM li GROUP BY 1, 2, 3)") + f"SELECT recording, x, CAST(k AS BIGINT) AS k, {r('v')} AS value FROM bi WHERE n = 16")
 def t34(spark, sf_dir):
-    line = b.pixels(spark, sf_dir).filter(F.col("x").between(2, 5)).withColumn("k", F.floor((F.col("frame") * 8 + F.col("y")) / 16))
-    return line.groupBy("recording", "x", "k").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("n")).filter("n = 16").select("recording", "x", "k", tidy("v").alias("value"))
+    line = ls.reshape_linescan(b.pixels(spark, sf_dir), 8)
+    return ls.heatmap_bins(line, 16, (2, 5)).withColumn("value", tidy("value"))
+
+
+@query("m6_tag_linescans", b.sql("pixels", then="""ff AS (SELECT recording, y, x, value FROM px WHERE frame = 0), sz AS (SELECT recording, CAST(greatest(1, floor(12.0 / (4 + recording % 3 * 2))) AS INTEGER) AS scale FROM ff GROUP BY 1),
+cx AS (SELECT a.recording, corr(a.value, c.value) AS rx FROM ff a JOIN sz USING (recording) JOIN ff c ON c.recording = a.recording AND c.y = a.y AND c.x = a.x + scale GROUP BY 1), cy AS (SELECT a.recording, corr(a.value, c.value) AS ry FROM ff a JOIN sz USING (recording) JOIN ff c ON c.recording = a.recording AND c.x = a.x AND c.y = a.y + scale GROUP BY 1),
+hi AS (SELECT recording, max(y) - min(y) + 1 AS n_rows FROM ff GROUP BY 1)""") + "SELECT recording, CASE WHEN n_rows <= scale THEN 'multi' WHEN rx / nullif(abs(ry), 0) > 2 THEN 'single' ELSE 'none' END AS line_scan FROM hi JOIN sz USING (recording) LEFT JOIN cx USING (recording) LEFT JOIN cy USING (recording)")
+def m6(spark, sf_dir):
+    px = b.pixels(spark, sf_dir)
+    series = px.select("recording").distinct().select("recording", (4.0 + F.col("recording") % 3 * 2).alias("px_size"))
+    return ls.tag_linescans(px, series)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import sigma, tidy
 from tracemill.operators import events as ev
+from tracemill.operators import linescans as ls
 from tracemill.operators import stats
 from tracemill.operators import traces as tr
 from tracemill.plans.registry import query
@@ -153,10 +154,7 @@ def t21(spark, sf_dir):
 
 @query("t22_autocorrelation_2d", b.sql("pixels") + f"SELECT a.recording, dy, dx, {r('corr(a.value, c.value)')} AS r FROM px a, (SELECT unnest([0, 1, 2]) AS dy) d1, (SELECT unnest([0, 1, 2]) AS dx) d2, px c WHERE c.recording = a.recording AND c.frame = a.frame AND c.y = a.y + dy AND c.x = a.x + dx GROUP BY 1, 2, 3")
 def t22(spark, sf_dir):
-    px = b.pixels(spark, sf_dir)
-    moved = px.withColumn("dy", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("dx", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
-    moved = moved.select("recording", "frame", "dy", "dx", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), F.col("value").alias("later"))
-    return px.join(moved, ["recording", "frame", "y", "x"]).groupBy("recording", "dy", "dx").agg(tidy(F.corr("value", "later")).alias("r"))
+    return ls.autocorrelation_2d(b.pixels(spark, sf_dir), [0, 1, 2], [0, 1, 2]).select("recording", "dy", "dx", tidy("r").alias("r"))
 
 
 @query("t24_activity", b.sql("week", then=SLOW) + f"SELECT roi, {r('avg(CASE WHEN z > 3 THEN 1.0 ELSE 0.0 END)')} AS activity FROM slow WHERE t > 140 AND t < 2380 GROUP BY roi")
