@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, iso_media, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
+from tracemill.llm import fertility, iso_media, merkle, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +86,36 @@ def op10_url_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    tree = merkle.manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", columns, [tampered.alias("tampered")])
+    found = merkle.proofs(tree).withColumn("folded", merkle.folded(F.coalesce("kept.tampered", "leaf"), "path"))
+    root = F.lit(tree.root).cast("string")
+    return found.select("kept.doc_id", "leaf", "subroot", root.alias("root"), "folded.proof_sha256", "folded.folded_root", (F.col("folded.folded_root") == root).alias("verified"))
+
+
+OP11_SQL = """WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+rows AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered,
+  {v('doc_id')} || {v('source')} || {v('lang')} AS head, {v('text')} AS tail FROM documents, crc),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256(head || {v('n_chars')} || tail) AS leaf, CASE WHEN tampered THEN sha256(head || {v('n_chars + 1')} || tail) END AS changed FROM rows),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+own AS (SELECT grp, 0 AS level, pos, n, leaf AS digest FROM placed UNION ALL SELECT grp, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM own WHERE n > 1 GROUP BY grp, level, pos // 2, n),
+subroots AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS gpos, count(*) OVER () AS gn FROM own WHERE n = 1),
+top AS (SELECT 0 AS level, gpos AS pos, gn AS n, subroot AS digest FROM subroots UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (SELECT p.grp, p.pos, o.level, o.pos & 1 AS side, s.digest FROM placed p JOIN own o ON o.grp = p.grp AND o.pos = p.pos >> o.level AND o.n > 1 LEFT JOIN own s ON s.grp = o.grp AND s.level = o.level AND s.pos = xor(o.pos, 1)),
+gsteps AS (SELECT g.grp, o.level, o.pos & 1 AS side, s.digest FROM subroots g JOIN top o ON o.pos = g.gpos >> o.level AND o.n > 1 LEFT JOIN top s ON s.level = o.level AND s.pos = xor(o.pos, 1)),
+below AS (SELECT grp, pos, list({e} ORDER BY level) AS path FROM steps GROUP BY grp, pos),
+above AS (SELECT grp, list({e} ORDER BY level) AS path FROM gsteps GROUP BY grp),
+folded AS (SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM top WHERE n = 1) AS root, coalesce(p.changed, p.leaf) AS start, list_concat(coalesce(b.path, []), coalesce(a.path, [])) AS path FROM placed p JOIN subroots s USING (grp) LEFT JOIN below b USING (grp, pos) LEFT JOIN above a USING (grp)),
+ended AS (SELECT *, list_reduce(list_prepend(start, path), lambda acc, e: sha256(CASE e[1] WHEN 'L' THEN e[2:] || acc WHEN 'R' THEN acc || e[2:] ELSE acc END)) AS folded_root FROM folded)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda e: e[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM ended"""
+for _column in ("doc_id", "source", "lang", "text", "n_chars", "n_chars + 1"):
+    _text = f"CAST({_column} AS VARCHAR)"
+    OP11_SQL = OP11_SQL.replace(f"{{v('{_column}')}}", f"coalesce(strlen({_text}) || ':' || {_text}, '-')")
+OP11_SQL = OP11_SQL.replace("{e}", "CASE WHEN digest IS NULL THEN 'A' WHEN side = 1 THEN 'L' || digest ELSE 'R' || digest END")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_simhash_popcount": op2_simhash_popcount,
@@ -97,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_pii": op8_feistel_pii,
     "op9_sparse_suffix": op9_sparse_suffix,
     "op10_url_logreg": op10_url_logreg,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL}
