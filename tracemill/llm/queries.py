@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import fertility, iso_media, merkle, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
+from tracemill.llm import chat, fertility, iso_media, merkle, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,6 +116,24 @@ for _column in ("doc_id", "source", "lang", "text", "n_chars", "n_chars + 1"):
 OP11_SQL = OP11_SQL.replace("{e}", "CASE WHEN digest IS NULL THEN 'A' WHEN side = 1 THEN 'L' || digest ELSE 'R' || digest END")
 
 
+def op12_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], given.schema)
+    found = chat.read_back(chat.formatted(given.unionByName(added)))
+    return found.select(F.col("conversation").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "first_wrong")
+
+
+OP12_SQL = r"""WITH given AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
+turns AS (SELECT *, row_number() OVER w - 1 AS place, CASE coalesce(lag(role) OVER w, 'start') WHEN 'start' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' END AS fits,
+  last_value(role) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ending FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, sha256(text) NULLS FIRST)),
+sums AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learned,
+  CAST(sum(length('<turn>' || chr(10) || '</turn>' || chr(10)) + coalesce(length(' ' || regexp_replace(role, '([^A-Za-z0-9_-])', '..', 'g')), 0) + length(regexp_replace(text, '(\\|<turn|</turn>)', '.\1', 'g'))) AS BIGINT) AS formatted_chars,
+  min(place) FILTER (fits IS NOT TRUE) AS first_wrong, any_value(ending) AS ending FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, first_wrong IS NULL AND ending = 'assistant' AS valid, first_wrong FROM sums"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_simhash_popcount": op2_simhash_popcount,
@@ -128,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sparse_suffix": op9_sparse_suffix,
     "op10_url_logreg": op10_url_logreg,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_chat_machine": op12_chat_machine,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op12_chat_machine": OP12_SQL}
