@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import chat, fertility, iso_media, merkle, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
+from tracemill.llm import best_position, chat, fertility, iso_media, merkle, packing, pseudonyms, secret_battery, sentencepiece_backend, simhash, sparse_suffix, token_frames, url_filter
 from tracemill.llm.shared import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -134,6 +134,24 @@ sums AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '
 SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, first_wrong IS NULL AND ending = 'assistant' AS valid, first_wrong FROM sums"""
 
 
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
+
+
+OP13_SQL = r"""WITH terms AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+whole AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM terms WHERE len(t) > 0),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY 1, 2),
+words AS (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM terms),
+postings AS (SELECT row, doc_id, n, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3, 4),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(whole.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term),
+impacts AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * postings.n * whole.n) // whole.l))) AS impact FROM postings JOIN weights USING (term), whole),
+scores AS (SELECT item_id, row, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY 1, 2, 3),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM best WHERE rank <= 10"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_simhash_popcount": op2_simhash_popcount,
@@ -147,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_logreg": op10_url_logreg,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_chat_machine": op12_chat_machine,
+    "op13_best_position": op13_best_position,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op12_chat_machine": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL, "op12_chat_machine": OP12_SQL, "op13_best_position": OP13_SQL}
