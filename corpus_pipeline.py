@@ -23,7 +23,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands."""
     measured = fertility.measured(docs, queries.BYTE_BPE, queries.PIECES)
-    return fertility.judge(measured).filter("kept").select("doc.*")
+    return fertility.judge(measured, fertility.BANDS).filter("kept").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
