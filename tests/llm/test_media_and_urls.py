@@ -57,7 +57,7 @@ def test_tracks_are_not_mixed():
 def test_compact_sizes_and_fragments(spark):
     for bits, raw in ((4, b"\x12\x30"), (8, b"\x01\x02\x03"), (16, b"\x00\x01\x00\x02\x00\x03")):
         data = struct.pack(">III", 0, bits, 3) + raw
-        assert iso_media.sample_sizes(memoryview(data), {b"stz2": 0}).tolist() == [1, 2, 3]
+        assert iso_media.sample_sizes(memoryview(data), {b"stz2": (0, len(data))}).tolist() == [1, 2, 3]
     media = iso_media.wrap(bytes(64)) + iso_media.box(b"moof")
     rows = spark.createDataFrame([(1, 0, media)], "doc_id long, n_bytes long, media binary")
     assert "fragmented" in iso_media.probe_media(rows).first().problem
@@ -123,3 +123,22 @@ def test_model_on_held_out_urls(spark):
     test = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[400:])], "page_id long, url string")
     got = {x.page_id: x.verdict for x in url_filter.judge(test, [], train).collect()}
     assert sum((got[i] == "block") == bool(b) for i, (_, b) in enumerate(rows[400:])) >= 190
+
+
+def test_hostile_boxes_are_named_and_end_nothing(spark):
+    deep = b"".join(struct.pack(">I4s", 8 * (1500 - k), b"moov") for k in range(1500))
+    media = iso_media.wrap(random.Random(1).randbytes(300 * 64))
+
+    def changed(kind, at, value):
+        out = bytearray(media)
+        struct.pack_into(">I", out, out.index(kind) + 4 + at, value)
+        return bytes(out)
+
+    cases = [
+        deep, changed(b"stsz", 8, 0xFFFFFFFF), changed(b"stsz", 4, 0), changed(b"stsc", 12, 0xFFFFFFFF), changed(b"stsc", 8, 0xFFFFFFFF), changed(b"stts", 4, 0xFFFFFFFF),
+        changed(b"stco", 4, 0xFFFFFFFF), changed(b"stss", 8, 0), changed(b"stss", 8, 0xFFFFFFFF), changed(b"mdhd", 12, 0),
+    ]
+    rows = spark.createDataFrame([(k, 0, m) for k, m in enumerate([*cases, media])], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in iso_media.probe_media(rows).collect()}
+    assert len(got) == len(cases) + 1 and got[len(cases)].problem is None and got[len(cases)].n_samples == 300
+    assert "nested deeper" in got[0].problem and all(got[k].problem for k in range(len(cases)) if k != 3)  # a chunk may claim more samples than there are

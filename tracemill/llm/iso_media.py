@@ -29,6 +29,7 @@ FRAMES_PER_SECOND = 25
 KEY_EVERY = 16
 FRAMES_PER_CHUNK = 128
 STEP = 256
+DEEPEST = 64  # boxes within boxes
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -75,9 +76,13 @@ def wrap(payload: bytes) -> bytes:
     return head + moov(len(head) + length + len(data_head)) + data_head + payload
 
 
-def walk(data: memoryview, begin: int, end: int, path: bytes = b"") -> Iterator[tuple[bytes, int, int]]:
+def walk(data: memoryview, begin: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """(path of kinds, begin and end of the body) of every box between begin and end, outer first."""
-    while begin + 8 <= end:
+    open_ = [(begin, end, b"")]
+    while open_:
+        begin, end, path = open_.pop()
+        if begin + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, begin)
         body = begin + 8
         if size == 1:
@@ -88,30 +93,43 @@ def walk(data: memoryview, begin: int, end: int, path: bytes = b"") -> Iterator[
             raise ValueError(f"box {kind!r} at {begin} does not fit")
         own = path + b"/" + kind
         yield own, body, stop
+        open_.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, own)
-        begin = stop
-
-
-def table(data: memoryview, at: int, columns: int, kind: str = ">u4") -> np.ndarray:
-    (n,) = struct.unpack_from(">I", data, at + 4)
-    return np.frombuffer(data, kind, n * columns, at + 8).reshape(n, columns).astype(np.int64)
-
-
-def sample_sizes(data: memoryview, at: dict[bytes, int]) -> np.ndarray:
-    """Sizes of a track's samples, from stsz or the compact stz2 of 4, 8 or 16 bits a sample."""
-    if b"stsz" in at:
-        fixed, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-        return np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[b"stsz"] + 12).astype(np.int64)
-    bits, n = struct.unpack_from(">II", data, at[b"stz2"] + 4)
-    if bits & 0xFF == 4:
-        both = np.frombuffer(data, np.uint8, (n + 1) // 2, at[b"stz2"] + 12)
+            if len(open_) > DEEPEST:
+                raise ValueError(f"boxes nested deeper than {DEEPEST}")
+            open_.append((body, stop, own))
+
+
+def table(data: memoryview, at: tuple[int, int], columns: int, kind: str = ">u4") -> np.ndarray:
+    begin, end = at
+    (n,) = struct.unpack_from(">I", data, begin + 4)
+    if begin + 8 + n * columns * np.dtype(kind).itemsize > end:
+        raise ValueError(f"table of {n} entries in a box of {end - begin} bytes")
+    return np.frombuffer(data, kind, n * columns, begin + 8).reshape(n, columns).astype(np.int64)
+
+
+def sample_sizes(data: memoryview, at: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Sizes of a track's samples, from stsz or the compact stz2 of 4, 8 or 16 bits a sample.
+
+    A count is believed if its entries fit the box, and a fixed size if so many samples fit the file.
+    """
+    begin, end = at[b"stsz"] if b"stsz" in at else at[b"stz2"]
+    fixed, n = struct.unpack_from(">II", data, begin + 4)
+    if b"stsz" in at and fixed:
+        if n * fixed > len(data):
+            raise ValueError(f"{n} samples of {fixed} bytes in a file of {len(data)}")
+        return np.full(n, fixed, np.int64)
+    bits = 32 if b"stsz" in at else fixed & 0xFF
+    if begin + 12 + (n * bits + 7) // 8 > end:
+        raise ValueError(f"sizes of {n} samples in a box of {end - begin} bytes")
+    if bits == 4:
+        both = np.frombuffer(data, np.uint8, (n + 1) // 2, begin + 12)
         return np.stack([both >> 4, both & 15], axis=1).ravel()[:n].astype(np.int64)
-    return np.frombuffer(data, {8: ">u1", 16: ">u2"}[bits & 0xFF], n, at[b"stz2"] + 12).astype(np.int64)
+    return np.frombuffer(data, {8: ">u1", 16: ">u2", 32: ">u4"}[bits], n, begin + 12).astype(np.int64)
 
 
-def tracks(media: bytes) -> list[dict[bytes, int]]:
-    """By track and kind of box the first byte of the box's body."""
+def tracks(media: bytes) -> list[dict[bytes, tuple[int, int]]]:
+    """By track and kind of box where the body of the first box of this kind begins and ends."""
     found, end_of_track = [], 0
     for path, begin, end in walk(memoryview(media), 0, len(media)):
         kind = path.rpartition(b"/")[2]
@@ -121,7 +139,7 @@ def tracks(media: bytes) -> list[dict[bytes, int]]:
             found.append({})
             end_of_track = end
         elif found and begin < end_of_track:
-            found[-1].setdefault(kind, begin)
+            found[-1].setdefault(kind, (begin, end))
     return found
 
 
@@ -131,21 +149,27 @@ def probe(media: bytes) -> dict:
     at = next((t for t in tracks(media) if b"stsd" in t), None)
     if at is None:
         raise ValueError("no sample description")
-    codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1").strip()
-    version = data[at[b"mdhd"]]
-    timescale = struct.unpack_from(">I", data, at[b"mdhd"] + (20 if version else 12))[0]
+    described, header = at[b"stsd"][0], at[b"mdhd"][0]
+    codec = bytes(data[described + 12 : described + 16]).decode("latin-1").strip()
+    timescale = struct.unpack_from(">I", data, header + (20 if data[header] else 12))[0]
     sizes = sample_sizes(data, at)
     n = len(sizes)
     ticks = table(data, at[b"stts"], 2)
     chunks = table(data, at[b"co64"], 1, ">u8")[:, 0] if b"co64" in at else table(data, at[b"stco"], 1)[:, 0]
     runs = table(data, at[b"stsc"], 3)
     until = np.append(runs[1:, 0], len(chunks) + 1)
-    per_chunk = np.repeat(runs[:, 1], until - runs[:, 0])
-    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-    before = np.cumsum(sizes) - sizes
+    if n and (not len(runs) or runs[0, 0] != 1 or (until < runs[:, 0]).any()):
+        raise ValueError("runs of chunks are not in order")
+    per_chunk = np.repeat(runs[:, 1], until - runs[:, 0]) if n else np.zeros(0, np.int64)
     first_of_chunk = np.cumsum(per_chunk) - per_chunk
+    if n > int(per_chunk.sum()):
+        raise ValueError(f"{n} samples in chunks of {int(per_chunk.sum())}")
+    chunk_of = np.searchsorted(first_of_chunk, np.arange(n), "right") - 1
+    before = np.cumsum(sizes) - sizes
     offsets = chunks[chunk_of] + before - before[np.minimum(first_of_chunk, max(n - 1, 0))][chunk_of] if n else before
     keys = table(data, at[b"stss"], 1)[:, 0] - 1 if b"stss" in at else np.arange(n)
+    if len(keys) and not 0 <= int(keys.min()) <= int(keys.max()) < n:
+        raise ValueError("key sample that is none")
     return {
         "codec": codec, "timescale": timescale, "duration": float((ticks[:, 0] * ticks[:, 1]).sum()) / timescale, "n_samples": n,
         "keyframes": list(zip(offsets[keys].tolist(), sizes[keys].tolist(), strict=True)), "offsets": offsets, "sizes": sizes,
@@ -191,7 +215,7 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f = probe(media)
                 payload = samples(media, f)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *base, f["codec"], f["duration"], f["n_samples"], [{"offset": a, "length": b} for a, b in f["keyframes"]], None))
-            except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError) as e:
+            except (ValueError, KeyError, IndexError, OverflowError, struct.error, ZeroDivisionError) as e:
                 rows.append((None, None, None, *base, None, None, None, None, f"{type(e).__name__}: {e}"))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), ranges, pa.string()]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
