@@ -155,3 +155,11 @@ def test_cards_next_to_numbers(spark):
 def test_bijection():
     assert len({feistel(x, y, 7, 7, "leap") for x in range(7) for y in range(7)}) == 49
     assert len({plain(f"10.0.{a}.{b}") for a in range(20) for b in range(200)}) == 4000
+
+
+def test_columns_of_the_caller_named_as_inside(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "call 555-123-4567 or a@b.org")], "doc_id long, text string").withColumn("personal_pieces", F.lit("mine")).withColumn("personal_key", F.lit(3))
+    got = pseudonyms.pseudonymised(rows, "k").first()
+    assert (got.personal_pieces, got.personal_key, got.n_personal) == ("mine", 3, 2) and "4567" not in str(got) and "a@b.org" not in str(got)

@@ -206,18 +206,19 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     personal_kinds (kind of each, in order). Columns of these names are replaced."""
     text = F.col("text").cast("string")
     name = free_name(docs, "personal_key")
+    cut = free_name(docs, "personal_pieces")
     secret = docs.sparkSession.createDataFrame([(key,)], f"{name} string")
 
     def pieces(pattern: Column) -> Column:
         found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.struct(m.alias("old"), replacement(m, F.col(name)).alias("new"), kind_of(m).alias("kind")))
         return F.struct(F.split(text, pattern, -1).alias("between"), found.alias("found"))
 
-    rows = docs.crossJoin(F.broadcast(secret)).withColumn("text", text).withColumn("personal_pieces", F.when(text.rlike(HINT) & text.rlike(ANY), with_value(pattern_of(text), pieces)))
-    tail = F.concat(F.transform("personal_pieces.found", lambda f: f["new"]), F.array(F.lit("")))
-    whole = F.array_join(F.zip_with("personal_pieces.between", tail, lambda b, n: F.concat(b, n)), "")
-    changed = F.filter("personal_pieces.found", lambda f: f["old"] != f["new"])
+    rows = docs.crossJoin(F.broadcast(secret)).withColumn("text", text).withColumn(cut, F.when(text.rlike(HINT) & text.rlike(ANY), with_value(pattern_of(text), pieces)))
+    tail = F.concat(F.transform(f"{cut}.found", lambda f: f["new"]), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(f"{cut}.between", tail, lambda b, n: F.concat(b, n)), "")
+    changed = F.filter(f"{cut}.found", lambda f: f["old"] != f["new"])
     return rows.select(
-        *(F.coalesce(F.when(F.col("personal_pieces").isNotNull(), whole), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_personal", "personal_kinds")),
+        *(F.coalesce(F.when(F.col(cut).isNotNull(), whole), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_personal", "personal_kinds")),
         F.coalesce(F.size(changed), F.lit(0)).cast("long").alias("n_personal"),
         F.coalesce(F.array_join(F.transform(changed, lambda f: f["kind"]), ","), F.lit("")).alias("personal_kinds"),
     )
