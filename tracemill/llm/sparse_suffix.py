@@ -15,7 +15,8 @@ window over it has an earlier place; that place is strictly earlier, so one copy
 
 What decides that two windows are equal is 128 bits: a 64-bit hash of the gram and another of the
 whole window, both of the words' 64-bit XXH3. Among 10^12 unlike windows the chance of any false match
-is below 10^-14; of two windows that differ in a single word it is 2^-63. The sort only prunes.
+is below 10^-14; of two windows that differ in a single word it is 2^-63. The sort only prunes. A row is
+named by 128 bits of its doc_id and text (KEY).
 
 A text with fewer than LEAST words has no passage. Nulls: a null text is an empty one. Rows with the
 same doc_id and text count as one row with one decision; a null doc_id is the least.
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
@@ -42,6 +43,7 @@ LEAST = 50
 SEED = 25
 SIDE = LEAST - SEED  # words of a window on the sides of its gram
 BASE = 0x9E3779B97F4A7C15
+KEY = ["dk", "dk2"]
 ROWS, BYTES = 256, 2 << 20  # texts at once
 
 
@@ -106,30 +108,35 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(codes))
             pos.append(own.astype(np.int32))
             grams.append(hashes[own].view(np.int64))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("dk"), pa.array(n, pa.int32()), pa.array(pos, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "dk", "n_words", "pos", "gram"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *KEY)), pa.array(n, pa.int32()), pa.array(pos, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", *KEY, "n_words", "pos", "gram"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and dk, a hash of both that names the row."""
+    """doc_id, text and KEY, 128 bits of both that name the row."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("dk"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *(h.alias(k) for h, k in zip(row_key(F.col("doc_id"), text), KEY, strict=True)))
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """Two hashes of a row that differ in where they start."""
+    return [F.xxhash64(doc_id.cast("long"), text), F.xxhash64(F.lit("row"), text, doc_id.cast("long"))]
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
     """One row a document: its minimiser positions and grams, as a table."""
-    return written(rows.mapInArrow(_anchored, "doc_id long, dk long, n_words int, pos array<int>, gram array<long>"), "suffixes")
+    return written(rows.mapInArrow(_anchored, "doc_id long, dk long, dk2 long, n_words int, pos array<int>, gram array<long>"), "suffixes")
 
 
-SURROUNDED = "doc_id long, dk long, pos int, gram long, least int, right binary, windows array<long>"
+SURROUNDED = "doc_id long, dk long, dk2 long, pos int, gram long, least int, right binary, windows array<long>"
 
 
 def _surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each shared gram of a text with the windows that it is the least gram of. A window begins low
     words before its gram; windows[0] is that of low = least, the following begin farther left."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
     for part in blocks(batches, "text", ROWS // 4, BYTES):
         out = []
-        for doc_id, dk, raw, pos in zip(*(part.column(c).to_pylist() for c in ("doc_id", "dk")), part.column("text").cast(pa.binary()).to_pylist(), part.column("pos").to_pylist(), strict=True):
+        for doc_id, dk, dk2, raw, pos in zip(*(part.column(c).to_pylist() for c in ("doc_id", *KEY)), part.column("text").cast(pa.binary()).to_pylist(), part.column("pos").to_pylist(), strict=True):
             codes = word_codes(raw or b"")
             grams, windows = hashes_of(codes)
             flat = codes.astype(">u4").tobytes()
@@ -138,7 +145,7 @@ def _surrounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least, own = (pos + 1 - end).tolist(), grams[pos].view(np.int64).tolist()
             backward = windows[::-1].view(np.int64)
             for p, a, b, low, gram in zip(pos.tolist(), (len(windows) - end).tolist(), (len(windows) - begin).tolist(), least, own, strict=True):
-                out.append((doc_id, dk, p, gram, low, flat[4 * (p + SEED) : 4 * (p + SEED + SIDE - low)], backward[a:b]))
+                out.append((doc_id, dk, dk2, p, gram, low, flat[4 * (p + SEED) : 4 * (p + SEED + SIDE - low)], backward[a:b]))
         yield _batch(out, kinds, SURROUNDED)
 
 
@@ -192,16 +199,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(suffixes, candidate texts, repeats): repeats has dk and spans, structs (pos, every, stays). Bit low
+    """(suffixes, candidate texts, repeats): repeats has KEY and spans, structs (pos, every, stays). Bit low
     of every is set if the window that begins low words before pos occurs more than once, and of stays
     if this is its first place."""
     rows = keyed(docs)
     own = suffixes(rows)
-    each = own.select("dk", F.explode(F.arrays_zip("pos", "gram")).alias("a")).select("dk", F.col("a.pos").alias("pos"), F.col("a.gram").alias("gram"))
+    each = own.select(*KEY, F.explode(F.arrays_zip("pos", "gram")).alias("a")).select(*KEY, F.col("a.pos").alias("pos"), F.col("a.gram").alias("gram"))
     # What is met below is written first: a join of two plain tables can be split where a key is hot.
     shared = written(own.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared-grams")
-    positions = each.join(shared.hint("merge"), "gram").groupBy("dk").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
-    texts = written(rows.join(positions.hint("merge"), "dk"), "candidate-texts")  # one plan at every size
+    positions = each.join(shared.hint("merge"), "gram").groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+    texts = written(rows.join(positions.hint("merge"), KEY), "candidate-texts")  # one plan at every size
     around = written(texts.mapInArrow(_surrounded, SURROUNDED).select("*", F.xxhash64("right", "windows").alias("entry")), "surroundings")
     discard(shared)
     order = ["gram", "right", "entry"]
@@ -214,10 +221,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     matched = written(met.groupBy("gram", "entry").agg(F.collect_list(F.struct("low", "stays")).alias("reach")), "reach")  # SIDE + 1 at most
     discard(windows)
     discard(again)
-    at = around.select("gram", "entry", "dk", "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
+    at = around.select("gram", "entry", *KEY, "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
     bits = lambda f: F.aggregate("reach", F.lit(0), lambda acc, m: acc.bitwiseOR(F.when(f(m), F.call_function("shiftleft", F.lit(1), m["low"])).otherwise(0)))
     spans = F.struct("pos", bits(lambda m: F.lit(True)).alias("every"), bits(lambda m: F.col("place").eqNullSafe(m["stays"])).alias("stays"))
-    found = at.select("dk", spans.alias("spans")).groupBy("dk").agg(F.collect_list("spans").alias("spans"))
+    found = at.select(*KEY, spans.alias("spans")).groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
     found = written(found, "repeats")
     discard(around)
     discard(matched)
@@ -261,7 +268,7 @@ def in_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(before[a]), "end": int(before[b])} for a, b in ranges]
 
 
-SPANNED = "dk long, n_repeated_words int, spans array<struct<start:int,end:int>>, dropped array<struct<start:int,end:int>>"
+SPANNED = "dk long, dk2 long, n_repeated_words int, spans array<struct<start:int,end:int>>, dropped array<struct<start:int,end:int>>"
 
 
 def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +282,15 @@ def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every.append(in_characters(raw, found))
             gone.append(in_characters(raw, in_bytes(places, pos, repeated & ~stays)[0]))
             n_words.append(n)
-        yield pa.RecordBatch.from_arrays([part.column("dk"), pa.array(n_words, pa.int32()), pa.array(every, ranges), pa.array(gone, ranges)], names=["dk", "n_repeated_words", "spans", "dropped"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.array(n_words, pa.int32()), pa.array(every, ranges), pa.array(gone, ranges)], names=[*KEY, "n_repeated_words", "spans", "dropped"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_repeated_words, spans and dropped (structs start, end) for every row of docs."""
     own, texts, found = repeats(docs)
-    spanned = texts.select("dk", "text").dropDuplicates(["dk"]).join(found, "dk").mapInArrow(_spanned, SPANNED)
+    spanned = texts.select(*KEY, "text").dropDuplicates(KEY).join(found, KEY).mapInArrow(_spanned, SPANNED)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return own.select("doc_id", "dk", "n_words").join(spanned, "dk", "left").select(
+    return own.select("doc_id", *KEY, "n_words").join(spanned, KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_repeated_words", F.lit(0)).alias("n_repeated_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("dropped", empty).alias("dropped")
     )
 
@@ -308,14 +315,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text; its other columns stay as they are.
     """
-    key, spans = free_name(docs, "dk"), free_name(docs, "repeat_spans")
+    key, spans = [free_name(docs, k) for k in KEY], free_name(docs, "repeat_spans")
     own, texts, found = repeats(docs)
     discard(own)
     discard(texts)
-    cut = found.filter(F.exists("spans", lambda s: s["every"] != s["stays"])).select(F.col("dk").alias(key), F.col("spans").alias(spans))
+    cut = found.filter(F.exists("spans", lambda s: s["every"] != s["stays"])).select(*(F.col(k).alias(own_) for k, own_ in zip(KEY, key, strict=True)), F.col("spans").alias(spans))
     text = F.col("text").cast("string")
-    rows = docs.withColumn("text", text).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text))
-    joined = rows.join(cut.hint("merge"), key, "left").drop(key)  # one plan at every size
+    rows = docs.withColumn("text", text).withColumns(dict(zip(key, row_key(F.col("doc_id"), text), strict=True)))
+    joined = rows.join(cut.hint("merge"), key, "left").drop(*key)  # one plan at every size
     schema = T.StructType([f for f in joined.schema if f.name != spans])
     had_words = joined.mapInArrow(lambda it: _cut(it, spans), schema)
     return had_words.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
