@@ -148,3 +148,31 @@ def test_a_megabyte_of_every_kind(spark):
     got = {g.doc_id: g for g in secret_battery.find_secrets(docs).collect()}
     assert time.time() - began < 240
     assert [[s.kind for s in got[i].spans] for i in (0, 1, 4)] == [[3], [0] * (1 << 16), [2] * 30000] and len(got[7].spans) >= 39800
+
+
+def test_spans_apart_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracemill.llm.text_spans import apart
+
+    made = random.Random(2)
+    rows = []
+    for k in range(60):
+        n = made.choice([0, 1, 5, 400])
+        spans_ = lambda n: sorted((s, s + made.randrange(1, 9)) for s in made.sample(range(n * 12 + 1), n))
+        rows.append((k, [{"start": a, "end": b} for a, b in spans_(n)], [{"start": a, "end": b} for a, b in spans_(made.choice([0, 1, n // 3]))]))
+    df = spark.createDataFrame(rows, "k int, a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = {r.k: [(s.start, s.end) for s in r.c] for r in df.select("k", apart(F.col("a"), F.col("b")).alias("c")).collect()}
+    for k, a, b in rows:
+        assert got[k] == [(s["start"], s["end"]) for s in a if not any(o["start"] < s["end"] and s["start"] < o["end"] for o in b)]
+
+
+def test_many_base_spans_in_one_text(spark):
+    import hashlib
+
+    text = "\n".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(24_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secret_battery.find_secrets(docs).first()
+    assert len(got.base) == len(got.spans) == 24_000

@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.functions.numbers import normal_tail
 from tracemill.llm.shared import written
-from tracemill.llm.text_spans import spans, with_value
+from tracemill.llm.text_spans import apart, spans, with_value
 
 #: The patterns of the base kinds.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -86,15 +87,6 @@ ALPHABETS = {
 }
 
 
-def upper_tail(z: Column) -> Column:
-    """P(Z >= z) of the standard normal, by a rational approximation of its upper tail (error under 1e-7)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
-
-
 def encoding(token: Column) -> Column:
     """Size of the inferred alphabet."""
     return (
@@ -167,7 +159,7 @@ def battery(token: Column) -> Column:
         mean, var = (k - 1) / 2, (k * k - 1) / 12
         serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / var
         z_serial = F.abs(serial) / F.sqrt(n - 1)
-        least = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
+        least = F.least(normal_tail(z_chi), 2 * normal_tail(z_runs), 2 * normal_tail(z_serial))
         uniform = F.greatest(F.least(3 * least, F.lit(1.0)), F.lit(1e-300))
         ratio = x["bits"] - n * F.log2(k) - math.log2(len(ALPHABETS))  # the alphabet was chosen by its characters
         return F.struct(k.cast("int").alias("size"), F.greatest(ratio * math.log10(2) + F.log10(uniform), F.lit(0.0)).alias("score"))
@@ -213,7 +205,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     scanned = scan(docs)
     found = thresholds(scanned)
     accepted = F.filter("candidates", lambda c: F.coalesce(_bin(c["test"]["score"]) >= _least(c, found), F.lit(False)))
-    new = F.filter(accepted, lambda c: ~F.exists("found", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    new = F.when(F.size(accepted) > 0, apart(accepted, F.col("found"))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     as_spans = F.transform(new, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return scanned.select("doc_id", F.array_sort("found").alias("base"), F.array_sort(F.concat("found", as_spans)).alias("spans"))
 
