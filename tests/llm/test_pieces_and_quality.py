@@ -165,7 +165,7 @@ def plain_verdict(lang, script, measures, n):
     if lang in fertility.BANDS:
         return inside(fertility.BANDS[lang])
     if script == "latin":
-        return any(map(inside, fertility.BANDS.values()))
+        return inside(fertility.SCRIPT_BANDS[1])
     return inside(fertility.SCRIPT_BANDS[2 if script in fertility.TWO_BYTES else 3])
 
 
@@ -173,7 +173,7 @@ def test_measures_and_verdicts_against_brute_force(spark, sf_dir):
     byte_level, pieces = Tokenizer.from_file(queries.BYTE_BPE), sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     rows = [(r.doc_id, r.text, r.lang if r.doc_id % 5 else None) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(10**6 + i, t, lang) for i, (t, lang) in enumerate([("привет мир и всё " * 2 + " ".join(f"слово{i}" for i in range(60)), "ru"), (" ".join("日本語が" + chr(0x4E00 + 31 * i) for i in range(80)), None), (" ".join(f"{i * 77 % 991}" for i in range(80)), "xx"), (" \x0b a b a b a \n a b a b \n\n a b a b " * 3, "en")])]
-    judged = fertility.judge(fertility.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.BYTE_BPE, queries.PIECES))
+    judged = fertility.judge(fertility.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.BYTE_BPE, queries.PIECES), fertility.BANDS)
     got = {r.doc_id: r for r in judged.select("doc.doc_id", "*").collect()}
     for doc_id, text, lang in rows:
         g, base = got[doc_id], plain_base(text)
@@ -202,7 +202,7 @@ def test_clean_documents_stay_and_junk_goes(spark):
     # Texts in another script but of the same language code fall out of that language's band.
     strange = spark.createDataFrame([(10**6 + i, "ꆏꉙ ꊈꋊ ꌠꍇ " * 10 + " ".join(chr(0xA000 + 7 * (i + j)) * 3 for j in range(300)), "en") for i in range(5)], "doc_id long, text string, lang string")
     rows = docs.select("doc_id", "text", "lang").union(strange)
-    judged = fertility.judge(fertility.measured(rows, queries.BYTE_BPE, queries.PIECES)).select("doc.doc_id", "kept", "byte_share", "base_failed").collect()
+    judged = fertility.judge(fertility.measured(rows, queries.BYTE_BPE, queries.PIECES), fertility.BANDS).select("doc.doc_id", "kept", "byte_share", "base_failed").collect()
     found = [r for r in judged if r.doc_id >= 10**6]
     assert len(found) == 5 and all(r.byte_share > 0.5 and not r.kept and not r.base_failed for r in found)
 
@@ -213,7 +213,7 @@ def test_verdict_depends_on_the_row_alone(spark):
     labelled = docs.join(labels, "doc_id").select("doc_id", "text", "lang", "quality").filter("lang = 'en' and doc_id % 4 = 0")
     poor = labelled.filter("quality = 0")
     mixed = labelled.filter("quality = 1").select("doc_id", "text", "lang").union(poor.crossJoin(spark.range(5)).select("doc_id", "text", "lang"))
-    verdict = lambda d: {(r.doc_id, r.kept) for r in fertility.judge(fertility.measured(d, queries.BYTE_BPE, queries.PIECES)).filter("not base_failed").select("doc.doc_id", "kept").collect()}
+    verdict = lambda d: {(r.doc_id, r.kept) for r in fertility.judge(fertility.measured(d, queries.BYTE_BPE, queries.PIECES), fertility.BANDS).filter("not base_failed").select("doc.doc_id", "kept").collect()}
     ids = {r.doc_id for r in poor.collect()}
     alone = verdict(poor.select("doc_id", "text", "lang"))
     assert alone == {v for v in verdict(mixed) if v[0] in ids}
@@ -222,10 +222,19 @@ def test_verdict_depends_on_the_row_alone(spark):
 
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, None, "c", 1) for i, t in enumerate(ODD)] + [(None, "a b c " * 300, "en", "c", 1)], "doc_id long, text string, lang string, kept string, n_words int")
-    got = fertility.judge(fertility.measured(docs, queries.BYTE_BPE, queries.PIECES)).select("doc.doc_id", "n_words", "n_repeat_words", "kept", "script").collect()
+    got = fertility.judge(fertility.measured(docs, queries.BYTE_BPE, queries.PIECES), fertility.BANDS).select("doc.doc_id", "n_words", "n_repeat_words", "kept", "script").collect()
     assert len(got) == len(ODD) + 1 and not any(r.kept for r in got)
     assert {r.n_words for r in got if r.doc_id in (0, 1, 2)} == {0}
     assert [r.n_repeat_words for r in got if r.doc_id is None] == [900]
-    assert fertility.judge(fertility.measured(docs.limit(0), queries.BYTE_BPE, queries.PIECES)).count() == 0
+    assert fertility.judge(fertility.measured(docs.limit(0), queries.BYTE_BPE, queries.PIECES), fertility.BANDS).count() == 0
     script = lambda t: fertility.main_script(fertility.letters_of(t))
     assert script("привет a") == "cyrillic" and script("...") == "none" and script("日本語") == "han"
+
+
+def test_ordinary_prose_of_languages_without_bands_stays(spark):
+    italian = "La mattina seguente il vecchio pescatore uscì di casa prima dell'alba e scese lentamente verso il porto, dove le barche dondolavano piano sull'acqua scura. Nessuno parlava ancora; si sentiva soltanto il vento tra le corde e qualche gabbiano lontano. Pensò alla moglie, ai figli partiti per la città, e alla lettera che teneva in tasca da tre giorni senza trovare il coraggio di aprirla davvero."
+    polish = "Następnego ranka stary rybak wyszedł z domu przed świtem i powoli zszedł do portu, gdzie łodzie kołysały się cicho na ciemnej wodzie. Nikt jeszcze nie rozmawiał; słychać było tylko wiatr w linach i kilka odległych mew. Myślał o żonie, o dzieciach, które wyjechały do miasta, oraz o liście, który od trzech dni nosił w kieszeni, nie mając odwagi go otworzyć ani komukolwiek pokazać przed niedzielą."
+    english = "The next morning the old fisherman left his house before dawn and walked slowly down to the harbour, where the boats were rocking gently on the dark water. Nobody was talking yet; there was only the wind among the ropes and a few distant gulls. He thought about his wife, about the children who had moved to the city, and about the letter that he had carried for three days without daring to open it."
+    rows = spark.createDataFrame([(1, italian, "it"), (2, polish, None), (3, english, None), (4, "x" * 4000 + " zq" * 60, "it")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in fertility.judge(fertility.measured(rows, queries.BYTE_BPE, queries.PIECES), fertility.BANDS).select("doc.doc_id", "kept").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}

@@ -4,11 +4,11 @@ Base rules need only the text. The method adds tokeniser fertility: characters p
 byte-level vocabulary, share of byte-fallback tokens and entropy of the tokens under a vocabulary
 with byte fallback. Each measure is compared with a band: middle plus or minus WIDTH spreads, wider
 by sqrt(1 + SHORT / n_tokens), since the measures of short texts spread more. Bands are fixed
-parameters, so a row's verdict depends on the row alone, and every text gets one. BANDS holds those
-of languages, fitted once by ``fit_bands`` on the documents of sf0.1 that are labelled good and pass
-the base rules. A Latin text of no given or no known language must lie in the bands of one of these
-languages. For other scripts, and texts without letters, there are no labels: their bands are wide,
-assumed from the bytes of a letter, and reject what no writing in that script gives.
+parameters, so a row's verdict depends on the row alone, and every text gets one. Those of languages
+are the caller's: ``fit_bands`` takes them from rows that are known to be good. BANDS are for corpora
+like the documents of sf0.1, whose prose is invented; ordinary writing has more characters a token.
+For scripts, and texts of no given or no known language or without letters, there are no labels: their
+bands are wide, assumed from the bytes of a letter, and reject what no writing in that script gives.
 
 Nulls: a null text is an empty one and fails the base rules; a null doc_id is kept as it is;
 repeated rows are judged alike. The result carries every column of the input in the struct ``doc``,
@@ -36,15 +36,16 @@ from tracemill.llm.worker_cache import hold
 WIDTH = 4.0
 SHORT = 300.0
 FLOOR = {"chars_per_token": 0.03, "byte_share": 0.02, "entropy": 0.1}
-#: By language and measure: middle, its slope over log2(n_tokens), spread.
+#: By language and measure: middle, its slope over log2(n_tokens), spread; of the good documents of sf0.1.
 BANDS = {
     "de": {"chars_per_token": (2.035, 0.0, 0.033), "byte_share": (0.0, 0.0, 0.02), "entropy": (4.914, 0.162, 0.1)},
     "en": {"chars_per_token": (2.243, 0.0, 0.036), "byte_share": (0.0, 0.0, 0.02), "entropy": (4.693, 0.202, 0.1)},
     "es": {"chars_per_token": (1.768, 0.0, 0.034), "byte_share": (0.0, 0.0, 0.02), "entropy": (4.826, 0.174, 0.107)},
     "fr": {"chars_per_token": (1.851, 0.0, 0.036), "byte_share": (0.0, 0.0, 0.02), "entropy": (5.023, 0.145, 0.1)},
 }
-#: Likewise for other scripts, assumed, by the UTF-8 bytes of a letter: from a token a byte to whole words, any byte share.
+#: Likewise for scripts, assumed, by the UTF-8 bytes of a letter: from a token a byte to whole words; any byte share but for Latin.
 SCRIPT_BANDS = {
+    1: {"chars_per_token": (3.2, 0.0, 0.5), "byte_share": (0.0, 0.0, 0.03), "entropy": (6.0, 0.0, 0.75)},
     2: {"chars_per_token": (1.5, 0.0, 0.28), "byte_share": (0.5, 0.0, 0.125), "entropy": (6.0, 0.0, 0.6)},
     3: {"chars_per_token": (1.1, 0.0, 0.21), "byte_share": (0.5, 0.0, 0.125), "entropy": (6.0, 0.0, 0.6)},
 }
@@ -229,14 +230,10 @@ def failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(rows: DataFrame, bands: dict[str, dict[str, tuple[float, float, float]]] | None = None) -> DataFrame:
-    """measured rows with base_failed and kept. bands: by language, BANDS if none are given."""
-    bands = BANDS if bands is None else bands
+def judge(rows: DataFrame, bands: dict[str, dict[str, tuple[float, float, float]]]) -> DataFrame:
+    """measured rows with base_failed and kept. bands: by language, as of fit_bands; other texts go by their script."""
     lang = F.col("doc.lang").cast("string") if "lang" in rows.schema["doc"].dataType.names else F.lit(None).cast("string")
-    any_language = F.lit(False)
-    for band in bands.values():
-        any_language |= _inside(band)
-    inside = F.when(F.col("script") == "latin", any_language).when(F.col("script").isin(*TWO_BYTES), _inside(SCRIPT_BANDS[2])).otherwise(_inside(SCRIPT_BANDS[3]))
+    inside = F.when(F.col("script") == "latin", _inside(SCRIPT_BANDS[1])).when(F.col("script").isin(*TWO_BYTES), _inside(SCRIPT_BANDS[2])).otherwise(_inside(SCRIPT_BANDS[3]))
     for name, band in bands.items():
         inside = F.when(lang == name, _inside(band)).otherwise(inside)
     return rows.withColumn("base_failed", failed()).withColumn("kept", ~failed() & inside)

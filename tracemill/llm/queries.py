@@ -32,7 +32,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = fertility.judge(fertility.measured(docs, BYTE_BPE, PIECES).withColumn("doc", F.col("doc").dropFields("text")))
+    judged = fertility.judge(fertility.measured(docs, BYTE_BPE, PIECES).withColumn("doc", F.col("doc").dropFields("text")), fertility.BANDS)
     return judged.select(
         "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *(F.round(m, 6).alias(m) for m in fertility.MEASURES), "script",
