@@ -1,121 +1,353 @@
-"""Zero-phase filters and peak events on traces(roi, i, t, value) sampled every dt."""
+"""Zero-phase filters and peak events on traces(roi, i, t, value) sampled every dt; i counts from 0.
+
+A low-pass applied forward and backward has a real response, so a trace is filtered by one multiplication
+in the frequency domain, after REACH timescales of padding at either end, where the two-way response has
+died away (below 1e-12): no kernel is cut off. All passes of a filter happen in one task on one stretch of
+a trace. Stretches of CHUNK samples overlap by as much as the passes reach, so a trace of any length is
+spread over tasks; only a masked run longer than the overlap would be bridged from nearer samples.
+A null sample makes what is made of its stretch null; an empty table gives no row.
+"""
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tracemill.functions.numbers import sigma
+from tracemill.functions.tables import numbered, written
 
 ORDER = 5
-REACH = 7  # half length of a kernel in timescales
+REACH = 30  # timescales of padding
+CHUNK = 1 << 18
+MAD = 1.4826  # deviations of a normal variable in its median absolute deviation
 
+EVENT = "peakpoint double, z_max double, t0 double, halfwidth double, height double, auc double, time array<double>, trace array<double>"
 
+
+@functools.lru_cache
 def kernel(samples: int, order: int = ORDER, reach: int = REACH) -> list[float]:
-    """Symmetric kernel of a low-pass applied forward and backward, cut off at samples per timescale.
+    """The filter as a symmetric kernel, cut off at reach timescales: the cosine transform of its response."""
+    f = (np.arange(4096) + 0.5) / 4096
+    at = gain_at(f, samples, order)
+    half = np.array([(at * np.cos(np.pi * f * j)).mean() for j in range(reach * samples + 1)])
+    return np.concatenate([half[:0:-1], half]).tolist()
 
-    The two-way response of a Butterworth filter is 1 / (1 + (tan(pi f / 2) / tan(pi fc / 2)) ^ (2 order)),
-    with frequencies relative to half the sampling rate; the kernel is its cosine transform, normalised.
-    """
-    f = (np.arange(20_000) + 0.5) / 20_000
-    response = 1 / (1 + (np.tan(np.pi * f / 2) / np.tan(np.pi / samples / 2)) ** (2 * order))
-    half = np.array([(response * np.cos(np.pi * f * j)).mean() for j in range(reach * samples + 1)])
-    whole = np.concatenate([half[:0:-1], half])
-    return [float(x) for x in np.round(whole / whole.sum(), 12)]
 
+def gain_at(f: np.ndarray, samples: float, order: int = ORDER) -> np.ndarray:
+    """1 / (1 + (tan(pi f / 2) / tan(pi fc / 2)) ^ (2 order)), frequencies relative to half the sampling rate."""
+    return 1 / (1 + (np.tan(np.pi * f / 2) / math.tan(math.pi / samples / 2)) ** (2 * order))
 
-def response(frequency: Column, samples: int, order: int = ORDER) -> Column:
+
+def response(frequency: Column, samples: float, order: int = ORDER) -> Column:
     """The two-way gain at a frequency relative to half the sampling rate."""
-    return 1 / (1 + F.pow(F.tan(frequency * float(np.pi / 2)) / float(np.tan(np.pi / samples / 2)), F.lit(2.0 * order)))
+    return 1 / (1 + F.pow(F.tan(frequency * math.pi / 2) / math.tan(math.pi / samples / 2), F.lit(2.0 * order)))
+
+
+def smoothed(v: np.ndarray, samples: float, mirror: bool = False, order: int = ORDER) -> np.ndarray:
+    """v through the two-way low-pass. The ends go on by odd reflection, or as a mirror for one timescale and level beyond."""
+    n, width = len(v), math.ceil(REACH * samples)
+    j = np.arange(1, width + 1)
+    if mirror:
+        at = np.minimum(j, min(max(int(samples), 1), n)) - 1
+        left, right = v[at], v[n - 1 - at]
+    else:
+        left, right = 2 * v[0] - v[np.minimum(j, n - 1)], 2 * v[-1] - v[np.maximum(n - 1 - j, 0)]
+    whole = np.concatenate([left[::-1], v, right])
+    f = np.arange(len(whole) // 2 + 1) * 2 / len(whole)
+    return np.fft.irfft(np.fft.rfft(whole) * gain_at(f, samples, order), len(whole))[width : width + n]
+
+
+def widened(mask: np.ndarray, size: int) -> np.ndarray:
+    """A mask widened by an odd kernel."""
+    if size < 3 or not mask.any():
+        return mask
+    sums = np.concatenate([[0], np.cumsum(np.pad(mask, size // 2))])
+    return sums[size:] > sums[:-size]
+
+
+def odd(size: float) -> int:
+    return int(size) + 1 - int(size) % 2
+
+
+def without_excursions(v: np.ndarray, samples: float, cutoff: float, passes: int) -> np.ndarray:
+    """The slow part of v: each pass masks z above the cutoff, widens the mask by a tenth of the timescale,
+    replaces masked samples by the line between the nearest unmasked values of the slow part, and filters
+    again. The first and last two samples are never masked."""
+    slow, clean, at = smoothed(v, samples), v.copy(), np.arange(len(v))
+    for _ in range(passes):
+        masked = widened((v - slow) / np.sqrt(np.maximum(slow, 3.0)) > cutoff, odd(samples // 10))
+        masked[:2] = masked[-2:] = False
+        clean[masked] = np.interp(at[masked], at[~masked], slow[~masked])
+        slow = smoothed(clean, samples)
+    return slow
+
+
+def without_excursions_lines(v: np.ndarray, samples: float, gain: float, cutoff: float, passes: int, dilation: bool) -> np.ndarray:
+    """Likewise for lines of photon counts: deviations are sqrt(gain x slow + 1), the mask is widened by a
+    fifth of the timescale, and masked samples are bridged by the trace itself. A trace all masked stays as it is."""
+    slow, at = smoothed(v, samples, mirror=True), np.arange(len(v))
+    for _ in range(passes if cutoff else 0):
+        masked = v - slow > cutoff * np.sqrt(np.maximum(slow * gain + 1, 0.0))
+        masked = widened(masked, odd(samples * 0.2)) if dilation else masked
+        if masked.any() and not masked.all():
+            clean = v.copy()
+            clean[masked] = np.interp(at[masked], at[~masked], v[~masked])
+            slow = smoothed(clean, samples, mirror=True)
+    return slow
+
+
+def stretches(df: DataFrame, keys: list[str], columns: list[str], reach: int | None) -> DataFrame:
+    """keys, part and rows, the samples of a stretch in order; without reach a stretch is a whole trace."""
+    if reach is None:
+        parted = df.withColumn("part", F.lit(0).cast("long"))
+    else:
+        first, last = F.greatest(F.floor((F.col("i") - reach) / CHUNK), F.lit(0)), F.floor((F.col("i") + reach) / CHUNK)
+        parted = df.withColumn("part", F.explode(F.sequence(first, last)))
+    return parted.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("i", *columns))).alias("rows"))
+
+
+def _columns(rows: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of the traces in a batch, and the columns of their samples."""
+    bounds = rows.offsets.to_numpy().astype(np.int64)
+    flat = rows.flatten()
+    columns = [flat.field(flat.type.get_field_index(c)) for c in names]
+    return bounds - bounds[0], [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def traced(df: DataFrame, keys: list[str], needed: list[str], made: list[str], f: Callable[..., tuple], reach: int | None = None) -> DataFrame:
+    """df with columns made by f of the arrays of the needed columns of each trace."""
+    others = [c for c in df.columns if c not in keys and c != "i" and c not in made]
+    rows = stretches(df, keys, others, reach)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, columns = _columns(batch.column("rows"), needed)
+            results = [f(*(c[a:b] for c in columns)) for a, b in zip(bounds, bounds[1:], strict=False)]
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(r), from_pandas=True)) for r in zip(*results, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(lists or [pa.array([], pa.list_(pa.float64()))] * len(made))], names=schema.names)
+
+    flat = rows.mapInArrow(run, schema).select(*keys, "part", F.explode(F.arrays_zip("rows", *made)).alias("p"))
+    own = flat if reach is None else flat.filter(F.floor(F.col("p.rows.i") / CHUNK) == F.col("part"))
+    return own.select(*keys, "p.rows.i", *(F.col(f"p.rows.{c}").alias(c) for c in others), *(F.col(f"p.{c}").alias(c) for c in made))
+
+
+def reach_of(samples: float, passes: int) -> int:
+    return math.ceil(REACH * samples) * (passes + 1)
+
+
+def lowpass(df: DataFrame, samples: float, keys=("roi",), column: str = "value", out: str = "slow") -> DataFrame:
+    """out = column through the two-way low-pass of samples a timescale, the ends extended by odd reflection."""
+    source = df.withColumn("_", F.col(column)) if out == column else df
+    return traced(source, list(keys), ["_" if out == column else column], [out], lambda v: (smoothed(v, samples),), reach_of(samples, 0)).drop("_")
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return df.withColumn("fast", F.col("value") - F.col("slow")).withColumn("z", F.col("fast") / sigma(F.col("slow")))
+
+
+def fast_filter(df: DataFrame, samples: float, cutoff: float = 3.0, passes: int = 3, keys=("roi",)) -> DataFrame:
+    """slow, fast and z, with excursions taken out of slow (``without_excursions``)."""
+    return scored(traced(df, list(keys), ["value"], ["slow"], lambda v: (without_excursions(v, samples, cutoff, passes),), reach_of(samples, passes)))
 
 
-def lowpass(df: DataFrame, samples: int, keys=("roi",), column: str = "value", out: str = "slow") -> DataFrame:
-    """out = column through the kernel, the ends extended by odd reflection.
+def fast_filter_lines(df: DataFrame, samples: float, gain: float = 1.0, cutoff: float = 3.0, passes: int = 2, dilation: bool = True, keys=("roi",)) -> DataFrame:
+    """slow, fast and z of line scans (``without_excursions_lines``); a cutoff of 0 masks nothing."""
+    rows = traced(df, list(keys), ["value"], ["slow"], lambda v: (without_excursions_lines(v, samples, gain, cutoff, passes, dilation),), reach_of(samples, passes))
+    fast = F.col("value") - F.col("slow")
+    return rows.withColumn("fast", fast).withColumn("z", F.col("fast") / F.sqrt(F.col("slow") * gain + 1))
 
-    A trace is one array while it is filtered; its other columns stay beside each sample.
+
+def running_average(v: np.ndarray, size: int) -> np.ndarray:
+    """Means of an odd number of samples; the ends are mirrored."""
+    if size < 3:
+        return v
+    half = min(size // 2, len(v))
+    whole = np.concatenate([v[:half][::-1], v, v[len(v) - half :][::-1]])
+    return np.lib.stride_tricks.sliding_window_view(whole, 2 * half + 1).mean(axis=1)
+
+
+def local_maxima(z: np.ndarray) -> np.ndarray:
+    """Middles of level stretches that are higher than what comes before and after them."""
+    if len(z) < 3:
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, z[1:] != z[:-1]))
+    ends = np.append(starts[1:], len(z)) - 1
+    level = z[starts]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    return (starts[top] + ends[top]) // 2
+
+
+def left_bases(z: list[float]) -> tuple[list[float], list[int]]:
+    """For each sample the lowest value after the last higher sample before it, itself included, and the nearest place of it.
+
+    One pass with a stack of falling samples, each with the lowest value since the one below it.
     """
-    weights = kernel(samples)
-    half = len(weights) // 2
-    others = [c for c in df.columns if c not in keys]
-    whole = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", *(c for c in others if c != "i")))).alias("rows"))
-    v = F.transform("rows", lambda r: r[column])
-    n = F.size("v")
-    first, last = F.element_at("v", 1), F.element_at("v", -1)
-    left = F.transform(F.sequence(F.lit(half), F.lit(1), F.lit(-1)), lambda j: 2 * first - F.element_at("v", F.least(j, n - 1) + 1))
-    right = F.transform(F.sequence(F.lit(1), F.lit(half)), lambda j: 2 * last - F.element_at("v", F.greatest(n - 1 - j, F.lit(0)) + 1))
-    padded = whole.withColumn("v", v).withColumn("v", F.concat(left, "v", right)).withColumn("w", F.array(*map(F.lit, weights)))
-    dot = lambda r, k: F.aggregate(F.zip_with(F.slice("v", k + 1, F.lit(len(weights))), F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    filtered = padded.withColumn("s", F.transform("rows", dot))
-    flat = filtered.select(*keys, F.explode(F.arrays_zip("rows", "s")).alias("p"))
-    return flat.select(*keys, *(F.col(f"p.rows.{c}").alias(c) for c in others if c != out), F.col("p.s").alias(out))
-
-
-def fast_filter(df: DataFrame, samples: int, cutoff: float = 3.0, passes: int = 3, keys=("roi",)) -> DataFrame:
-    """slow, fast and z, with excursions taken out of slow.
-
-    Each pass masks z above the cutoff, widens the mask by an odd kernel of a tenth of the timescale
-    if that is 3 or more, replaces masked samples by the line between the nearest unmasked values of
-    slow and filters again. The first and last two samples are never masked.
+    lows, places, stack = [], [], []
+    for i, v in enumerate(z):
+        low, place = v, i
+        while stack and stack[-1][0] <= v:
+            _, below, at = stack.pop()
+            if below < low:
+                low, place = below, at
+        stack.append((v, low, place))
+        lows.append(low)
+        places.append(place)
+    return lows, places
+
+
+def peak_events(z: np.ndarray, z_th: float, least: float, most: float) -> list[tuple[int, float, float]]:
+    """(peak, left end, right end) of the local maxima of at least z_th whose width at half their prominence is least to most samples.
+
+    The prominence is the height over the higher of the two bases, the lowest samples before the next
+    higher sample, or the end, on either side. Ends are where the line between samples crosses half of it.
     """
-    wide = samples // 10
-    wide += 1 - wide % 2
-    order = Window.partitionBy(*keys).orderBy("i")
-    now = lowpass(df, samples, keys).withColumn("clean", F.col("value"))
-    for _ in range(passes):
-        above = (F.col("value") - F.col("slow")) / sigma(F.col("slow")) > cutoff
-        rows = now.withColumn("masked", above.cast("int"))
-        if wide >= 3:
-            rows = rows.withColumn("masked", F.max("masked").over(order.rowsBetween(-(wide // 2), wide // 2)))
-        back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("i")))
-        rows = rows.withColumn("free", (F.col("masked") == 0) | (F.row_number().over(order) <= 2) | (back <= 2))
-        point = F.when(F.col("free"), F.struct("i", "slow"))
-        rows = rows.withColumn("a", F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-        line = F.col("a.slow") + (F.col("b.slow") - F.col("a.slow")) * (F.col("i") - F.col("a.i")) / F.nullif(F.col("b.i") - F.col("a.i"), F.lit(0))
-        rows = rows.withColumn("clean", F.when(F.col("free"), F.col("clean")).otherwise(line)).drop("masked", "free", "a", "b")
-        now = lowpass(rows, samples, keys, "clean")
-    return now.drop("clean").withColumn("fast", F.col("value") - F.col("slow")).withColumn("z", F.col("fast") / sigma(F.col("slow")))
-
-
-def detect_events(df: DataFrame, samples: int, dt: float, z_th: float = 3.0, least: float = 0.1, keys=("roi",)) -> DataFrame:
-    """Local maxima of z of at least z_th as events between the crossings of half their prominence.
-
-    Prominence is the height over the higher of the two lowest points up to the next higher sample
-    on either side, within 8 timescales. Kept if the width is least to 1 timescales.
+    if np.isnan(z).any():
+        return []
+    peaks = local_maxima(z)
+    peaks = peaks[z[peaks] >= z_th]
+    if not len(peaks):
+        return []
+    values = z.tolist()
+    n = len(values)
+    low_l, at_l = left_bases(values)
+    low_r, at_r = left_bases(values[::-1])
+    found = []
+    for p in peaks.tolist():
+        half = values[p] - (values[p] - max(low_l[p], low_r[n - 1 - p])) * 0.5
+        i, first = p, at_l[p]
+        while first < i and half < values[i]:
+            i -= 1
+        begin = i + (half - values[i]) / (values[i + 1] - values[i]) if values[i] < half else float(i)
+        i, last = p, n - 1 - at_r[n - 1 - p]
+        while i < last and half < values[i]:
+            i += 1
+        end = i - (half - values[i]) / (values[i - 1] - values[i]) if values[i] < half else float(i)
+        if least <= end - begin <= most:
+            found.append((p, begin, end))
+    return found
+
+
+def events_of(z: np.ndarray, fast: np.ndarray | None, slow: np.ndarray | None, t: np.ndarray, samples: float, dt: float, z_th: float, least: float, smooth: int) -> list[tuple]:
+    """Rows of EVENT of one trace."""
+    z = running_average(z, smooth)
+    fast = None if fast is None else running_average(fast, smooth)
+    rows = []
+    for p, begin, end in peak_events(z, z_th, least * samples, samples):
+        a, b = int(begin), min(int(end + 2), len(z))
+        height = auc = trace = None
+        if fast is not None:
+            height, auc, trace = float(fast[p] / slow[p]), float((fast[a:b] / slow[a:b]).sum() * dt), (fast[a:b] + slow[a:b]).tolist()
+        rows.append((float(p * dt + t[0]), float(z[p]), float(begin * dt + t[0]), float((end - begin) * dt), height, auc, t[a:b].tolist(), trace))
+    return rows
+
+
+def smoothing(samples: float) -> int:
+    """The default size of the running average before a search: a tenth of the timescale, made odd."""
+    return odd(samples / 10)
+
+
+def _event_batch(batch: pa.RecordBatch, keys: list[str], found: list[tuple[int, tuple]]) -> pa.RecordBatch:
+    kinds = [pa.float64()] * 6 + [pa.list_(pa.float64())] * 2
+    origin = pa.array([k for k, _ in found], pa.int64())
+    columns = list(zip(*(row for _, row in found), strict=True)) or [[]] * len(kinds)
+    names = [c.split(" ")[0] for c in EVENT.split(", ")]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(origin) for c in keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keys, *names])
+
+
+def detect_events(df: DataFrame, samples: float, dt: float, z_th: float = 3.0, least: float = 0.1, keys=("roi",), smooth: int | None = None) -> DataFrame:
+    """keys and EVENT: peaks of z of at least z_th, between the crossings of half their prominence, that are least to 1 timescales wide.
+
+    z and fast are first averaged over smooth samples. height is fast over slow at the peak, auc the sum of
+    that ratio over the event times dt, time and trace its samples; without fast and slow these are null.
+    The search follows a trace from end to end, so each trace is one array in one task. A trace with a
+    null sample has no event.
+    """
+    keys = list(keys)
+    whole = {"fast", "slow"} <= set(df.columns)
+    needed = ["z", *(["fast", "slow"] if whole else [])]
+    timed = df if "t" in df.columns else df.withColumn("t", F.col("i") * dt)
+    rows = stretches(timed, keys, [*needed, "t"], None)
+    size = smoothing(samples) if smooth is None else smooth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, columns = _columns(batch.column("rows"), [*needed, "t"])
+            found = []
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                z, *both, t = (c[a:b] for c in columns)
+                fast, slow = both or (None, None)
+                found += [(k, row) for row in events_of(z, fast, slow, t, samples, dt, z_th, least, size)]
+            yield _event_batch(batch, keys, found)
+
+    schema = T.StructType([*(rows.schema[c] for c in keys), *T._parse_datatype_string(EVENT).fields])
+    return rows.mapInArrow(run, schema)
+
+
+def default_timescales() -> list[float]:
+    """Quarter octaves from 4 to 256, to three digits."""
+    return sorted({float(f"{2 ** (2 + k / 4):.3g}") for k in range(25)})
+
+
+def candidate_events(df: DataFrame, dt: float, timescales: list[float] | None = None, cutoff: float = 2.0, passes: int = 3, z_th: float = 3.0, keys=("roi",), mode: str = "soft", smooth: int | None = None) -> DataFrame:
+    """event_id, its, ts, keys and EVENT: events of every timescale (in units of dt) that is longer than five samples and shorter than a third of its trace.
+
+    z is first divided by the median over the traces of a recording (all keys but the last) of their
+    deviations ("soft"), or by each trace's own MAD ("hard"); any other mode leaves it. event_id numbers
+    the events by (its, keys, t0) from 0 without a gap. A trace is filtered at all its timescales by one task.
     """
     keys = list(keys)
-    w = 8 * samples
-    order = Window.partitionBy(*keys).orderBy("i")
-    peaks = df.withColumn("before", F.lag("z").over(order)).withColumn("after", F.lead("z").over(order)).filter((F.col("z") >= z_th) & (F.col("z") > F.col("before")) & (F.col("z") >= F.col("after")))
-    p = peaks.select(*keys, F.col("i").alias("p"), F.col("z").alias("zp"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("i") / w) + d)).alias("bin"))
-    near = df.select(*keys, F.col("i").alias("j"), F.col("z").alias("zj"), F.floor(F.col("i") / w).alias("bin"))
-    both = p.join(near, [*keys, "bin"]).filter(F.abs(F.col("j") - F.col("p")) <= w)
-    left, right = F.col("j") < F.col("p"), F.col("j") > F.col("p")
-    around = Window.partitionBy(*keys, "p")
-    both = both.withColumn("lo", F.max(F.when(left & (F.col("zj") > F.col("zp")), F.col("j"))).over(around)).withColumn("hi", F.min(F.when(right & (F.col("zj") > F.col("zp")), F.col("j"))).over(around))
-    inside = both.filter((F.col("lo").isNull() | (F.col("j") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("j") < F.col("hi"))))
-    base = F.greatest(F.coalesce(F.min(F.when(left, F.col("zj"))).over(around), F.col("zp")), F.coalesce(F.min(F.when(right, F.col("zj"))).over(around), F.col("zp")))
-    half = inside.withColumn("half", F.col("zp") - (F.col("zp") - base) / 2)
-    low = F.max(F.when(left & (F.col("zj") <= F.col("half")), F.struct("j", "zj"))).alias("l")
-    high = F.min(F.when(right & (F.col("zj") <= F.col("half")), F.struct("j", "zj"))).alias("r")
-    ends = half.groupBy(*keys, "p", "zp", "half").agg(low, high).filter("l is not null and r is not null")
-    next_l = df.select(*keys, (F.col("i") - 1).alias("lj"), F.col("z").alias("zl"))
-    next_r = df.select(*keys, (F.col("i") + 1).alias("rj"), F.col("z").alias("zr"))
-    ends = ends.withColumn("lj", F.col("l.j")).withColumn("rj", F.col("r.j")).join(next_l, [*keys, "lj"]).join(next_r, [*keys, "rj"])
-    x0 = F.col("lj") + (F.col("half") - F.col("l.zj")) / (F.col("zl") - F.col("l.zj"))
-    x1 = F.col("rj") - (F.col("half") - F.col("r.zj")) / (F.col("zr") - F.col("r.zj"))
-    out = ends.select(*keys, (F.col("p") * dt).alias("peakpoint"), F.col("zp").alias("z_max"), (x0 * dt).alias("t0"), ((x1 - x0) * dt).alias("halfwidth"))
-    return out.filter(F.col("halfwidth").between(least * samples * dt, samples * dt))
-
-
-def candidate_events(df: DataFrame, timescales: list[int], dt: float, cutoff: float = 2.0, passes: int = 3, z_th: float = 3.0, keys=("roi",)) -> DataFrame:
-    """Events of every timescale (in samples), with its number and an id that is dense over (timescale, key, time)."""
-    every = None
-    for its, samples in enumerate(timescales):
-        z = fast_filter(df, samples, cutoff, passes, keys)
-        scale = z.agg(F.lit(1).alias("one"), F.stddev_pop("z").alias("s")).select("s")
-        found = detect_events(z.crossJoin(F.broadcast(scale)).withColumn("z", F.col("z") / F.col("s")), samples, dt, z_th, keys=keys).withColumn("its", F.lit(its)).withColumn("ts", F.lit(samples * dt))
-        every = found if every is None else every.unionByName(found)
-    own = Window.partitionBy("its", *keys).orderBy("t0", "peakpoint")
-    return every.withColumn("rank", F.row_number().over(own)).withColumn("event_id", F.xxhash64("its", *keys, "rank"))
+    scales = sorted(set(default_timescales() if timescales is None else map(float, timescales)))
+    scales = [ts for ts in scales if ts > 5 * dt] if timescales is None else scales
+    timed = df if "t" in df.columns else df.withColumn("t", F.col("i") * dt)
+    rows = stretches(timed, keys, ["value", "t"], None)
+    own_keys = [rows.schema[c] for c in keys]
+    kinds = [pa.int32(), pa.float64(), pa.float64(), *[pa.list_(pa.float64())] * 3]
+    names = ["its", "ts", "deviation", "times", "slow", "z"]
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, (value, time) = _columns(batch.column("rows"), ["value", "t"])
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                v, t, out = value[a:b], time[a:b], []
+                for its, ts in enumerate(scales):
+                    if timescales is None and ts >= t[-1] / 3:
+                        break
+                    slow = without_excursions(v, ts / dt, cutoff, passes)
+                    z = (v - slow) / np.sqrt(np.maximum(slow, 3.0))
+                    deviation = MAD * float(np.median(np.abs(z - np.median(z)))) if mode == "hard" else float(z.std())
+                    out.append((its, ts, deviation, t, slow, z))
+                columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array([k] * len(out), pa.int64())) for c in keys), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[*keys, *names])
+
+    made = T._parse_datatype_string("its int, ts double, deviation double, times array<double>, slow array<double>, z array<double>").fields
+    z = written(rows.mapInArrow(filtered, T.StructType([*own_keys, *made])), "filtered")
+    of = ["its", *keys[:-1]]
+    if mode == "soft":
+        middle = z.groupBy(*of).agg(F.percentile("deviation", F.lit(0.5)).alias("scale"))
+        middle = middle.select("scale", *(F.col(c).alias(f"_{c}") for c in of))
+        ready = z.join(middle, functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of))).select(*z.columns, "scale")
+    else:
+        ready = z.withColumn("scale", F.col("deviation") if mode == "hard" else F.lit(1.0))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, (ts, scale) in enumerate(zip(batch.column("ts").to_pylist(), batch.column("scale").to_pylist(), strict=True)):
+                t, slow, own = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("times", "slow", "z"))
+                fast = own * np.sqrt(np.maximum(slow, 3.0))
+                if scale:
+                    size = smoothing(ts / dt) if smooth is None else smooth
+                    found += [(k, row) for row in events_of(own / scale, fast, slow, t, ts / dt, dt, z_th, 0.1, size)]
+            yield _event_batch(batch, ["its", "ts", *keys], found)
+
+    schema = T.StructType([*made[:2], *own_keys, *T._parse_datatype_string(EVENT).fields])
+    return numbered(ready.mapInArrow(search, schema), ["its", *keys, "t0", "peakpoint"], "event_id")
