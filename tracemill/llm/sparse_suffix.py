@@ -16,7 +16,8 @@ window over it has an earlier place; that place is strictly earlier, so one copy
 What decides that two windows are equal is 128 bits: a 64-bit hash of the gram and another of the
 whole window, both of the words' 64-bit XXH3. Among 10^12 unlike windows the chance of any false match
 is below 10^-14; of two windows that differ in a single word it is 2^-63. The sort only prunes. A row is
-named by 128 bits of its doc_id and text (KEY).
+named by 128 bits of its doc_id and text (KEY). Which place of a window is the first is carried as a hash;
+were another place of the same window to have it too, that place would only stay.
 
 A text with fewer than LEAST words has no passage. Nulls: a null text is an empty one. Rows with the
 same doc_id and text count as one row with one decision; a null doc_id is the least.
@@ -199,7 +200,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(suffixes, candidate texts, repeats): repeats has KEY and spans, structs (pos, every, stays). Bit low
+    """(lengths, candidate texts, repeats): lengths has n_words, repeats has KEY and spans, structs (pos, every, stays). Bit low
     of every is set if the window that begins low words before pos occurs more than once, and of stays
     if this is its first place."""
     rows = keyed(docs)
@@ -209,26 +210,31 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = written(own.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared-grams")
     positions = each.join(shared.hint("merge"), "gram").groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("pos"))
     texts = written(rows.join(positions.hint("merge"), KEY), "candidate-texts")  # one plan at every size
+    # What is not needed any more goes at once: disk is what this operator is shortest of.
+    lengths = written(own.select("doc_id", *KEY, "n_words"), "lengths")
+    discard(own)
     around = written(texts.mapInArrow(_surrounded, SURROUNDED).select("*", F.xxhash64("right", "windows").alias("entry")), "surroundings")
     discard(shared)
     order = ["gram", "right", "entry"]
     entries = around.groupBy(*order, "windows", "least").agg(F.min(F.struct("doc_id", "dk", "pos")).alias("place"), F.count(F.lit(1)).alias("n"))
     entries = entries.select(*order, "windows", "least", "n", "place.*").repartitionByRange(partitions(docs.sparkSession), *order)
     windows = written(entries.sortWithinPartitions(*order).mapInArrow(_neighbours, WINDOW), "windows")
-    again = windows.groupBy("gram", "window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "dk", "pos")).alias("stays")).filter("n > 1").select("gram", "window", "stays")
+    places = written(around.select("gram", "entry", "doc_id", *KEY, "pos"), "places")
+    discard(around)
+    again = windows.groupBy("gram", "window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "dk", "pos")).alias("s")).filter("n > 1").select("gram", "window", F.xxhash64("s.doc_id", "s.dk", "s.pos").alias("stays"))
     again = written(again, "windows-again")
     met = windows.select("gram", "window", "entry", "low").join(again.hint("merge"), ["gram", "window"])
     matched = written(met.groupBy("gram", "entry").agg(F.collect_list(F.struct("low", "stays")).alias("reach")), "reach")  # SIDE + 1 at most
     discard(windows)
     discard(again)
-    at = around.select("gram", "entry", *KEY, "pos", F.struct("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
+    at = places.select("gram", "entry", *KEY, "pos", F.xxhash64("doc_id", "dk", "pos").alias("place")).join(matched.hint("merge"), ["gram", "entry"])
     bits = lambda f: F.aggregate("reach", F.lit(0), lambda acc, m: acc.bitwiseOR(F.when(f(m), F.call_function("shiftleft", F.lit(1), m["low"])).otherwise(0)))
-    spans = F.struct("pos", bits(lambda m: F.lit(True)).alias("every"), bits(lambda m: F.col("place").eqNullSafe(m["stays"])).alias("stays"))
+    spans = F.struct("pos", bits(lambda m: F.lit(True)).alias("every"), bits(lambda m: F.col("place") == m["stays"]).alias("stays"))
     found = at.select(*KEY, spans.alias("spans")).groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
     found = written(found, "repeats")
-    discard(around)
+    discard(places)
     discard(matched)
-    return own, texts, found
+    return lengths, texts, found
 
 
 def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -287,10 +293,10 @@ def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_repeated_words, spans and dropped (structs start, end) for every row of docs."""
-    own, texts, found = repeats(docs)
+    lengths, texts, found = repeats(docs)
     spanned = texts.select(*KEY, "text").dropDuplicates(KEY).join(found, KEY).mapInArrow(_spanned, SPANNED)
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    return own.select("doc_id", *KEY, "n_words").join(spanned, KEY, "left").select(
+    return lengths.join(spanned, KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_repeated_words", F.lit(0)).alias("n_repeated_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("dropped", empty).alias("dropped")
     )
 
@@ -316,8 +322,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; its other columns stay as they are.
     """
     key, spans = [free_name(docs, k) for k in KEY], free_name(docs, "repeat_spans")
-    own, texts, found = repeats(docs)
-    discard(own)
+    lengths, texts, found = repeats(docs)
+    discard(lengths)
     discard(texts)
     cut = found.filter(F.exists("spans", lambda s: s["every"] != s["stays"])).select(*(F.col(k).alias(own_) for k, own_ in zip(KEY, key, strict=True)), F.col("spans").alias(spans))
     text = F.col("text").cast("string")
