@@ -148,13 +148,6 @@ def correlation_to_sum(df: DataFrame, keys=("recording",)) -> DataFrame:
     return df.withColumn("total", total).groupBy(*keys, "roi").agg(F.corr("value", "total").alias("r"))
 
 
-def correlation_matrix(df: DataFrame, keys=("recording",)) -> DataFrame:
-    """Pearson correlation of all pairs of traces of a recording, roi_a < roi_b."""
-    a = df.select(*keys, "i", F.col("roi").alias("roi_a"), F.col("value").alias("a"))
-    b = df.select(*keys, "i", F.col("roi").alias("roi_b"), F.col("value").alias("b"))
-    return a.join(b, [*keys, "i"]).filter("roi_a < roi_b").groupBy(*keys, "roi_a", "roi_b").agg(F.corr("a", "b").alias("r"))
-
-
 def most_representative(scores: DataFrame, columns: list[str], k: int = 3, keys=("recording",)) -> DataFrame:
     """Rank by each column (ties share their mean rank), add the ranks, keep the k largest sums."""
     total = F.lit(0.0)

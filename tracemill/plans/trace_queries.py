@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import sigma, tidy
+from tracemill.operators import clusters as cl
 from tracemill.operators import events as ev
 from tracemill.operators import linescans as ls
 from tracemill.operators import stats
@@ -175,7 +176,7 @@ def t27(spark, sf_dir):
 
 @query("t27_correlation_matrix", b.sql("emb") + f"SELECT a.recording, a.roi AS roi_a, c.roi AS roi_b, {r('corr(a.value, c.value)')} AS r FROM tr a JOIN tr c ON a.recording = c.recording AND a.i = c.i AND a.roi < c.roi GROUP BY 1, 2, 3")
 def t27m(spark, sf_dir):
-    return tr.correlation_matrix(b.traces_emb(spark, sf_dir)).select("recording", "roi_a", "roi_b", tidy("r").alias("r"))
+    return cl.correlation_matrix(b.traces_emb(spark, sf_dir)).select("recording", "roi_a", "roi_b", tidy("r").alias("r"))
 
 
 @query("t28_most_representative", b.sql("week", then="""c0 AS (SELECT roi, i, value, sum(value) OVER (PARTITION BY i) AS total FROM tr), sc AS (SELECT roi, round(corr(value, total), 9) AS r, round(avg(value), 9) AS m FROM c0 GROUP BY roi),
@@ -221,3 +222,30 @@ def flagship(spark, sf_dir):
     n_active = active.agg(F.count(F.lit(1)).alias("n_active"))
     counts = found.filter("leg is not null").join(active, "roi", "left_semi").groupBy("leg").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(stats.leg_durations(found), "leg").crossJoin(F.broadcast(n_active)).select("leg", "n", tidy(F.col("n") / F.col("n_active") / F.col("duration") * 60).alias("rate"))
+
+
+#: Plain complete linkage: in each step the nearest pair of a recording merges, pairs of equal distance by their names.
+LINKS = """ds AS (SELECT a.recording, a.roi AS a, c.roi AS b, round(1 - corr(a.value, c.value), 9) AS d FROM tr a JOIN tr c ON a.recording = c.recording AND a.i = c.i AND a.roi < c.roi GROUP BY 1, 2, 3),
+cl AS (SELECT 0 AS step, * FROM ds UNION ALL SELECT step, recording, least(x, y), greatest(x, y), max(d) FROM (
+  SELECT step + 1 AS step, recording, d, CASE WHEN a = mb THEN ma ELSE a END AS x, CASE WHEN b = mb THEN ma ELSE b END AS y FROM (
+    SELECT *, first_value(a) OVER w AS ma, first_value(b) OVER w AS mb FROM cl WINDOW w AS (PARTITION BY recording ORDER BY d, a, b))) WHERE x != y GROUP BY step, recording, least(x, y), greatest(x, y)),
+mg AS (SELECT recording, a, b, d AS height FROM cl QUALIFY row_number() OVER (PARTITION BY recording, step ORDER BY d, a, b) = 1)"""
+CUT = 4
+
+
+def linked(spark, sf_dir):
+    pairs = cl.distances(b.traces_emb(spark, sf_dir)).withColumn("d", F.round("d", 9))
+    return cl.complete_linkage(pairs)
+
+
+@query("t33_cluster_traces", b.sql("emb", then=LINKS) + f"SELECT recording, a, b, {r('height')} AS height FROM mg")
+def t33(spark, sf_dir):
+    return linked(spark, sf_dir).select("recording", "a", "b", tidy("height").alias("height"))
+
+
+@query("t33_cut_clusters", b.sql("emb", then=LINKS + f""", le AS (SELECT recording, height AS least FROM (SELECT mg.recording, height, row_number() OVER (PARTITION BY mg.recording ORDER BY height, a, b) AS place, n FROM mg JOIN (SELECT recording, count(DISTINCT roi) AS n FROM tr GROUP BY 1) USING (recording)) WHERE place = n - {CUT}),
+kp AS (SELECT recording, a, b FROM mg JOIN le USING (recording) WHERE height <= least),
+up AS (SELECT DISTINCT recording, roi, roi AS name FROM tr UNION ALL SELECT up.recording, up.roi, kp.a FROM up JOIN kp ON kp.recording = up.recording AND kp.b = up.name)""") + "SELECT recording, roi, min(name) AS cluster FROM up GROUP BY 1, 2")
+def t33_cut(spark, sf_dir):
+    rois = b.traces_emb(spark, sf_dir).select("recording", "roi").distinct()
+    return cl.cut_tree(linked(spark, sf_dir), rois, count=CUT)
