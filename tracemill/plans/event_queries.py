@@ -250,6 +250,12 @@ def a9(spark, sf_dir):
     return found.select("leg", *(tidy(c).alias(c) for c in ("coef", "se", "z", "p", "effect", "theta")))
 
 
+@query("a9_effect_nested")
+def a9_nested(spark, sf_dir):
+    found = mixed.effect_nested(legged(spark, sf_dir), "halfwidth", "a", least=5, legs=["a", "b", "c"])
+    return found.select("leg", *(tidy(c).alias(c) for c in ("coef", "se", "z", "p", "effect", "theta", "theta_outer")))
+
+
 @query("t29_summarise_recording", b.sql("events", then="iv AS (SELECT roi, halfwidth, t0 - lag(t0) OVER (PARTITION BY roi ORDER BY t0, event_id) AS d FROM ev), ea AS (SELECT roi, quantile_cont(d, 0.5) AS d, quantile_cont(halfwidth, 0.5) AS h FROM iv GROUP BY roi HAVING count(*) >= 10)") + 'SELECT round(quantile_cont(d, 0.5), 6) AS "interval", round(quantile_cont(h, 0.5), 6) AS halfwidth, count(*) AS n_rois FROM ea')
 def t29(spark, sf_dir):
     found = ev.intervals(b.events(spark, sf_dir), 10)
