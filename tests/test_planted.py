@@ -77,7 +77,7 @@ def test_two_touching_blobs_and_a_lone_one(spark):
     summary = rois.roi_summary(basins, image)
     assert {(r.peak_y, r.peak_x) for r in summary.collect()} == set(centres)
     pairs = rois.adjacency(rois.roi_edges(basins)).collect()
-    assert {(p.roi_i, p.roi_j) for p in pairs} == {(8 * 4096 + 8, 8 * 4096 + 15), (8 * 4096 + 15, 8 * 4096 + 8)}
+    assert {(p.roi_i, p.roi_j) for p in pairs} == {(8 * rois.WIDTH + 8, 8 * rois.WIDTH + 15), (8 * rois.WIDTH + 15, 8 * rois.WIDTH + 8)}
 
 
 def test_events_match_themselves(spark):

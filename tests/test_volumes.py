@@ -14,12 +14,12 @@ def voxels(spark, made):
     return spark.createDataFrame([(rec, f, z, y, x, float(v)) for (rec, f), s in made.items() for (z, y, x), v in np.ndenumerate(s)], SCHEMA)
 
 
-def scene(shift, shape=(8, 14, 14), seed=0):
+def scene(shift, shape=(9, 22, 22), seed=0):
     """Smooth blobs whose content has gone by shift."""
     r = np.random.default_rng(seed)
-    blobs = [(r.uniform(1, shape[0] - 1), r.uniform(2, shape[1] - 2), r.uniform(2, shape[2] - 2), r.uniform(5, 20)) for _ in range(12)]
+    blobs = [(r.uniform(1, shape[0] - 1), r.uniform(2, shape[1] - 2), r.uniform(2, shape[2] - 2), r.uniform(5, 20)) for _ in range(60)]
     z, y, x = np.indices(shape)
-    return 10 + sum(a * np.exp(-((z - bz - shift[0]) ** 2 / 3 + ((y - by - shift[1]) ** 2 + (x - bx - shift[2]) ** 2) / 6)) for bz, by, bx, a in blobs)
+    return 10 + sum(a * np.exp(-((z - bz - shift[0]) ** 2 / 2 + ((y - by - shift[1]) ** 2 + (x - bx - shift[2]) ** 2) / 3)) for bz, by, bx, a in blobs)
 
 
 def plain_shift(s, shift):
@@ -56,11 +56,11 @@ def test_planted_shifts(spark, mode):
         found = {r.frame: np.array([r.dz, r.dy, r.dx]) for r in got if r.recording == rec}
         for k, s in enumerate(own):  # one constant for all frames is free
             assert np.abs(found[k] - found[0] - (np.array(s) - np.array(own[0]))).max() < 0.5
-    assert all(r.score is None if mode == "consecutive" else r.score > 0.9 for r in got)
+    assert all(r.score is None if mode == "consecutive" else r.score > 0.6 for r in got)
 
 
 def test_given_template_flat_frames_and_nothing(spark):
-    made = {("a", 0): scene((0, 1, 0)), ("a", 1): np.full((8, 14, 14), 3.0)}
+    made = {("a", 0): scene((0, 1, 0)), ("a", 1): np.full((9, 22, 22), 3.0)}
     template = voxels(spark, {("a", 0): scene((0, 0, 0))}).drop("frame")
     got = {r.frame: r for r in vo.template_shifts(voxels(spark, made), template, (2, 3, 3)).collect()}
     assert abs(got[0].dy - 1) < 0.1 and abs(got[0].dz) < 0.1 and (got[1].dz, got[1].dy, got[1].dx) == (0, 0, 0)

@@ -123,26 +123,27 @@ def subset_frames(px: DataFrame, every: int, largest: int) -> DataFrame:
     return kept.join(top, "recording").withColumn("frame", F.floor(F.col("frame") / every)).withColumn("value", scaled).select(*px.columns)
 
 
-def count_saturated(px: DataFrame, roi_pixels: DataFrame, last: int = 3) -> DataFrame:
-    """Per roi the pixels whose robust maximum over time is that of the whole recording's largest."""
+def count_saturated(px: DataFrame, roi_pixels: DataFrame, last: int = 3, share: float = 1.0) -> DataFrame:
+    """Per roi the pixels whose robust maximum over time is that of the whole recording's largest, or at least that share of it."""
     each = robust_max(px, "value", last, PLACE)
     top = each.groupBy("recording").agg(F.max("robust_max").alias("top"))
-    return each.join(top, "recording").join(roi_pixels, PLACE).groupBy("recording", "roi").agg(F.count_if(F.col("robust_max") >= 0.9 * F.col("top")).alias("n_saturated"), F.count(F.lit(1)).alias("n_pixels"))
+    full = F.col("robust_max") == F.col("top") if share == 1.0 else F.col("robust_max") >= share * F.col("top")
+    return each.join(top, "recording").join(roi_pixels, PLACE).groupBy("recording", "roi").agg(F.count_if(full).alias("n_saturated"), F.count(F.lit(1)).alias("n_pixels"))
 
 
-def connected_events(mask: DataFrame, width: int = 4096) -> DataFrame:
+def connected_events(mask: DataFrame) -> DataFrame:
     """Spatio-temporal components of active pixels: neighbours in the same and the next frame, diagonals included.
 
-    event is the least pixel number (frame, y, x) of its component in its recording.
+    event is the least pixel, a struct (frame, y, x), of its component in its recording.
     """
-    number = lambda f, y, x: (F.col("recording").cast("long") * 1_000_000 + f) * width * width + y * width + x
-    rows = mask.withColumn("id", number(F.col("frame"), F.col("y"), F.col("x")))
+    here = ["recording", "frame", "y", "x"]
+    rows = mask.withColumn("id", F.struct(*here))
     steps = [(df, dy, dx) for df in (0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (df, dy, dx) > (0, 0, 0) or df]
     o = F.explode(F.array(*(F.struct(F.lit(a).alias("f"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a, b, c in steps)))
     near = rows.withColumn("o", o).select("recording", (F.col("frame") + F.col("o.f")).alias("frame"), (F.col("y") + F.col("o.y")).alias("y"), (F.col("x") + F.col("o.x")).alias("x"), F.col("id").alias("a"))
-    edges = near.join(rows.select("recording", "frame", "y", "x", F.col("id").alias("b")), ["recording", "frame", "y", "x"]).select("a", "b")
+    edges = near.join(rows.select(*here, F.col("id").alias("b")), here).select("a", "b")
     roots = components(edges.union(rows.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    return rows.join(roots, F.col("id") == F.col("node")).select("recording", "frame", "y", "x", F.col("root").alias("event"))
+    return roots.select("node.*", F.struct("root.frame", "root.y", "root.x").alias("event"))
 
 
 def event_bounds(found: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 from tracemill.functions.tables import written
 from tracemill.operators.components import components
 
-WIDTH = 4096  # a roi is named by its peak: y x WIDTH + x
+WIDTH = 1 << 31  # a roi is named by its peak, y x WIDTH + x: no two pixels of an image share a number
 
 
 def place(y, x):
-    return (y * WIDTH + x).cast("long")
+    return y.cast("long") * WIDTH + x.cast("long")
 
 
 def climb(image: DataFrame, diagonal: bool = True) -> DataFrame:

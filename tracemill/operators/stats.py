@@ -9,14 +9,19 @@ from pyspark.sql.window import Window
 from tracemill.functions.numbers import normal_tail
 
 
-def active_rois(events: DataFrame, min_events: int) -> DataFrame:
+def active_rois(events: DataFrame, min_events: int, keys=("roi",)) -> DataFrame:
     """Rois with more than min_events events."""
-    return events.groupBy("roi").agg(F.count(F.lit(1)).alias("n_all")).filter(F.col("n_all") > min_events).select("roi")
+    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all")).filter(F.col("n_all") > min_events).select(*keys)
 
 
-def leg_durations(events: DataFrame) -> DataFrame:
-    """Per leg the span of the peaks of its events."""
-    return events.filter("leg is not null").groupBy("leg").agg((F.max("peakpoint") - F.min("peakpoint")).alias("duration"))
+def leg_durations(events: DataFrame, keys=("roi",)) -> DataFrame:
+    """Per recording and leg the span of the peaks of its events."""
+    return events.filter("leg is not null").groupBy(*list(keys)[:-1], "leg").agg((F.max("peakpoint") - F.min("peakpoint")).alias("duration"))
+
+
+def beside(rows: DataFrame, one: DataFrame, of: list[str]) -> DataFrame:
+    """rows with the columns of one, which has a row for each value of the columns of, or a single row if there are none."""
+    return rows.join(one, of) if of else rows.crossJoin(F.broadcast(one))
 
 
 def classes(column: Column, edges: list[tuple[float, float]]) -> Column:
@@ -27,34 +32,37 @@ def classes(column: Column, edges: list[tuple[float, float]]) -> Column:
     return out
 
 
-def event_rate(events: DataFrame, edges: list[tuple[float, float]], min_events: int, reduce: int, n_boot: int = 20, seed: int = 0, value: Column | None = None) -> DataFrame:
-    """Events per minute and active roi by leg and class of halfwidth, with bootstrap deviation.
+def event_rate(events: DataFrame, edges: list[tuple[float, float]], min_events: int, reduce: int, n_boot: int = 20, seed: int = 0, value: Column | None = None, keys=("roi",)) -> DataFrame:
+    """Events per minute and active roi by recording, leg and class of halfwidth, with bootstrap deviation.
 
-    Each replicate draws floor(active / reduce) rois without replacement, in order of an MD5 of roi,
+    Each replicate draws floor(active / reduce) rois of a recording without replacement, in order of an MD5 of roi,
     replicate and seed; its events are counted (or value summed), divided by duration and rois, x 60.
     """
-    active = active_rois(events, min_events)
-    n_active = active.agg(F.count(F.lit(1)).alias("n_active"))
+    keys, of = list(keys), list(keys)[:-1]
+    roi = keys[-1]
+    active = active_rois(events, min_events, keys)
+    n_active = active.groupBy(*of).agg(F.count(F.lit(1)).alias("n_active"))
     draws = active.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    key = F.md5(F.concat_ws("|", F.col("roi").cast("string"), F.col("rep").cast("string"), F.lit(str(seed))))
-    ranked = draws.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(key, "roi"))).crossJoin(F.broadcast(n_active))
+    key = F.md5(F.concat_ws("|", F.col(roi).cast("string"), F.col("rep").cast("string"), F.lit(str(seed))))
+    ranked = beside(draws.withColumn("place", F.row_number().over(Window.partitionBy(*of, "rep").orderBy(key, roi))), n_active, of)
     drawn = ranked.withColumn("n_drawn", F.floor(F.col("n_active") / reduce)).filter("place <= n_drawn")
-    per_roi = events.filter("leg is not null").withColumn("hw_region", classes(F.col("halfwidth"), edges)).filter("hw_region is not null").groupBy("roi", "leg", "hw_region").agg((F.sum(value) if value is not None else F.count(F.lit(1)).cast("double")).alias("x"))
-    cells = per_roi.select("leg", "hw_region").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    sums = drawn.join(per_roi, "roi").groupBy("rep", "leg", "hw_region").agg(F.sum("x").alias("x"))
-    size = drawn.agg(F.max("n_drawn").alias("n_drawn"))
-    every = cells.join(sums, ["rep", "leg", "hw_region"], "left").fillna(0.0, ["x"])
-    rate = every.groupBy("leg", "hw_region").agg(F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("std_x"))
+    per_roi = events.filter("leg is not null").withColumn("hw_region", classes(F.col("halfwidth"), edges)).filter("hw_region is not null").groupBy(*keys, "leg", "hw_region").agg((F.sum(value) if value is not None else F.count(F.lit(1)).cast("double")).alias("x"))
+    cells = per_roi.select(*of, "leg", "hw_region").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    sums = drawn.join(per_roi, keys).groupBy(*of, "rep", "leg", "hw_region").agg(F.sum("x").alias("x"))
+    size = drawn.groupBy(*of).agg(F.max("n_drawn").alias("n_drawn"))
+    every = cells.join(sums, [*of, "rep", "leg", "hw_region"], "left").fillna(0.0, ["x"])
+    rate = every.groupBy(*of, "leg", "hw_region").agg(F.avg("x").alias("mean_x"), F.stddev_pop("x").alias("std_x"))
     scale = 60 / (F.col("duration") * F.col("n_drawn"))
-    return rate.join(leg_durations(events), "leg").crossJoin(F.broadcast(size)).select("leg", "hw_region", (F.col("mean_x") * scale).alias("epmpr"), (F.col("std_x") * scale).alias("epmpr_std"))
+    return beside(rate.join(leg_durations(events, keys), [*of, "leg"]), size, of).select(*of, "leg", "hw_region", (F.col("mean_x") * scale).alias("epmpr"), (F.col("std_x") * scale).alias("epmpr_std"))
 
 
-def tidy_roi_leg(events: DataFrame, low: float, high: float, n_legs: int) -> DataFrame:
+def tidy_roi_leg(events: DataFrame, low: float, high: float, n_legs: int, keys=("roi",)) -> DataFrame:
     """Per leg and roi count and medians, for rois with more than one event in every leg."""
+    keys = list(keys)
     rows = events.filter((F.col("halfwidth") > low) & (F.col("halfwidth") < high) & F.col("leg").isNotNull())
-    each = rows.groupBy("leg", "roi").agg(F.count(F.lit(1)).alias("n"), F.percentile("halfwidth", F.lit(0.5)).alias("halfwidth"), F.percentile("height", F.lit(0.5)).alias("height"))
-    full = each.filter("n > 1").groupBy("roi").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == n_legs).select("roi")
-    return each.join(full, "roi", "left_semi").join(leg_durations(events), "leg")
+    each = rows.groupBy("leg", *keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("halfwidth", F.lit(0.5)).alias("halfwidth"), F.percentile("height", F.lit(0.5)).alias("height"))
+    full = each.filter("n > 1").groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == n_legs).select(*keys)
+    return each.join(full, keys, "left_semi").join(leg_durations(events, keys), [*keys[:-1], "leg"])
 
 
 def duration_histogram(events: DataFrame, edges: list[float], legs: DataFrame) -> DataFrame:
@@ -143,12 +151,13 @@ def percentile_range(events: DataFrame, column: str, low: float, high: float) ->
     return events.crossJoin(F.broadcast(ends)).filter((F.col(column) > F.col("p_low")) & (F.col(column) < F.col("p_high"))).drop("p_low", "p_high")
 
 
-def leg_ratio(events: DataFrame, column: str, ref: str) -> DataFrame:
-    """Per leg mean and median over rois of the roi's median in the leg over that in the reference leg."""
-    each = events.filter("leg is not null").groupBy("roi", "leg").agg(F.percentile(column, F.lit(0.5)).alias("m"))
-    base = each.filter(F.col("leg") == ref).select("roi", F.col("m").alias("m0"))
-    r = each.filter(F.col("leg") != ref).join(base, "roi").withColumn("ratio", F.col("m") / F.col("m0"))
-    return r.groupBy("leg").agg(F.avg("ratio").alias("mean_ratio"), F.percentile("ratio", F.lit(0.5)).alias("median_ratio"), F.count(F.lit(1)).alias("n"))
+def leg_ratio(events: DataFrame, column: str, ref: str, keys=("roi",)) -> DataFrame:
+    """Per recording and leg mean and median over rois of the roi's median in the leg over that in the reference leg."""
+    keys = list(keys)
+    each = events.filter("leg is not null").groupBy(*keys, "leg").agg(F.percentile(column, F.lit(0.5)).alias("m"))
+    base = each.filter(F.col("leg") == ref).select(*keys, F.col("m").alias("m0"))
+    r = each.filter(F.col("leg") != ref).join(base, keys).withColumn("ratio", F.col("m") / F.col("m0"))
+    return r.groupBy(*keys[:-1], "leg").agg(F.avg("ratio").alias("mean_ratio"), F.percentile("ratio", F.lit(0.5)).alias("median_ratio"), F.count(F.lit(1)).alias("n"))
 
 
 def tally(rows: DataFrame, column: str) -> DataFrame:

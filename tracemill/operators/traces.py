@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.numbers import sigma
+from tracemill.operators.events import inside_windows
 
 KEYS = ("roi",)
 
@@ -238,7 +239,7 @@ def running_mode(df: DataFrame, size: int, width: float, keys=KEYS) -> DataFrame
     return rows.filter("inner").select(*keys, "i", "t", ((-best["low"] + 0.5) * width).alias("mode"))
 
 
-def trace_activity(df: DataFrame, legs: DataFrame, dt: float) -> DataFrame:
-    """Per roi and leg the sum of fast / slow times dt over the leg's length; samples strictly inside the leg."""
-    rows = df.join(F.broadcast(legs), (F.col("t") > F.col("leg_begin")) & (F.col("t") < F.col("leg_end")))
-    return rows.groupBy("roi", "leg").agg((F.sum(F.col("fast") / F.greatest("slow", F.lit(1.0))) * dt / F.max(F.col("leg_end") - F.col("leg_begin"))).alias("activity"))
+def trace_activity(df: DataFrame, legs: DataFrame, dt: float, keys=KEYS) -> DataFrame:
+    """Per trace and leg the sum of fast / slow times dt over the leg's length; samples strictly inside the leg."""
+    rows = inside_windows(df, legs, lambda w: (F.col("t") > w["leg_begin"]) & (F.col("t") < w["leg_end"]))
+    return rows.groupBy(*keys, "leg").agg((F.sum(F.col("fast") / F.greatest("slow", F.lit(1.0))) * dt / F.max(F.col("leg_end") - F.col("leg_begin"))).alias("activity"))

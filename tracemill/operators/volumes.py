@@ -158,7 +158,9 @@ def estimate_shifts_3d(voxels: DataFrame, mode: str = "consecutive+template", mo
             break
         last, now = now, written(apply_shifts_3d(now, step), "moved")
         discard(last)
-    own = template if template is not None else now.join(medoids(now), ["recording", "frame"]).drop("frame")
-    both = now.join(own.select("recording", *AXES, F.col("value").alias("t")), ["recording", *AXES])
+    corrected = written(apply_shifts_3d(voxels, total), "corrected")
+    discard(now)
+    own = template if template is not None else corrected.join(medoids(corrected), ["recording", "frame"]).drop("frame")
+    both = corrected.join(own.select("recording", *AXES, F.col("value").alias("t")), ["recording", *AXES])
     sums = both.groupBy("recording", "frame").agg(F.covar_pop("value", "t").alias("c"), (F.stddev_pop("value") * F.stddev_pop("t")).alias("s"))
     return total.join(sums.select("recording", "frame", F.try_divide("c", "s").alias("score")), ["recording", "frame"], "left")

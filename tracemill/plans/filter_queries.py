@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions.numbers import tidy
+from tracemill.operators import events as ev_
 from tracemill.operators import filters as fl
 from tracemill.plans.registry import query
 from tracemill.plans.trace_queries import r
@@ -121,3 +122,30 @@ ALL = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS its, {7.0 * n}::DOUBLE
 def e3(spark, sf_dir):
     found = fl.candidate_events(lifted(spark, sf_dir), 7.0, [7.0 * n for n in SCALES], 2.0, 1, 1.5, smooth=SMOOTH)
     return found.select("event_id", "its", "ts", *event_columns(found))
+
+
+#: Windows of the candidates in the trace and in the slow part of their own timescale, then components.
+SLOWS = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS its, roi, i, value, slow FROM ff_{n}" for k, n in enumerate(SCALES))
+HEIGHTS = f"""ca AS (SELECT row_number() OVER (ORDER BY its, roi, x0, p) - 1 AS event_id, its, roi, x0 * 7 AS t0, x1 * 7 AS tend, (x1 - x0) * 7 AS halfwidth, height FROM ev),
+sl AS MATERIALIZED ({SLOWS}),
+wi AS (SELECT event_id, i, value, slow, count(*) OVER w AS n, row_number() OVER (w ORDER BY i) AS k FROM ca JOIN sl ON sl.roi = ca.roi AND sl.its = ca.its AND i BETWEEN greatest(ceil(t0 / 7) - 1, 0) AND ceil((t0 + halfwidth) / 7) WINDOW w AS (PARTITION BY event_id)),
+en AS (SELECT event_id, any_value(n) AS n, max(CASE WHEN k = 1 THEN slow END) AS s1, max(CASE WHEN k = n THEN slow END) AS s9, (max(CASE WHEN k = n THEN slow END) - max(CASE WHEN k = n - 1 THEN slow END) - max(CASE WHEN k = 2 THEN slow END) + max(CASE WHEN k = 1 THEN slow END)) / (any_value(n) - 2) AS bs, (max(CASE WHEN k = n THEN value END) - max(CASE WHEN k = n - 1 THEN value END) - max(CASE WHEN k = 2 THEN value END) + max(CASE WHEN k = 1 THEN value END)) / (any_value(n) - 2) AS bt FROM wi WHERE n >= 3 GROUP BY event_id),
+ov AS (SELECT en.event_id, any_value(en.n) AS n, any_value(bs) AS bs, any_value(bt) AS bt, any_value(s1 + s9) / 2 AS middle, quantile_cont(value - s1 - (k - 1) * (s9 - s1) / (en.n - 1), 0.95) AS over FROM en JOIN wi USING (event_id) GROUP BY en.event_id),
+ju AS (SELECT ca.*, CASE WHEN n IS NULL THEN 'too short' WHEN n > 20 AND bs > 0.1 AND bs > -0.5 * bt THEN 'spurious' WHEN over / nullif(middle, 0) < {ev_.BELOW} THEN 'too steep' ELSE 'ok' END AS status FROM ca LEFT JOIN ov USING (event_id)),
+lk AS (SELECT a.event_id AS a, c.event_id AS b FROM ju a JOIN ju c ON a.roi = c.roi AND abs(a.t0 - c.t0) < 0.33 * a.halfwidth AND abs(a.tend - c.tend) < 0.33 * a.halfwidth WHERE a.status = 'ok'),
+un AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
+cc(node, root) AS (SELECT a, a FROM un UNION SELECT un.b, cc.root FROM cc JOIN un ON un.a = cc.node),
+ro AS (SELECT node, min(root) AS root FROM cc GROUP BY node)"""
+
+
+@query("e8_distill_by_height", b.sql("week", then=f"{LIFTED},\n{EACH},\nev AS ({ALL}),\n{HEIGHTS}") + f"SELECT root, roi, its, clique_size, {r('t0')} AS t0, {r('halfwidth')} AS halfwidth, {r('height')} AS height FROM (SELECT *, count(*) OVER (PARTITION BY root) AS clique_size FROM ju JOIN ro ON event_id = node QUALIFY row_number() OVER (PARTITION BY root ORDER BY height DESC, event_id) = 1)".replace("SELECT root, roi", "SELECT event_id, roi"))
+def e8(spark, sf_dir):
+    given = lifted(spark, sf_dir)
+    found = fl.candidate_events(given, 7.0, [7.0 * n for n in SCALES], 2.0, 1, 1.5, smooth=SMOOTH)
+    events = found.select("event_id", "its", "roi", "t0", (F.col("t0") + F.col("halfwidth")).alias("tend"), "halfwidth", "height")
+    slows = None
+    for its, n in enumerate(SCALES):
+        own = fl.fast_filter(given, n, 2.0, 1).select("roi", F.lit(its).alias("its"), "i", "value", "slow")
+        slows = own if slows is None else slows.unionByName(own)
+    best = ev_.distill_by_height(events, slows, 7.0)
+    return best.select("event_id", "roi", "its", "clique_size", tidy("t0").alias("t0"), tidy("halfwidth").alias("halfwidth"), tidy("height").alias("height"))

@@ -106,7 +106,9 @@ eg AS (SELECT a.id AS a, c.id AS b FROM nb a JOIN nb c ON a.recording = c.record
 cc(node, root) AS (SELECT a, a FROM eg UNION SELECT eg.b, cc.root FROM cc JOIN eg ON eg.a = cc.node), ro AS (SELECT node, min(root) AS event FROM cc GROUP BY node)""") + "SELECT recording, event, min(frame) AS frame_begin, max(frame) + 1 AS frame_end, min(y) AS y_begin, max(y) + 1 AS y_end, min(x) AS x_begin, max(x) + 1 AS x_end, count(*) AS n FROM nb JOIN ro ON id = node GROUP BY 1, 2")
 def f24(spark, sf_dir):
     mask = px(spark, sf_dir).filter("value > 0.25").drop("value")
-    return fr.event_bounds(fr.connected_events(mask))
+    found = fr.event_bounds(fr.connected_events(mask))
+    number = (F.col("recording").cast("long") * 1_000_000 + F.col("event.frame")) * 16_777_216 + F.col("event.y") * 4096 + F.col("event.x")
+    return found.withColumn("event", number)
 
 
 @query("m14_check_still_movie", b.sql("pixels", then="fn AS (SELECT *, max(frame) OVER (PARTITION BY recording) + 1 AS n FROM px)") + f"SELECT recording, round(stddev_pop(value) / abs(avg(value)), 2) AS contrast FROM fn WHERE frame % greatest(n // 10, 1) = 0 GROUP BY 1")
@@ -131,12 +133,12 @@ def image(spark, sf_dir):
 BASINS = """im AS (SELECT recording, y, x, round(avg(value), 9) AS value FROM px GROUP BY 1, 2, 3),
 st AS (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dy, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dx, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS rk),
 ne AS (SELECT a.recording, a.y, a.x, a.value AS own, c.value AS v, c.y AS ny, c.x AS nx, row_number() OVER (PARTITION BY a.recording, a.y, a.x ORDER BY c.value DESC, rk) AS k FROM im a, st, im c WHERE c.recording = a.recording AND c.y = a.y + dy AND c.x = a.x + dx),
-cl AS (SELECT recording, CAST(y * 4096 + x AS BIGINT) AS p, CASE WHEN v > own THEN ny * 4096 + nx ELSE y * 4096 + x END AS up FROM ne WHERE k = 1),
+cl AS (SELECT recording, CAST(y * 2147483648 + x AS BIGINT) AS p, CASE WHEN v > own THEN ny * 2147483648 + nx ELSE y * 2147483648 + x END AS up FROM ne WHERE k = 1),
 wa(recording, p, pt_) AS (SELECT recording, p, up FROM cl UNION SELECT wa.recording, wa.p, cl.up FROM wa JOIN cl ON cl.recording = wa.recording AND cl.p = wa.pt_),
-ba AS (SELECT wa.recording, wa.p, CAST(pt_ AS BIGINT) AS roi, CAST(wa.p // 4096 AS INTEGER) AS y, CAST(wa.p % 4096 AS INTEGER) AS x FROM wa JOIN cl ON cl.recording = wa.recording AND cl.p = wa.pt_ AND cl.up = cl.p)"""
+ba AS (SELECT wa.recording, wa.p, CAST(pt_ AS BIGINT) AS roi, CAST(wa.p // 2147483648 AS INTEGER) AS y, CAST(wa.p % 2147483648 AS INTEGER) AS x FROM wa JOIN cl ON cl.recording = wa.recording AND cl.p = wa.pt_ AND cl.up = cl.p)"""
 
 SUMMARY = BASINS + """,
-su AS (SELECT recording, roi, count(*) AS size, avg(y) AS cy, avg(x) AS cx, CAST(roi // 4096 AS INTEGER) AS peak_y, CAST(roi % 4096 AS INTEGER) AS peak_x, max(value) AS peak_value FROM ba JOIN im USING (recording, y, x) GROUP BY 1, 2)"""
+su AS (SELECT recording, roi, count(*) AS size, avg(y) AS cy, avg(x) AS cx, CAST(roi // 2147483648 AS INTEGER) AS peak_y, CAST(roi % 2147483648 AS INTEGER) AS peak_x, max(value) AS peak_value FROM ba JOIN im USING (recording, y, x) GROUP BY 1, 2)"""
 
 GEOMETRY = SUMMARY + """,
 e0 AS (SELECT recording, roi, 'h' AS side, y AS ey, x AS ex FROM ba UNION ALL SELECT recording, roi, 'h', y + 1, x FROM ba UNION ALL SELECT recording, roi, 'v', y, x FROM ba UNION ALL SELECT recording, roi, 'v', y, x + 1 FROM ba),

@@ -15,7 +15,7 @@ SPLIT = BASINS + """,
 ne4 AS (SELECT a.recording, a.roi, a.p AS a, c.p AS b FROM ba a JOIN ba c ON a.recording = c.recording AND a.roi = c.roi AND abs(a.y - c.y) + abs(a.x - c.x) <= 1),
 wk(recording, roi, p, root) AS (SELECT recording, roi, p, p FROM ba UNION SELECT wk.recording, wk.roi, ne4.b, wk.root FROM wk JOIN ne4 ON ne4.recording = wk.recording AND ne4.roi = wk.roi AND ne4.a = wk.p),
 pa AS (SELECT recording, roi, p, min(root) AS root FROM wk GROUP BY 1, 2, 3),
-nm AS (SELECT pa.recording, pa.roi, root, CASE WHEN bool_or(pa.p = pa.roi) THEN any_value(pa.roi) ELSE arg_max(pa.p, (value, -pa.p)) END AS part FROM pa JOIN im ON im.recording = pa.recording AND im.y = pa.p // 4096 AND im.x = pa.p % 4096 GROUP BY 1, 2, 3)"""
+nm AS (SELECT pa.recording, pa.roi, root, CASE WHEN bool_or(pa.p = pa.roi) THEN any_value(pa.roi) ELSE arg_max(pa.p, (value, -pa.p)) END AS part FROM pa JOIN im ON im.recording = pa.recording AND im.y = pa.p // 2147483648 AND im.x = pa.p % 2147483648 GROUP BY 1, 2, 3)"""
 
 NODES = """no AS (SELECT recording, roi, ey AS ny, ex AS nx FROM ed UNION SELECT recording, roi, CASE WHEN side = 'h' THEN ey ELSE ey + 1 END, CASE WHEN side = 'h' THEN ex + 1 ELSE ex END FROM ed)"""
 
@@ -40,7 +40,7 @@ cn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording, roi_i
 cw AS (SELECT recording, count(*) AS n_rois, quantile_cont(size, 0.5) AS middle FROM su GROUP BY 1), cs AS (SELECT recording, count(*) AS n_proposed FROM cn GROUP BY 1)"""
 
 
-@query("r3_split_unconnected", b.sql("pixels", then=SPLIT) + "SELECT pa.recording, CAST(part AS BIGINT) AS roi, CAST(p // 4096 AS INTEGER) AS y, CAST(p % 4096 AS INTEGER) AS x FROM pa JOIN nm USING (recording, roi, root)")
+@query("r3_split_unconnected", b.sql("pixels", then=SPLIT) + "SELECT pa.recording, CAST(part AS BIGINT) AS roi, CAST(p // 2147483648 AS INTEGER) AS y, CAST(p % 2147483648 AS INTEGER) AS x FROM pa JOIN nm USING (recording, roi, root)")
 def r3(spark, sf_dir):
     return sg.split_unconnected(basins(spark, sf_dir), image(spark, sf_dir))
 
@@ -73,6 +73,6 @@ def r14(spark, sf_dir):
 
 @query("f22_count_saturated", b.sql("pixels", then=BASINS + """,
 hv AS (SELECT recording, y, x, list_sort(list(abs(value))) AS v FROM px GROUP BY 1, 2, 3), hq AS (SELECT recording, y, x, v, (len(v) - 1) * greatest(1 - 3 / len(v), 0) AS q FROM hv),
-rb AS (SELECT recording, y, x, v[CAST(floor(q) AS BIGINT) + 1] + (v[CAST(least(floor(q) + 1, len(v) - 1) AS BIGINT) + 1] - v[CAST(floor(q) AS BIGINT) + 1]) * (q - floor(q)) AS top FROM hq), mx AS (SELECT recording, max(top) AS most FROM rb GROUP BY 1)""") + "SELECT rb.recording, roi, count(*) FILTER (WHERE top >= 0.9 * most) AS n_saturated, count(*) AS n_pixels FROM rb JOIN mx USING (recording) JOIN ba ON ba.recording = rb.recording AND ba.y = rb.y AND ba.x = rb.x GROUP BY 1, 2")
+rb AS (SELECT recording, y, x, v[CAST(floor(q) AS BIGINT) + 1] + (v[CAST(least(floor(q) + 1, len(v) - 1) AS BIGINT) + 1] - v[CAST(floor(q) AS BIGINT) + 1]) * (q - floor(q)) AS top FROM hq), mx AS (SELECT recording, max(top) AS most FROM rb GROUP BY 1)""") + "SELECT rb.recording, roi, count(*) FILTER (WHERE top = most) AS n_saturated, count(*) AS n_pixels FROM rb JOIN mx USING (recording) JOIN ba ON ba.recording = rb.recording AND ba.y = rb.y AND ba.x = rb.x GROUP BY 1, 2")
 def f22(spark, sf_dir):
     return fr.count_saturated(px(spark, sf_dir), basins(spark, sf_dir))
