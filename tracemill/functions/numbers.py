@@ -19,6 +19,13 @@ def sigma(mean: Column, gain: float = 1.0, exponent: float = 1.0) -> Column:
     return F.sqrt(gain * (floor if exponent == 1.0 else F.pow(floor, F.lit(exponent))))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate over rows with both; null if one of them does not vary."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
+
+
 def hill(x: Column, h: float = 2.0, xc: float = 4.0) -> Column:
     """Hill curve scaled to 0.03 .. 0.97."""
     r = F.pow(x / xc, F.lit(h))

@@ -193,6 +193,12 @@ def cross_filter(events: DataFrame, ranges: dict[str, tuple[float, float]]) -> D
     return events
 
 
+def filtered(events: DataFrame, condition: str, logs=()) -> DataFrame:
+    """Events that meet a condition on their columns, with log_ and the name for log10 of the columns in logs (null if not above 0)."""
+    kept = events.filter(condition)
+    return kept.withColumns({f"log_{c}": F.when(F.col(c) > 0, F.log10(c)) for c in logs}) if logs else kept
+
+
 def thinned(events: DataFrame, most: int = 1000, keys=("roi",)) -> DataFrame:
     """Rois of a recording in order of abundance, then time; every (n // most + 1)-th event; run numbers the blocks of one roi.
 

@@ -292,6 +292,14 @@ def detect_events(df: DataFrame, samples: float, dt: float, z_th: float = 3.0, l
     return rows.mapInArrow(run, schema)
 
 
+def prepared(df: DataFrame, timescales: list[float], dt: float, points: int = 30, keys=("roi",)) -> DataFrame:
+    """ts, keys, i, value: traces rebinned for each timescale to about so many samples a timescale, one at least; incomplete bins go."""
+    rows = df.withColumn("ts", F.explode(F.array(*map(F.lit, timescales))))
+    n = F.greatest(F.lit(1), F.floor(F.col("ts") / dt / points)).cast("int")
+    out = rows.withColumn("n_", n).groupBy("ts", "n_", *keys, F.floor(F.col("i") / F.col("n_")).cast("int").alias("i")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("held_"))
+    return out.filter("held_ = n_").select("ts", *keys, "i", "value")
+
+
 def default_timescales() -> list[float]:
     """Quarter octaves from 4 to 256, to three digits."""
     return sorted({float(f"{2 ** (2 + k / 4):.3g}") for k in range(25)})

@@ -23,13 +23,32 @@ def crop(px: DataFrame, y: tuple[int, int], x: tuple[int, int], frame: tuple[int
     return px.filter(keep if frame is None else keep & (F.col("frame") >= frame[0]) & (F.col("frame") < frame[1]))
 
 
+def closeup(px: DataFrame, roi_pixels: DataFrame, pad: int = 10) -> DataFrame:
+    """The pixels of each recording within pad of the box around its rois; a recording without rois goes."""
+    box = roi_pixels.groupBy("recording").agg(*(f(c).alias(f"{c}_{n}_") for c in "yx" for n, f in (("low", F.min), ("high", F.max))))
+    inside = [F.col(c).between(F.col(f"{c}_low_") - pad, F.col(f"{c}_high_") + pad) for c in "yx"]
+    return px.join(box, "recording").filter(inside[0] & inside[1]).select(*px.columns)
+
+
+def resize_axis(px: DataFrame, axis: str, factor: float) -> DataFrame:
+    """Area-weighted mean along frame, y or x: place k of the result covers [k, k + 1) / factor; an incomplete last one goes."""
+    step, here = 1 / factor, F.col(axis)
+    parts = px.withColumn("k", F.explode(F.sequence(F.floor(here / step), F.ceil((here + 1) / step) - 1)))
+    overlap = F.least(here + 1.0, (F.col("k") + 1) * step) - F.greatest(here * 1.0, F.col("k") * step)
+    others = [c for c in ("recording", "frame", "y", "x") if c != axis]
+    out = parts.withColumn("o", overlap).filter("o > 0").groupBy(*others, "k").agg((F.sum(F.col("value") * F.col("o")) / F.sum("o")).alias("value"), F.sum("o").alias("o"))
+    return out.filter(F.col("o") > step - 1e-9).select(*(F.col("k").alias(c) if c == axis else c for c in ("recording", "frame", "y", "x")), "value")
+
+
 def resize_time(px: DataFrame, factor: float) -> DataFrame:
-    """Area-weighted mean over time: frame k of the result covers [k, k + 1) / factor."""
-    step = 1 / factor
-    parts = px.withColumn("k", F.explode(F.sequence(F.floor(F.col("frame") / step), F.ceil((F.col("frame") + 1) / step) - 1)))
-    overlap = F.least(F.col("frame") + 1.0, (F.col("k") + 1) * step) - F.greatest(F.col("frame") * 1.0, F.col("k") * step)
-    out = parts.withColumn("o", overlap).filter("o > 0").groupBy(*PLACE, "k").agg((F.sum(F.col("value") * F.col("o")) / F.sum("o")).alias("value"), F.sum("o").alias("o"))
-    return out.filter(F.col("o") > step - 1e-9).select("recording", F.col("k").alias("frame"), "y", "x", "value")
+    return resize_axis(px, "frame", factor)
+
+
+def resize(px: DataFrame, fx: float = 1.0, fy: float = 1.0, fz: float = 1.0) -> DataFrame:
+    """Area-weighted means over columns, rows and time."""
+    for axis, factor in (("x", fx), ("y", fy), ("frame", fz)):
+        px = resize_axis(px, axis, factor) if factor != 1.0 else px
+    return px
 
 
 def blur(px: DataFrame, axis: str, weights: list[float], low: int, high: int | None = None) -> DataFrame:

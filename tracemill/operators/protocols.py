@@ -63,3 +63,14 @@ def scheme(found: DataFrame) -> DataFrame:
     first = found.groupBy("recording", "treatment").agg(F.min("leg_begin").alias("seen"))
     number = first.withColumn("symbol", F.expr("repeat('*', CAST(dense_rank() OVER (PARTITION BY recording ORDER BY seen, treatment) - 1 AS INT))"))
     return found.join(number.select("recording", "treatment", "symbol"), ["recording", "treatment"]).select("recording", "leg_begin", "symbol")
+
+
+def replaced(df: DataFrame, names: dict[str, str], column: str = "compound") -> DataFrame:
+    """Values of a column under other names; those not named stay."""
+    return df.replace(names, subset=[column])
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """Per recording its distinct "compound:concentration", sorted, in one text."""
+    item = F.concat_ws(":", "compound", "concentration")
+    return df.groupBy("recording").agg(F.array_join(F.array_sort(F.collect_set(item)), " ").alias("summary"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.functions.numbers import correlation
 from tracemill.functions.tables import written
 from tracemill.operators.components import components
 
@@ -125,11 +126,15 @@ def sorted_from_centre(summary: DataFrame, cy: float, cx: float) -> DataFrame:
     return summary.withColumn("from_centre", F.row_number().over(w.orderBy(d, "peak_y", "peak_x")) - 1).withColumn("in_order", F.row_number().over(w.orderBy("peak_y", "peak_x")) - 1)
 
 
-def intra_roi_correlation(px: DataFrame, roi_pixels: DataFrame) -> DataFrame:
-    """Correlation of each pixel with the rest of its roi."""
+def intra_roi_correlation(px: DataFrame, roi_pixels: DataFrame, diff: bool = False) -> DataFrame:
+    """Correlation of each pixel with the rest of its roi, or of their steps from frame to frame; null for a level one."""
     rows = px.join(roi_pixels, ["recording", "y", "x"])
     total = F.sum("value").over(Window.partitionBy("recording", "roi", "frame"))
-    return rows.withColumn("rest", total - F.col("value")).groupBy("recording", "roi", "y", "x").agg(F.corr("value", "rest").alias("r"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("rest", total - F.col("value"))
+    if diff:
+        order = Window.partitionBy("recording", "roi", "y", "x").orderBy("frame")
+        rows = rows.select("recording", "roi", "y", "x", *((F.col(c) - F.lag(c).over(order)).alias(c) for c in ("value", "rest"))).filter("value is not null")
+    return rows.groupBy("recording", "roi", "y", "x").agg(correlation(F.col("value"), F.col("rest")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def tag_rois(summary: DataFrame, condition, tag: str) -> DataFrame:

@@ -56,6 +56,20 @@ def event_rate(events: DataFrame, edges: list[tuple[float, float]], min_events:
     return beside(rate.join(leg_durations(events, keys), [*of, "leg"]), size, of).select(*of, "leg", "hw_region", (F.col("mean_x") * scale).alias("epmpr"), (F.col("std_x") * scale).alias("epmpr_std"))
 
 
+def event_activity(events: DataFrame, edges: list[tuple[float, float]], min_events: int, reduce: int, column: str = "auc", **how) -> DataFrame:
+    """As event_rate, with the sum of a column in the place of the count."""
+    return event_rate(events, edges, min_events, reduce, value=F.col(column), **how)
+
+
+def pool_experiments(events: DataFrame, plan: DataFrame, experiment: str = "recording") -> DataFrame:
+    """Events of several experiments with what plan(experiment, ...) says of each and pooled_roi, a name of the roi over all of them.
+
+    Experiments without a plan go.
+    """
+    name = F.concat(F.lit("exp"), F.col(experiment).cast("string"), F.lit("_"), F.col("roi").cast("string"))
+    return events.withColumn("pooled_roi", name).withColumnRenamed(experiment, "experiment").join(plan, "experiment")
+
+
 def tidy_roi_leg(events: DataFrame, low: float, high: float, n_legs: int, keys=("roi",)) -> DataFrame:
     """Per leg and roi count and medians, for rois with more than one event in every leg."""
     keys = list(keys)
@@ -126,13 +140,6 @@ def effect_ols(rows: DataFrame, column: str, ref: str) -> DataFrame:
     return out.select("leg", coef.alias("coef"), se.alias("se"), (coef / se).alias("t"), ((F.pow(F.lit(10.0), coef) - 1) * 100).alias("effect"))
 
 
-def linear_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Slope and intercept with standard errors, from sums."""
-    s = rows.agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_avgx(y, x).alias("mx"))
-    s2 = (F.col("syy") - F.pow("sxy", F.lit(2)) / F.col("sxx")) / (F.col("n") - 2)
-    return s.select("n", "slope", "intercept", F.sqrt(s2 / F.col("sxx")).alias("slope_se"), F.sqrt(s2 * (1 / F.col("n") + F.pow("mx", F.lit(2)) / F.col("sxx"))).alias("intercept_se"))
-
-
 def roi_heterogeneity(events: DataFrame, column: str, min_events: int) -> DataFrame:
     """Per roi with more than min_events events the quartiles, in order of the median."""
     q = events.groupBy("roi").agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_events)
@@ -164,21 +171,6 @@ def tally(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dose_response(points: DataFrame, ec50: list[float], hills: list[float]) -> DataFrame:
-    """Four-parameter rising curve by a grid over EC50 and slope; bottom and top in closed form."""
-    grid = points.withColumn("ec50", F.explode(F.array(*map(F.lit, ec50)))).withColumn("h", F.explode(F.array(*map(F.lit, hills))))
-    f = F.pow(F.col("concentration"), F.col("h")) / (F.pow(F.col("concentration"), F.col("h")) + F.pow("ec50", F.col("h")))
-    fits = grid.withColumn("f", f).groupBy("ec50", "h").agg(F.regr_slope("measurement", "f").alias("span"), F.regr_intercept("measurement", "f").alias("bottom"), (F.regr_syy("measurement", "f") - F.pow(F.regr_sxy("measurement", "f"), F.lit(2)) / F.regr_sxx("measurement", "f")).alias("sse"))
-    best = fits.agg(F.min(F.struct("sse", "ec50", "h", "bottom", "span")).alias("b"))
-    return best.select("b.ec50", "b.h", "b.bottom", (F.col("b.bottom") + F.col("b.span")).alias("top"), "b.sse")
-
-
-def infer_concentration(measured: DataFrame, fit: DataFrame) -> DataFrame:
-    """Inverse of the curve; null outside its range."""
-    y = (F.col("measurement") - F.col("bottom")) / (F.col("top") - F.col("bottom"))
-    return measured.crossJoin(F.broadcast(fit)).withColumn("y", y).withColumn("inferred", F.when((F.col("y") > 0) & (F.col("y") < 1), F.col("ec50") * F.pow(F.col("y") / (1 - F.col("y")), 1 / F.col("h"))))
-
-
 def predict_and_residual(rows: DataFrame, column: str) -> DataFrame:
     """fitted is the leg's mean of log10 of the quantity, residual the rest; null without a leg."""
     y = F.log10(column)

@@ -5,11 +5,13 @@ Each keeps the rows of a trace in one hash partition, so chained windows share o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.functions.numbers import sigma
+from tracemill.functions.numbers import correlation, sigma
 from tracemill.operators.events import inside_windows
 
 KEYS = ("roi",)
@@ -136,17 +138,27 @@ def power_spectrum(df: DataFrame, frequencies: list[int], length: int, keys=("re
     return one.groupBy(*keys, "k").agg(F.sqrt(F.pow(F.avg("re"), F.lit(2)) + F.pow(F.avg("im"), F.lit(2))).alias("magnitude"))
 
 
-def autocorrelation(df: DataFrame, lags: list[int], keys=KEYS) -> DataFrame:
-    """Pearson correlation of a trace with itself lag samples later; lag 0 is 1."""
-    later = df.select(*keys, F.explode(F.array(*map(F.lit, lags))).alias("lag"), "i", F.col("value").alias("later")).withColumn("i", F.col("i") - F.col("lag"))
-    r = df.join(later, [*keys, "i"]).groupBy(*keys, "lag").agg(F.corr("value", "later").alias("r"))
-    return r.withColumn("r", F.when(F.col("lag") == 0, 1.0).otherwise(F.col("r")))
+def autocorrelation(df: DataFrame, lags: list[int], keys=KEYS, splits: int = 1) -> DataFrame:
+    """Pearson correlation of a trace with itself lag samples later; lag 0 is 1, a level trace has none elsewhere.
+
+    With more than one split the trace is cut into so many pieces of (nearly) equal length: r is the mean over
+    them and r_std their deviation.
+    """
+    keys = list(keys)
+    last = df.groupBy(*keys).agg((F.max("i") + 1).alias("n_"))
+    part = F.floor(((F.col("i") + 1) * splits - 1) / F.col("n_"))
+    rows = (df.join(last, keys) if splits > 1 else df).withColumn("split_", part if splits > 1 else F.lit(0))
+    own = [*keys, "split_"]
+    later = rows.select(*own, F.explode(F.array(*map(F.lit, lags))).alias("lag"), "i", F.col("value").alias("later")).withColumn("i", F.col("i") - F.col("lag"))
+    r = rows.join(later, [*own, "i"]).groupBy(*own, "lag").agg(correlation(F.col("value"), F.col("later")).alias("r"))
+    r = r.withColumn("r", F.when(F.col("lag") == 0, 1.0).otherwise(F.col("r")))
+    return r.drop("split_") if splits == 1 else r.groupBy(*keys, "lag").agg(F.avg("r").alias("r"), F.stddev_pop("r").alias("r_std"))
 
 
 def correlation_to_sum(df: DataFrame, keys=("recording",)) -> DataFrame:
     """Pearson correlation of each trace with the sum over all traces of its recording."""
     total = F.sum("value").over(Window.partitionBy(*keys, "i"))
-    return df.withColumn("total", total).groupBy(*keys, "roi").agg(F.corr("value", "total").alias("r"))
+    return df.withColumn("total", total).groupBy(*keys, "roi").agg(correlation(F.col("value"), F.col("total")).alias("r"))
 
 
 def most_representative(scores: DataFrame, columns: list[str], k: int = 3, keys=("recording",)) -> DataFrame:
@@ -203,6 +215,33 @@ def gain(points: DataFrame, rounds: int = 5, most: float = 10.0) -> DataFrame:
     return ratio.agg(F.avg("ratio").alias("gain"), F.count(F.lit(1)).alias("n"))
 
 
+def infer_gain(points: DataFrame, most: float | None = None, bins: int = 50, rounds: int = 5, tolerance: float = 0.03) -> float | None:
+    """Variance over mean of points(mean, variance): the mean over bins of the median variance over the mean of means.
+
+    Bins are even in the logarithm from the 2nd percentile of the means to the 98th, or to most if that is less, and
+    hold what lies beyond either end too; a mean not above 0 counts as the least one that is. Points above ten times
+    the gain leave the medians, and so on for so many rounds or until the gain changes by less than the tolerance.
+    """
+    least = points.filter("mean > 0").agg(F.min("mean")).first()[0]
+    if least is None:
+        return None
+    rows = points.withColumn("mean", F.when(F.col("mean") > 0, F.col("mean")).otherwise(least))
+    low, high = rows.agg(F.percentile("mean", F.array(F.lit(0.02), F.lit(0.98))).alias("p")).first()["p"]
+    high = high if most is None else min(high, most)
+    place = F.floor((F.ln("mean") - math.log(low)) / max(math.log(high) - math.log(low), 1e-300) * (bins - 1)) + 1
+    binned = rows.withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins)))
+    held, now = F.lit(True), None
+    for turn in range(rounds + 1):
+        own = F.when(held, F.col("variance"))
+        each = binned.groupBy("bin").agg(F.avg("mean").alias("x"), F.percentile(own, F.lit(0.5)).alias("y"), F.count_if(~held).alias("gone"))
+        new = each.agg(F.avg(F.col("y") / F.col("x")).alias("gain"), F.sum("gone").alias("gone")).first()
+        if turn and (not new["gone"] or abs(new["gain"] / now - 1) < tolerance):
+            break
+        now = new["gain"]
+        held = held & (F.col("variance") <= 10 * now * F.col("mean"))
+    return now
+
+
 def two_parameter_fit(points: DataFrame, bins: int = 20) -> DataFrame:
     """ln(variance) against ln(mean): bins of the logarithm, median variance of each, straight line."""
     logs = points.filter("mean > 0 and variance > 0").withColumn("lx", F.ln("mean"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.functions.numbers import hill, tidy
+from tracemill.operators import calibration as ca
 from tracemill.operators import events as ev
 from tracemill.operators import mixed, stats
 from tracemill.operators import traces as tr
@@ -103,7 +104,8 @@ def e19(spark, sf_dir):
 
 @query("e20_filter_events", b.sql("events") + f"SELECT event_id, {r('log10(halfwidth)')} AS log_halfwidth FROM ev WHERE z_max > 4 AND ts <= 8 AND halfwidth < 10")
 def e20(spark, sf_dir):
-    return b.events(spark, sf_dir).filter("z_max > 4 and ts <= 8 and halfwidth < 10").select("event_id", tidy(F.log10("halfwidth")).alias("log_halfwidth"))
+    found = ev.filtered(b.events(spark, sf_dir), "z_max > 4 and ts <= 8 and halfwidth < 10", ["halfwidth"])
+    return found.select("event_id", tidy("log_halfwidth").alias("log_halfwidth"))
 
 
 @query("t26_events_to_raster", b.sql("events", then="ce AS (SELECT roi, unnest(generate_series(CAST(greatest(ceil(t0 / (720.0 / 999)), 0) AS BIGINT), CAST(least(floor(tend / (720.0 / 999)), 999) AS BIGINT))) AS cell FROM ev)") + "SELECT DISTINCT roi, CAST(cell AS INTEGER) AS cell FROM ce")
@@ -132,7 +134,7 @@ def a1(spark, sf_dir):
 
 @query("a2_event_activity", b.sql("events", "legs", then=LEGGED + ",\n" + boot("sum(auc)")) + f"SELECT leg, hw_region, {r('m * 60 / (duration * (n // 2))')} AS epmpr, {r('s * 60 / (duration * (n // 2))')} AS epmpr_std FROM ra JOIN du USING (leg), na")
 def a2(spark, sf_dir):
-    return stats.event_rate(legged(spark, sf_dir), EDGES, 20, 2, value=F.col("auc")).select("leg", "hw_region", tidy("epmpr").alias("epmpr"), tidy("epmpr_std").alias("epmpr_std"))
+    return stats.event_activity(legged(spark, sf_dir), EDGES, 20, 2).select("leg", "hw_region", tidy("epmpr").alias("epmpr"), tidy("epmpr_std").alias("epmpr_std"))
 
 
 TIDY = """ti AS (SELECT leg, roi, count(*) AS n, quantile_cont(halfwidth, 0.5) AS halfwidth, quantile_cont(height, 0.5) AS height FROM le WHERE halfwidth > 1 AND halfwidth < 60 AND leg IS NOT NULL GROUP BY 1, 2),
@@ -182,7 +184,7 @@ def a8(spark, sf_dir):
 
 @query("a11_linear_fit", "WITH s AS (SELECT regr_count(p_retailprice, p_size) AS n, regr_slope(p_retailprice, p_size) AS slope, regr_intercept(p_retailprice, p_size) AS intercept, regr_sxx(p_retailprice, p_size) AS sxx, regr_syy(p_retailprice, p_size) AS syy, regr_sxy(p_retailprice, p_size) AS sxy, regr_avgx(p_retailprice, p_size) AS mx FROM part) SELECT CAST(n AS BIGINT) AS n, round(slope, 3) + 0.0 AS slope, round(intercept, 2) AS intercept, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS slope_se, round(sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1 / n + mx * mx / sxx)), 3) AS intercept_se FROM s")
 def a11(spark, sf_dir):
-    fit = stats.linear_fit(b.read(spark, sf_dir, "part"), "p_size", "p_retailprice")
+    fit = ca.line_fit(b.read(spark, sf_dir, "part"), "p_size", "p_retailprice")
     return fit.select("n", tidy("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("slope_se", 4).alias("slope_se"), F.round("intercept_se", 3).alias("intercept_se"))
 
 
@@ -194,8 +196,8 @@ def a12(spark, sf_dir):
 @query("a13_pool_experiments", b.sql("events") + "SELECT 'exp' || recording || '_' || roi AS pooled_roi, recording AS experiment, recording * 2.5 AS dose, count(*) AS n FROM ev GROUP BY 1, 2, 3")
 def a13(spark, sf_dir):
     plan = spark.createDataFrame([(0, 0.0), (1, 2.5), (2, 5.0)], "experiment long, dose double")
-    pooled = b.events(spark, sf_dir).withColumn("pooled_roi", F.concat(F.lit("exp"), F.col("recording").cast("string"), F.lit("_"), F.col("roi").cast("string")))
-    return pooled.withColumnRenamed("recording", "experiment").join(F.broadcast(plan), "experiment").groupBy("pooled_roi", "experiment", "dose").agg(F.count(F.lit(1)).alias("n"))
+    pooled = stats.pool_experiments(b.events(spark, sf_dir), plan)
+    return pooled.groupBy("pooled_roi", "experiment", "dose").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a14_median_of_rois", b.sql("events", "legs", then=LEGGED + ", ea AS (SELECT recording, leg, roi, quantile_cont(halfwidth, 0.5) AS m FROM le WHERE leg IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 3)") + f"SELECT recording, leg, {r('avg(m)')} AS mean, {r('stddev_pop(m) / sqrt(count(*) - 1)')} AS sem, count(*) AS n_rois FROM ea GROUP BY 1, 2 HAVING count(*) > 1")
@@ -227,15 +229,15 @@ def dose_points(spark, sf_dir):
 
 @query("a18_dose_response", "WITH " + DOSE + " SELECT ec50, h, round(bottom, 2) AS bottom, round(bottom + span, 2) AS top FROM be")
 def a18(spark, sf_dir):
-    fit = stats.dose_response(dose_points(spark, sf_dir), [4.0, 8.0, 12.0, 16.0, 24.0], [0.5, 1.0, 1.5, 2.0, 3.0])
+    fit = ca.dose_response(dose_points(spark, sf_dir), "p_partkey", [4.0, 8.0, 12.0, 16.0, 24.0], [0.5, 1.0, 1.5, 2.0, 3.0], replicates=0)
     return fit.select("ec50", "h", F.round("bottom", 2).alias("bottom"), F.round("top", 2).alias("top"))
 
 
 @query("a19_infer_concentration", "WITH " + DOSE + ", yy AS (SELECT p_partkey, (100 + 900 * pow(p_size, 1.5) / (pow(p_size, 1.5) + pow(12.0, 1.5)) + (p_retailprice % 7) - bottom) / span AS y, ec50, h FROM part, be WHERE p_size > 0) SELECT p_partkey, CASE WHEN y > 0 AND y < 1 THEN round(ec50 * pow(y / (1 - y), 1 / h), 2) + 0.0 END AS inferred FROM yy")
 def a19(spark, sf_dir):
     points = dose_points(spark, sf_dir)
-    fit = stats.dose_response(points, [4.0, 8.0, 12.0, 16.0, 24.0], [0.5, 1.0, 1.5, 2.0, 3.0])
-    return stats.infer_concentration(points, fit).select("p_partkey", tidy("inferred", 2).alias("inferred"))
+    fit = ca.dose_response(points, "p_partkey", [4.0, 8.0, 12.0, 16.0, 24.0], [0.5, 1.0, 1.5, 2.0, 3.0], replicates=0)
+    return ca.infer_concentrations(points, "p_partkey", fit, 0.0).select("p_partkey", tidy("inferred", 2).alias("inferred"))
 
 
 @query("a20_tally_mode", b.sql("events", then="ta AS (SELECT roi, its, count(*) AS n FROM ev GROUP BY 1, 2)") + "SELECT roi, arg_max(its, (n, -its)) AS most, arg_min(its, (n, its)) AS least, CAST(sum(n) AS BIGINT) AS n FROM ta GROUP BY roi")

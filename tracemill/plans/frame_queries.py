@@ -328,3 +328,21 @@ NARROW, WIDE = [0.25, 0.5, 0.25], [0.1, 0.2, 0.4, 0.2, 0.1]
 def f11(spark, sf_dir):
     found = fr.bandpass(image(spark, sf_dir), NARROW, WIDE, 0, 7)
     return out(found.select("recording", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "value"), "recording", "y", "x")
+
+
+@query("f2_resize_space", b.sql("pixels", then="py AS (SELECT *, unnest(generate_series(CAST(floor(y / 2.5) AS BIGINT), CAST(ceil((y + 1) / 2.5) - 1 AS BIGINT))) AS ky FROM px), pa AS (SELECT *, unnest(generate_series(CAST(floor(x / 2.5) AS BIGINT), CAST(ceil((x + 1) / 2.5) - 1 AS BIGINT))) AS kx FROM py), ov AS (SELECT *, (least(y + 1.0, (ky + 1) * 2.5) - greatest(y, ky * 2.5)) * (least(x + 1.0, (kx + 1) * 2.5) - greatest(x, kx * 2.5)) AS o FROM pa)") + f"SELECT recording, frame, ky AS y, kx AS x, {r('sum(value * o) / sum(o)')} AS value FROM ov WHERE o > 0 GROUP BY recording, frame, ky, kx HAVING sum(o) > 6.25 - 1e-9")
+def f2_space(spark, sf_dir):
+    return out(fr.resize(px(spark, sf_dir), 0.4, 0.4), *PX)
+
+
+@query("f3_closeup", b.sql("pixels", then="im AS (SELECT recording, y, x, round(avg(value), 9) AS value FROM px GROUP BY 1, 2, 3), pk AS (SELECT recording, arg_max(y, (value, -y, -x)) AS py, arg_max(x, (value, -y, -x)) AS qx FROM im GROUP BY 1)") + f"SELECT px.recording, frame, y, x, {r('value')} AS value FROM px JOIN pk USING (recording) WHERE abs(y - py) <= 2 AND abs(x - qx) <= 2")
+def f3_closeup(spark, sf_dir):
+    top = image(spark, sf_dir).groupBy("recording").agg(F.max(F.struct("value", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("b"))
+    return out(fr.closeup(px(spark, sf_dir), top.select("recording", (-F.col("b.ny")).alias("y"), (-F.col("b.nx")).alias("x")), 2), *PX)
+
+
+@query("r20_step_correlation", b.sql("pixels", then=BASINS + ", rs AS (SELECT px.recording, roi, frame, px.y, px.x, value, sum(value) OVER (PARTITION BY px.recording, roi, frame) - value AS rest FROM px JOIN ba ON ba.recording = px.recording AND ba.y = px.y AND ba.x = px.x), sp AS (SELECT recording, roi, y, x, value - lag(value) OVER w AS dv, rest - lag(rest) OVER w AS dr FROM rs WINDOW w AS (PARTITION BY recording, roi, y, x ORDER BY frame))") + "SELECT recording, roi, y, x, round(corr(dv, dr), 3) + 0.0 AS r, count(*) AS n FROM sp WHERE dv IS NOT NULL AND roi IN (SELECT roi FROM ba b2 WHERE b2.recording = sp.recording GROUP BY roi HAVING count(*) > 1) GROUP BY 1, 2, 3, 4")
+def r20_steps(spark, sf_dir):
+    own = basins(spark, sf_dir)
+    several = own.groupBy("recording", "roi").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return rois.intra_roi_correlation(px(spark, sf_dir), own.join(several, ["recording", "roi"]), diff=True).select("recording", "roi", "y", "x", tidy("r", 3).alias("r"), "n")

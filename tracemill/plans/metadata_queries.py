@@ -11,6 +11,7 @@ from tracemill.operators import recordings as rec
 from tracemill.plans.registry import query
 from tracemill.plans.trace_queries import r
 from tracemill.sources import bindings as b
+from tracemill.sources import readers
 
 GAPS = 'ga AS (SELECT *, start - lag("end") OVER (PARTITION BY recording ORDER BY series) AS gap, lag(px_size) OVER (PARTITION BY recording ORDER BY series) AS was FROM se)'
 
@@ -110,7 +111,7 @@ def p5(spark, sf_dir):
 
 @query("p6_replace", b.sql("protocol") + "SELECT p_partkey, CASE compound WHEN 'red' THEN 'glucose' WHEN 'small' THEN 'ca' ELSE compound END AS compound FROM pr")
 def p6(spark, sf_dir):
-    return b.protocol(spark, sf_dir).replace({"red": "glucose", "small": "ca"}, subset=["compound"]).select("p_partkey", "compound")
+    return pr.replaced(b.protocol(spark, sf_dir), {"red": "glucose", "small": "ca"}).select("p_partkey", "compound")
 
 
 @query("p7_active_at", b.sql("protocol", then=TIMES + ", ks AS (SELECT recording, compound, concentration, unnest(generate_series(CAST(ceil(t_begin / 120.0) AS BIGINT), CAST(ceil(least(t_end, 3600.0) / 120.0) - 1 AS BIGINT))) AS k FROM pt)") + "SELECT recording, k, array_to_string(list_sort(list(DISTINCT compound || ' ' || concentration)), ', ') AS active FROM ks GROUP BY 1, 2")
@@ -120,20 +121,18 @@ def p7(spark, sf_dir):
 
 @query("m11_protocol_summary", b.sql("protocol") + "SELECT recording, array_to_string(list_sort(list(DISTINCT compound || ':' || concentration)), ' ') AS summary FROM pr GROUP BY 1")
 def m11(spark, sf_dir):
-    item = F.concat_ws(":", "compound", "concentration")
-    return b.protocol(spark, sf_dir).groupBy("recording").agg(F.array_join(F.array_sort(F.collect_set(item)), " ").alias("summary"))
+    return pr.summary(b.protocol(spark, sf_dir))
 
 
 @query("s8_wide_traces", b.sql("week") + "SELECT t, count(*) AS n_rois, string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY roi) AS row_values FROM tr GROUP BY t")
 def s8(spark, sf_dir):
-    in_order = F.sort_array(F.collect_list(F.struct("roi", F.col("value").cast("long").cast("string").alias("v"))))
-    return b.traces_week(spark, sf_dir).groupBy("t").agg(F.count(F.lit(1)).alias("n_rois"), F.array_join(F.transform(in_order, lambda x: x["v"]), ",").alias("row_values"))
+    return readers.wide_traces(b.traces_week(spark, sf_dir), "cast(value as long)")
 
 
 @query("s11_melt_calibration", "SELECT p_size AS concentration, m AS replicate, v AS measurement FROM (SELECT p_size, p_retailprice AS measurement_1, p_retailprice * 2 AS measurement_2 FROM part) UNPIVOT (v FOR m IN (measurement_1, measurement_2))")
 def s11(spark, sf_dir):
     wide = b.read(spark, sf_dir, "part").select(F.col("p_size").alias("concentration"), F.col("p_retailprice").alias("measurement_1"), (F.col("p_retailprice") * 2).alias("measurement_2"))
-    return wide.unpivot(["concentration"], ["measurement_1", "measurement_2"], "replicate", "measurement")
+    return readers.tidy_calibration(wide)
 
 
 @query("m7_reshape_linescan", b.sql("pixels") + f"SELECT recording, x, frame * 8 + y AS i, {r('value')} AS value FROM px")

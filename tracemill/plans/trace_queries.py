@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.numbers import sigma, tidy
 from tracemill.operators import clusters as cl
 from tracemill.operators import events as ev
+from tracemill.operators import filters as fl
 from tracemill.operators import linescans as ls
 from tracemill.operators import stats
 from tracemill.operators import traces as tr
@@ -57,10 +58,7 @@ def t2(spark, sf_dir):
 
 @query("t5_prepare_filter", b.sql("week", then="sc AS (SELECT unnest([28.0, 112.0, 420.0]) AS ts), nb AS (SELECT ts, greatest(1, CAST(floor(ts / 7 / 5) AS INTEGER)) AS nr FROM sc)") + f"SELECT ts, roi, CAST(i // nr AS INTEGER) AS i, {r('avg(value)')} AS value FROM tr, nb GROUP BY ts, nr, roi, i // nr HAVING count(*) = nr")
 def t5(spark, sf_dir):
-    rows = b.traces_week(spark, sf_dir).withColumn("ts", F.explode(F.array(*map(F.lit, (28.0, 112.0, 420.0)))))
-    n = F.greatest(F.lit(1), F.floor(F.col("ts") / 7 / 5)).cast("int")
-    out = rows.withColumn("nr", n).groupBy("ts", "nr", "roi", F.floor(F.col("i") / F.col("nr")).cast("int").alias("i")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    return out.filter("n = nr").select("ts", "roi", "i", tidy("value").alias("value"))
+    return fl.prepared(b.traces_week(spark, sf_dir), [28.0, 112.0, 420.0], 7.0, 5).select("ts", "roi", "i", tidy("value").alias("value"))
 
 
 @query("t6_sigma", b.sql("week") + f"SELECT roi, i, {r('sqrt(greatest(value, 3.0))')} AS plain, {r('sqrt(1.5 * pow(greatest(value, 3.0), 0.9))')} AS fitted FROM tr")
@@ -249,3 +247,8 @@ up AS (SELECT DISTINCT recording, roi, roi AS name FROM tr UNION ALL SELECT up.r
 def t33_cut(spark, sf_dir):
     rois = b.traces_emb(spark, sf_dir).select("recording", "roi").distinct()
     return cl.cut_tree(linked(spark, sf_dir), rois, count=CUT)
+
+
+@query("t20_autocorrelation_splits", b.sql("week", then="nn AS (SELECT roi, count(*) AS n FROM tr GROUP BY roi), sp AS (SELECT roi, i, value, ((i + 1) * 3 - 1) // n AS s FROM tr JOIN nn USING (roi)), co AS (SELECT a.roi, a.s, lag, CASE WHEN lag = 0 THEN 1.0 ELSE corr(a.value, c.value) END AS r FROM sp a, (SELECT unnest([0, 1, 4]) AS lag), sp c WHERE c.roi = a.roi AND c.s = a.s AND c.i = a.i + lag GROUP BY a.roi, a.s, lag)") + f"SELECT roi, CAST(lag AS INTEGER) AS lag, {r('avg(r)')} AS r, {r('stddev_pop(r)')} AS r_std FROM co GROUP BY roi, lag")
+def t20_splits(spark, sf_dir):
+    return tr.autocorrelation(b.traces_week(spark, sf_dir), [0, 1, 4], splits=3).select("roi", "lag", tidy("r").alias("r"), tidy("r_std").alias("r_std"))

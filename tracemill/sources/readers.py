@@ -99,3 +99,35 @@ def catalog(spark: SparkSession, root: str, extensions: list[str], constraint: s
     glob = "*.{" + ",".join(extensions) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
     return constrained(files, "path", constraint)
+
+
+def tidy_calibration(wide: DataFrame, key: str = "concentration") -> DataFrame:
+    """key, replicate, measurement: the columns of replicates one below the other; empty cells go."""
+    names = [c for c in wide.columns if c != key]
+    return wide.unpivot([key], names, "replicate", "measurement").filter("measurement is not null")
+
+
+def read_calibration(spark: SparkSession, path: str, key: str = "concentration") -> DataFrame:
+    """A table of concentrations and replicate measurements (CSV with a header), tidy."""
+    wide = spark.read.csv(path, header=True, inferSchema=True)
+    return tidy_calibration(wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns)), key)
+
+
+def wide_traces(traces: DataFrame, number: str = "value") -> DataFrame:
+    """A row a time: t, n_rois and row_values, the rois' values in order of roi, joined by commas. number is an expression of the value."""
+    in_order = F.sort_array(F.collect_list(F.struct("roi", F.expr(number).cast("string").alias("v"))))
+    return traces.groupBy("t").agg(F.count(F.lit(1)).alias("n_rois"), F.array_join(F.transform(in_order, lambda x: x["v"]), ",").alias("row_values"))
+
+
+def roi_coordinates(roi_pixels: DataFrame) -> DataFrame:
+    """roi, y, x: the mean place of each roi's pixels."""
+    return roi_pixels.groupBy("roi").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+
+
+def write_wide_traces(traces: DataFrame, roi_pixels: DataFrame, path: str) -> None:
+    """A recording's traces and roi coordinates as blank-separated text: path/traces has a line a time, time first,
+    path/coords a line a roi; both in order of time and of roi over their files."""
+    rows = wide_traces(traces).withColumn("line", F.concat_ws(" ", F.col("t").cast("string"), F.translate("row_values", ",", " ")))
+    rows.repartitionByRange("t").sortWithinPartitions("t").select("line").write.text(f"{path}/traces")
+    coords = roi_coordinates(roi_pixels).withColumn("line", F.concat_ws(" ", F.col("y").cast("string"), F.col("x").cast("string")))
+    coords.repartitionByRange("roi").sortWithinPartitions("roi").select("line").write.text(f"{path}/coords")
