@@ -13,7 +13,7 @@ import corpus_pipeline
 from test_pieces_and_quality import plain_base
 from test_pseudonyms import plain as plain_pseudonym
 from test_repeats import WORD, plain_repeats
-from test_simhash import plain_components, plain_print
+from xxhash import xxh64_intdigest
 from tracemill.llm import pseudonyms
 
 
@@ -43,6 +43,41 @@ def plain_cut(rows):
     return {d: t for d, t in out.items() if WORD.search(t)}
 
 
+def plain_prints(text, passes=4):
+    """Majorities of the bits of the shingles' hashes, and of those mixed anew, in Python's integers."""
+    mask = (1 << 64) - 1
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    out = []
+    for k in range(passes):
+        votes = [0] * 64
+        for s in shingles:
+            h = xxh64_intdigest(s.encode(), 42)
+            if k:
+                h = h + k * 0x9E3779B97F4A7C15 & mask
+                for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+                    h = (h ^ h >> 31) * factor & mask
+                h ^= h >> 32
+            for b in range(64):
+                votes[b] += h >> b & 1
+        out.append(sum(1 << b for b in range(64) if votes[b] * 2 > len(shingles)))
+    return out
+
+
+def plain_first(texts):
+    """The least id that each text is linked to, through others, by any of its fingerprints."""
+    prints = {d: plain_prints(t) for d, t in texts.items()}
+    first = {d: d for d in texts}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in prints.items():
+            for b, y in prints.items():
+                if first[a] < first[b] and any((p ^ q).bit_count() <= 2 for p, q in zip(x, y, strict=True)):
+                    first[b], changed = first[a], True
+    return first
+
+
 def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -58,7 +93,7 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert not kept & failed and len(kept) >= 0.9 * (len(texts) - len(failed))
             texts = {d: t for d, t in texts.items() if d in kept}
         elif name == "near_duplicates":
-            first = plain_components([(d, plain_print(t)) for d, t in texts.items()])
+            first = plain_first(texts)
             texts = {d: t for d, t in texts.items() if first[d] == d}
         elif name == "repeats":
             texts = plain_cut(sorted(texts.items()))

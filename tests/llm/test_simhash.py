@@ -94,3 +94,28 @@ def test_components_of_paths_and_stars(spark, n):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {7: 7} | ({i: 100 for i in range(100, 101 + n)} | {i: 500 for i in range(500, 500 + n)} if n else {})
     assert got == want
+
+
+def test_more_fingerprints_find_more_near_copies(spark):
+    import random
+
+    from tracemill.llm.simhash import simhashes
+
+    made = random.Random(1)
+    words = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], []
+    for k in range(60):
+        own = made.choices(words, k=made.randrange(150, 500))
+        other = list(own)
+        other[made.randrange(len(other))] = "changed"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        pairs.append((rows[-2][1], rows[-1][1]))
+    far = lambda a, b: bin(a ^ b).count("1")
+    near = [[far(x, y) <= 2 for x, y in zip(simhashes(a, 4), simhashes(b, 4), strict=True)] for a, b in pairs]
+    assert all(simhashes(a, 4)[0] == simhash.simhash(a) for a, _ in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for passes in (1, 4):
+        kept = sorted(r.doc_id for r in simhash.without_near_duplicates(docs, passes).collect())
+        gone = {2 * k + 1 for k, found in enumerate(near) if any(found[:passes])}
+        assert kept == sorted(set(range(120)) - gone)
+    assert sum(any(n) for n in near) > sum(n[0] for n in near)

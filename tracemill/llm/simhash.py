@@ -15,9 +15,12 @@ Fingerprints and shared values form a bipartite graph, linear in size, whose com
 Exact copies meet in one fingerprint before the search, by partial aggregation. Nulls: a null text
 is an empty one; texts without words have fingerprint zero and link like any other. A null doc_id
 takes no part in the choice of a component's smallest id, but gets the component of its text.
-``without_near_duplicates`` keeps one row of every component: that of the smallest doc_id, of several
-rows with that id the one whose text has the least hash, of equal ones any; a null doc_id is the
-largest.
+
+``without_near_duplicates`` searches by PASSES fingerprints of a text, whose values are mixed anew from the
+same XXH64 values, since any one fingerprint misses near copies that differ in a bit too many: two texts
+link if they do by one of them. It keeps one row of every component: that of the smallest doc_id, of
+several rows with that id the one whose text has the least hash, of equal ones any; a null doc_id is
+the largest.
 """
 
 from __future__ import annotations
@@ -36,10 +39,13 @@ from tracemill.llm.worker_cache import release
 
 LOW = 0x5555555555555555
 SEED = 42
+PASSES = 4
+STEP = 0x9E3779B97F4A7C15
+FACTORS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
 
 
-def simhash(text: str) -> int:
-    """The fingerprint of one text as an unsigned integer."""
+def simhashes(text: str, passes: int = 1) -> list[int]:
+    """Fingerprints of one text as unsigned integers; the first is the one of the module's description."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
@@ -48,26 +54,49 @@ def simhash(text: str) -> int:
     elif words:
         shingles = [b" ".join(words)]
     else:
-        return 0
+        return [0] * passes
     h = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+    found = []
+    for k in range(passes):
+        own = mixed(h, k) if k else h
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(own), 4096):
+            counts += np.unpackbits(own[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(counts * 2 > len(own), bitorder="little").view("<u8")[0]))
+    return found
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other values of the same shingles: two rounds of multiplication and shift after adding k times an odd number."""
+    h = h + np.uint64(k * STEP & 0xFFFFFFFFFFFFFFFF)
+    for factor in FACTORS:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def simhash(text: str) -> int:
+    """The fingerprint of one text as an unsigned integer."""
+    return simhashes(text)[0]
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
     release()
     for part in blocks(batches, "text"):
-        prints = np.array([simhash(t or "") for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(prints)], names=["doc_id", "key", "fp"])
+        prints = np.array([simhashes(t or "", passes) for t in part.column("text").to_pylist()], np.uint64).view(np.int64).ravel()
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(prints), passes).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], names=["doc_id", "key", "fps"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text) and the signed 64-bit fingerprint of docs(doc_id, text)."""
+def fingerprint_lists(docs: DataFrame, passes: int) -> DataFrame:
+    """doc_id, key (a hash of the text) and fps, the signed 64-bit fingerprints of docs(doc_id, text)."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
+    return rows.mapInArrow(lambda it: _fingerprints(it, passes), "doc_id long, key long, fps array<long>")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, key and fp, the fingerprint of the module's description."""
+    return fingerprint_lists(docs, 1).select("doc_id", "key", F.element_at("fps", 1).alias("fp"))
 
 
 def bit_counts(fp: Column) -> Column:
@@ -118,11 +147,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return of_docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of docs(doc_id, text, ...) for each component, with the columns of docs."""
-    of_docs, labels = labelled(docs)
+def kept_places(docs: DataFrame, passes: int) -> DataFrame:
+    """doc_id and key of the first row of every component, and n, the number of rows equal to it, written.
+
+    Nodes are (pass, value). A text's fingerprints hang together at that of the first pass, as far as
+    there is something to link: a near one, or another text with the same.
+    """
+    of_docs = written(fingerprint_lists(docs, passes), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "key").alias("place")
+    # Equal rows meet before anything else.
+    rows = of_docs.groupBy("fps", place).agg(F.count(F.lit(1)).alias("n"))
+    texts = written(rows.groupBy("fps").agg(F.min(F.struct("place", "n")).alias("first")), "distinct-fingerprints")
     discard(of_docs)
-    first = labels.select("place.doc_id", "place.key", "n").distinct()
+    node = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))
+    edges = None
+    for k in range(passes):
+        own = texts.select(F.element_at("fps", 1).alias("first_fp"), F.element_at("fps", k + 1).alias("fp"))
+        near = written(links(own.select("fp").distinct().repartition(partitions(docs.sparkSession))), f"links-{k}")
+        found = near.select(node(k, "a").alias("a"), node(k, "b").alias("b"))
+        if k:
+            same = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
+            tied = own.join(near.select(F.col("a").alias("fp")).union(same).distinct().hint("merge"), "fp")
+            found = found.union(tied.select(node(0, "first_fp").alias("a"), node(k, "fp").alias("b")))
+        edges = found if edges is None else edges.union(found)
+    roots = components(edges).filter("node.k = 0").select(F.col("node.v").alias("v"), "root")
+    known = texts.join(roots, F.element_at("fps", 1) == roots["v"], "left").select("first", F.coalesce("root", F.struct(F.lit(0).alias("k"), F.element_at("fps", 1).alias("v"))).alias("root"))
+    least = known.groupBy("root").agg(F.min("first").alias("first"))
+    kept = written(least.select("first.place.doc_id", "first.place.key", "first.n"), "kept")
+    discard(texts)
+    return kept
+
+
+def without_near_duplicates(docs: DataFrame, passes: int = PASSES) -> DataFrame:
+    """One row of docs(doc_id, text, ...) for each component, with the columns of docs."""
+    first = kept_places(docs, passes)
 
     own_id, own_key = free_name(docs, "kept_id"), free_name(docs, "kept_key")
     rows = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_key, F.xxhash64(F.col("text").cast("string")))
