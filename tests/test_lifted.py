@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import frames as fr
+from tracemill.operators import recordings as rec
 from tracemill.operators import rois
 from tracemill.operators import traces as tr
 from tracemill.sources import readers
@@ -77,3 +78,28 @@ def test_calibration_table(spark, tmp_path):
     (tmp_path / "curve.csv").write_text("concentration,measurement_1,measurement_2\n1,10,12\n2.5,20,\n")
     got = sorted(map(tuple, readers.read_calibration(spark, str(tmp_path / "curve.csv")).collect()))
     assert got == [(1.0, "measurement_1", 10.0), (1.0, "measurement_2", 12.0), (2.5, "measurement_1", 20.0)]
+
+
+def test_catalogue_of_folders(spark):
+    files = [
+        ("/r/exp1/S1_100-250s_c2/a.mp4", 5, 1), ("/r/exp1/S1_100-250s_c2/b.mp4", 5, 9), ("/r/exp1/S1_100-250s_c2/x_protocol.txt", 3, 1), ("/r/exp1/S1_100-250s_c2/y_protocol.txt", 8, 0),
+        ("/r/exp1/S2/p.png", 1, 2), ("/r/exp1/S2/q.png", 1, 3), ("alone.mp4", 1, 1), ("/r/exp1/S3_odd/z.txt", 1, 1),
+    ]
+    rows = {r.series: r for r in rec.catalog_rows(spark.createDataFrame(files, "path string, length long, modificationTime long")).collect()}
+    assert set(rows) == {"S1", "S2", "S3"}
+    one = rows["S1"]
+    assert (one.recording, one.channel, one.time_range, one.begin, one.end) == ("/r/exp1", 2, "100-250s", 100.0, 250.0)
+    assert one.movies == ["/r/exp1/S1_100-250s_c2/b.mp4", "/r/exp1/S1_100-250s_c2/a.mp4"] and one.movie == one.movies[0] and one.protocol.endswith("y_protocol.txt")
+    two = rows["S2"]
+    assert (two.channel, two.time_range, two.begin, two.movie, two.movies) == (0, None, None, None, []) and two.images[0].endswith("q.png")
+    assert two.protocol == "/r/exp1/S2/exp1_S2_protocol.txt" and rows["S3"].time_range == "odd" and rows["S3"].begin is None
+
+
+def test_fading_of_movies(spark):
+    rows = [("a", f, 0, x, 50 + x + 100 * math.exp(-0.03 * f)) for f in range(120) for x in range(3)] + [("one", 0, 0, 0, 7.0)] + [("flat", f, 0, 0, 3.0) for f in range(5)]
+    px = spark.createDataFrame(rows, "recording string, frame int, y int, x int, value double")
+    got = fr.debleach(px)
+    assert got.columns == px.columns and got.count() == len(rows)
+    middle = [r.m for r in got.filter("recording = 'a'").groupBy("frame").agg(F.percentile("value", F.lit(0.5)).alias("m")).collect()]
+    assert np.std(middle) < 0.08 * np.std([51 + 100 * math.exp(-0.03 * f) for f in range(120)])
+    assert {r.value for r in got.filter("recording = 'one'").collect()} == {7.0} and all(r.value == pytest.approx(3.0) for r in got.filter("recording = 'flat'").collect())

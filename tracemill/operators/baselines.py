@@ -15,9 +15,9 @@ from tracemill.operators import traces as tr
 FINER = (0.5, 0.7, 0.85, 1.0, 1.2, 1.4, 2.0)  # the second grid, as multiples of the first one's best rate
 
 
-def _best_decay(rows: DataFrame, rate: Column, keys) -> DataFrame:
+def best_decay(rows: DataFrame, rate: Column, keys) -> DataFrame:
     at = rows.withColumn("rate", F.explode(rate)).withColumn("e", F.exp(-F.col("rate") * F.col("i")))
-    sse = F.regr_syy("value", "e") - F.pow(F.regr_sxy("value", "e"), F.lit(2)) / F.regr_sxx("value", "e")
+    sse = F.regr_syy("value", "e") - F.try_divide(F.pow(F.regr_sxy("value", "e"), F.lit(2)), F.regr_sxx("value", "e"))
     fits = at.groupBy(*keys, "rate").agg(F.regr_slope("value", "e").alias("c"), F.regr_intercept("value", "e").alias("b"), F.round(sse, 6).alias("sse"))
     return fits.filter("c is not null").groupBy(*keys).agg(F.min(F.struct("sse", "rate", "b", "c")).alias("best")).select(*keys, "best.rate", "best.b", "best.c")
 
@@ -33,8 +33,8 @@ def debleached(df: DataFrame, rates: list[float], points: int = 100, keys=tr.KEY
     block = F.floor(F.col("i") / F.col("width"))
     inner = (F.col("k") >= F.floor(F.col("blocks") / 10)) & (F.col("k") < F.col("blocks") - F.ceil(F.col("blocks") / 10) - 1)
     low = df.join(ends, list(keys)).withColumn("k", block).filter(inner).groupBy(*keys, "k").agg(F.percentile("value", F.lit(0.1)).alias("value"), F.avg("i").alias("i"))
-    coarse = _best_decay(low, F.array(*map(F.lit, rates)), keys).select(*keys, F.col("rate").alias("near"))
-    fit = _best_decay(low.join(coarse, list(keys)), F.array(*(F.col("near") * f for f in FINER)), keys)
+    coarse = best_decay(low, F.array(*map(F.lit, rates)), keys).select(*keys, F.col("rate").alias("near"))
+    fit = best_decay(low.join(coarse, list(keys)), F.array(*(F.col("near") * f for f in FINER)), keys)
     curve = df.join(fit, list(keys), "left").withColumn("curve", F.coalesce(F.col("b") + F.col("c") * F.exp(-F.col("rate") * F.col("i")), F.lit(0.0)))
     rest = F.col("value") - F.col("curve")
     line = curve.groupBy(*keys).agg(F.regr_slope(rest, "i").alias("up"), F.regr_intercept(rest, "i").alias("start"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.operators.baselines import FINER, best_decay
 from tracemill.operators.components import components
 
 PLACE = ["recording", "y", "x"]
@@ -75,11 +76,26 @@ def bin_median(px: DataFrame, n_bins: int) -> DataFrame:
     return means.groupBy(*PLACE).agg(F.percentile("m", F.lit(0.5)).alias("value"))
 
 
-def debleach(px: DataFrame) -> DataFrame:
-    """value less the straight-line trend of the frames' medians, plus the median of all frames' medians kept."""
+#: Rates a frame that a fading is first sought at; slower ones are as good as a straight line.
+RATES = tuple(10.0 ** (k / 2) for k in range(-8, 1))
+
+
+def debleach(px: DataFrame, rates: tuple[float, ...] = RATES) -> DataFrame:
+    """value less the trend of the frames' medians, whose own median is kept.
+
+    The trend is b + c exp(-rate frame), with the rate the best of a grid, then of a finer one around it, and b and c
+    least squares. Without rates, and for recordings without such a curve (under three frames), it is a straight line.
+    """
     medians = px.groupBy("recording", "frame").agg(F.percentile("value", F.lit(0.5)).alias("m"))
-    line = medians.groupBy("recording").agg(F.regr_slope("m", "frame").alias("a"), F.avg("frame").alias("mid"))
-    return px.join(line, "recording").withColumn("value", F.col("value") - F.col("a") * (F.col("frame") - F.col("mid"))).drop("a", "mid")
+    line = medians.groupBy("recording").agg(F.regr_slope("m", "frame").alias("a"), F.avg("frame").alias("mid"), F.percentile("m", F.lit(0.5)).alias("middle"))
+    straight = F.coalesce("a", F.lit(0.0)) * (F.col("frame") - F.col("mid"))
+    if not rates:
+        return px.join(line, "recording").withColumn("value", F.col("value") - straight).select(*px.columns)
+    series = medians.select("recording", F.col("frame").alias("i"), F.col("m").alias("value"))
+    coarse = best_decay(series, F.array(*map(F.lit, rates)), ["recording"]).select("recording", F.col("rate").alias("near"))
+    fit = best_decay(series.join(coarse, "recording"), F.array(*(F.col("near") * f for f in FINER)), ["recording"])
+    fading = F.col("b") + F.col("c") * F.exp(-F.col("rate") * F.col("frame")) - F.col("middle")
+    return px.join(line, "recording").join(fit, "recording", "left").withColumn("value", F.col("value") - F.coalesce(fading, straight)).select(*px.columns)
 
 
 def stat_images(px: DataFrame, last: int = 10) -> DataFrame:

@@ -76,3 +76,25 @@ def additional_info(df: DataFrame, column: str) -> DataFrame:
 def searched(catalog: DataFrame, column: str, part: str, order: str, n: int) -> DataFrame:
     """The first n rows, in order, whose column holds the part: a report of a fixed length."""
     return catalog.filter(F.contains(F.col(column), F.lit(part))).orderBy(order).limit(n)
+
+
+def catalog_rows(files: DataFrame) -> DataFrame:
+    """A row for each folder of files(path, length, modificationTime): recording, series, channel, time_range, begin, end, movies, movie, images, protocol.
+
+    A folder is named series[_begin-end][_cN] inside its recording's folder; without _cN the channel is 0, without a
+    range it is the whole series. movies (.mp4) and images (.png) are the newest first, by path where times are equal,
+    movie is the newest. protocol is the largest file that ends in protocol.txt, of equal ones the last by path, or
+    where it would be. Paths without a folder are left out.
+    """
+    folder, name = F.regexp_extract("path", "^(.+)/[^/]*$", 1), F.regexp_extract("folder", "([^/]*)$", 1)
+    rows = files.withColumn("folder", folder).filter("folder != ''")
+    newest = lambda end: F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("path").endswith(end), F.struct("modificationTime", "path"))))), lambda x: x["path"])
+    largest = F.max(F.when(F.col("path").endswith("protocol.txt"), F.struct("length", "path")))["path"]
+    found = rows.groupBy("folder").agg(newest(".mp4").alias("movies"), newest(".png").alias("images"), largest.alias("protocol"))
+    own = F.regexp_replace(name, "_c[0-9]+$", "")
+    spans = F.nullif(F.regexp_extract(own, "^[^_]*_(.*)$", 1), F.lit(""))
+    end = lambda k: F.regexp_extract("time_range", r"^([0-9.]+)s?-([0-9.]+)s?$", k).try_cast("double")
+    named = found.withColumn("recording", F.regexp_extract("folder", "^(.*)/[^/]*$", 1)).withColumn("series", F.regexp_extract(own, "^([^_]*)", 1)).withColumn("time_range", spans)
+    named = named.withColumn("channel", F.coalesce(F.nullif(F.regexp_extract(name, "_c([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)))
+    default = F.concat("folder", F.lit("/"), F.regexp_extract("recording", "([^/]*)$", 1), F.lit("_"), "series", F.lit("_protocol.txt"))
+    return named.select("folder", "recording", "series", "channel", "time_range", end(1).alias("begin"), end(2).alias("end"), "movies", F.try_element_at("movies", F.lit(1)).alias("movie"), "images", F.coalesce("protocol", default).alias("protocol"))

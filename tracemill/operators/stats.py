@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,6 +92,13 @@ def duration_histogram(events: DataFrame, edges: list[float], legs: DataFrame) -
     return counts.join(F.broadcast(legs), "leg").select("leg", "bin", "n", (F.col("n") * per_minute).alias("rate"), (F.sqrt("n") * per_minute).alias("rate_err"))
 
 
+def control_rate(events: DataFrame, edges: list[float]) -> DataFrame:
+    """bin and control: events a minute that chance alone would give at each bin's middle, 60 P(Z >= least z_max) / middle."""
+    least = events.agg(F.min("z_max").alias("z"))
+    bins = F.array(*(F.struct(F.lit(k).alias("bin"), F.lit(math.sqrt(a * b)).alias("middle")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    return least.select("z", F.explode(bins).alias("b")).select("b.bin", (60 * normal_tail(F.col("z")) / F.col("b.middle")).alias("control"))
+
+
 def cdf(rows: DataFrame, column: str, keys: list[str], parts: int = 200) -> DataFrame:
     """Each value with its place in the order, from 0 to 1; of equal values the lower event_id comes first.
 

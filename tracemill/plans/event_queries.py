@@ -252,6 +252,14 @@ def a9(spark, sf_dir):
     return found.select("leg", *(tidy(c).alias(c) for c in ("coef", "se", "z", "p", "effect", "theta")))
 
 
+TAIL = "t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) * exp(-z * z / 2) / 2.5066282746310002"
+
+
+@query("a4_control_line", b.sql("events", then="le AS (SELECT min(z_max) AS z, 1 / (1 + 0.2316419 * min(z_max)) AS t FROM ev), ed AS (SELECT unnest([0, 1, 2, 3, 4]) AS bin, unnest([1.0, 2.0, 4.0, 8.0, 16.0]) AS low)") + f"SELECT bin, {r(f'60 * {TAIL} / sqrt(low * low * 2)')} AS control FROM ed, le")
+def a4_control(spark, sf_dir):
+    return stats.control_rate(b.events(spark, sf_dir), [1.0, 2.0, 4.0, 8.0, 16.0, 32.0]).select("bin", tidy("control").alias("control"))
+
+
 @query("a9_effect_nested")
 def a9_nested(spark, sf_dir):
     found = mixed.effect_nested(legged(spark, sf_dir), "halfwidth", "a", least=5, legs=["a", "b", "c"])

@@ -54,7 +54,7 @@ def f6(spark, sf_dir):
 
 @query("f7_debleach_movie", b.sql("pixels", then="md AS (SELECT recording, frame, quantile_cont(value, 0.5) AS m FROM px GROUP BY 1, 2), ln AS (SELECT recording, regr_slope(m, frame) AS a, avg(frame) AS mid FROM md GROUP BY 1)") + f"SELECT recording, frame, y, x, {r('value - a * (frame - mid)')} AS value FROM px JOIN ln USING (recording)")
 def f7(spark, sf_dir):
-    return out(fr.debleach(px(spark, sf_dir)), *PX)
+    return out(fr.debleach(px(spark, sf_dir), ()), *PX)
 
 
 STATS = """nf AS (SELECT recording, count(DISTINCT frame) AS n FROM px GROUP BY 1), sp AS (SELECT *, value - lag(value) OVER (PARTITION BY recording, y, x ORDER BY frame) AS step FROM px),
@@ -346,3 +346,15 @@ def r20_steps(spark, sf_dir):
     own = basins(spark, sf_dir)
     several = own.groupBy("recording", "roi").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     return rois.intra_roi_correlation(px(spark, sf_dir), own.join(several, ["recording", "roi"]), diff=True).select("recording", "roi", "y", "x", tidy("r", 3).alias("r"), "n")
+
+
+def decay(name: str, source: str, rates: str) -> str:
+    """Table name(recording, rate, b, c), the best of the rates given by an expression for each row of source(recording, frame, m, ...)."""
+    return f"""{name}_e AS (SELECT recording, rate, m, exp(-rate * frame) AS e FROM (SELECT *, unnest({rates}) AS rate FROM {source})),
+{name}_f AS (SELECT recording, rate, regr_slope(m, e) AS c, regr_intercept(m, e) AS b, round(regr_syy(m, e) - pow(regr_sxy(m, e), 2) / regr_sxx(m, e), 6) AS sse FROM {name}_e GROUP BY 1, 2),
+{name} AS (SELECT recording, rate, b, c FROM {name}_f WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recording ORDER BY sse, rate, b, c) = 1)"""
+
+
+@query("f7_debleach_decay", b.sql("pixels", then="md AS (SELECT recording, frame, quantile_cont(value, 0.5) AS m FROM px GROUP BY 1, 2), " + decay("co", "md", f"{list(fr.RATES)}::DOUBLE[]") + ", mn AS (SELECT md.*, rate AS near FROM md JOIN co USING (recording)), " + decay("fi", "mn", f"list_transform({list(fr.FINER)}::DOUBLE[], lambda f: f * near)") + ", mi AS (SELECT recording, quantile_cont(m, 0.5) AS middle FROM md GROUP BY 1)") + f"SELECT px.recording, frame, y, x, {r('value - (b + c * exp(-rate * frame) - middle)')} AS value FROM px JOIN fi USING (recording) JOIN mi USING (recording)")
+def f7_decay(spark, sf_dir):
+    return out(fr.debleach(px(spark, sf_dir)), *PX)

@@ -61,6 +61,26 @@ def m9(spark, sf_dir):
     return pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.length("url"), "page_id", "url"))["url"].alias("longest"), F.max(number).alias("last_number"))
 
 
+#: Pages as files of recordings: hosts are recordings, languages series, in parts of 300 s and two channels.
+FILES = """fi AS (SELECT '/data/' || regexp_extract(url, '://([^/?#]*)', 1) || '/' || regexp_extract(url, '://[^/]*/([a-z]*)', 1) || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_0-300' ELSE '_300s-600s' END || CASE page_id % 2 WHEN 0 THEN '' ELSE '_c1' END AS folder, page_id, length(html) AS length,
+  CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '_protocol.txt' ELSE '.mp4' END AS ending, page_id % 7 AS mtime FROM pages),
+fp AS (SELECT *, folder || '/' || page_id || ending AS path FROM fi)"""
+
+
+@query("m9_catalog_rows", "WITH " + FILES + """ SELECT folder, regexp_extract(folder, '^/data/([^/]*)', 1) AS recording, regexp_extract(folder, '([^/_]*)[^/]*$', 1) AS series, CASE WHEN folder LIKE '%\_c1' ESCAPE '\' THEN 1 ELSE 0 END AS channel,
+  CASE WHEN folder LIKE '%_0-300%' THEN 0.0::DOUBLE WHEN folder LIKE '%_300s-600s%' THEN 300.0::DOUBLE END AS "begin", CASE WHEN folder LIKE '%_0-300%' THEN 300.0::DOUBLE WHEN folder LIKE '%_300s-600s%' THEN 600.0::DOUBLE END AS "end",
+  count(*) FILTER (ending = '.mp4') AS n_movies, arg_max(path, (mtime, path)) FILTER (ending = '.mp4') AS movie, count(*) FILTER (ending = '.png') AS n_images,
+  coalesce(arg_max(path, (length, path)) FILTER (ending = '_protocol.txt'), folder || '/' || regexp_extract(folder, '^/data/([^/]*)', 1) || '_' || regexp_extract(folder, '([^/_]*)[^/]*$', 1) || '_protocol.txt') AS protocol FROM fp GROUP BY folder""")
+def m9_rows(spark, sf_dir):
+    page = F.col("page_id")
+    part = F.when(page % 3 == 0, "").when(page % 3 == 1, "_0-300").otherwise("_300s-600s")
+    folder = F.concat(F.lit("/data/"), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), F.regexp_extract("url", "://[^/]*/([a-z]*)", 1), part, F.when(page % 2 == 0, "").otherwise("_c1"))
+    ending = F.when(page % 5 == 0, ".png").when(page % 5 == 1, "_protocol.txt").otherwise(".mp4")
+    files = b.read(spark, sf_dir, "pages").select(F.concat(folder, F.lit("/"), page.cast("string"), ending).alias("path"), F.length("html").alias("length"), (page % 7).alias("modificationTime"))
+    found = rec.catalog_rows(files)
+    return found.select("folder", F.regexp_replace("recording", "^/data/", "").alias("recording"), "series", "channel", "begin", "end", F.size("movies").cast("long").alias("n_movies"), "movie", F.size("images").cast("long").alias("n_images"), "protocol")
+
+
 @query("m13_search_catalog", "SELECT page_id, url FROM pages WHERE contains(url, '/fr/') ORDER BY page_id LIMIT 20")
 def m13(spark, sf_dir):
     return rec.searched(b.read(spark, sf_dir, "pages").select("page_id", "url"), "url", "/fr/", "page_id", 20)
