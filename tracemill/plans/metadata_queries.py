@@ -67,7 +67,7 @@ FILES = """fi AS (SELECT '/data/' || regexp_extract(url, '://([^/?#]*)', 1) || '
 fp AS (SELECT *, folder || '/' || page_id || ending AS path FROM fi)"""
 
 
-@query("m9_catalog_rows", "WITH " + FILES + """ SELECT folder, regexp_extract(folder, '^/data/([^/]*)', 1) AS recording, regexp_extract(folder, '([^/_]*)[^/]*$', 1) AS series, CASE WHEN folder LIKE '%\_c1' ESCAPE '\' THEN 1 ELSE 0 END AS channel,
+@query("m9_catalog_rows", "WITH " + FILES + """ SELECT folder, regexp_extract(folder, '^/data/([^/]*)', 1) AS recording, regexp_extract(folder, '([^/_]*)[^/]*$', 1) AS series, CASE WHEN regexp_matches(folder, '_c1$') THEN 1 ELSE 0 END AS channel,
   CASE WHEN folder LIKE '%_0-300%' THEN 0.0::DOUBLE WHEN folder LIKE '%_300s-600s%' THEN 300.0::DOUBLE END AS "begin", CASE WHEN folder LIKE '%_0-300%' THEN 300.0::DOUBLE WHEN folder LIKE '%_300s-600s%' THEN 600.0::DOUBLE END AS "end",
   count(*) FILTER (ending = '.mp4') AS n_movies, arg_max(path, (mtime, path)) FILTER (ending = '.mp4') AS movie, count(*) FILTER (ending = '.png') AS n_images,
   coalesce(arg_max(path, (length, path)) FILTER (ending = '_protocol.txt'), folder || '/' || regexp_extract(folder, '^/data/([^/]*)', 1) || '_' || regexp_extract(folder, '([^/_]*)[^/]*$', 1) || '_protocol.txt') AS protocol FROM fp GROUP BY folder""")
