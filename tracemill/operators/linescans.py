@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def autocorrelation_2d(px: DataFrame, dys: list[int], dxs: list[int]) -> DataFrame:
-    """recording, dy, dx, r: correlation of all frames with themselves dy rows and dx columns on."""
-    moved = px.withColumn("dy", F.explode(F.array(*map(F.lit, dys)))).withColumn("dx", F.explode(F.array(*map(F.lit, dxs))))
-    moved = moved.select("recording", "frame", "dy", "dx", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), F.col("value").alias("later"))
-    return px.join(moved, ["recording", "frame", "y", "x"]).groupBy("recording", "dy", "dx").agg(F.corr("value", "later").alias("r"))
+    """recording, dy, dx, r: correlation of all frames with themselves dy rows and dx columns on. Null pixels do not count.
+
+    A pixel goes to its own place and to those that it lies dy, dx behind; what meets at a place is one row, and no join.
+    """
+    lags = [(dy, dx) for dy in dys for dx in dxs]
+    ends = [F.struct(F.lit(-1).alias("k"), F.col("y"), F.col("x")), *(F.struct(F.lit(k).alias("k"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for k, (dy, dx) in enumerate(lags))]
+    met = px.select("recording", "frame", "value", F.explode(F.array(*ends)).alias("o")).groupBy("recording", "frame", "o.y", "o.x").agg(*(F.max(F.when(F.col("o.k") == k, F.col("value"))).alias(f"v{k + 1}") for k in range(-1, len(lags))))
+    pairs = met.filter("v0 is not null").select("recording", "v0", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.col(f"v{k + 1}").alias("later")) for k, (dy, dx) in enumerate(lags)))).alias("o"))
+    return pairs.filter("o.later is not null").groupBy("recording", "o.dy", "o.dx").agg(F.corr("v0", "o.later").alias("r"))
 
 
 def tag_linescans(px: DataFrame, series: DataFrame, min_size: float = 6.0) -> DataFrame:
