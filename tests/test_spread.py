@@ -21,3 +21,10 @@ def test_autocorrelation_2d_joins_nothing(spark):
     r = {(r["dy"], r["dx"]): r["r"] for r in found.collect()}
     assert set(r) == {(0, 0), (0, 2), (1, 0), (1, 2)}
     assert abs(r[0, 0] - 1) < 1e-9 and abs(r[0, 2] - 1) < 1e-9
+
+
+def test_pixels_are_dealt_before_vectors_unfold(spark, sf_dir):
+    px = b.pixels(spark, sf_dir)
+    assert tasks(px) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange for the frames' numbers, one that deals them: the blur's sums by place need none
+    assert plan_of(px.groupBy("recording", "frame", "y", "x").agg(F.sum("value"))).count("Exchange") == 2
