@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracemill.operators import linescans as ls
+from tracemill.operators import traces as tr
 from tracemill.sources import bindings as b
 
 
@@ -28,3 +29,18 @@ def test_pixels_are_dealt_before_vectors_unfold(spark, sf_dir):
     assert tasks(px) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange for the frames' numbers, one that deals them: the blur's sums by place need none
     assert plan_of(px.groupBy("recording", "frame", "y", "x").agg(F.sum("value"))).count("Exchange") == 2
+
+
+def test_running_percentiles_round_as_sql(spark):
+    """The SQL engine rounds low x (1 - share) + high x share once; F.percentile differs in 20 of these 180."""
+    import math
+
+    pairs = [(a, a + b) for a in range(1, 60, 4) for b in range(1, 60, 5)]
+    values = [(roi, i, float(i), float(v)) for roi, (a, b) in enumerate(pairs) for i, v in enumerate([a, a, *[b] * 11])] + [(999, i, float(i), None) for i in range(13)]
+    rows = spark.createDataFrame(values, "roi int, i int, t double, value double")
+    got = {r["roi"]: r["p"] for r in tr.running(rows, 13, {"p": 0.1}).filter("i = 6").collect()}
+    share = 12 * 0.1 - 1
+    assert [got[roi] for roi in range(len(pairs))] == [math.fma(float(a), 1 - share, b * share) for a, b in pairs]
+    assert got[999] is None
+    plain = [(1 - share) * a + share * b for a, b in pairs]
+    assert sum(x != got[roi] for roi, x in enumerate(plain)) > 0

@@ -42,6 +42,36 @@ def mirrored(df: DataFrame, margin: int, keys=KEYS) -> DataFrame:
 FUNCTIONS = {"avg": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """x as a sum of two numbers of 26 bits, whose products are exact."""
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    return high, x - high
+
+
+def interpolated(values: str, fraction: float) -> Column:
+    """The fraction's place in a sorted array, between two values low x (1 - share) + high x share; null if it is empty.
+
+    The first product is not rounded before the sum, as in the SQL engine, which fuses both; F.percentile rounds it, and
+    so decides differently what lies at a threshold. Its rounding error is had from halves of its factors.
+    """
+    at = (F.size(values) - 1) * F.lit(float(fraction))
+    k = F.floor(at).cast("int")
+    low, high = (F.try_element_at(values, F.least(k + d, F.size(values))) for d in (1, 2))
+    held = F.struct(low.cast("double").alias("a"), high.cast("double").alias("b"), (at - k).alias("d"))
+
+    def between(v: Column) -> Column:
+        a, rest, second = v["a"], 1 - v["d"], v["b"] * v["d"]
+        (a1, a2), (r1, r2) = _halves(a), _halves(rest)
+        first = a * rest
+        lost = a2 * r2 - (((first - a1 * r1) - a2 * r1) - a1 * r2)
+        total = first + second
+        part = total - first
+        fused = total + (((first - (total - part)) + (second - part)) + lost)
+        return F.when((v["d"] == 0) | (a == v["b"]), a).when(F.abs(a) < 1e290, fused).otherwise(total)
+
+    return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(held), between), 1))
+
+
 def running(df: DataFrame, size: int, funcs: dict[str, str | float], keys=KEYS, column: str = "value") -> DataFrame:
     """Centred running functions over an odd window, reflected at the ends.
 
@@ -51,8 +81,10 @@ def running(df: DataFrame, size: int, funcs: dict[str, str | float], keys=KEYS,
     frame = Window.partitionBy(*keys).orderBy("place").rowsBetween(-delta, delta)
     out = mirrored(df, delta, keys)
     for name, f in funcs.items():
-        value = FUNCTIONS[f](column) if isinstance(f, str) else F.percentile(column, F.lit(f))
-        out = out.withColumn(name, value.over(frame))
+        if isinstance(f, str):
+            out = out.withColumn(name, FUNCTIONS[f](column).over(frame))
+        else:
+            out = out.withColumn("held_", F.sort_array(F.collect_list(column).over(frame))).withColumn(name, interpolated("held_", f)).drop("held_")
     return out.filter("inner").drop("inner", "place", "n_samples")
 
 
