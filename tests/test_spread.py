@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracemill.operators import calibration as ca
+from tracemill.operators import filters as fl
 from tracemill.operators import linescans as ls
 from tracemill.operators import traces as tr
 from tracemill.sources import bindings as b
@@ -54,3 +55,15 @@ def test_rows_are_dealt_before_they_meet_replicates(spark):
     found = ca.infer_concentrations(points, "k", fits, 0.0, True)
     assert "REPARTITION_BY_NUM" in plan_of(found)
     assert found.count() == 40
+
+
+def test_candidates_are_not_dealt_by_timescale(spark):
+    z = spark.createDataFrame([(0, 1, 2.0), (0, 2, 4.0), (1, 1, 8.0)], "its int, roi int, deviation double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = fl.scaled(z, ["roi"], "soft")
+        assert "SortMergeJoin" not in plan_of(found)
+        assert sorted(r["scale"] for r in found.collect()) == [3.0, 3.0, 8.0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
