@@ -67,3 +67,35 @@ def test_candidates_are_not_dealt_by_timescale(spark):
         assert sorted(r["scale"] for r in found.collect()) == [3.0, 3.0, 8.0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_weekly_traces_are_dealt_by_supplier(spark, tmp_path):
+    """Empty weeks, weeks before the first one and nulls, on a grid without a join."""
+    days = [(7, "1995-01-17", 2.0), (7, "1995-01-18", 3.0), (7, "1995-02-06", 1.0), (8, "1994-12-01", 9.0), (9, "1995-01-02", None), (9, None, 4.0)]
+    rows = spark.createDataFrame(days, "l_suppkey long, l_shipdate string, l_quantity double").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    week = b.traces_week(spark, str(tmp_path))
+    got = {(r["roi"], r["i"]): (r["t"], r["value"]) for r in week.collect()}
+    assert got == {(roi, i): (7.0 * i, {(7, 2): 5.0, (7, 5): 1.0}.get((roi, i), 0.0)) for roi in (7, 8, 9) for i in range(6)}
+    assert "SortMergeJoin" not in plan_of(week)
+    assert week.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summed = week.groupBy("roi").agg(F.sum("value"))
+    assert plan_of(summed).count("Exchange hashpartitioning(roi") == 2
+
+
+def test_hard_rescale_reads_its_traces_once(spark):
+    z = spark.createDataFrame([(r, i, float(v)) for r in (1, 2) for i, v in enumerate([0, r, 2 * r, 3 * r, 10 * r])] + [(None, 0, 1.0)], "roi int, i int, z double")
+    found = tr.rescale(z, "hard", ())
+    assert "Join" not in plan_of(found)
+    got = {(r["roi"], r["i"]): r["z"] for r in found.collect()}
+    assert set(got) == {(r, i) for r in (1, 2) for i in range(5)}
+    assert all(abs(got[r, i] - v / 1.4826) < 1e-12 for r in (1, 2) for i, v in enumerate([0, 1, 2, 3, 10]))
+
+
+def test_batches_are_worked_in_portions():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([[float(k)] * (k % 3) for k in range(600)])], names=["rows"])
+    parts = list(fl.portions(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= fl.PORTION
+    assert pa.Table.from_batches(parts).column("rows").to_pylist() == batch.column("rows").to_pylist()
