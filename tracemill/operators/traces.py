@@ -211,10 +211,10 @@ def rescale(df: DataFrame, mode: str, keys=("recording",)) -> DataFrame:
         each = df.groupBy(*own).agg(F.stddev_pop("z").alias("s"))
         scale = each.groupBy(*keys).agg(F.percentile("s", F.lit(0.5)).alias("scale"))
         return df.join(scale, list(keys)).withColumn("z", F.col("z") / F.col("scale")).drop("scale")
-    middle = df.groupBy(*own).agg(F.percentile("z", F.lit(0.5)).alias("middle"))
-    off = df.join(middle, own).withColumn("off", F.abs(F.col("z") - F.col("middle")))
-    scale = off.groupBy(*own).agg((1.4826 * F.percentile("off", F.lit(0.5))).alias("scale"))
-    return df.join(scale, own).withColumn("z", F.col("z") / F.col("scale")).drop("scale")
+    of_trace = Window.partitionBy(*own)
+    median = lambda c: F.percentile(c, F.lit(0.5)).over(of_trace)
+    off = df.dropna(subset=own).withColumn("middle_", median("z")).withColumn("off_", F.abs(F.col("z") - F.col("middle_")))
+    return off.withColumn("z", F.col("z") / (1.4826 * median("off_"))).drop("middle_", "off_")
 
 
 def first_run(df: DataFrame, condition: Column, least: int, keys=KEYS) -> DataFrame:
