@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracemill.operators import calibration as ca
+from tracemill.operators import clusters as cl
 from tracemill.operators import filters as fl
 from tracemill.operators import linescans as ls
 from tracemill.operators import traces as tr
@@ -99,3 +100,22 @@ def test_batches_are_worked_in_portions():
     parts = list(fl.portions(iter([batch, batch.slice(0, 0)])))
     assert max(p.num_rows for p in parts) <= fl.PORTION
     assert pa.Table.from_batches(parts).column("rows").to_pylist() == batch.column("rows").to_pylist()
+
+
+def test_pairs_of_traces_are_not_shuffled(spark):
+    """Stretches of a cell are added up where they meet; traces may lack samples or whole stretches."""
+    import numpy as np
+
+    made = np.random.default_rng(5)
+    values = {roi: {i: float(made.normal()) for i in range(12) if (i + roi) % 5 and not (roi == 3 and i < 8)} for roi in range(6)}
+    rows = spark.createDataFrame([("a", roi, i, v) for roi, own in values.items() for i, v in own.items()], "recording string, roi int, i int, value double")
+    found = cl.correlation_matrix(rows, block=2, stretch=4)
+    plan = plan_of(found)
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    centred = {roi: {i: v - np.mean(list(own.values())) for i, v in own.items()} for roi, own in values.items()}
+    got = {(r["roi_a"], r["roi_b"]): r["r"] for r in found.collect()}
+    for a in range(6):
+        for c in range(a + 1, 6):
+            both = sorted(set(values[a]) & set(values[c]))
+            assert abs(got.pop((a, c)) - np.corrcoef([centred[a][i] for i in both], [centred[c][i] for i in both])[0, 1]) < 1e-9
+    assert not got
