@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import calibration as ca
 from tracemill.operators import clusters as cl
+from tracemill.operators import events as ev
 from tracemill.operators import filters as fl
 from tracemill.operators import linescans as ls
 from tracemill.operators import traces as tr
@@ -119,3 +120,23 @@ def test_pairs_of_traces_are_not_shuffled(spark):
             both = sorted(set(values[a]) & set(values[c]))
             assert abs(got.pop((a, c)) - np.corrcoef([centred[a][i] for i in both], [centred[c][i] for i in both])[0, 1]) < 1e-9
     assert not got
+
+
+def test_edges_are_made_once(spark):
+    from tracemill.operators.components import components
+
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(1, 1), (1, 2), (2, 1), (3, 3), (5, 4)]).map(lambda e: made.add(1) or e)
+    found = components(spark.createDataFrame(rows, "a long, b long"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
+    assert made.value == 5
+
+
+def test_range_join_has_every_pair_and_few_copies(spark):
+    made = [(k, float(t0), t0 + hw) for k, (t0, hw) in enumerate((t0 / 7, 2.0**e / 3) for t0 in range(0, 300, 13) for e in (-2, 0, 1, 2, 3, 5))]
+    rows = spark.createDataFrame([(0, *e) for e in made], "roi int, b_id int, b_t0 double, b_tend double")
+    seeds = rows.select("roi", F.col("b_id").alias("a_id"), F.col("b_t0").alias("a_t0"), F.col("b_tend").alias("a_tend"), (F.col("b_tend") - F.col("b_t0")).alias("a_hw"))
+    for tol in (0.2, 0.45):
+        got = sorted((r["a_id"], r["b_id"]) for r in ev.binned(seeds, rows, tol, ["roi"]).collect())
+        near = lambda a, c: abs(a[1] - c[1]) < tol * (a[2] - a[1]) and abs(a[2] - c[2]) < tol * (a[2] - a[1])
+        assert got == sorted((a[0], c[0]) for a in made for c in made if near(a, c))

@@ -41,8 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     MOST_ROUNDS double rounds do not converge, which takes paths of astronomical length.
     """
     edges = edges.select("a", "b").filter("a is not null and b is not null")
-    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    nodes = edges.filter("a = b").select("a")
+    # written with the self edges, so that what makes the edges, often a wide join, runs once
+    given = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "given")
+    now = written(given.filter("a != b"), "edges")
+    nodes = given.filter("a = b").select("a")
     sign = None
     for _ in range(MOST_ROUNDS):
         last, now = now, written(_star(_star(now, True), False), "edges")
