@@ -46,19 +46,25 @@ def window_events(events: DataFrame, windows: DataFrame) -> DataFrame:
     return inside_windows(events, windows, lambda w: (F.col("t0") >= w["leg_begin"]) & (F.col("tend") <= w["leg_end"]))
 
 
+WIDE = 4  # bins, in tolerances of the longest seed of a class
+
+
 def binned(seeds: DataFrame, targets: DataFrame, tol: float, keys: list[str]) -> DataFrame:
     """Pairs of a seed and a target of the same keys whose start and end differ by less than tol x the seed's halfwidth.
 
-    Seeds fall into classes of halfwidth by powers of two; a class has bins wide enough that a
-    match lies in the seed's bin or a neighbour. Both ends are close, so a target's halfwidth is
+    Seeds fall into classes of halfwidth by powers of four; a class has bins of WIDE times its largest tolerance, and a
+    seed goes to the one or two bins that its tolerance reaches. Both ends are close, so a target's halfwidth is
     within 2 tol of the seed's and it joins only the classes near its own: an equi-join, no theta join.
     seeds(a_id, a_t0, a_tend, a_hw, keys) and targets(b_id, b_t0, b_tend, keys); tol below 0.5.
     """
-    width = lambda c: F.pow(F.lit(2.0), c + 1) * tol
-    s = seeds.withColumn("class", F.floor(F.log2("a_hw"))).withColumn("bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("a_t0") / width(F.col("class"))) + d)))
+    width = lambda c: F.pow(F.lit(4.0), c + 1) * (tol * WIDE)
+    size = lambda hw: F.floor(F.log2(hw) / 2)
+    reach, slack = tol * F.col("a_hw"), 1e-9  # of a bin: ends are rounded
+    at = lambda t: t / width(F.col("class"))
+    s = seeds.withColumn("class", size(F.col("a_hw"))).withColumn("bin", F.explode(F.sequence(F.floor(at(F.col("a_t0") - reach) - slack), F.floor(at(F.col("a_t0") + reach) + slack))))
     hw = F.col("b_tend") - F.col("b_t0")
-    low, high = F.floor(F.log2(hw / (1 + 2 * tol))), F.floor(F.log2(hw / (1 - 2 * tol)))
-    t = targets.withColumn("class", F.explode(F.sequence(low, high))).withColumn("bin", F.floor(F.col("b_t0") / width(F.col("class"))))
+    low, high = size(hw / (1 + 2 * tol) * (1 - slack)), size(hw / (1 - 2 * tol) * (1 + slack))
+    t = targets.withColumn("class", F.explode(F.sequence(low, high))).withColumn("bin", F.floor(at(F.col("b_t0"))))
     near = (F.abs(F.col("a_t0") - F.col("b_t0")) < tol * F.col("a_hw")) & (F.abs(F.col("a_tend") - F.col("b_tend")) < tol * F.col("a_hw"))
     return s.join(t, [*keys, "class", "bin"]).filter(near).drop("class", "bin")
 
