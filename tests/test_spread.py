@@ -7,6 +7,7 @@ from tracemill.operators import clusters as cl
 from tracemill.operators import events as ev
 from tracemill.operators import filters as fl
 from tracemill.operators import linescans as ls
+from tracemill.operators import pulses as pu
 from tracemill.operators import traces as tr
 from tracemill.sources import bindings as b
 
@@ -152,3 +153,13 @@ def test_fits_of_a_row_are_one_array(spark):
     each = sorted(4.0 * (5.0 / (10.0 + rep)) / (1 - 5.0 / (10.0 + rep)) for rep in range(1, 41))
     assert abs(got[0]["low"] - (each[0] * 0.025 + each[1] * 0.975)) < 1e-9
     assert got[3]["inferred"] is None and got[4]["inferred"] is None and got[3]["low"] is None
+
+
+def test_pulses_are_dealt_before_they_become_samples(spark):
+    pulses = spark.createDataFrame([(1, "gamma", 10.0, 4.0, 2.0, 3.0), (1, "lognormal", 14.0, 4.0, 0.3, 1.0)], "roi int, model string, loc double, width double, form double, amplitude double")
+    samples = spark.range(40).selectExpr("1 as roi", "cast(id as int) as i")
+    found = pu.sum_of_pulses(pulses, samples, 1.0)
+    plan = plan_of(found)
+    sums = plan[plan.index("HashAggregate") : plan.index("Generate")]
+    assert "Exchange" not in sums
+    assert found.filter("pulses > 1").count() > 0 and found.count() == 40
