@@ -100,15 +100,18 @@ def debleach(px: DataFrame, rates: tuple[float, ...] = RATES) -> DataFrame:
 
 def stat_images(px: DataFrame, last: int = 10) -> DataFrame:
     """Per pixel mean, population deviation and the percentile 100 (1 - last / N); also the deviation of frame differences."""
-    step = F.col("value") - F.lag("value").over(Window.partitionBy(*PLACE).orderBy("frame"))
+    own = Window.partitionBy(*PLACE)
+    step = F.col("value") - F.lag("value").over(own.orderBy("frame"))
     n = px.groupBy("recording").agg(F.countDistinct("frame").alias("n_frames"))
-    rows = px.withColumn("step", step)
-    ordered = rows.groupBy(*PLACE).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.stddev_pop("step").alias("diff_std"), F.sort_array(F.collect_list("value")).alias("v"))
-    # Interpolated order statistic; the array is one pixel's time course.
-    at = (F.size("v") - 1) * F.greatest(1 - last / F.col("n_frames"), F.lit(0.0))
-    low = F.floor(at).cast("int")
-    value = lambda k: F.element_at("v", F.least(k, F.size("v") - 1) + 1)
-    return ordered.join(n, "recording").select(*PLACE, "mean", "std", "diff_std", (value(low) + (value(low + 1) - value(low)) * (at - low)).alias("highperc"))
+    # Interpolated order statistic: only what lies at or above it stays of a pixel's time course, last + 1 values if no frame is repeated.
+    at = (F.col("n_held") - 1) * F.greatest(1 - last / F.col("n_frames"), F.lit(0.0))
+    low = F.floor(at)
+    rows = px.join(F.broadcast(n), "recording").withColumn("step", step).withColumn("n_held", F.count("value").over(own))
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy(F.col("value").desc_nulls_last())))
+    top = F.sort_array(F.collect_list(F.when(F.col("place") <= F.col("n_held") - low, F.col("value"))), False)
+    found = rows.groupBy(*PLACE, "n_frames", "n_held").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.stddev_pop("step").alias("diff_std"), top.alias("top"))
+    value = lambda k: F.try_element_at("top", (F.col("n_held") - F.least(k, F.col("n_held") - 1)).cast("int"))  # noqa: E731  the k-th from below
+    return found.select(*PLACE, "mean", "std", "diff_std", F.when(F.col("n_held") > 0, value(low) + (value(low + 1) - value(low)) * (at - low)).alias("highperc"))
 
 
 def robust_max(px: DataFrame, column: str, last: int = 10, keys=("recording",)) -> DataFrame:
