@@ -59,15 +59,17 @@ def blur(px: DataFrame, axis: str, weights: list[float], low: int, high: int | N
     if high is None:
         px = px.join(px.groupBy("recording").agg(F.max(axis).alias("axis_end")), "recording")
     high = F.col("axis_end") if high is None else F.lit(high)
-    taps = F.array(*(F.struct(F.lit(i - half).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(weights)))
-    # A pixel feeds every place whose clamped neighbour it is: edges feed the taps beyond them too.
-    fed = px.withColumn("tap", F.explode(taps)).withColumn("to", F.col(axis) - F.col("tap.d"))
-    inside = fed.filter(F.col("to").between(low, high)).select("*", F.col("tap.w").alias("w"))
-    over_low = px.filter(F.col(axis) == low).withColumn("tap", F.explode(taps)).withColumn("to", F.explode(F.sequence(F.lit(low), F.lit(low + half)))).filter(F.col("to") + F.col("tap.d") < low)
-    over_high = px.filter(F.col(axis) == high).withColumn("tap", F.explode(taps)).withColumn("to", F.explode(F.sequence(F.greatest(F.lit(low), high - half), high))).filter(F.col("to") + F.col("tap.d") > high)
-    every = inside.unionByName(over_low.select("*", F.col("tap.w").alias("w"))).unionByName(over_high.select("*", F.col("tap.w").alias("w")))
+    # A pixel feeds every place whose clamped neighbour it is: edges feed the taps beyond them too. One pass over px, no union.
+    here, taps = F.col(axis), [(i - half, w) for i, w in enumerate(weights)]
+    kind = px.schema[axis].dataType
+    fed = lambda to, w, holds: F.struct(to.cast(kind).alias("to"), F.lit(float(w)).alias("w"), holds.alias("holds"))
+    inside = [fed(here - d, w, F.lit(True)) for d, w in taps]
+    over_low = [fed(F.lit(low + j), w, here == low) for d, w in taps for j in range(half + 1) if j + d < 0]
+    over_high = [fed(high - j, w, here == high) for d, w in taps for j in range(half + 1) if d - j > 0]
+    places = F.filter(F.array(*inside, *over_low, *over_high), lambda p: p["holds"] & p["to"].between(low, high))
+    every = px.withColumn("fed_", F.explode(places)).select("*", F.col("fed_.to").alias("to"), F.col("fed_.w").alias("w"))
     others = [c for c in ("recording", "frame", "y", "x") if c != axis]
-    return every.filter(F.col("to").between(low, high)).groupBy(*others, F.col("to").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
+    return every.groupBy(*others, F.col("to").alias(axis)).agg(F.sum(F.col("value") * F.col("w")).alias("value"))
 
 
 def bin_median(px: DataFrame, n_bins: int) -> DataFrame:
