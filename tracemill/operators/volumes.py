@@ -6,12 +6,14 @@ stack, is one array in a task while it is compared; whole movies never are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracemill.functions.tables import discard, written
@@ -22,28 +24,62 @@ ROUNDS = 10
 AXES = ["z", "y", "x"]
 
 
+def taken_back(stack: np.ndarray, shift: tuple[float, float, float]) -> np.ndarray:
+    """stack with its shift taken back: eight weights of the voxels around, nothing beyond the stack."""
+    out = np.zeros(stack.shape)
+    whole = [math.floor(d) for d in shift]
+    for corner in np.ndindex(2, 2, 2):
+        weight, here, there = 1.0, [], []
+        for d, w, up, n in zip(shift, whole, corner, stack.shape, strict=True):
+            weight *= d - w if up else 1 - (d - w)
+            here.append(slice(min(max(0, -w - up), n), max(0, min(n, n - w - up))))
+            there.append(slice(min(max(0, w + up), n), max(0, min(n, n + w + up))))
+        out[tuple(here)] += weight * stack[tuple(there)]
+    return out
+
+
 def apply_shifts_3d(voxels: DataFrame, shifts: DataFrame) -> DataFrame:
     """Frames with their shift taken back: eight weights of the voxels around, nothing beyond the stack, clipped to the frame's own range.
 
-    Frames without a shift go.
+    Frames without a shift go, and voxels without a place. A frame is moved as one array, so nothing is shuffled for a weight.
     """
-    rows = voxels.join(shifts.select("recording", "frame", "dz", "dy", "dx"), ["recording", "frame"])
-    whole = {a: F.floor(f"d{a}").cast("int") for a in AXES}
-    part = {a: F.col(f"d{a}") - whole[a] for a in AXES}
+    here = ["recording", "frame", *AXES]
+    frames = voxels.dropna(subset=AXES).groupBy("recording", "frame").agg(F.collect_list(F.struct(*AXES, F.col("value").cast("double").alias("value"))).alias("s"))
+    rows = frames.join(shifts.select("recording", "frame", *(F.col(f"d{a}").cast("double").alias(f"d{a}") for a in AXES)), ["recording", "frame"])
+    schema = T.StructType([*(rows.schema[c] for c in ("recording", "frame", "s")), T.StructField("moved", T.ArrayType(T.DoubleType()))])
 
-    def tap(corner: tuple[int, int, int]) -> Column:
-        weight = F.lit(1.0)
-        for a, upper in zip(AXES, corner, strict=True):
-            weight = weight * (part[a] if upper else 1 - part[a])
-        return F.struct(*((F.col(a) + whole[a] + upper).alias(f"s{a}") for a, upper in zip(AXES, corner, strict=True)), weight.alias("w"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moved = []
+            for k, shift in enumerate(zip(*(batch.column(f"d{a}").to_pylist() for a in AXES), strict=True)):
+                own = batch.column("s")[k].values
+                at = tuple(own.field(a).to_numpy() for a in AXES)
+                v = own.field("value").to_numpy(zero_copy_only=False)
+                if None in shift or np.isnan(v).all():
+                    moved.append([None] * len(v))
+                    continue
+                stack = np.zeros(tuple(int(p.max()) + 1 for p in at))
+                stack[at] = np.where(np.isnan(v), 0.0, v)
+                moved.append(np.clip(taken_back(stack, shift)[at], np.nanmin(v), np.nanmax(v)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), pa.array(moved, pa.list_(pa.float64()))], names=schema.names)
+
+    flat = rows.mapInArrow(run, schema).select("recording", "frame", F.explode(F.arrays_zip("s", "moved")).alias("p"))
+    return flat.select("recording", "frame", *(F.col(f"p.s.{a}").alias(a) for a in AXES), F.col("p.moved").alias("value")).select(*here, "value")
+
+
+def moved_stacks(whole: DataFrame, shifts: DataFrame) -> DataFrame:
+    """As apply_shifts_3d, of stacks."""
+    rows, names = whole.join(shifts.select("recording", "frame", *(f"d{a}" for a in AXES)), ["recording", "frame"]), whole.columns
 
-    taps = F.explode(F.array(*(tap((k >> 2, k >> 1 & 1, k & 1)) for k in range(8))))
-    here = ["recording", "frame", *AXES]
-    spread = rows.select(*here, taps.alias("o")).select(*here, "o.*")
-    source = voxels.select("recording", "frame", *(F.col(a).alias(f"s{a}") for a in AXES), F.col("value").alias("v"))
-    moved = spread.join(source, ["recording", "frame", *(f"s{a}" for a in AXES)], "left").groupBy(*here).agg(F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w")).alias("value"))
-    bounds = voxels.groupBy("recording", "frame").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return moved.join(bounds, ["recording", "frame"]).select(*here, F.least(F.greatest("value", "low"), "high").alias("value"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, (*shape, dz, dy, dx) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*(f"n{a}" for a in AXES), *(f"d{a}" for a in AXES))), strict=True)):
+                v = batch.column("v")[k].values.to_numpy(zero_copy_only=False)
+                out.append(np.clip(taken_back(v.reshape(shape), (dz, dy, dx)), v.min(), v.max()).ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(out, pa.list_(pa.float64()))], names=names)
+
+    return rows.select(*names, *(f"d{a}" for a in AXES)).mapInArrow(run, whole.schema)
 
 
 def scores(stack: np.ndarray, template: np.ndarray, most: tuple[int, int, int]) -> np.ndarray:
@@ -104,33 +140,58 @@ def offsets(pairs: DataFrame, most: tuple[int, int, int]) -> DataFrame:
     return pairs.mapInArrow(run, f"recording {kind['recording'].dataType.simpleString()}, frame {kind['frame'].dataType.simpleString()}, dz double, dy double, dx double")
 
 
-def consecutive_shifts(voxels: DataFrame, most: tuple[int, int, int] = MOST) -> DataFrame:
-    """Offsets of each frame against the one before, added up, around their median over the recording's frames."""
+def consecutive_shifts(whole: DataFrame, most: tuple[int, int, int] = MOST) -> DataFrame:
+    """Offsets of each of the stacks against the one before, added up, around their median over the recording's frames."""
     order = Window.partitionBy("recording").orderBy("frame")
-    whole = written(stacks(voxels), "stacks")
     before = whole.select("recording", "frame").withColumn("last", F.lag("frame").over(order)).filter("last is not null")
     earlier = whole.select("recording", F.col("frame").alias("last"), F.col("v").alias("t"))
     steps = written(offsets(whole.join(before, ["recording", "frame"]).join(earlier, ["recording", "last"]), most), "steps")
-    discard(whole)
-    every = voxels.select("recording", "frame").distinct().join(steps, ["recording", "frame"], "left").fillna(0.0, ["dz", "dy", "dx"])
+    every = whole.select("recording", "frame").join(steps, ["recording", "frame"], "left").fillna(0.0, ["dz", "dy", "dx"])
     sums = every.select("recording", "frame", *(F.sum(f"d{a}").over(order).alias(f"d{a}") for a in AXES))
     middle = sums.groupBy("recording").agg(*(F.percentile(f"d{a}", F.lit(0.5)).alias(f"m{a}") for a in AXES))
     return sums.join(middle, "recording").select("recording", "frame", *((F.col(f"d{a}") - F.col(f"m{a}")).alias(f"d{a}") for a in AXES))
 
 
-def medoids(voxels: DataFrame) -> DataFrame:
-    """recording, frame: of each recording the frame of the least absolute distance to its median stack."""
-    place = ["recording", *AXES]
-    middle = voxels.groupBy(*place).agg(F.percentile("value", F.lit(0.5)).alias("m"))
-    far = voxels.join(middle, place).groupBy("recording", "frame").agg(F.round(F.sum(F.abs(F.col("value") - F.col("m"))), 9).alias("far"))
-    return far.groupBy("recording").agg(F.min(F.struct("far", "frame")).alias("b")).select("recording", "b.frame")
+def medoids(whole: DataFrame) -> DataFrame:
+    """recording, t: of each recording the stack of the least absolute distance to the median stack, as a written table.
+
+    A recording's stacks have one shape. Medians are a row a voxel of a recording, however many frames it has.
+    """
+    each = whole.select("recording", F.posexplode("v").alias("p", "value")).groupBy("recording", "p").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    middle = written(each.groupBy("recording").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("m")), "middle")
+    off = F.aggregate(F.zip_with("v", "m", lambda v, m: F.abs(v - m)), F.lit(0.0), lambda acc, d: acc + d)
+    far = whole.join(middle, "recording").select("recording", "frame", F.round(off, 9).alias("far"))
+    best = far.groupBy("recording").agg(F.min(F.struct("far", "frame")).alias("b")).select("recording", "b.frame")
+    found = written(whole.join(best, ["recording", "frame"]).select("recording", F.col("v").alias("t")), "templates")
+    discard(middle)
+    return found
+
+
+def templates(whole: DataFrame, template: DataFrame | None) -> DataFrame:
+    """recording, t: the given template(recording, z, y, x, value) as stacks, or the medoids."""
+    return medoids(whole) if template is None else stacks(template.withColumn("frame", F.lit(0))).select("recording", F.col("v").alias("t"))
 
 
 def template_shifts(voxels: DataFrame, template: DataFrame | None = None, most: tuple[int, int, int] = MOST) -> DataFrame:
     """Offsets of each frame against template(recording, z, y, x, value), the medoid frame where none is given."""
-    own = template.withColumn("frame", F.lit(0)) if template is not None else voxels.join(medoids(voxels), ["recording", "frame"])
-    t = stacks(own).select("recording", F.col("v").alias("t"))
-    return offsets(stacks(voxels).join(t, "recording"), most)
+    whole = written(stacks(voxels), "stacks")
+    return offsets(whole.join(templates(whole, template), "recording"), most)
+
+
+def likeness(pairs: DataFrame) -> DataFrame:
+    """recording, frame, score: the correlation of v and t of pairs, null where one of them does not vary."""
+    kind = pairs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                v, t = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("v", "t"))
+                level = v.min() == v.max() or t.min() == t.max()
+                out.append(None if level else float(((v - v.mean()) * (t - t.mean())).mean() / (v.std() * t.std())))
+            yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("frame"), pa.array(out, pa.float64())], names=["recording", "frame", "score"])
+
+    return pairs.mapInArrow(run, T.StructType([kind["recording"], kind["frame"], T.StructField("score", T.DoubleType())]))
 
 
 def estimate_shifts_3d(voxels: DataFrame, mode: str = "consecutive+template", most: tuple[int, int, int] = MOST, template: DataFrame | None = None) -> DataFrame:
@@ -142,25 +203,24 @@ def estimate_shifts_3d(voxels: DataFrame, mode: str = "consecutive+template", mo
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    frames = voxels.select("recording", "frame").distinct()
-    total = consecutive_shifts(voxels, most) if "consecutive" in mode else frames.select("recording", "frame", *(F.lit(0.0).alias(f"d{a}") for a in AXES))
-    total = written(total, "shifts")
+    whole = written(stacks(voxels), "stacks")
+    none = whole.select("recording", "frame", *(F.lit(0.0).alias(f"d{a}") for a in AXES))
+    total = written(consecutive_shifts(whole, most) if "consecutive" in mode else none, "shifts")
     if mode == "consecutive":
         return total.withColumn("score", F.lit(None).cast("double"))
-    now = written(apply_shifts_3d(voxels, total) if "consecutive" in mode else voxels.select("recording", "frame", *AXES, "value"), "moved")
+    now = written(moved_stacks(whole, total) if "consecutive" in mode else whole, "moved")
     for _ in range(ROUNDS):
-        step = written(template_shifts(now, template, most), "step")
+        step = written(offsets(now.join(templates(now, template), "recording"), most), "step")
         added = total.join(step.select("recording", "frame", *(F.col(f"d{a}").alias(f"s{a}") for a in AXES)), ["recording", "frame"], "left")
         last, total = total, written(added.select("recording", "frame", *((F.col(f"d{a}") + F.coalesce(f"s{a}", F.lit(0.0))).alias(f"d{a}") for a in AXES)), "shifts")
         discard(last)
         far = step.agg(*(F.max(F.abs(f"d{a}")).alias(a) for a in AXES)).first()
         if all(m == 0 or far[a] is None or far[a] < m for a, m in zip(AXES, most, strict=True)):
             break
-        last, now = now, written(apply_shifts_3d(now, step), "moved")
+        last, now = now, written(moved_stacks(now, step), "moved")
         discard(last)
-    corrected = written(apply_shifts_3d(voxels, total), "corrected")
     discard(now)
-    own = template if template is not None else corrected.join(medoids(corrected), ["recording", "frame"]).drop("frame")
-    both = corrected.join(own.select("recording", *AXES, F.col("value").alias("t")), ["recording", *AXES])
-    sums = both.groupBy("recording", "frame").agg(F.covar_pop("value", "t").alias("c"), (F.stddev_pop("value") * F.stddev_pop("t")).alias("s"))
-    return total.join(sums.select("recording", "frame", F.try_divide("c", "s").alias("score")), ["recording", "frame"], "left")
+    corrected = written(moved_stacks(whole, total), "corrected")
+    discard(whole)
+    found = likeness(corrected.join(templates(corrected, template), "recording"))
+    return total.join(found, ["recording", "frame"], "left")
