@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.functions.numbers import correlation, sigma
+from tracemill.functions.numbers import correlation, ln, sigma
+from tracemill.functions.tables import numbered, written
 from tracemill.operators.events import inside_windows
 
 KEYS = ("roi",)
@@ -72,6 +73,20 @@ def interpolated(values: str, fraction: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.transform(F.array(held), between), 1))
 
 
+def quantiles(df: DataFrame, column: str, fractions: list[float]) -> list[float | None]:
+    """The fractions' places among a column's values in order, between two values low x (1 - share) + high x share; null if there are none.
+
+    As in the SQL engine's aggregate the first product is not rounded before the sum, and, other than in its windows, two
+    equal values may be missed by a bit. Values are numbered by all tasks; only those at the places reach the driver.
+    """
+    placed = numbered(df.select(F.col(column).cast("double").alias("x")).dropna(), ["x"], "at")
+    n = placed.count()
+    places = [(n - 1) * f for f in fractions] if n else []
+    held = {r["at"]: r["x"] for r in placed.filter(F.col("at").isin([p for at in places for p in (math.floor(at), math.ceil(at))])).collect()}
+    between = lambda low, high, share: math.fma(low, 1 - share, high * share) if share else low
+    return [between(held[math.floor(at)], held[math.ceil(at)], at - math.floor(at)) for at in places] or [None] * len(fractions)
+
+
 def running(df: DataFrame, size: int, funcs: dict[str, str | float], keys=KEYS, column: str = "value") -> DataFrame:
     """Centred running functions over an odd window, reflected at the ends.
 
@@ -275,10 +290,13 @@ def infer_gain(points: DataFrame, most: float | None = None, bins: int = 50, rou
 
 
 def two_parameter_fit(points: DataFrame, bins: int = 20) -> DataFrame:
-    """ln(variance) against ln(mean): bins of the logarithm, median variance of each, straight line."""
-    logs = points.filter("mean > 0 and variance > 0").withColumn("lx", F.ln("mean"))
-    ends = logs.agg(F.percentile("lx", F.lit(0.01)).alias("low"), F.percentile("lx", F.lit(0.99)).alias("high"))
-    binned = logs.crossJoin(F.broadcast(ends)).filter("lx >= low and lx < high").withColumn("bin", F.floor((F.col("lx") - F.col("low")) / (F.col("high") - F.col("low")) * bins))
+    """ln(variance) against ln(mean): bins of the logarithm, median variance of each, straight line.
+
+    Means that differ in their last bit lie on either side of an end, and few of them make a bin, so logarithms and ends are rounded as in the SQL engine.
+    """
+    logs = written(points.filter("mean > 0 and variance > 0").select("mean", "variance").withColumn("lx", ln("mean")), "logs")
+    low, high = (F.lit(end).cast("double") for end in quantiles(logs, "lx", [0.01, 0.99]))
+    binned = logs.filter((F.col("lx") >= low) & (F.col("lx") < high)).withColumn("bin", F.floor((F.col("lx") - low) / (high - low) * bins))
     each = binned.groupBy("bin").agg(F.avg("mean").alias("mx"), F.percentile("variance", F.lit(0.5)).alias("my"), F.count(F.lit(1)).alias("n")).filter("n > 10")
     return each.agg(F.regr_slope(F.ln("my"), F.ln("mx")).alias("exponent"), F.exp(F.regr_intercept(F.ln("my"), F.ln("mx"))).alias("factor"))
 
